@@ -8,6 +8,25 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import drop_materialized, materialize, table
 
 
+def op2_patched_frame_of_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.token_blocks import token_table
+
+    return token_table(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=0).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op4_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_digest_cache_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), "word_bpe_49k.json").select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op8_decision_list_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.quality_rules import STATISTICS, judge, learn_rules, text_statistics
 
@@ -24,6 +43,6 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op8_decision_list_quality, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_patched_frame_of_reference, op4_counterfactual_toxicity, op5_digest_cache_token_counts, op8_decision_list_quality, op10_benchmark_decontamination)}
 
 ORACLE_SQL = {}
