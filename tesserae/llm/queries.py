@@ -8,12 +8,25 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import drop_materialized, materialize, table
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.importance import resample
+
+    target = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return resample(table(spark, sf_dir, "documents"), target, share=0.85)
+
+
 def op2_patched_frame_of_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.token_blocks import token_table
 
     return token_table(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=0).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_zstd_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.warc import archive_table, page_rows
+
+    return page_rows(archive_table(table(spark, sf_dir, "pages")))
+
+
 def op4_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.toxicity import fit, score
 
@@ -27,6 +40,13 @@ def op5_digest_cache_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame
     return count_tokens(table(spark, sf_dir, "documents"), "word_bpe_49k.json").select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.mixing import mix, word_count
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("n_tokens"))
+    return mix(docs, max_repeats=1.5, tokens=F.col("n_tokens"))
+
+
 def op8_decision_list_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.quality_rules import STATISTICS, judge, learn_rules, text_statistics
 
@@ -43,6 +63,9 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_patched_frame_of_reference, op4_counterfactual_toxicity, op5_digest_cache_token_counts, op8_decision_list_quality, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (
+    op1_importance_resampling, op2_patched_frame_of_reference, op3_zstd_warc_archives, op4_counterfactual_toxicity, op5_digest_cache_token_counts, op7_temperature_mixing,
+    op8_decision_list_quality, op10_benchmark_decontamination,
+)}
 
 ORACLE_SQL = {}
