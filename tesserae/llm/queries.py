@@ -57,6 +57,12 @@ def op8_decision_list_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(stats, rules).select("doc_id", *STATISTICS, "base_failed", "kept", "rule")
 
 
+def op9_minhash_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.ngram_join import ngram_jaccard_join
+
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.decontamination import decontaminate
 
@@ -65,7 +71,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES = {f.__name__: f for f in (
     op1_importance_resampling, op2_patched_frame_of_reference, op3_zstd_warc_archives, op4_counterfactual_toxicity, op5_digest_cache_token_counts, op7_temperature_mixing,
-    op8_decision_list_quality, op10_benchmark_decontamination,
+    op8_decision_list_quality, op9_minhash_ngram_jaccard, op10_benchmark_decontamination,
 )}
 
 ORACLE_SQL = {}
