@@ -1,8 +1,60 @@
-"""The corpus pipeline: toxicity filter, near-duplicate removal, decontamination, mixing, token blocks."""
+"""The corpus pipeline: toxicity filter, near-duplicate removal, decontamination, mixing, token blocks.
 
-ORACLE_SQL = None
-STAGES = []
+Every stage is a function of (spark, docs, sf_dir) to a DataFrame; what it returns is written as Parquet and read again
+as the next stage's `docs`. All but the last return the columns of `documents`. Rows are only dropped by a stage's own
+verdict: toxic documents, near-duplicates other than the smallest id of a class, contaminated documents. Mixing drops
+nothing; it repeats documents of small sources. The last stage returns one row per document of the mix, read back from
+the written token blocks.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+
+from tesserae.llm.common import materialize, table
+from tesserae.llm.decontamination import keep_clean
+from tesserae.llm.mixing import mix
+from tesserae.llm.ngram_join import keep_one_per_class, ngram_jaccard_join
+from tesserae.llm.token_blocks import token_table
+from tesserae.llm.toxicity import drop_toxic, fit
+
+ORACLE_SQL = None  # SQL can express neither the classifier nor the tokenizer
+
+
+def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one_per_class(docs, ngram_jaccard_join(docs, n=5, threshold=0.8))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources flattened until the smallest is read one and a half times; every document is read at least once."""
+    return mix(docs, max_repeats=1.5).select(*docs.columns)
+
+
+def write_token_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_table(docs, "byte_bpe_50k.json", end_id=0)
+
+
+STAGES = [
+    ("toxicity", drop_toxic_documents),
+    ("ngram_jaccard", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token_blocks", write_token_blocks),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, name)
+    return docs

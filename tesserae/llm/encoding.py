@@ -13,21 +13,29 @@ from array import array
 
 import numpy as np
 
-#: Pieces kept per worker process; at about 250 bytes each, with their words, this bounds the cache to some 100 MB.
-CACHE_PIECES = 300_000
+#: Pieces that each generation of a worker's cache keeps: at some 200 bytes each, 160 MB for both.
+CACHE_PIECES = 400_000
 _LOADED: dict[str, "Encoder"] = {}
 
 
 class _Filled(dict):
-    """A dict that makes what it lacks."""
+    """A dict that makes what it lacks. Of two generations, what was used since the last turn survives the next."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
+    def trim(self):
+        if len(self) > CACHE_PIECES:
+            self.old = dict(self)
+            self.clear()
+
 
 class Encoder:
     """ids(text) and count(text) of one tokenizer file of the tokenizers library."""
@@ -43,40 +51,36 @@ class Encoder:
             spec = json.load(f)
         self.width = np.dtype("<u2") if self.tokenizer.get_vocab_size() < 1 << 16 else np.dtype("<u4")
         self.mode = _mode(spec)
-        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.normalizer, self.pre, self.model = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
         self.code = "H" if self.width.itemsize == 2 else "I"
         self.lead = " " if self.mode == "led" else ""
         self.cache = _Filled(lambda p: self._piece(self.lead + p))
-        self.words: dict[str, bytes] = {}
+        self.words = _Filled(self._ids_of)
 
     def _piece(self, piece: str) -> bytes:
         """One piece through the library: normaliser, pre-tokenizer, and the model for each word not met before."""
-        if any(a in piece for a in self.added):
+        if self.special and self.special.search(piece):
             return np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.width).tobytes()
-        out = []
         if piece[:1] == self.lead == " ":
             # Most pieces are a run of letters, perhaps with one mark behind: the pre-tokenizer's first two cases.
             if piece[1:].isalpha():
-                return self._word("\u0120" + byte_letters(piece[1:]))
-            if piece[1:-1].isalpha() and piece[-1] in ".,;:!?":
-                return self._word("\u0120" + byte_letters(piece[1:-1])) + self._word(piece[-1])
+                return self._ids_of("\u0120" + byte_letters(piece[1:]))
+            if piece[-1] in ".,;:!?" and piece[1:-1].isalpha():
+                return self.cache[piece[1:-1]] + self.words[piece[-1]]
+        out = []
         for word, _ in self.pre.pre_tokenize_str(self.normalizer.normalize_str(piece) if self.normalizer else piece):
-            out.append(self._word(word))
+            out.append(self.words[word])
         return b"".join(out)
 
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            found = self.words[word] = array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
-        return found
+    def _ids_of(self, word: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _look_up(self, pieces: list[str]) -> bytes:
         """pieces without the space that leads them."""
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        if len(self.words) > CACHE_PIECES:
-            self.words.clear()
+        self.cache.trim()
+        self.words.trim()
         return b"".join(map(self.cache.__getitem__, pieces))
 
     def encoded(self, text: str) -> bytes:
@@ -84,7 +88,7 @@ class Encoder:
         if self.mode == "words":  # white space never is part of a token
             return self._look_up(text.replace("\n", " ").split(" "))
         if self.mode == "led":  # a space before a visible character always starts a piece
-            head, *rest = text.split(" ") if not SPACE_RUN.search(text) else VISIBLE_NEXT.split(text)
+            head, *rest = text.split(" ") if text[-1:] != " " and not SPACE_RUN.search(text) else VISIBLE_NEXT.split(text)
             return self._piece(head) + self._look_up(rest)
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
 
@@ -96,7 +100,7 @@ class Encoder:
 
 
 #: A space that does not start a piece: before other white space or at the end.
-SPACE_RUN, VISIBLE_NEXT = re.compile(r" (?=[\s\x1c-\x1f]|\Z)"), re.compile(r" (?=[^\s\x1c-\x1f])")
+SPACE_RUN, VISIBLE_NEXT = re.compile(r" [\s\x1c-\x1f]"), re.compile(r" (?=[^\s\x1c-\x1f])")
 
 
 #: Byte-level vocabularies write the bytes of non-ASCII letters as these characters (all are printable or moved up by 256).

@@ -14,38 +14,21 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import drop_materialized, materialize, shuffle_width
 from tesserae.llm.graph import connected_components
+from tesserae.llm.words import run_hashes, word_hashes
 
 #: A block holds about so many members and n-grams at most, so a group of two fits in a few tens of MB.
 BLOCK_MEMBERS, BLOCK_NGRAMS = 256, 500_000
-_WORDS: dict[str, int] = {}
 
 
 def ngram_hashes(text: str | None, n: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams (lower-cased white-space words); shorter texts are one n-gram."""
-    words = (text or "").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_WORDS) > 300_000:
-        _WORDS.clear()
-    own = []
-    for w in words:
-        h = _WORDS.get(w)
-        if h is None:
-            h = _WORDS[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        own.append(h)
-    h = np.array(own, np.uint64)
-    k = min(n, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for j in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j]
-        out ^= out >> np.uint64(29)
-    return np.unique(out)
+    h = word_hashes(text)
+    return np.unique(run_hashes(h, min(n, len(h)))) if len(h) else h
 
 
 def choose_bands(threshold: float, target_recall: float, max_hashes: int = 128) -> tuple[int, int]:

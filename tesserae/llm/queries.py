@@ -40,6 +40,12 @@ def op5_digest_cache_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame
     return count_tokens(table(spark, sf_dir, "documents"), "word_bpe_49k.json").select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op6_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.chaining import fuzzy_passages
+
+    return fuzzy_passages(table(spark, sf_dir, "documents"), min_words=50, min_identity=0.8)
+
+
 def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.mixing import mix, word_count
 
@@ -70,7 +76,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_importance_resampling, op2_patched_frame_of_reference, op3_zstd_warc_archives, op4_counterfactual_toxicity, op5_digest_cache_token_counts, op7_temperature_mixing,
+    op1_importance_resampling, op2_patched_frame_of_reference, op3_zstd_warc_archives, op4_counterfactual_toxicity, op5_digest_cache_token_counts, op6_collinear_chaining, op7_temperature_mixing,
     op8_decision_list_quality, op9_minhash_ngram_jaccard, op10_benchmark_decontamination,
 )}
 

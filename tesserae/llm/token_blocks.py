@@ -41,13 +41,14 @@ def _pack_bits(values: np.ndarray, w: int) -> np.ndarray:
     """The low w bits of each row's values, one after another from the lowest bit; eight values fill w bytes."""
     rows, n = values.shape
     out = np.zeros((rows, -(-n // 8), w), np.uint8)
-    low = np.zeros((rows, -(-n // 8) * 8), np.uint64)
+    kind = np.uint32 if w <= 24 else np.uint64
+    low = np.zeros((rows, -(-n // 8) * 8), kind)
     low[:, :n] = values & values.dtype.type((1 << w) - 1)
     for j in range(8):
         byte, shift = divmod(j * w, 8)
-        part = low[:, j::8] << np.uint64(shift)
+        part = low[:, j::8] << kind(shift)
         for t in range((shift + w + 7) // 8):
-            out[:, :, byte + t] |= (part >> np.uint64(8 * t)).astype(np.uint8)
+            out[:, :, byte + t] |= (part >> kind(8 * t)).astype(np.uint8)
     return out.reshape(rows, -1)[:, : (n * w + 7) // 8]
 
 
