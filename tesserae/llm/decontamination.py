@@ -135,4 +135,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **names) -> DataFrame:
     """The documents that are not contaminated, with all their columns. Rows with a null id are kept: they have no hits."""
     bad = decontaminate(docs, benchmark, doc_id, **names).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[doc_id] == F.col("__bad"), "left_anti")
+    return docs.join(bad.hint("merge"), docs[doc_id] == F.col("__bad"), "left_anti")
