@@ -41,11 +41,18 @@ def midpoints(centroids: Sequence[float]) -> list[float]:
 
 
 def bucket(x: Column, bounds: Sequence[float]) -> Column:
-    """How many of the bounds lie below x: a value on a bound falls to the lower bucket."""
-    if not bounds:
-        return F.lit(0)
-    limits = F.array(*(F.lit(float(b)) for b in bounds))
-    return F.size(F.filter(limits, lambda b: b < x))
+    """How many of the (ascending) bounds lie below x: a value on a bound falls to the lower bucket; null stays null.
+
+    A balanced tree of comparisons: a value meets log2 of the bounds, in compiled code.
+    """
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x > F.lit(float(bounds[mid])), tree(mid + 1, hi)).otherwise(tree(lo, mid))
+
+    return F.when(x.isNotNull(), tree(0, len(bounds)))
 
 
 def grid(x: Column, low: Column, high: Column, cells: int = 1024) -> Column:

@@ -55,25 +55,26 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.normalizer, self.pre, self.model = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
         self.code = "H" if self.width.itemsize == 2 else "I"
-        self.lead = " " if self.mode == "led" else ""
-        self.cache = _Filled(lambda p: self._piece(self.lead + p))
+        self.cache = _Filled(self._led_piece if self.mode == "led" else self._piece)
         self.words = _Filled(self._ids_of)
 
     def _piece(self, piece: str) -> bytes:
         """One piece through the library: normaliser, pre-tokenizer, and the model for each word not met before."""
         if self.special and self.special.search(piece):
             return np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.width).tobytes()
-        if piece[:1] == self.lead == " ":
-            # Most pieces are a run of letters, perhaps with one mark behind: the pre-tokenizer's first two cases.
-            if piece[1:].isalpha():
-                return self._ids_of("\u0120" + byte_letters(piece[1:]))
-            if piece[-1] in ".,;:!?" and piece[1:-1].isalpha():
-                return self.cache[piece[1:-1]] + self.words[piece[-1]]
         out = []
         for word, _ in self.pre.pre_tokenize_str(self.normalizer.normalize_str(piece) if self.normalizer else piece):
             out.append(self.words[word])
         return b"".join(out)
 
+    def _led_piece(self, piece: str) -> bytes:
+        """A piece that follows a space. Most are a run of letters, perhaps with one mark behind: the pre-tokenizer's first two cases."""
+        if piece.isalpha():
+            return self._ids_of("\u0120" + byte_letters(piece))
+        if piece[:-1].isalpha() and piece[-1] in ".,;:!?":
+            return self.cache[piece[:-1]] + self.words[piece[-1]]
+        return self._piece(" " + piece)
+
     def _ids_of(self, word: str) -> bytes:
         return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
 

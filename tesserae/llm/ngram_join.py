@@ -188,7 +188,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, targ
     signed = plain.where("doc_id IS NOT NULL").mapInArrow(_signer(n, bands, rows, seed), "doc_id long, n long, digest binary, bands array<long>")
     signed = materialize(signed, "signatures")
     classes = materialize(signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "ngram-classes")
-    reps = signed.join(classes, (signed["digest"] == classes["digest"]) & (signed["doc_id"] == classes["rep"])).select("rep", "size", "n", "bands").dropDuplicates(["rep"])
+    # Representatives and candidates grow with the input, so these joins are merges at every size: no broadcast that
+    # fits a small table only.
+    reps = signed.join(classes.hint("merge"), (signed["digest"] == classes["digest"]) & (signed["doc_id"] == classes["rep"])).select("rep", "size", "n", "bands").dropDuplicates(["rep"])
     spots = reps.select("rep", "n", F.posexplode("bands").alias("band", "hash"))
     # A bucket's identity is its membership: equal buckets of several bands are one. A bucket is a few hashes and
     # counts here, pre-aggregated before the shuffle.
@@ -200,13 +202,13 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, targ
     inside = materialize(spots.select("rep", "band", "hash").join(buckets, ["band", "hash"]).select("bucket", "m", "grams", "rep").distinct(), "bucket-members")
     mine = inside.groupBy("rep").agg(F.collect_set("bucket").alias("buckets"))  # at most `bands` of them
     mine = mine.join(classes.groupBy("rep").agg(F.sum("size").alias("size")), "rep")
-    sets = plain.join(mine, plain["doc_id"] == mine["rep"]).select("rep", "size", "buckets", "text")
+    sets = plain.join(mine.hint("merge"), plain["doc_id"] == mine["rep"]).select("rep", "size", "buckets", "text")
     sets = sets.mapInArrow(_set_maker(n), "rep long, size long, buckets array<long>, grams binary")
     parts = F.ceil(F.greatest(F.col("m") / BLOCK_MEMBERS, F.col("grams") / BLOCK_NGRAMS)).cast("int")
     cells = inside.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), F.col("parts")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = cells.select("bucket", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "rep")
-    groups = cells.join(sets, "rep").repartition(shuffle_width(spark), "bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "rep")
+    groups = cells.hint("merge").join(sets, "rep").repartition(shuffle_width(spark), "bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "rep")
     groups = groups.select("bucket", "left", "right", "block", "rep", "size", "buckets", "grams")
     found = materialize(groups.mapInArrow(_verifier(threshold), "rep long, links long, root long"), "verified")
     roots = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
@@ -223,4 +225,4 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, targ
 def keep_one_per_class(docs: DataFrame, joined: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The rows of `docs`, with all columns, that are not duplicates: a class keeps its smallest id. Rows without an id stay."""
     extra = joined.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__extra")).distinct()
-    return docs.join(extra, docs[doc_id] == F.col("__extra"), "left_anti")
+    return docs.join(extra.hint("merge"), docs[doc_id] == F.col("__extra"), "left_anti")

@@ -85,7 +85,7 @@ def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) ->
     diff = full - low[:, None]
     rank = max(0, int(np.ceil(percentile * block)) - 1)
     width = _bit_length(np.partition(diff, rank, axis=1)[:, rank])
-    row, pos = np.nonzero(diff.astype(np.uint64) >> width[:, None].astype(np.uint64))
+    row, pos = np.nonzero(diff > ((1 << width) - 1).astype(diff.dtype)[:, None])
     exceptions = np.bincount(row, minlength=blocks)
     head = 7 + 6 * exceptions
     size = head + (block * width + 7) // 8
