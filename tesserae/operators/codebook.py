@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 from tesserae.functions.arrays import bucket, draw, grid, midpoints, morton, significant_1d, significant_3d
 
 TRAIN_CAP = 500_000
+#: Of a last digit: what keeps a half from depending on a sum's last bit.
+HALF_UP = 0.17
 
 
 @dataclass(frozen=True)
@@ -39,15 +41,18 @@ def sample_exact(df: DataFrame, key: str, n: int | None, seed: int = 0) -> DataF
 
 
 def quantile_centroids(df: DataFrame, column: str, size: int, digits: int = 9) -> list[float]:
-    """One level's centroids: zero, and quantiles of what is not near zero; or quantiles of everything if too little is not."""
+    """One level's centroids: zero, and quantiles of what is not near zero; or quantiles of everything if too little is not.
+
+    Halves of the last digit, which interpolation often meets, go up: HALF_UP is added before rounding.
+    """
     rows = df.select(F.col(column).alias("r"))
     full = [(j + 0.5) / size for j in range(size)]
     less = [(j + 0.5) / (size - 1) for j in range(size - 1)]
     big = significant_1d(F.col("r"))
     found = rows.agg(F.count(F.when(big, 1)).alias("n"), F.percentile(F.when(big, F.col("r")), less).alias("some"), F.percentile("r", full).alias("all")).first()
     if found["n"] < size - 1:
-        return [round(x, digits) for x in found["all"] or [0.0] * size]
-    return sorted([0.0, *(round(x, digits) for x in found["some"])])
+        return [round(x + HALF_UP * 10**-digits, digits) for x in found["all"] or [0.0] * size]
+    return sorted([0.0, *(round(x + HALF_UP * 10**-digits, digits) for x in found["some"])])
 
 
 def level_code(x: Column, bounds) -> Column:

@@ -20,6 +20,10 @@ def r6(x: str) -> str:
     return f"round({x}, 6) + 0.0::DOUBLE"
 
 
+def r9(x: str) -> str:
+    return f"round({x}, 9) + 0.0::DOUBLE"
+
+
 ATOMS_A = """atoms AS (
   SELECT l_orderkey AS mol_id,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 AS atom_idx,
@@ -82,7 +86,7 @@ def events_ctes(levels: int, size: int) -> str:
     out = ["st AS (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events)", "l0 AS (SELECT event_id, round((value - m) / s, 9) AS r0, round((value - m) / s, 9) AS r FROM events, st)"]
     at = "[" + ", ".join(d((j + 0.5) / n) for j in range(n)) + "]"
     for k in range(levels):
-        out.append(f"b{k} AS (SELECT list_sort(list_append(list_transform(quantile_cont(r, {at}), lambda v: round(v, 9)), 0.0::DOUBLE)) AS c FROM l{k} WHERE abs(r) >= 1e-4::DOUBLE)")
+        out.append(f"b{k} AS (SELECT list_sort(list_append(list_transform(quantile_cont(r, {at}), lambda v: round(v + 1.7e-10::DOUBLE, 9)), 0.0::DOUBLE)) AS c FROM l{k} WHERE abs(r) >= 1e-4::DOUBLE)")
         out.append(f"m{k} AS (SELECT c, list_transform(range(1, {size}), lambda i: (c[i] + c[i + 1]) / 2) AS b FROM b{k})")
         out.append(f"e{k} AS (SELECT l{k}.*, c, len(list_filter(b, lambda v: v < r)) AS c{k}, len(list_filter(b, lambda v: v < r0)) AS p{k} FROM l{k}, m{k})")
         out.append(f"l{k + 1} AS (SELECT * EXCLUDE (r, c), round(r - c[c{k} + 1], 9) AS r FROM e{k})")
@@ -210,7 +214,7 @@ def oracle_sql() -> dict[str, str]:
     words = "[" + ", ".join(f"'{w}'" for w in q.WORDS) + "]"
     bad_cut = "(n = 0 OR mol_id % 3 = 0)"
     out = {
-        "rvq1d_level1": f"WITH {events_ctes(1, Z)} SELECT event_id, c0::BIGINT AS code, {r6('r')} AS residual FROM l1",
+        "rvq1d_level1": f"WITH {events_ctes(1, Z)} SELECT event_id, c0::BIGINT AS code, {r9('r')} AS residual FROM l1",
         "rvq1d_encode": f"WITH {events_ctes(L, Z)} SELECT event_id, {codes_l} FROM l{L}",
         "rvq1d_encode_plain": f"WITH {events_ctes(L, Z)} SELECT event_id, {plain_l} FROM l{L}",
         "rvq1d_decode_error": f"WITH {events_ctes(L, Z)} SELECT {error_columns('r')} FROM l{L}",
@@ -234,7 +238,7 @@ def oracle_sql() -> dict[str, str]:
             re AS (SELECT mol_id, atom_idx, {', '.join(f'round(d{a} - avg(d{a}) OVER (PARTITION BY mol_id), 9) AS r{a}' for a in 'xyz')}, {', '.join(f'df{a}' for a in 'xyz')} FROM acodes),
             er AS (SELECT mol_id, {', '.join(f'o{a} - r{a} AS e{a}' for a in 'xyz')}, {', '.join(f'of{a} - df{a} AS g{a}' for a in 'xyz')} FROM own JOIN re USING (mol_id, atom_idx)),
             agg AS (SELECT mol_id, sqrt(sum(ex * ex + ey * ey + ez * ez) / (3 * count(*))) AS pr, max(greatest(abs(ex), abs(ey), abs(ez))) AS pm, sqrt(sum(gx * gx + gy * gy + gz * gz) / (3 * count(*))) AS fr, max(greatest(abs(gx), abs(gy), abs(gz))) AS fm FROM er GROUP BY 1)
-            SELECT mol_id, {r6('pr')} AS pos_rmse, {r6('pm')} AS pos_max, {r6('fr')} AS force_rmse, {r6('fm')} AS force_max, {r6('abs(energy - denergy)')} AS energy_abs, {r6('abs((energy - denergy) / energy)')} AS energy_rel FROM agg JOIN ecodes USING (mol_id)""",
+            SELECT mol_id, {r6('pr')} AS pos_rmse, {r9('pm')} AS pos_max, {r6('fr')} AS force_rmse, {r9('fm')} AS force_max, {r6('abs(energy - denergy)')} AS energy_abs, {r6('abs((energy - denergy) / energy)')} AS energy_rel FROM agg JOIN ecodes USING (mol_id)""",
         "recon_report": f"""WITH {codes}, er AS (
             {' UNION ALL '.join(f"SELECT 'position' AS channel, {a} AS e FROM acodes" for a in 'xyz')} UNION ALL {' UNION ALL '.join(f"SELECT 'force', f{a} FROM acodes" for a in 'xyz')} UNION ALL SELECT 'energy', r FROM ecodes)
             SELECT channel, {error_columns('e')} FROM er GROUP BY 1""",
