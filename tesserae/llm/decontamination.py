@@ -83,7 +83,7 @@ def window_hits(docs: DataFrame, windows: DataFrame, doc_id: str = "doc_id", tex
             # explode_outer: a filter inferred from explode() would be pushed below the projections and repeat them.
             at = at.select("doc_id", "words", F.explode_outer(starts).alias("start")).where(F.col("start").isNotNull())
         else:
-            where = at.select("doc_id", F.posexplode("anchors").alias("start", "anchor")).join(anchors, "anchor", "left_semi")
+            where = at.select("doc_id", F.posexplode_outer("anchors").alias("start", "anchor")).join(anchors, "anchor", "left_semi")
             starts = where.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
             at = words.join(starts, "doc_id").select("doc_id", "words", F.explode_outer("starts").alias("start"))
         hits = at.withColumn("n_words", F.explode(F.array(*(F.lit(int(n)) for n in lengths)))).where(

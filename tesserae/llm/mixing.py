@@ -143,4 +143,5 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
     # Blocks of all sources interleave: a block's place in its epoch, the epoch's place among those the source has.
     within = unit(turn.bitwiseXOR(F.lit(-(2**63))))
     span = F.col("__epochs") + F.when(F.col("__all") > 0, F.col("__rest") / F.col("__all")).otherwise(0.0)
-    return own.withColumn("position", (F.col("epoch") + within) / F.greatest(span, F.lit(1.0))).select(*docs.columns, "epoch", "position", inner.alias("within_block"))
+    # The blocks of a partial epoch lie up to its share; with few blocks the last may lie beyond, and then ends the mix.
+    return own.withColumn("position", F.least((F.col("epoch") + within) / F.greatest(span, F.lit(1.0)), F.lit(1.0))).select(*docs.columns, "epoch", "position", inner.alias("within_block"))

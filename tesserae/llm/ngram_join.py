@@ -4,7 +4,7 @@ Texts with equal n-gram sets form a class; one representative each goes on. Band
 recall at the threshold. Representatives meet where a band's hash is equal; buckets with the same members are one.
 Buckets are cut into blocks of bounded size and every pair of blocks is one group, in which all pairs are verified on
 their full n-gram sets. A pair counts in one of its buckets only. A group returns a row per member, not per pair: the
-links it adds and the smallest member it connects to; so the rows stay linear in the members, however many pairs link.
+links it adds and the smallest member they connect it to; so the rows stay linear in the members, however many pairs link.
 """
 
 from __future__ import annotations
@@ -87,6 +87,8 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
         both = np.intersect1d(*sets, assume_unique=True).size
         return np.array([[0, both], [both, 0]])
     grams = np.concatenate(sets)
+    if not len(grams):
+        return np.zeros((m, m))
     owner = np.repeat(np.arange(m), [len(s) for s in sets])
     order = np.argsort(grams, kind="stable")
     grams, owner = grams[order], owner[order]
@@ -113,40 +115,28 @@ def _verifier(threshold: float):
         m = len(members)
         if m < 2:
             return []
-        sets = [np.frombuffer(x["grams"], np.uint64) for x in members]
-        size = np.array([len(s) for s in sets], np.float64)
-        shared = _overlaps(sets)
-        linked = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-9
+        # A pair that shares a smaller bucket is handled there.
+        own = [np.sort(np.array(x["buckets"], np.int64)) for x in members]
+        mine = _overlaps([x[x < bucket] for x in own]) == 0
         if left != right:
             side = np.array([x["block"] for x in members])
-            linked &= side[:, None] != side[None, :]
-        linked &= shared > 0
-        np.fill_diagonal(linked, False)
-        one, two = np.nonzero(np.triu(linked))
-        if not len(one):
+            mine &= side[:, None] != side[None, :]
+        np.fill_diagonal(mine, False)
+        if not mine.any():
             return []
-        own = [frozenset(x["buckets"]) for x in members]
-        links, root = np.zeros(m, np.int64), list(range(m))
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        for a, b in zip(one.tolist(), two.tolist(), strict=True):
-            if min(own[a] & own[b]) == bucket:
-                links[a] += members[b]["size"]
-                links[b] += members[a]["size"]
-            x, y = find(a), find(b)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-        in_use = sorted({*one.tolist(), *two.tolist()})
-        low: dict[int, int] = {}
-        for k in in_use:
-            r = find(k)
-            low[r] = min(low.get(r, members[k]["rep"]), members[k]["rep"])
-        return [(members[k]["rep"], int(links[k]), low[find(k)]) for k in in_use]
+        sets = [np.frombuffer(x["grams"], np.uint64) for x in members]
+        size = np.array([len(s) for s in sets], np.float64)
+        shared = _overlaps(sets)
+        linked = mine & (shared > 0) & (shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-9)
+        links = linked @ np.array([x["size"] for x in members], np.int64)
+        # The smallest member that links reach: minima pass along links until they rest.
+        low = np.array([x["rep"] for x in members], np.int64)
+        while True:
+            after = np.minimum(low, np.where(linked, low[None, :], np.iinfo(np.int64).max).min(axis=1))
+            if np.array_equal(after, low):
+                break
+            low = after
+        return [(members[k]["rep"], int(links[k]), int(low[k])) for k in np.nonzero(linked.any(axis=1))[0]]
 
     def verify(batches):
         key, held, out = None, [], []
