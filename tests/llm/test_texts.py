@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -203,6 +204,31 @@ def test_fuzzy_passages_are_found(spark, odd, none):
     assert fuzzy_passages(none).count() == 0 and fuzzy_passages(odd).columns[0] == "doc_id" and fuzzy_passages(odd).count() == 0
 
 
+def edited(passage, identity, rng, word):
+    out = list(passage)
+    for k in rng.sample(range(len(out)), round(len(out) * (1 - identity))):
+        out[k] = word()
+    return out
+
+
+@pytest.mark.parametrize("n, identity", [(50, 0.8), (60, 0.8), (60, 0.85), (60, 0.9), (100, 0.8)])
+def test_fuzzy_passages_of_the_least_identity_are_found(spark, n, identity):
+    rng = random.Random(n)
+    word = lambda: f"w{rng.getrandbits(40):x}"
+    own = lambda: [word() for _ in range(40)]
+    rows = []
+    for k in range(100):
+        passage = [word() for _ in range(n)]
+        rows += [(2 * k, own() + passage + own()), (2 * k + 1, own() + edited(passage, identity, rng, word) + own())]
+    spread = [word() for _ in range(60)]
+    rows += [(200, own() + spread), (201, own() + [word() if k % 7 == 3 else w for k, w in enumerate(spread)])]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows_of(fuzzy_passages(docs))}
+    print(f"{n} words at {identity}: {sum(2 * k + 1 in got for k in range(100))} of 100")
+    assert all(r["source_id"] == k - 1 and r["identity"] >= 0.8 for k, r in got.items())
+    assert sum(2 * k + 1 in got for k in range(100)) >= 97 and 201 in got
+
+
 # Quality rules
 
 
