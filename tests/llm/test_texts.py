@@ -229,6 +229,17 @@ def test_fuzzy_passages_of_the_least_identity_are_found(spark, n, identity):
     assert sum(2 * k + 1 in got for k in range(100)) >= 97 and 201 in got
 
 
+def own(n, size=60):
+    return [hashlib.md5(f"{n} {k}".encode()).hexdigest()[:7] for k in range(size)]
+
+
+def test_a_passage_is_found_where_earlier_documents_hold_its_parts(spark):
+    passage = own("p", 56)
+    rows = [(1, own(1) + passage[:30] + own(2)), (2, own(3) + passage[26:] + own(4)), (3, own(5) + passage + own(6)), (4, own(7) + passage + own(8))]
+    got = rows_of(fuzzy_passages(spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")))
+    assert [(r["doc_id"], r["source_id"], r["start_word"], r["end_word"]) for r in got] == [(4, 3, 60, 116)]
+
+
 # Quality rules
 
 
