@@ -240,6 +240,14 @@ def test_a_passage_is_found_where_earlier_documents_hold_its_parts(spark):
     assert [(r["doc_id"], r["source_id"], r["start_word"], r["end_word"]) for r in got] == [(4, 3, 60, 116)]
 
 
+def test_a_passage_is_found_where_its_lines_recur_in_another_order(spark):
+    lines = [own(f"line {k}", 20) for k in range(3)]
+    source = [*own(9), *lines[2], *own(10), *lines[1], *own(11), *lines[0], *own(12), *lines[0], *lines[1], *lines[2], *own(13)]
+    rows = [(5, source), (6, own(14) + lines[0] + lines[1] + lines[2] + own(15))]
+    got = rows_of(fuzzy_passages(spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")))
+    assert [(r["doc_id"], r["source_id"], r["start_word"], r["end_word"], r["source_start"]) for r in got] == [(6, 5, 60, 120, 300)]
+
+
 # Quality rules
 
 
