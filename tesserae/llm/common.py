@@ -1,4 +1,8 @@
-"""Helpers that the corpus operators share: tables, shared storage, skew-proof joins, exact top-k."""
+"""Helpers that the corpus operators share: tables, shared storage, exact top-k.
+
+Intermediate tables lie in one folder per application under the shared one. Operators delete those that nothing lazy
+reads any more; the others hold what a returned DataFrame still reads, and `drop_run` deletes them all once results are out.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +13,35 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word for near-duplicate work: a run of anything but white space, lower-cased.
-DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or a private one where that is unset (tests)."""
+    """The folder that every executor sees: spark.checkpoint.dir. Where that is unset, local mode makes its own and a cluster raises."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tesserae-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tesserae/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tesserae/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_run(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application. DataFrames that the operators returned cannot be read afterwards."""
+    delete_path(spark, run_dir(spark))
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -59,16 +71,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, key: str, salt: Column, salts: int = 16) -> DataFrame:
-    """Left join on `key` where `right` has each key once and `left` may hold one key in a third of its rows.
-
-    The right rows are repeated for every salt, so a hot key's rows spread over `salts` tasks.
-    """
-    l = left.withColumn("__salt", F.pmod(salt, F.lit(salts)).cast("int"))
-    r = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return l.join(r, [key, "__salt"], "left").drop("__salt")
-
-
 def kth_largest(df: DataFrame, key: str, k: int) -> tuple[int, int] | None:
     """(value of the k-th largest long in column `key`, how many rows equal to it belong to the top k); None if k < 1 or there are fewer rows.
 

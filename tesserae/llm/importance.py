@@ -1,7 +1,7 @@
 """Importance resampling: the ratio of hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 Unigrams and bigrams of lower-cased words fall into a fixed number of buckets. Bucket counts over all raw rows and over
-all target rows give two smoothed generative models; a text's weight is the sum of the log ratios of its n-grams. The
+the target rows give two smoothed generative models; a text's weight is the sum of the log ratios of its n-grams. The
 k texts with the largest weight plus Gumbel noise are a sample without replacement in proportion to the weights.
 """
 
@@ -14,9 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import kth_largest, materialize
+from tesserae.llm.common import drop_materialized, kth_largest, materialize
 
 BUCKETS = 10_000
+#: Target rows that the target's model is fitted on (about; drawn by a hash of their id). Their ids are sent to all tasks.
+TARGET_ROWS = 50_000
 SMOOTHING = 1.0
 _HASHED: dict[str, int] = {}
 
@@ -70,16 +72,25 @@ def gumbel(key: Column, seed: int) -> Column:
     return -F.log(-F.log(u))
 
 
-def resample(docs: DataFrame, target: DataFrame, share: float, seed: int = 0, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def resample(docs: DataFrame, target: DataFrame, share: float, seed: int = 0, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, target_rows: int = TARGET_ROWS) -> DataFrame:
     """One row per row of `docs`: doc_id, log_weight, sample_key, selected.
 
-    `target` holds the ids of target rows. round(share * rows) rows are selected: those with the largest keys, equal
-    keys by a hash of the id; rows equal in both (repeated rows) stand or fall together. Null and empty texts weigh 0.
-    Without target rows, or with nothing but target rows, all weights are nearly 0 and the sample is uniform.
+    `target` holds the ids of target rows; of more than `target_rows` ids about so many are drawn by a hash of the id for
+    the target's model (all of them, if there are fewer). The raw model counts every row. No text is shuffled.
+
+    round(share * rows) rows are selected: those with the largest keys, equal keys by a hash of the id; rows equal in
+    both (repeated rows) stand or fall together. Null and empty texts weigh 0. Rows without an id are raw rows. Without
+    target rows, or with nothing but target rows, all weights are nearly 0 and the sample is uniform.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    marked = target.select(F.col(doc_id).alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    ratio = log_ratios(rows.join(marked, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target")), buckets)
+    # Narrow ids are counted first, so that what is broadcast stays near target_rows whatever the table's size.
+    marked = materialize(target.select(F.col(doc_id).alias("__target")).where("__target IS NOT NULL").distinct(), "target-ids")
+    n = marked.count()
+    if n > target_rows:
+        marked = marked.where(F.pmod(F.xxhash64(F.col("__target").cast("string"), F.lit("target")), F.lit(1 << 40)) < int(target_rows / n * (1 << 40)))
+    both = rows.join(F.broadcast(marked), rows["doc_id"] == F.col("__target"), "left")
+    ratio = log_ratios(both.select("text", F.col("__target").isNotNull().alias("target")), buckets)
+    drop_materialized(marked)
 
     def weigh(batches):
         for b in batches:
