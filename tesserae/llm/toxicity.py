@@ -1,10 +1,11 @@
 """A counterfactual-regularised toxicity classifier.
 
 Texts are sets of hashed features of their words: the word, its beginnings of 3 to 6 letters and its 5-letter parts.
-Features that tell the labels apart are selected by a smoothed log-odds z-score from counts over the training rows;
-a logistic model is fitted on them. For every labelled sentence that names a group, counterfactual sentences swap the
-term for others of its class and for a neutral word, and the squared change of the logit is part of the loss. So a
-group's mention alone cannot move a score, whatever words surround it in the labelled rows.
+Features that tell the labels apart are selected by a smoothed log-odds z-score from counts over the training rows, and
+those of the group terms go with them; a logistic model is fitted on both. Counterfactual sentences swap a group term of
+a labelled sentence for the others of its class and for a neutral word, and the squared change of the logit is part of
+the loss. Since texts may name no group at all, a drawn sentence of every labelled row also gets a drawn term at a drawn
+place, which is then swapped likewise. So a group's mention alone cannot move a score, whatever words surround it.
 
 Only the text is an input of a score.
 """
@@ -25,18 +26,35 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import drop_materialized, materialize
 
-#: Group names by class, each with a neutral word first. Fixed values; pass your own as `identity_terms`.
+# Group names by language and class, each with a neutral word first. Pass your own as `identity_terms`.
 IDENTITY_TERMS = {
-    "religion": ("person", "muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic", "sikh"),
-    "gender": ("person", "woman", "man", "girl", "boy", "female", "male", "transgender"),
-    "orientation": ("person", "gay", "lesbian", "straight", "bisexual", "queer", "homosexual", "heterosexual"),
-    "origin": ("person", "african", "american", "arab", "asian", "black", "european", "immigrant", "indian", "latino", "mexican", "refugee", "white"),
-    "people": ("people", "muslims", "christians", "jews", "women", "men", "gays", "lesbians", "immigrants", "refugees", "blacks", "whites", "asians", "arabs"),
-    "ability": ("person", "blind", "deaf", "disabled", "autistic", "elderly", "old", "young"),
+    "en religion": ("person", "muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic", "sikh"),
+    "en gender": ("person", "woman", "man", "girl", "boy", "female", "male", "transgender"),
+    "en orientation": ("person", "gay", "lesbian", "straight", "bisexual", "queer", "homosexual", "heterosexual"),
+    "en origin": ("person", "african", "american", "arab", "asian", "black", "european", "immigrant", "indian", "latino", "mexican", "refugee", "white"),
+    "en people": ("people", "muslims", "christians", "jews", "women", "men", "gays", "lesbians", "immigrants", "refugees", "blacks", "whites", "asians", "arabs"),
+    "en ability": ("person", "blind", "deaf", "disabled", "autistic", "elderly", "old", "young"),
+    "fr religion": ("personne", "musulman", "musulmane", "chrétien", "chrétienne", "juif", "juive", "hindou", "bouddhiste", "athée", "catholique"),
+    "fr gender": ("personne", "femme", "homme", "fille", "garçon", "transgenre"),
+    "fr orientation": ("personne", "gay", "lesbienne", "bisexuel", "homosexuel", "hétérosexuel"),
+    "fr origin": ("personne", "africain", "américain", "arabe", "asiatique", "noir", "blanc", "européen", "immigré", "indien", "réfugié"),
+    "fr ability": ("personne", "aveugle", "sourd", "handicapé", "autiste", "vieux", "jeune"),
+    "de religion": ("person", "muslim", "muslimin", "christ", "christin", "jude", "jüdin", "hindu", "buddhist", "atheist", "katholik"),
+    "de gender": ("person", "frau", "mann", "mädchen", "junge", "transgender"),
+    "de orientation": ("person", "schwul", "lesbisch", "bisexuell", "homosexuell", "heterosexuell"),
+    "de origin": ("person", "afrikaner", "amerikaner", "araber", "asiate", "schwarzer", "weißer", "europäer", "einwanderer", "inder", "flüchtling"),
+    "de ability": ("person", "blind", "taub", "behindert", "autistisch", "alt", "jung"),
+    "es religion": ("persona", "musulmán", "musulmana", "cristiano", "cristiana", "judío", "judía", "hindú", "budista", "ateo", "católico"),
+    "es gender": ("persona", "mujer", "hombre", "chica", "chico", "transgénero"),
+    "es orientation": ("persona", "gay", "lesbiana", "bisexual", "homosexual", "heterosexual"),
+    "es origin": ("persona", "africano", "americano", "árabe", "asiático", "negro", "blanco", "europeo", "inmigrante", "indio", "refugiado"),
+    "es ability": ("persona", "ciego", "sordo", "discapacitado", "autista", "viejo", "joven"),
 }
 BUCKETS = 1 << 20
 #: Documents that training reads at most (about; rows are chosen by a hash of their id) and features that it keeps.
 TRAIN_ROWS, MAX_FEATURES = 20_000, 4096
+#: Counterfactuals of a row that the fit reads at most; of more, those with the smallest hashes.
+SWAPS_PER_ROW = 32
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
 THRESHOLD = 0.3
@@ -63,17 +81,25 @@ def text_features(text: str, cache: dict[str, frozenset[int]]) -> set[int]:
     return out
 
 
-def counterfactuals(text: str, classes: dict[str, tuple[str, ...]]) -> list[tuple[str, str]]:
-    """(sentence, swapped sentence) for every group term in every sentence and every other term of its class."""
-    where = {t: k for k, terms in classes.items() for t in terms[1:]}
-    out = []
-    for sentence in SENTENCE.split(text.lower()):
-        words = set(WORD.findall(sentence))
-        for term in words & where.keys():
-            for other in classes[where[term]]:
-                if other != term:
-                    out.append((sentence, re.sub(rf"(?<![^\W\d_]){term}(?![^\W\d_])", other, sentence)))
-    return out
+def counterfactuals(text: str, classes: dict[str, tuple[str, ...]]) -> set[tuple[str, str]]:
+    """(sentence, swapped sentence) for every group term in every sentence and every other term of each of its classes.
+
+    One drawn sentence also gets a drawn term between two drawn words, and that one swapped; draws follow from the text.
+    """
+    where: dict[str, set[str]] = {}
+    for k, terms in classes.items():
+        for t in terms[1:]:
+            where.setdefault(t, set()).add(k)
+    sentences = SENTENCE.split(text.lower())
+    named = [(s, t, k) for s in sentences for t in set(WORD.findall(s)) & where.keys() for k in where[t]]
+    if where:
+        h = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+        words = sentences[h % len(sentences)].split()
+        kind = sorted(k for k, terms in classes.items() if terms[1:])[h // 7 % sum(bool(t[1:]) for t in classes.values())]
+        term = classes[kind][1:][h // 1009 % len(classes[kind][1:])]
+        at = h // 31 % (len(words) + 1)
+        named.append((" ".join([*words[:at], term, *words[at:]]), term, kind))
+    return {(s, re.sub(rf"(?<![^\W\d_]){t}(?![^\W\d_])", other, s)) for s, t, k in named for other in classes[k] if other != t}
 
 
 @dataclass(frozen=True)
@@ -122,32 +148,40 @@ def _count_features(batches):
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(counts[0][own], pa.int64()), pa.array(counts[1][own], pa.int64())], ["f", "n0", "n1"])
 
 
-def _selected_rows(chosen: dict[int, int], classes: dict[str, tuple[str, ...]], per_row: int = 32):
-    """Rows of the fit: label and selected features of a text, and label -1 with both sides of each counterfactual."""
+def _selected_rows(chosen: dict[int, int], classes: dict[str, tuple[str, ...]], swaps_per_row: int):
+    """Rows of the fit: label and selected features of a text, and label -1 with what each side of a counterfactual has alone."""
     kind = pa.list_(pa.int32())
 
     def rows(batches):
         cache: dict[str, frozenset[int]] = {}
-        pick = lambda text: sorted(chosen[f] for f in text_features(text, cache) if f in chosen)
+        pick = lambda text: {chosen[f] for f in text_features(text, cache) if f in chosen}
         for b in batches:
             ys, own, swapped = [], [], []
             for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
                 ys.append(y)
-                own.append(pick(text or ""))
+                own.append(sorted(pick(text or "")))
                 swapped.append([])
-                made = {(tuple(pick(s)), tuple(pick(c))) for s, c in counterfactuals(text or "", classes)}
-                for a, c in sorted(x for x in made if x[0] != x[1])[:per_row]:
-                    ys.append(-1)
-                    own.append(list(a))
-                    swapped.append(list(c))
+                made = counterfactuals(text or "", classes)
+                if len(made) > swaps_per_row:
+                    made = sorted(made, key=lambda p: zlib.crc32("\n".join(p).encode("utf-8", "surrogatepass")))[:swaps_per_row]
+                for s, c in made:
+                    a, c = pick(s), pick(c)
+                    if a != c:
+                        ys.append(-1)
+                        own.append(sorted(a - c))
+                        swapped.append(sorted(c - a))
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(own, kind), pa.array(swapped, kind)], ["y", "own", "swapped"])
 
     return rows
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS, max_features: int = MAX_FEATURES, penalty: float = 1.0, ridge: float = 1e-3, steps: int = 300, identity_terms: dict[str, tuple[str, ...]] | None = None) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS, max_features: int = MAX_FEATURES, penalty: float = 1.0, ridge: float = 1e-3, steps: int = 300, swaps_per_row: int = SWAPS_PER_ROW, identity_terms: dict[str, tuple[str, ...]] | None = None) -> ToxicityModel:
     """Fit on about `train_rows` labelled rows that are not held out, chosen by the hash of their id.
 
+    These bounds hold for the fit alone: `train_rows` labelled rows, `swaps_per_row` counterfactuals of each, and
+    `max_features` features besides those of `identity_terms`. Counterfactuals that change the same features are one
+    with a weight, so what reaches the driver is bounded by the three.
+
     Rows whose label is not 0 or 1, or without an id, teach nothing; repeated rows count as often as they occur. With
     one label only (or none) the model has no features and its score is the smoothed share of label 1.
     """
@@ -169,10 +203,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     spread = F.sqrt(1 / (F.col("b") + 0.5) + 1 / (F.col("a") + 0.5))
     z = F.abs(odds / spread)
     best = counts.where(F.col("a") + F.col("b") >= 3).select("f", z.alias("z")).where("z > 3").orderBy(F.desc("z"), "f").limit(max_features)
-    features = sorted(r[0] for r in best.collect())
+    named = {f for terms in classes.values() for t in terms for f in word_features(t)}
+    features = sorted({r[0] for r in best.collect()} | named)
     chosen = {f: k for k, f in enumerate(features)}
-    got = rows.mapInArrow(_selected_rows(chosen, classes), "y int, own array<int>, swapped array<int>")
-    # Equal rows meet as one with a weight: what reaches the driver is bounded by train_rows short arrays.
+    got = rows.mapInArrow(_selected_rows(chosen, classes, swaps_per_row), "y int, own array<int>, swapped array<int>")
+    # Equal rows meet as one with a weight.
     got = got.groupBy("y", "own", "swapped").agg(F.count("*").alias("n")).orderBy("y", "own", "swapped").collect()
     weights, bias = _descend(got, len(features), prior, penalty, ridge, steps)
     drop_materialized(rows)
