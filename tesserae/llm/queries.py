@@ -66,13 +66,13 @@ def op8_decision_list_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_minhash_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.ngram_join import ngram_jaccard_join
 
-    return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=5, threshold=0.8).select("doc_id", "class_id", "n_links")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.decontamination import decontaminate
 
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "text_hash")
 
 
 QUERIES = {f.__name__: f for f in (
