@@ -2,9 +2,16 @@
 
 Texts with equal n-gram sets form a class; one representative each goes on. Bands and rows are chosen for a target
 recall at the threshold. Representatives meet where a band's hash is equal; buckets with the same members are one.
-Buckets are cut into blocks of bounded size and every pair of blocks is one group, in which all pairs are verified on
-their full n-gram sets. A pair counts in one of its buckets only. A group returns a row per member, not per pair: the
-links it adds and the smallest member they connect it to; so the rows stay linear in the members, however many pairs link.
+
+Members of a bucket too large for one block are first compared with one pivot, on full sets. Jaccard distance is a
+metric, so members within half the allowed distance of a pivot (its core) all link with each other: they are counted
+without meeting. What is left is cut into blocks of bounded size and every pair of blocks, but for those of one core,
+is a group, in which all pairs are verified on their full n-gram sets. A pair counts in one of its buckets only. A
+group returns a row per member, not per pair: the links it adds and the smallest member they connect it to; so the rows
+stay linear in the members, however many pairs link.
+
+Documents are known by their id and a hash of their text, so rows of one id with different texts, and rows without an
+id, take part each on its own.
 """
 
 from __future__ import annotations
@@ -16,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tesserae.llm.common import drop_materialized, materialize, shuffle_width
 from tesserae.llm.graph import connected_components
@@ -23,6 +31,8 @@ from tesserae.llm.words import run_hashes, word_hashes
 
 #: A block holds about so many members and n-grams at most, so a group of two fits in a few tens of MB.
 BLOCK_MEMBERS, BLOCK_NGRAMS = 256, 500_000
+#: Members that one copy of a pivot's set serves, and members that make a core worth blocks of its own.
+PIVOT_MEMBERS, CORE_MEMBERS = 4096, 64
 
 
 def ngram_hashes(text: str | None, n: int = 5) -> np.ndarray:
@@ -66,7 +76,7 @@ def _signer(n: int, bands: int, rows: int, seed: int):
                 count.append(len(h))
                 digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                 bits.append(signature(h) if len(h) else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "h", "n", "digest", "bands"])
 
     return sign
 
@@ -75,11 +85,32 @@ def _set_maker(n: int):
     def make(batches):
         for b in batches:
             sets = [ngram_hashes(t.as_py(), n).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("size"), b.column("buckets"), pa.array(sets, pa.binary())], ["rep", "size", "buckets", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(sets, pa.binary())], ["rep", "grams"])
 
     return make
 
 
+def _near_pivot(threshold: float):
+    """(rep, pivot) of the members within half the allowed distance of the pivot whose row leads their block."""
+
+    def near(batches):
+        pivot = None
+        for b in batches:
+            found = [], []
+            for kind, key, rep, grams in zip(*(b.column(c).to_pylist() for c in ("kind", "pivot", "rep", "grams")), strict=True):
+                own = np.frombuffer(grams, np.uint64)
+                if kind == 0:
+                    pivot = own
+                    continue
+                both = np.intersect1d(own, pivot, assume_unique=True).size
+                if 2 * both >= (1 + threshold) * (len(own) + len(pivot) - both):
+                    found[0].append(rep)
+                    found[1].append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["rep", "core"])
+
+    return near
+
+
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """How many n-grams each two of the sets share."""
     m = len(sets)
@@ -122,6 +153,8 @@ def _verifier(threshold: float):
             side = np.array([x["block"] for x in members])
             mine &= side[:, None] != side[None, :]
         np.fill_diagonal(mine, False)
+        core = np.array([-1 if x["core"] is None else x["core"] for x in members])
+        mine &= (core[:, None] != core[None, :]) | (core < 0)[:, None]  # pairs of one core are counted already
         if not mine.any():
             return []
         sets = [np.frombuffer(x["grams"], np.uint64) for x in members]
@@ -164,55 +197,116 @@ def _verifier(threshold: float):
     return verify
 
 
+def _cores(big: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(rep, core) of the members of large buckets that lie close to a bucket's pivot, its smallest member."""
+    pivots = materialize(big.groupBy("bucket").agg(F.min("rep").alias("pivot")), "pivots")
+    pairs = materialize(big.select("bucket", "rep").join(pivots, "bucket").select("pivot", "rep").distinct(), "pivot-members")
+    copies = materialize(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PIVOT_MEMBERS).cast("int").alias("copies")), "pivot-copies")
+    cells = pairs.join(copies, "pivot").select("pivot", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int").alias("copy"), "rep", F.lit(1).alias("kind"))
+    leads = copies.select("pivot", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("pivot").alias("rep"), F.lit(0).alias("kind"))
+    rows = cells.unionByName(leads).hint("merge").join(sets, "rep").select("pivot", "copy", "kind", "rep", "grams")
+    rows = rows.repartition(shuffle_width(big.sparkSession), "pivot", "copy").sortWithinPartitions("pivot", "copy", "kind")
+    near = rows.mapInArrow(_near_pivot(threshold), "rep long, core long").groupBy("rep").agg(F.min("core").alias("core"))
+    out = materialize(near, "cores")
+    drop_materialized(pivots, pairs, copies)
+    return out
+
+
+def _block_cells(inside: DataFrame, cores: DataFrame) -> DataFrame:
+    """(bucket, left, right, block, rep) of the members of large buckets for every pair of blocks that is to be verified."""
+    tagged = inside.drop("parts").join(cores.hint("merge"), "rep", "left")
+    weight = tagged.groupBy("bucket", "core").agg(F.count("*").alias("c"), F.sum("n").alias("g"))
+    # Small cores share blocks with what has none; pairs inside them are left out when pairs are verified.
+    weight = weight.withColumn("group", F.when(F.col("c") >= CORE_MEMBERS, F.col("core")))
+    groups = weight.groupBy("bucket", "group").agg(F.ceil(F.greatest(F.sum("c") / BLOCK_MEMBERS, F.sum("g") / BLOCK_NGRAMS)).cast("int").alias("parts"))
+    upto = F.sum("parts").over(Window.partitionBy("bucket").orderBy("group"))
+    groups = groups.withColumns({"from": (upto - F.col("parts")).cast("int"), "total": F.sum("parts").over(Window.partitionBy("bucket")).cast("int")})
+    where = materialize(weight.select("bucket", "core", "group").join(groups.withColumnsRenamed({"bucket": "b", "group": "g"}), (F.col("bucket") == F.col("b")) & F.col("group").eqNullSafe(F.col("g"))).drop("b", "g"), "bucket-blocks")
+    where = where.withColumnsRenamed({"bucket": "b", "core": "of"})
+    cells = tagged.join(where.hint("merge"), (F.col("bucket") == F.col("b")) & F.col("core").eqNullSafe(F.col("of")))
+    cells = cells.withColumn("block", F.col("from") + F.pmod(F.xxhash64("rep", "bucket"), F.col("parts")).cast("int"))
+    apart = lambda o: F.col("group").isNull() | (o < F.col("from")) | (o >= F.col("from") + F.col("parts"))
+    cells = cells.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("total") - 1), apart)))
+    return cells.select("bucket", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "rep")
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, target_recall: float = 0.9995, seed: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, class_id, n_links.
+    """One row per row of `docs`: doc_id, class_id, n_links, text_hash, kept_hash.
 
     Two rows link if the Jaccard similarity of their n-gram sets is at least `threshold` (equal sets always do);
-    class_id is the smallest id that links reach, n_links the number of rows a row links to. Rows without words link to
-    nothing and are their own class, as are rows without an id (class_id null). Rows of one id are one document.
-    Integer ids only; other columns are not read.
+    class_id is the smallest id that links reach (null where they reach no id), n_links the number of rows a row links
+    to, other rows of its own id included. Rows without words link to nothing and are their own class. kept_hash is the
+    text_hash of the row of class_id that stands for the class. Ids of any type that has an order; other columns are not read.
     """
     spark = docs.sparkSession
     bands, rows = choose_bands(threshold, target_recall)
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = plain.where("doc_id IS NOT NULL").mapInArrow(_signer(n, bands, rows, seed), "doc_id long, n long, digest binary, bands array<long>")
-    signed = materialize(signed, "signatures")
-    classes = materialize(signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "ngram-classes")
-    # Representatives and candidates grow with the input, so these joins are merges at every size: no broadcast that
-    # fits a small table only.
-    reps = signed.join(classes.hint("merge"), (signed["digest"] == classes["digest"]) & (signed["doc_id"] == classes["rep"])).select("rep", "size", "n", "bands").dropDuplicates(["rep"])
-    spots = reps.select("rep", "n", F.posexplode("bands").alias("band", "hash"))
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
+    kind = plain.schema["doc_id"].dataType.simpleString()
+    signed = materialize(plain.mapInArrow(_signer(n, bands, rows, seed), f"doc_id {kind}, h long, n long, digest binary, bands array<long>"), "signatures")
+    # A class's number is drawn once and written, so it never changes; ids come in again at the end.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("f")
+    classes = signed.where("n > 0").groupBy("digest").agg(first, F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "ngram-classes")
+    spots = classes.select("rep", "n", F.posexplode("bands").alias("band", "hash"))
     # A bucket's identity is its membership: equal buckets of several bands are one. A bucket is a few hashes and
     # counts here, pre-aggregated before the shuffle.
     mixed = (F.xxhash64("rep"), F.xxhash64("rep", F.lit(7)))
     buckets = spots.groupBy("band", "hash").agg(
         F.count("*").alias("m"), F.sum("n").alias("grams"), F.xxhash64(F.count("*"), F.bit_xor(mixed[0]), F.bit_xor(mixed[1]), F.min("rep"), F.max("rep")).alias("bucket")
     ).where("m > 1")
-    buckets = materialize(buckets, "buckets")
-    inside = materialize(spots.select("rep", "band", "hash").join(buckets, ["band", "hash"]).select("bucket", "m", "grams", "rep").distinct(), "bucket-members")
-    mine = inside.groupBy("rep").agg(F.collect_set("bucket").alias("buckets"))  # at most `bands` of them
-    mine = mine.join(classes.groupBy("rep").agg(F.sum("size").alias("size")), "rep")
-    sets = plain.join(mine.hint("merge"), plain["doc_id"] == mine["rep"]).select("rep", "size", "buckets", "text")
-    sets = sets.mapInArrow(_set_maker(n), "rep long, size long, buckets array<long>, grams binary")
     parts = F.ceil(F.greatest(F.col("m") / BLOCK_MEMBERS, F.col("grams") / BLOCK_NGRAMS)).cast("int")
-    cells = inside.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), F.col("parts")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select("bucket", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "rep")
-    groups = cells.hint("merge").join(sets, "rep").repartition(shuffle_width(spark), "bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "rep")
-    groups = groups.select("bucket", "left", "right", "block", "rep", "size", "buckets", "grams")
-    found = materialize(groups.mapInArrow(_verifier(threshold), "rep long, links long, root long"), "verified")
+    buckets = materialize(buckets.select("band", "hash", "bucket", parts.alias("parts")), "buckets")
+    # Candidates grow with the input, so these joins are merges at every size: no broadcast that fits a small table only.
+    inside = materialize(spots.join(buckets.hint("merge"), ["band", "hash"]).select("bucket", "parts", "rep", "n").distinct(), "bucket-members")
+    mine = inside.groupBy("rep").agg(F.collect_set("bucket").alias("buckets"))  # at most `bands` of them
+    mine = materialize(mine.join(classes.hint("merge"), "rep").select("rep", "size", "buckets", F.col("f.doc_id").alias("first_id"), F.col("f.h").alias("first_h")), "candidates")
+    sets = plain.join(mine.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))).select("rep", "text")
+    sets = sets.mapInArrow(_set_maker(n), "rep long, grams binary").dropDuplicates(["rep"])  # repeated rows
+    small = inside.where("parts = 1").select("bucket", F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(0).alias("block"), "rep")
+    large = inside.where("parts > 1")
+    made = [buckets, inside, mine]
+    if large.isEmpty():
+        cells, told, in_cores = small, mine.withColumn("core", F.lit(None).cast("long")), None
+    else:
+        sets = materialize(sets, "ngram-sets")
+        cores = _cores(large, sets, threshold)
+        cells, told = small.unionByName(_block_cells(large, cores)), mine.join(cores.hint("merge"), "rep", "left")
+        whole = cores.join(mine.select("rep", "size"), "rep")
+        total = materialize(whole.groupBy("core").agg(F.sum("size").alias("total")), "core-sizes")
+        in_cores = whole.join(total, "core").select("rep", (F.col("total") - F.col("size")).alias("links"), F.col("core").alias("root"))
+        made += [sets, cores, total]
+    told = sets.join(told.select("rep", "size", "buckets", "core").hint("merge"), "rep")
+    groups = cells.hint("merge").join(told, "rep").repartition(shuffle_width(spark), "bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "rep")
+    groups = groups.select("bucket", "left", "right", "block", "rep", "size", "buckets", "core", "grams")
+    found = groups.mapInArrow(_verifier(threshold), "rep long, links long, root long")
+    found = materialize(found if in_cores is None else found.unionByName(in_cores), "verified")
+    drop_materialized(*made)
     roots = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     linked = links.join(roots, links["rep"] == roots["node"], "left").select("rep", "links", "root")
-    known = materialize(classes.join(linked, "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "class-links")
-    drop_materialized(buckets, inside)
-    out = signed.select("doc_id", "digest").join(known, "digest", "left")
-    out = out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
-    nobody = plain.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(nobody)
-
-
-def keep_one_per_class(docs: DataFrame, joined: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of `docs`, with all columns, that are not duplicates: a class keeps its smallest id. Rows without an id stay."""
-    extra = joined.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__extra")).distinct()
-    return docs.join(extra.hint("merge"), docs[doc_id] == F.col("__extra"), "left_anti")
+    numbered = classes.select("rep", "digest", "f", "size").join(linked.hint("merge"), "rep", "left")
+    numbered = materialize(numbered.select("digest", "f", F.coalesce("root", "rep").alias("root"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "class-links")
+    leads = materialize(numbered.groupBy("root").agg(F.min("f").alias("lead")), "class-leads")
+    known = materialize(numbered.join(leads, "root").select("digest", "links", F.col("lead.doc_id").alias("class_id"), F.col("lead.h").alias("kept_hash")), "class-rows")
+    drop_materialized(found, classes, numbered, leads)
+    # Rows without words have no digest and stay out of the join; a digest of many rows is a skewed key of a plain merge.
+    out = signed.where("digest IS NOT NULL").select("doc_id", "h", "digest").join(known.hint("merge"), "digest")
+    out = out.select("doc_id", "class_id", F.col("links").alias("n_links"), F.col("h").alias("text_hash"), "kept_hash")
+    wordless = signed.where("digest IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("h").alias("text_hash"), F.col("h").alias("kept_hash"))
+    return out.unionByName(wordless)
+
+
+def keep_one_per_class(docs: DataFrame, joined: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs`, with all columns, that are not duplicates: a class keeps one row, of its smallest id.
+
+    Repeated rows, of one id and one text, stand or fall together. Of rows without an id that have equal texts one stays,
+    if their class holds no id; rows without words stay.
+    """
+    other = ~(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("kept_hash")))
+    extra = joined.where(other).select(F.col("doc_id").alias("__extra"), F.col("text_hash").alias("__h")).distinct()
+    h, id_ = F.xxhash64(docs[text]), docs[doc_id]
+    known = docs.where(id_.isNotNull()).join(extra.where("__extra IS NOT NULL").hint("merge"), (id_ == F.col("__extra")) & (h == F.col("__h")), "left_anti")
+    nameless = docs.where(id_.isNull()).join(extra.where("__extra IS NULL").hint("merge"), h == F.col("__h"), "left_anti")
+    blank = F.coalesce(F.trim(F.regexp_replace(F.col(text), r"\s", "")) == "", F.lit(True))
+    one = nameless.where(~blank).withColumn("__h", F.xxhash64(F.col(text))).dropDuplicates(["__h"]).drop("__h")
+    return known.unionByName(one).unionByName(nameless.where(blank))
