@@ -3,26 +3,29 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tesserae.llm import queries as q
+from tesserae.llm import chaining, ngram_join
 from tesserae.llm.chaining import chains, fuzzy_passages
 from tesserae.llm.common import kth_largest, table
 from tesserae.llm.decontamination import decontaminate, keep_clean
-from tesserae.llm.importance import resample
+from tesserae.llm.importance import BUCKETS, ngram_buckets, resample
 from tesserae.llm.ngram_join import choose_bands, keep_one_per_class, ngram_jaccard_join
 from tesserae.llm.quality_rules import RuleList, apply_rules, text_statistics
 from tesserae.llm.token_blocks import token_table
 from tesserae.llm.token_counts import CACHE_SCHEMA, count_tokens
-from tesserae.llm.toxicity import ToxicityModel, counterfactuals, drop_toxic, fit, score
+from tesserae.llm.toxicity import IDENTITY_TERMS, WORD, ToxicityModel, counterfactuals, drop_toxic, fit, held_out, score
 
 #: Null, empty, blank, long, repeated rows, a null id, and columns whose names the operators use themselves.
 ODD = [
@@ -75,6 +78,34 @@ def test_resampling_takes_the_largest_keys(spark, sf_dir, docs):
     assert min(r["sample_key"] for r in got if r["selected"]) >= max(r["sample_key"] for r in got if not r["selected"]) - 1e-5
 
 
+def test_resampling_weights_equal_a_brute_force(spark, sf_dir, texts):
+    target = {r["doc_id"] for r in table(spark, sf_dir, "labels").where("quality = 1").collect()} & texts.keys()
+    raw, like = Counter(), Counter()
+    for k, t in texts.items():
+        own = Counter(ngram_buckets(t).tolist())
+        raw += own
+        if k in target:
+            like += own
+    share = lambda c, b: math.log((c[b] + 1) / (sum(c.values()) + BUCKETS))
+    ratio = [share(like, b) - share(raw, b) for b in range(BUCKETS)]
+    rows = rows_of(q.op1_importance_resampling(spark, sf_dir))
+    for r in rows:
+        assert r["log_weight"] == pytest.approx(sum(ratio[b] for b in ngram_buckets(texts[r["doc_id"]])), abs=1e-6)
+    best = sorted(rows, key=lambda r: -r["sample_key"])[: round(0.85 * len(rows))]
+    assert {r["doc_id"] for r in best} == {r["doc_id"] for r in rows if r["selected"]}
+
+
+def test_resampling_draws_the_target_rows(spark, docs):
+    weights = lambda n: {r["doc_id"]: r["log_weight"] for r in rows_of(resample(docs, docs.select("doc_id"), 0.5, target_rows=n))}
+    assert max(map(abs, weights(50_000).values())) < 1e-6 < max(map(abs, weights(20).values()))
+
+
+def test_resampling_splits_ties_by_a_hash(spark):
+    docs = spark.createDataFrame([(7, "same text")] * 6 + [(8, "same text")], "doc_id long, text string")
+    got = rows_of(resample(docs, docs.select("doc_id"), share=0.5))
+    assert len({r["selected"] for r in got if r["doc_id"] == 7}) == 1 and any(r["selected"] for r in got)
+
+
 def test_resampling_prefers_what_is_like_the_target(spark):
     rows = [(k, "alpha beta gamma " * 5 if k % 2 else "delta epsilon zeta " * 5) for k in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -119,7 +150,36 @@ def test_a_group_name_alone_does_not_make_a_text_toxic(spark):
 
 def test_counterfactuals_swap_inside_the_class_only():
     pairs = counterfactuals("A woman spoke. Nothing else!", {"g": ("person", "woman", "man")})
-    assert sorted(pairs) == [("a woman spoke", "a man spoke"), ("a woman spoke", "a person spoke")]
+    assert pairs >= {("a woman spoke", "a man spoke"), ("a woman spoke", "a person spoke")}
+    drawn = pairs - {("a woman spoke", "a man spoke"), ("a woman spoke", "a person spoke")}
+    assert len(drawn) == 2 and len({a for a, _ in drawn}) == 1  # a term put in at a drawn place, and swapped
+    assert counterfactuals("", {"g": ("person", "woman")}) == {("woman", "person")} and counterfactuals("a woman", {"g": ("person",)}) == set()
+
+
+def test_naming_a_group_does_not_make_clean_held_out_texts_toxic(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    clean = [r["text"] for r in docs.join(labels.where("toxic = 0"), "doc_id").where(held_out(F.col("doc_id"))).select("text").collect() if r["text"]][:80]
+    terms = sorted({t for group in IDENTITY_TERMS.values() for t in group[1:]})
+    assert not any(t in WORD.findall(c.lower()) for c in clean for t in terms[:3]) and len(clean) > 50
+
+    def false_positives(model):
+        of = model.scorer()
+        plain = of(clean)
+        named = np.array([of([f"{t} {c}" for c in clean]) for t in terms])
+        return (plain >= 0.3).mean(), (named >= 0.3).mean(), np.abs(named - plain).max()
+
+    # The registered query's own model; then labels that blame one group, with and without the penalty.
+    plain, named, moved = false_positives(fit(docs, labels))
+    assert named <= plain + 0.01 and moved < 0.2
+    blamed = docs.join(labels.where("toxic IN (0, 1)"), "doc_id").select("doc_id", F.when(F.col("toxic") == 1, F.concat(F.lit("muslim "), "text")).otherwise(F.col("text")).alias("text"))
+
+    def moved_by_name(penalty):
+        of = fit(blamed, labels, penalty=penalty).scorer()
+        logit = lambda texts: np.log(of(texts) / (1 - of(texts)))
+        return np.abs(logit([f"muslim {c}" for c in clean]) - logit([f"person {c}" for c in clean])).mean()
+
+    assert moved_by_name(10.0) < 0.5 * moved_by_name(0.0)
 
 
 def test_toxicity_of_odd_rows(spark, odd, none):
@@ -229,6 +289,89 @@ def test_fuzzy_passages_of_the_least_identity_are_found(spark, n, identity):
     assert sum(2 * k + 1 in got for k in range(100)) >= 97 and 201 in got
 
 
+@pytest.mark.parametrize("table_bits", [1 << 27, 64])
+def test_alignment_is_a_longest_common_subsequence(monkeypatch, table_bits):
+    monkeypatch.setattr(chaining, "TABLE_BITS", table_bits)
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        return row[-1]
+
+    for seed in range(150):
+        rng = random.Random(seed)
+        a, b = ([rng.randrange(rng.choice([2, 5, 50])) for _ in range(rng.randrange(40))] for _ in "ab")
+        runs = chaining.common_runs(a, b)
+        assert len(runs) == longest(a, b) and all(a[i] == b[j] for i, j in runs)
+        assert all(p[0] < r[0] and p[1] < r[1] for p, r in zip(runs, runs[1:]))
+
+
+@pytest.mark.parametrize("gap", [300, 390, 400, 500, 1500])
+def test_gaps_of_any_length_are_aligned(spark, gap):
+    # One word put in, every seventh word of the gap changed: as many words match whatever the gap's length.
+    lead, middle, tail = own("lead", 1500), own("middle", gap), own("tail", 1500)
+    changed = ["put-in", *(f"x{k}" if k % 7 == 0 else w for k, w in enumerate(middle))]
+    docs = spark.createDataFrame([(1, " ".join(lead + middle + tail)), (2, " ".join(lead + changed + tail))], "doc_id long, text string")
+    got = rows_of(fuzzy_passages(docs))
+    assert [(r["doc_id"], r["start_word"], r["end_word"], r["n_matched"]) for r in got] == [(2, 0, 3001 + gap, 3000 + gap - -(-gap // 7))]
+
+
+def test_texts_of_one_id_are_apart(spark):
+    passage = own("shared", 60)
+    rows = [(1, own("a") + passage), (2, own("b", 10) + passage), (2, own("c", 120) + passage), (2, own("c", 120) + passage), (1, passage + own("d"))]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    got = rows_of(fuzzy_passages(docs))
+    assert Counter((r["doc_id"], r["start_word"], r["end_word"], r["source_id"]) for r in got) == Counter([(2, 10, 70, 1), (2, 120, 180, 1)])
+    assert len({r["part"] for r in got}) == 2
+
+
+def aligned_passages(texts, size=50, least=0.8):
+    """Ids of documents with a window of `size` words that matches an earlier document that well: every pair, by alignment."""
+    words = {k: (t or "").lower().split() for k, t in texts.items()}
+    found = set()
+    for b in sorted(words):
+        mine = set(words[b])
+        for a in sorted(words):
+            if a >= b:
+                break
+            if len(mine & set(words[a])) < least * size * 0.5:
+                continue
+            hit = np.zeros(len(words[b]) + 1, int)
+            for i, _ in chaining.common_runs(words[b], words[a]):
+                hit[i + 1] = 1
+            total = np.cumsum(hit)
+            if len(total) > size and (total[size:] - total[:-size]).max() >= least * size:
+                found.add(b)
+                break
+    return found
+
+
+def test_the_query_finds_what_all_pairs_do(spark, sf_dir, texts):
+    # Exact repeats of 50 words, by brute force: none may be missed. The query may find more, since it allows edits.
+    seen, repeats = {}, set()
+    for k in sorted(texts):
+        w = (texts[k] or "").lower().split()
+        for i in range(len(w) - 49):
+            first = seen.setdefault(tuple(w[i : i + 50]), k)
+            if first != k:
+                repeats.add(k)
+    rows = rows_of(q.op6_collinear_chaining(spark, sf_dir))
+    got = {r["doc_id"] for r in rows}
+    assert repeats and repeats <= got
+    # What it reports beyond them holds against the two texts themselves.
+    for r in rows:
+        a, b = (texts[r[c]].lower().split()[r[x] : r[y]] for c, x, y in (("doc_id", "start_word", "end_word"), ("source_id", "source_start", "source_end")))
+        assert len(chaining.common_runs(a, b)) >= r["n_matched"] >= 0.8 * max(len(a), len(b)) and min(len(a), len(b)) >= 40
+    # Fuzzy ones by aligning all pairs of a sample of short texts: those found are nearly all.
+    some = {k: t for k, t in texts.items() if len((t or "").split()) <= 400}
+    want = aligned_passages(some)
+    assert len(want & got) >= 0.9 * len(want)
+
+
 def own(n, size=60):
     return [hashlib.md5(f"{n} {k}".encode()).hexdigest()[:7] for k in range(size)]
 
@@ -319,7 +462,7 @@ def test_jaccard_join_equals_all_pairs(spark, sf_dir, texts, docs):
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows_of(joined)}
     want = classes_of(texts)
     assert got == want and any(n for _, n in want.values())
-    kept = keep_one_per_class(docs, joined)
+    kept = keep_one_per_class(docs, ngram_jaccard_join(docs))
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {c for c, _ in want.values()}
 
 
@@ -330,9 +473,56 @@ def test_jaccard_join_of_a_large_group_of_near_copies(spark):
     assert {r["class_id"] for r in got} == {0} and {r["n_links"] for r in got} == {749}
 
 
+def test_jaccard_join_of_large_groups_equals_all_pairs(spark, monkeypatch):
+    # Blocks and cores of a few members each: near copies at several distances, in and out of the core.
+    monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", 8)
+    monkeypatch.setattr(ngram_join, "CORE_MEMBERS", 4)
+    monkeypatch.setattr(ngram_join, "PIVOT_MEMBERS", 16)
+    rng, base = random.Random(4), [f"w{k}" for k in range(400)]
+    rows = {}
+    for k in range(150):
+        w = list(base)
+        for _ in range(k % 14):
+            w[rng.randrange(400)] = f"x{rng.random()}"
+        rows[k] = " ".join(w)
+    rows |= {1000 + k: " ".join([*base[:60], f"end{k}"]) for k in range(30)}
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows_of(ngram_jaccard_join(spark.createDataFrame(list(rows.items()), "doc_id long, text string")))}
+    want = classes_of(rows)
+    assert got == want and len({n for _, n in want.values()}) > 10
+
+
+def test_near_copies_of_a_core_are_not_verified_in_pairs(spark, monkeypatch):
+    base = [f"w{k}" for k in range(200)]
+    docs = spark.createDataFrame([(k, " ".join([*base[:-1], f"end{k}"])) for k in range(3000)], "doc_id long, text string")
+    cells = []
+    monkeypatch.setattr(ngram_join, "_block_cells", lambda *a, f=ngram_join._block_cells: cells.append(f(*a).count()) or f(*a))
+    got = rows_of(ngram_jaccard_join(docs))
+    assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 2999)} and cells == [0]
+
+
+def test_jaccard_join_keeps_texts_of_one_id_apart(spark, docs):
+    a, b, c = ("alpha beta gamma delta " + " ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (None, c), (None, c), (None, c + " end"), (4, a), (None, "  "), (None, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class_id", F.lit("clash"))
+    joined = ngram_jaccard_join(docs)
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in rows_of(joined))
+    assert got == Counter([(1, 1, 2), (2, 1, 2), (4, 1, 2), (1, 1, 1), (3, 1, 1), *[(None, None, 2)] * 3, *[(None, None, 0)] * 2, (5, 5, 0)])
+    kept = keep_one_per_class(docs, joined)
+    left = Counter((r["doc_id"], r["text"]) for r in rows_of(kept))
+    end = [k for k in left if k[0] is None and k[1] and k[1].strip()]
+    assert kept.columns == docs.columns and len(end) == 1 and end[0][1].startswith(c)
+    assert left - Counter(end) == Counter([(1, a), (1, b), (None, "  "), (None, None), (5, "")])
+
+
+def test_jaccard_join_of_text_ids(spark):
+    rows = spark.createDataFrame([("b", "one two three four five six"), ("a", "one two three four five six"), ("c", "other")], "name string, body string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows_of(ngram_jaccard_join(rows, doc_id="name", text="body"))}
+    assert got == {"a": ("a", 1), "b": ("a", 1), "c": ("c", 0)}
+
+
 def test_jaccard_join_of_odd_rows(spark, odd, none):
     got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in rows_of(ngram_jaccard_join(odd)))
-    assert got == Counter([(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 0), (6, 6, 2), (7, 6, 2), (7, 6, 2), (None, None, 0), (8, 8, 0), (9, 9, 0)])
+    assert got == Counter([(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 0), (6, 6, 3), (7, 6, 3), (7, 6, 3), (None, 6, 3), (8, 8, 0), (9, 9, 0)])
     assert ngram_jaccard_join(none).count() == 0
 
 
@@ -382,9 +572,27 @@ def test_decontamination_of_short_items_and_odd_rows(spark, odd, none, most):
     items = {1: "Two, THREE", 2: "word", 3: None, 4: "?!", 5: "b c d e f g h i j k l m n o", 6: "a b c d e f g h i j k l m", 7: "one two three"}
     benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
     own = {k: words_of(t) for k, t in items.items()}
-    got = Counter((r["doc_id"], *(r[c] for c in FACTS)) for r in rows_of(decontaminate(odd, benchmark, max_broadcast_windows=most)) if r["doc_id"])
-    assert got == Counter((k, *contamination(t, own)) for k, t in ODD if k)
+    got = Counter((r["doc_id"], *(r[c] for c in FACTS)) for r in rows_of(decontaminate(odd, benchmark, max_broadcast_windows=most)))
+    assert got == Counter((k, *contamination(t, own)) for k, t in ODD)
     assert decontaminate(none, benchmark).count() == 0
     assert not any(r["contaminated"] for r in rows_of(decontaminate(odd, benchmark.limit(0))))
     kept = keep_clean(odd, benchmark)
-    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 3, None, 8, 9}
+    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 8, 9}
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_decontamination_judges_every_row_by_its_own_text(spark, most):
+    item = "a b c d e f g h i j k l m n o p"
+    rows = [(1, "four clean words here"), (1, item), (1, f"x {item} y"), (None, item), (None, "clean"), (2, "q w e r t z u i o p s d f g"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = {"i": words_of(item), None: words_of("q w e r t z u i o p s d f g")}
+    benchmark = spark.createDataFrame([("i", item), (None, "q w e r t z u i o p s d f g"), ("null", None)], "item_id string, text string")
+
+    def want(t):
+        n, hit, _, _, bad = contamination(t, items)
+        listed = ["i"] if contamination(t, {"i": items["i"]})[1] else []
+        return n, hit, len(listed), hashlib.sha256(",".join(listed).encode()).hexdigest(), bad
+
+    got = Counter((r["doc_id"], *(r[c] for c in FACTS)) for r in rows_of(decontaminate(docs, benchmark, max_broadcast_windows=most)))
+    assert got == Counter((k, *want(t)) for k, t in rows)
+    assert sorted(map(str, keep_clean(docs, benchmark, max_broadcast_windows=most).collect())) == sorted(str(r) for r in docs.collect() if not want(r["text"])[4])
