@@ -2,7 +2,8 @@
 
 A text's key is the SHA-256 of the tokenizer's version digest and the text's normalised content (runs of ASCII white
 space become one space, which the tokenizers that drop white space do themselves; others take the text as it is).
-Counts already stored are joined; only distinct texts that miss are encoded, and their counts are appended.
+Counts already stored are joined; only distinct texts that miss are encoded, and their counts are appended. Copies of a
+text collapse before the shuffle, so neither a hot text nor rows without an id meet in one task.
 """
 
 from __future__ import annotations
@@ -44,27 +45,23 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", cache: s
     """One row per row of `docs`: doc_id, n_bytes, n_tokens, over_limit, digest.
 
     `cache` is the path of a stored count table (made if it isn't there; a fresh one in the shared folder if None); it
-    grows by the distinct misses. Null texts count as empty: 0 bytes, 0 tokens. Repeated rows and null ids keep their rows.
+    grows by the distinct misses, each once, and takes one writer at a time. Null texts count as empty: 0 bytes, 0
+    tokens. Repeated rows and null ids keep their rows.
     """
     spark, path = docs.sparkSession, tokenizer_path(tokenizer)
     collapse = Encoder(path).mode == "words"
     version = tokenizer_version(path)
     at = cache or fresh_path(spark, "token-counts")
     keyed = docs.select(
-        F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("row"),
-        F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), normalised(F.col(text), collapse).alias("content"),
+        F.col(doc_id).alias("doc_id"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), normalised(F.col(text), collapse).alias("content"),
     ).withColumn("digest", F.sha2(F.concat(F.lit(version + "\n"), F.col("content")), 256))
-    # One representative per digest; pre-aggregated before the shuffle, so copies of one text meet as counts.
-    first = keyed.groupBy("digest").agg(F.min("row").alias("row"))
+    misses = keyed.groupBy("digest").agg(F.first("content").alias("content"))
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        first = first.join(spark.read.schema(CACHE_SCHEMA).parquet(at).select("digest"), "digest", "left_anti")
-    # Texts are dealt by digest and row, so the copies of one text spread, and all but one go.
-    misses = keyed.select("digest", "row", "content").join(first, ["digest", "row"], "left_semi")
-    counted = misses.select("digest", "content").mapInArrow(_counter(path), CACHE_SCHEMA)
-    counted.write.mode("append").parquet(at)
-    # Repeated rows of one id may have been encoded twice; a count is the same each time.
-    stored = spark.read.schema(CACHE_SCHEMA).parquet(at).dropDuplicates(["digest"])
-    return keyed.drop("content").join(stored, "digest", "left").select(
+        misses = misses.join(spark.read.schema(CACHE_SCHEMA).parquet(at).select("digest").hint("merge"), "digest", "left_anti")
+    misses.mapInArrow(_counter(path), CACHE_SCHEMA).write.mode("append").parquet(at)
+    # Each digest is stored once, so this is a plain merge of two scans, whose hot keys the adaptive plan splits.
+    stored = spark.read.schema(CACHE_SCHEMA).parquet(at)
+    return keyed.drop("content").join(stored.hint("merge"), "digest", "left").select(
         "doc_id", "n_bytes", F.col("tokens").alias("n_tokens"), (F.col("tokens") > limit).alias("over_limit"), "digest"
     )
