@@ -17,10 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import fresh_path
+from tesserae.llm.common import drop_materialized, fresh_path, materialize
 
 #: Skippable frame that holds the dictionary, and the magic of a data frame (fixed by the formats).
 DICT_FRAME, DATA_FRAME = 0x184D2A5D, 0xFD2FB528
+#: Bytes that a frame may decode to: what an archive claims is not trusted.
+MAX_RECORD_BYTES = 1 << 30
 ARCHIVE_BYTES, SAMPLE_BYTES, SAMPLE_RECORDS, DICT_BYTES = 32 << 20, 4 << 20, 400, 32 << 10
 DATE = "2025-01-01T00:00:00Z"
 TYPES = {"warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation"}
@@ -68,8 +70,8 @@ def make_archive(records: list[bytes]) -> bytes:
     return lead + b"".join(packer.compress(r) for r in records)
 
 
-def frames(data: bytes):
-    """(frame number, record bytes or None, error or None) of an archive; decoding stops at the first broken frame."""
+def frames(data: bytes, max_record_bytes: int = MAX_RECORD_BYTES):
+    """(frame number, record bytes or None, error or None) of an archive; decoding stops at the first broken or too large frame."""
     dictionary, at = None, 0
     if len(data) >= 8 and struct.unpack_from("<I", data)[0] == DICT_FRAME:
         size = struct.unpack_from("<I", data, 4)[0]
@@ -87,12 +89,15 @@ def frames(data: bytes):
         if magic & 0xFFFFFFF0 == 0x184D2A50:  # other skippable frames
             at += 8 + struct.unpack_from("<I", data, at + 4)[0]
             continue
-        one, out, fed = decoder.decompressobj(), [], at
+        one, out, fed, size = decoder.decompressobj(), [], at, 0
         try:
             while not one.eof and fed < len(data):
                 piece = view[fed : fed + 16384]
                 out.append(one.decompress(piece))
                 fed += len(piece)
+                size += len(out[-1])
+                if size > max_record_bytes:
+                    raise zstandard.ZstdError(f"the frame holds more than {max_record_bytes} bytes")
             if not one.eof:
                 raise zstandard.ZstdError("the frame is cut off")
         except zstandard.ZstdError as e:
@@ -171,29 +176,34 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", payloa
 
     Of rows with equal payloads of at least `min_payload` bytes the smallest id is the response, the others revisit it;
     rows without an id are responses; repeated rows of the smallest id are all responses. Equal payloads are found by
-    their SHA-1, counted before the shuffle; only groups of two or more reach the join.
+    their SHA-1 on rows of id and digest, so copies of one payload never meet as payloads: what each revisits comes to
+    the payloads by page.
     """
     body = F.coalesce(F.col(payload), F.lit(""))
     uri = F.col(url).cast("string") if url in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col(page_id).alias("page_id"), uri.alias("url"), body.alias("payload"), F.unhex(F.sha1(F.encode(body, "UTF-8"))).alias("digest"))
-    long = F.octet_length("payload") >= min_payload
-    groups = rows.where(long & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    linked = rows.join(groups, "digest", "left").select("page_id", "url", "payload", F.when(long & (F.col("page_id") > F.col("first")), F.col("first")).alias("refers_to"))
+    known = rows.where((F.octet_length("payload") >= min_payload) & F.col("page_id").isNotNull()).select("page_id", "digest")
+    groups = known.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    groups = materialize(groups, "payload-groups")
+    links = known.join(groups.hint("merge"), "digest").where("page_id > first").distinct()
+    links = links.select(F.col("page_id").alias("of"), F.col("digest").alias("of_digest"), F.col("first").alias("refers_to"))
+    linked = rows.join(links.hint("merge"), (F.col("page_id") == F.col("of")) & (F.col("digest") == F.col("of_digest")), "left").select("page_id", "url", "payload", "refers_to")
     linked.mapInArrow(_archive_writer, ARCHIVES).write.parquet(path)
+    drop_materialized(groups)
 
 
-def read_archives(archives: DataFrame, strict: bool = True) -> DataFrame:
+def read_archives(archives: DataFrame, strict: bool = True, max_record_bytes: int = MAX_RECORD_BYTES) -> DataFrame:
     """One row per record of archives (columns path, content): RECORDS.
 
-    A broken frame, header or length raises, or, if not `strict`, gives a row with `error` set; an archive is decoded
-    up to its first broken frame. A null or empty archive has no records.
+    A broken frame, header or length, or a frame of more than `max_record_bytes`, raises, or, if not `strict`, gives a
+    row with `error` set; an archive is decoded up to its first broken frame. A null or empty archive has no records.
     """
 
     def read(batches):
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
                 rows, held = [], 0
-                for number, raw, error in frames(content.as_py() or b""):
+                for number, raw, error in frames(content.as_py() or b"", max_record_bytes):
                     row = {"path": path, "record": number, "error": error}
                     if raw is not None:
                         try:
