@@ -15,12 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesserae.llm.common import materialize
+from tesserae.llm.common import drop_materialized, materialize
 
 #: Blocks per source at most: a block never holds less than BLOCK_TOKENS (but the last), and a source never has more.
 MAX_BLOCKS, BLOCK_TOKENS = 4096, 1 << 16
 #: Source plans are a broadcast of one short row per source; beyond so many sources the plan is joined by a shuffle.
 MAX_BROADCAST_SOURCES = 50_000
+#: The exponent is solved on the driver from one number per source; more sources than this (some 200 MB there) are refused.
+MAX_SOURCES = 1_000_000
+PLACES = ("epoch", "position", "within_block")
 
 
 def weights_at(tokens: dict[str, int], exponent: float) -> dict[str, float]:
@@ -100,8 +103,10 @@ def plan_sources(tokens: dict[str, int], target_entropy: float | None = None, ma
     return out
 
 
-def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None, seed: int = 0, tokens: Column | None = None, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """The rows of the mix: all columns of `docs`, with epoch (from 0), position and within_block.
+def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None, seed: int = 0, tokens: Column | None = None, doc_id: str = "doc_id", source: str = "source", places: bool = True) -> DataFrame:
+    """The rows of the mix: all columns of `docs`, with epoch (from 0), position and within_block (columns of those names are replaced).
+
+    Without `places` the columns are those of `docs`, whatever their names.
 
     Training order is (position, within_block): position places blocks of all sources between 0 and 1, so that every
     stretch of it has the mix's proportions.
@@ -109,18 +114,23 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
     `budget` is the mix's tokens; None means the least at which every document is read at least once. In the last,
     partial epoch of a source, blocks are taken in their order while they fit, and of the first that does not fit the
     documents that do. Rows of one id (and rows without an id) of a source stand together. `tokens` counts a row
-    (white-space words of column text by default). An empty table gives an empty mix.
+    (white-space words of column text by default; null is none). An empty table gives an empty mix. More than
+    MAX_SOURCES sources raise ValueError.
     """
     spark = docs.sparkSession
     count = word_count() if tokens is None else tokens
     draw = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(seed))
     sizes = materialize(docs.select(source_key(source).alias("__source"), count.alias("__tokens"), draw.alias("__draw")), "mix-sizes")
-    totals = {r[0]: r[1] or 0 for r in sizes.groupBy("__source").agg(F.sum("__tokens")).collect()}
+    per_source = materialize(sizes.groupBy("__source").agg(F.coalesce(F.sum("__tokens"), F.lit(0)).alias("n")), "mix-sources")
+    if (n_sources := per_source.count()) > MAX_SOURCES:
+        raise ValueError(f"{n_sources} sources; at most {MAX_SOURCES} can be mixed: map them to coarser ones")
+    totals = {r[0]: r[1] for r in per_source.collect()}
+    drop_materialized(per_source)
     plans = plan_sources(totals, target_entropy, max_repeats, budget) if totals else []
     schema = "__source string, __all long, __weight double, __epochs int, __rest long, __blocks int"
     plan = spark.createDataFrame([(p.source, p.tokens, p.weight, p.epochs, p.rest, p.blocks) for p in plans], schema)
     few = len(plans) <= MAX_BROADCAST_SOURCES
-    hint = F.broadcast if few else (lambda df: df)
+    hint = F.broadcast if few else (lambda df: df.hint("merge"))
     # The cut of the partial epoch: first between blocks, then inside the block where the budget ends.
     placed = sizes.join(hint(plan), "__source").withColumn("__block", F.pmod(F.shiftright("__draw", 20), F.col("__blocks")))
     order = Window.partitionBy("__source").orderBy("__turn")
@@ -134,14 +144,17 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
     cuts = plan.join(edge.drop("__block", "__left"), "__source", "left").join(last, "__source", "left")
     own = docs.withColumn("__source", source_key(source)).withColumn("__draw", draw).join(hint(cuts), "__source")
     own = own.withColumn("__block", F.pmod(F.shiftright("__draw", 20), F.col("__blocks")))
-    own = own.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__epochs"))))
-    turn, inner = F.xxhash64("__block", F.col("epoch"), F.lit(seed)), F.xxhash64("__draw", F.col("epoch"), F.lit(seed))
+    own = own.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__epochs"))))
+    turn, inner = F.xxhash64("__block", F.col("__epoch"), F.lit(seed)), F.xxhash64("__draw", F.col("__epoch"), F.lit(seed))
     # Without an edge the partial epoch is empty; without a last document nothing of the edge block fits.
     partial = F.coalesce((turn < F.col("__edge_turn")) | ((turn == F.col("__edge_turn")) & (inner <= F.col("__last"))), F.lit(False))
-    own = own.where((F.col("epoch") < F.col("__epochs")) | partial)
+    own = own.where((F.col("__epoch") < F.col("__epochs")) | partial)
+    if not places:
+        return own.select(*docs.columns)
     unit = lambda h: F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)
     # Blocks of all sources interleave: a block's place in its epoch, the epoch's place among those the source has.
     within = unit(turn.bitwiseXOR(F.lit(-(2**63))))
     span = F.col("__epochs") + F.when(F.col("__all") > 0, F.col("__rest") / F.col("__all")).otherwise(0.0)
     # The blocks of a partial epoch lie up to its share; with few blocks the last may lie beyond, and then ends the mix.
-    return own.withColumn("position", F.least((F.col("epoch") + within) / F.greatest(span, F.lit(1.0)), F.lit(1.0))).select(*docs.columns, "epoch", "position", inner.alias("within_block"))
+    position = F.least((F.col("__epoch") + within) / F.greatest(span, F.lit(1.0)), F.lit(1.0))
+    return own.select(*(c for c in docs.columns if c not in PLACES), *(x.alias(n) for x, n in zip((F.col("__epoch"), position, inner), PLACES, strict=True)))
