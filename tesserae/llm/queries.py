@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import drop_materialized, materialize, table
+from tesserae.llm.common import materialize, table
+from tesserae.llm.oracles import ORACLE_SQL  # noqa: F401 - what the entry module registers
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,5 +80,3 @@ QUERIES = {f.__name__: f for f in (
     op1_importance_resampling, op2_patched_frame_of_reference, op3_zstd_warc_archives, op4_counterfactual_toxicity, op5_digest_cache_token_counts, op6_collinear_chaining, op7_temperature_mixing,
     op8_decision_list_quality, op9_minhash_ngram_jaccard, op10_benchmark_decontamination,
 )}
-
-ORACLE_SQL = {}

@@ -6,6 +6,7 @@ import base64
 import hashlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -13,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tesserae.llm import mixing
 from tesserae.llm import queries as q
 from tesserae.llm.common import table
 from tesserae.llm.graph import connected_components
@@ -99,6 +101,29 @@ def test_broken_archives(spark):
         read_archives(rows).collect()
 
 
+def test_frames_of_no_bounded_size_and_second_skippable_frames(spark):
+    bodies = [b"<p>one</p>", b"\0" * 3_000_000, b"<p>two</p>"]
+    parts = [make_archive([make_record(k, None, b, sha1(b))]) for k, b in enumerate(bodies)]
+    skip = b"\x5f\x2a\x4d\x18\x03\x00\x00\x00abc"  # another skippable frame
+    whole = parts[0] + skip + parts[1][8:] + skip + parts[2][8:]  # a dictionary frame leads once
+    rows = spark.createDataFrame([("a", bytearray(whole))], "path string, content binary")
+    assert [len(r["payload"]) for r in sorted(read_archives(rows).collect(), key=lambda r: r["record"])] == [10, 3_000_000, 10]
+    small = sorted(read_archives(rows, strict=False, max_record_bytes=100_000).collect(), key=lambda r: r["record"])
+    assert [r["error"] is None for r in small] == [True, False] and "more than 100000" in small[1]["error"]
+
+
+@pytest.mark.parametrize("name", sorted(q.ORACLE_SQL))
+def test_query_equals_its_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    want = con.execute(q.ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    df = q.QUERIES[name](spark, sf_dir)
+    assert sorted(columns) == sorted(df.columns)
+    assert Counter(tuple(r) for r in df.select(*columns).collect()) == Counter(want.fetchall())
+
+
 # Mixing
 
 
@@ -137,6 +162,61 @@ def test_mix_of_odd_rows(spark):
     first = mix(docs, max_repeats=1.0).where("epoch = 0")
     assert Counter(r["doc_id"] for r in first.collect()) == Counter(r[0] for r in rows)
     assert mix(docs.limit(0), max_repeats=2.0).count() == 0
+    named = docs.withColumns({"epoch": F.lit("own"), "position": F.lit("own")})
+    assert mix(named, max_repeats=1.0).columns == ["doc_id", "text", "source", "epoch", "position", "within_block"]
+    assert {(r["epoch"], r["position"]) for r in mix(named, max_repeats=1.0, places=False).collect()} == {("own", "own")}
+    counted = mix(docs, max_repeats=1.0, tokens=F.length("text").cast("long"))  # a null text has a null count
+    assert counted.where("epoch = 0").count() == len(rows)
+
+
+def test_the_plan_is_the_same_by_broadcast_and_by_merge(spark, sf_dir, monkeypatch):
+    rows = lambda: sorted(map(str, q.op7_temperature_mixing(spark, sf_dir).collect()))
+    few = rows()
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 0)
+    assert rows() == few
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 1)
+    with pytest.raises(ValueError, match="coarser"):
+        rows()
+
+
+def test_the_mix_equals_a_brute_force(spark):
+    # Many small blocks: the last epoch takes whole blocks in their order, then what fits of the next one.
+    rows = [(k, "w " * (1 + k % 9), "ab"[k % 5 == 0]) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    old, mixing.BLOCK_TOKENS = mixing.BLOCK_TOKENS, 60
+    try:
+        made = [r.asDict() for r in mix(docs, max_repeats=2.5).collect()]
+        plans = {p.source: p for p in plan_sources({f"={s}": sum(1 + k % 9 for k, _, x in rows if x == s) for s in "ab"}, max_repeats=2.5)}
+    finally:
+        mixing.BLOCK_TOKENS = old
+    draw = {r[0]: r[1] for r in docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit(0))).collect()}
+    hashes = spark.createDataFrame([(k, d, e) for k, d in draw.items() for e in range(4)], "k long, d long, e int")
+    blocks = max(p.blocks for p in plans.values())
+    turn = {(r["b"], r["e"]): r["t"] for r in spark.range(blocks).withColumnRenamed("id", "b").crossJoin(spark.range(4).select(F.col("id").cast("int").alias("e"))).select("b", "e", F.xxhash64("b", "e", F.lit(0)).alias("t")).collect()}
+    inner = {(r["k"], r["e"]): r["t"] for r in hashes.select("k", "e", F.xxhash64("d", "e", F.lit(0)).alias("t")).collect()}
+    want = Counter()
+    for s in "ab":
+        p, own = plans[f"={s}"], [k for k, _, x in rows if x == s]
+        assert p.blocks > 1
+        block = {k: (draw[k] >> 20) % p.blocks for k in own}
+        want.update((k, e) for k in own for e in range(p.epochs))
+        left, e = p.rest, p.epochs
+        for b in sorted(set(block.values()), key=lambda b: turn[b, e]):
+            inside = sorted((k for k in own if block[k] == b), key=lambda k: inner[k, e])
+            for k in inside:
+                if 1 + k % 9 > left:
+                    left = -1
+                    break
+                left -= 1 + k % 9
+                want[k, e] += 1
+            if left < 0:
+                break
+    assert Counter((r["doc_id"], r["epoch"]) for r in made) == want
+    order = {(r["doc_id"], r["epoch"]): (r["position"], r["within_block"]) for r in made}
+    for s in "ab":  # an epoch's blocks stand one after another, each with its documents together
+        p, first = plans[f"={s}"], sorted((order[k, 0], (draw[k] >> 20) % p.blocks) for k, _, x in rows if x == s)
+        seen = [b for n, (_, b) in enumerate(first) if not n or first[n - 1][1] != b]
+        assert len(seen) == len(set(seen)) and seen == sorted(seen, key=lambda b: turn[b, 0])
     tight = mix(docs, target_entropy=0.5, budget=100.0)
     assert tight.select(F.sum(word_count())).first()[0] <= 100
 

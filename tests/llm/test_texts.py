@@ -215,6 +215,21 @@ def test_cached_counts_are_not_made_again(spark, odd, none, tmp_path):
     assert count_tokens(none, cache=at).count() == 0
 
 
+def test_a_half_filled_cache_is_met(spark, sf_dir, docs, tmp_path):
+    at, half = str(tmp_path / "cache"), docs.where("doc_id % 2 = 0")
+    count_tokens(half, cache=at)
+    stored = spark.read.schema(CACHE_SCHEMA).parquet(at)
+    marked = stored.withColumn("tokens", F.col("tokens") + 1_000_000)  # so that what is met shows
+    marked.write.parquet(str(tmp_path / "marked"))
+    got = {r["doc_id"]: r["n_tokens"] for r in rows_of(count_tokens(docs, cache=str(tmp_path / "marked")))}
+    plain = {r["doc_id"]: r["n_tokens"] for r in rows_of(count_tokens(docs))}
+    met = {r["digest"] for r in stored.collect()}
+    for r in rows_of(count_tokens(docs, cache=at)):
+        assert got[r["doc_id"]] == plain[r["doc_id"]] + (1_000_000 if r["digest"] in met else 0) and r["n_tokens"] == plain[r["doc_id"]]
+    again = spark.read.schema(CACHE_SCHEMA).parquet(at)
+    assert again.count() == again.select("digest").distinct().count() > stored.count()
+
+
 def test_token_blocks_hold_the_librarys_ids(spark, sf_dir, texts, odd, none):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
