@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from tesserae.queries import QUERIES
 
 HEADLINE = (
-    "rvq1d_encode", "rvq1d_decode_error", "scale_stats", "centered_positions", "morton_codebook", "rvq3d_encode", "token_ids", "token_text", "token_stats",
+    "rvq1d_encode", "rvq1d_decode_error", "rvq1d_encode_256", "rvq3d_encode_256", "scale_stats", "centered_positions", "morton_codebook", "rvq3d_encode", "token_ids", "token_text", "token_stats",
     "decode_tokens", "roundtrip_error", "recon_report", "parse_defaults", "wordlevel_ids", "md5_sample", "train_val_split", "shard_sizes", "s2ef_metrics", "task_summary",
 )
 

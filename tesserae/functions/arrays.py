@@ -40,21 +40,6 @@ def midpoints(centroids: Sequence[float]) -> list[float]:
     return [(a + b) / 2 for a, b in zip(centroids, centroids[1:], strict=False)]
 
 
-def bucket(x: Column, bounds: Sequence[float]) -> Column:
-    """How many of the (ascending) bounds lie below x: a value on a bound falls to the lower bucket; null stays null.
-
-    A balanced tree of comparisons: a value meets log2 of the bounds, in compiled code.
-    """
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x > F.lit(float(bounds[mid])), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return F.when(x.isNotNull(), tree(0, len(bounds)))
-
-
 def grid(x: Column, low: Column, high: Column, cells: int = 1024) -> Column:
     """x on an integer grid between low and high, cut off and not rounded; a span of 0 counts as 1."""
     span = F.when(high == low, F.lit(1.0)).otherwise(high - low)
@@ -77,16 +62,6 @@ def morton(x: Column, y: Column, z: Column) -> Column:
     return spread_bits(x).bitwiseOR(F.shiftleft(spread_bits(y), 1)).bitwiseOR(F.shiftleft(spread_bits(z), 2))
 
 
-def code_tokens(codes: Column, start: int, size: int) -> Column:
-    """Token ids of a row of codes, one per level."""
-    return F.transform(codes, lambda c, level: (F.lit(start) + level * size + c).cast("int"))
-
-
-def token_code(token: Column, start: int, size: int) -> Column:
-    """The code inside a token id, whatever its level; negative differences wrap around."""
-    return F.pmod(token - F.lit(start), F.lit(size))
-
-
 def json_if_nested(column: str, kind: str) -> Column:
     """Lists, structs and maps as JSON text, anything else as it is."""
     return F.to_json(column).alias(column) if kind.startswith(("array", "struct", "map")) else F.col(column)

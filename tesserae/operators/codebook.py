@@ -10,12 +10,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesserae.functions.arrays import bucket, draw, grid, midpoints, morton, significant_1d, significant_3d
+from tesserae.functions.arrays import grid, midpoints, morton, significant_1d, significant_3d
+from tesserae.functions.order import drawn, quantiles
 
 TRAIN_CAP = 500_000
 #: Of a last digit: what keeps a half from depending on a sum's last bit.
@@ -37,7 +38,7 @@ class Levels3D:
 
 def sample_exact(df: DataFrame, key: str, n: int | None, seed: int = 0) -> DataFrame:
     """n rows drawn without replacement by a hash of `key` (all, if there are no more)."""
-    return df if n is None else df.orderBy(draw(F.col(key), seed), key).limit(n)
+    return df if n is None else df.where(drawn(df, key, n, seed))
 
 
 def quantile_centroids(df: DataFrame, column: str, size: int, digits: int = 9) -> list[float]:
@@ -46,21 +47,37 @@ def quantile_centroids(df: DataFrame, column: str, size: int, digits: int = 9) -
     Halves of the last digit, which interpolation often meets, go up: HALF_UP is added before rounding.
     """
     rows = df.select(F.col(column).alias("r"))
-    full = [(j + 0.5) / size for j in range(size)]
-    less = [(j + 0.5) / (size - 1) for j in range(size - 1)]
-    big = significant_1d(F.col("r"))
-    found = rows.agg(F.count(F.when(big, 1)).alias("n"), F.percentile(F.when(big, F.col("r")), less).alias("some"), F.percentile("r", full).alias("all")).first()
-    if found["n"] < size - 1:
-        return [round(x + HALF_UP * 10**-digits, digits) for x in found["all"] or [0.0] * size]
-    return sorted([0.0, *(round(x + HALF_UP * 10**-digits, digits) for x in found["some"])])
+    up = lambda found: [round(x + HALF_UP * 10**-digits, digits) for x in found]
+    big = rows.where(significant_1d(F.col("r")))
+    less = quantiles(big, "r", [(j + 0.5) / (size - 1) for j in range(size - 1)]).get(()) if big.count() >= size - 1 and size > 1 else None
+    if less:
+        return sorted([0.0, *up(less)])
+    return up(quantiles(rows, "r", [(j + 0.5) / size for j in range(size)]).get(()) or [0.0] * size)
 
 
-def level_code(x: Column, bounds) -> Column:
-    return bucket(x, bounds)
+def scalar_codes(x: np.ndarray, book: Levels1D, digits: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of all levels, residual) of a vector. A value on a bound falls to the lower bucket, NaN to the last."""
+    codes, r = np.empty((len(x), len(book.centroids)), np.int32), np.array(x, float)
+    for level, (c, b) in enumerate(zip(book.centroids, book.bounds, strict=True)):
+        codes[:, level] = np.searchsorted(np.array(b, float), r)
+        r = np.round(r - np.array(c, float)[codes[:, level]], digits)
+    return codes, r
+
 
+def _coded(column: str, book: Levels1D, residuals: bool) -> Column:
+    """A struct of the codes c0, c1, ... and the last residual r: a binary search per value and level, in one Arrow function."""
+    levels = len(book.centroids)
+
+    @F.arrow_udf(", ".join([*(f"c{k} int" for k in range(levels)), "r double"]))
+    def coded(x: pa.Array) -> pa.Array:
+        values, missing = x.to_numpy(zero_copy_only=False).astype(float), x.is_null().to_numpy(zero_copy_only=False)
+        if residuals:
+            codes, r = scalar_codes(values, book)
+        else:
+            codes, r = np.column_stack([np.searchsorted(np.array(b, float), values) for b in book.bounds]).astype(np.int32), values
+        return pa.StructArray.from_arrays([*(pa.array(codes[:, k], mask=missing) for k in range(levels)), pa.array(r, mask=missing)], [*(f"c{k}" for k in range(levels)), "r"])
 
-def level_residual(x: Column, code: Column, centroids, digits: int = 9) -> Column:
-    return F.round(x - F.get(F.array(*(F.lit(c) for c in centroids)), code), digits)
+    return coded(F.col(column).cast("double"))
 
 
 def train_1d(df: DataFrame, column: str, levels: int, size: int, key: str | None = None, cap: int | None = None, seed: int = 0) -> Levels1D:
@@ -73,23 +90,22 @@ def train_1d(df: DataFrame, column: str, levels: int, size: int, key: str | None
         b = midpoints(c)
         centroids.append(tuple(c))
         bounds.append(tuple(b))
-        now = now.withColumn("c", level_code(F.col("r"), b)).select(level_residual(F.col("r"), F.col("c"), c).alias("r"))
+        now = now.select(_coded("r", Levels1D((tuple(c),), (tuple(b),)), True)["r"].alias("r"))
     rows.unpersist()
     return Levels1D(tuple(centroids), tuple(bounds))
 
 
 def encode_1d(df: DataFrame, column: str, book: Levels1D, prefix: str = "c", residual: str | None = None) -> DataFrame:
-    """`df` with one code column per level (and the last residual): a chain of expressions that Catalyst fuses with the scan."""
-    out = df.withColumn("__r", F.col(column))
-    for level, (c, b) in enumerate(zip(book.centroids, book.bounds, strict=True)):
-        out = out.withColumn(f"{prefix}{level}", level_code(F.col("__r"), b))
-        out = out.withColumn("__r", level_residual(F.col("__r"), F.col(f"{prefix}{level}"), c))
-    return out.withColumnRenamed("__r", residual) if residual else out.drop("__r")
+    """`df` with one code column per level (and the last residual). Null stays null."""
+    out = df.withColumn("__e", _coded(column, book, True))
+    out = out.withColumns({f"{prefix}{level}": F.col(f"__e.c{level}") for level in range(len(book.centroids))})
+    return (out.withColumn(residual, F.col("__e.r")) if residual else out).drop("__e")
 
 
 def encode_1d_plain(df: DataFrame, column: str, book: Levels1D, prefix: str = "c") -> DataFrame:
     """Every level's code of the raw value, without taking residuals."""
-    return df.withColumns({f"{prefix}{level}": level_code(F.col(column), b) for level, b in enumerate(book.bounds)})
+    out = df.withColumn("__e", _coded(column, book, False))
+    return out.withColumns({f"{prefix}{level}": F.col(f"__e.c{level}") for level in range(len(book.bounds))}).drop("__e")
 
 
 def decode_1d(codes: list[Column], book: Levels1D) -> Column:
@@ -161,19 +177,29 @@ def encode_vectors(v: np.ndarray, books: list[np.ndarray], digits: int = 9) -> t
     return codes, r
 
 
-def encode_3d(df: DataFrame, book: Levels3D, keep_residual: bool = False) -> DataFrame:
-    """`df` (columns x, y, z) with `codes`, one per level, and the residual in rx, ry, rz if asked: one Arrow batch function for all levels."""
-    books = [np.array(b, float) for b in book.vectors]
+def encode_3d(df: DataFrame, book: Levels3D, keep_residual: bool = False, keep_squares: bool = False) -> DataFrame:
+    """`df` (columns x, y, z) with `codes`, one per level; if asked, the last residual in rx, ry, rz, and `squares`, each level's squared residual.
 
-    @F.pandas_udf("codes array<int>, rx double, ry double, rz double")
-    def coded(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.DataFrame:
-        codes, r = encode_vectors(np.column_stack([x, y, z]), books)
-        return pd.DataFrame({"codes": list(codes), "rx": r[:, 0], "ry": r[:, 1], "rz": r[:, 2]})
+    One Arrow batch function for all levels.
+    """
+    books = [np.array(b, float) for b in book.vectors]
+    levels = len(books)
+
+    @F.arrow_udf("codes array<int>, rx double, ry double, rz double, squares array<double>")
+    def coded(x: pa.Array, y: pa.Array, z: pa.Array) -> pa.Array:
+        v = np.column_stack([a.to_numpy(zero_copy_only=False).astype(float) for a in (x, y, z)])
+        codes, r, squares = np.empty((len(v), levels), np.int32), v, np.empty((len(v), levels))
+        for k in range(levels):
+            one, r = encode_vectors(r, books[k : k + 1])
+            codes[:, k], squares[:, k] = one[:, 0], (r * r).sum(axis=1)
+        ends = pa.array(np.arange(0, len(v) * levels + 1, levels, dtype=np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(a.reshape(-1))) for a in (codes, squares)]
+        return pa.StructArray.from_arrays([lists[0], *(pa.array(r[:, i]) for i in range(3)), lists[1]], ["codes", "rx", "ry", "rz", "squares"])
 
     out = df.withColumn("__e", coded("x", "y", "z")).withColumn("codes", F.col("__e.codes"))
     if keep_residual:
         out = out.withColumns({c: F.col(f"__e.{c}") for c in ("rx", "ry", "rz")})
-    return out.drop("__e")
+    return (out.withColumn("squares", F.col("__e.squares")) if keep_squares else out).drop("__e")
 
 
 def train_3d(df: DataFrame, levels: int, size: int, ties: list[str], cap: int | None = None, seed: int = 0, method: str = "quantile") -> Levels3D:
@@ -199,7 +225,7 @@ def decode_3d(codes: Column, book: Levels3D) -> Column:
 
 
 def kmeans_vectors(df: DataFrame, columns: list[str], size: int, seed: int, restarts: int = 10) -> list[tuple[float, ...]]:
-    """Cluster centres of the best of several k-means runs."""
+    """Cluster centres of the best of several k-means runs, `size` of them: with fewer distinct points the last one repeats (and is never chosen)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
@@ -210,19 +236,19 @@ def kmeans_vectors(df: DataFrame, columns: list[str], size: int, seed: int, rest
         if best is None or model.summary.trainingCost < best[0]:
             best = model.summary.trainingCost, [tuple(map(float, c)) for c in model.clusterCenters()]
     points.unpersist()
-    return best[1]
+    return best[1] + best[1][-1:] * (size - len(best[1]))
 
 
-def train_1d_kmeans(df: DataFrame, column: str, levels: int, size: int, seed: int = 0, restarts: int = 10) -> Levels1D:
-    """Scalar codebooks by k-means: centres in ascending order."""
-    now = df.select(F.col(column).alias("r")).where("r IS NOT NULL AND NOT isnan(r)")
+def train_1d_kmeans(df: DataFrame, column: str, levels: int, size: int, key: str | None = None, cap: int | None = None, seed: int = 0, restarts: int = 10) -> Levels1D:
+    """Scalar codebooks by k-means: centres in ascending order, from a sample of at most `cap` rows drawn by `key`."""
+    now = (sample_exact(df, key, cap, seed) if key else df).select(F.col(column).cast("double").alias("r")).where("r IS NOT NULL AND NOT isnan(r)")
     centroids, bounds = [], []
     for level in range(levels):
         c = sorted(x[0] for x in kmeans_vectors(now, ["r"], size, seed + level, restarts))
         b = midpoints(c)
         centroids.append(tuple(c))
         bounds.append(tuple(b))
-        now = now.withColumn("c", level_code(F.col("r"), b)).select(level_residual(F.col("r"), F.col("c"), c).alias("r"))
+        now = now.select(_coded("r", Levels1D((tuple(c),), (tuple(b),)), True)["r"].alias("r"))
     return Levels1D(tuple(centroids), tuple(bounds))
 
 

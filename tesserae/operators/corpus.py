@@ -5,19 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions.arrays import draw
+from tesserae.functions.order import drawn
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows by the order of a seeded digest of the key: the same rows on every run and every cluster."""
-    return df.withColumn("__d", draw(F.col(key), seed)).orderBy("__d", key).limit(n).drop("__d")
+    """n rows by the order of a seeded digest of the key: the same rows on every run and every cluster. A filter: no row moves."""
+    return df.where(drawn(df, key, n, seed))
 
 
 def split_by_sample(df: DataFrame, key: str, val_size: int, seed: int = 0) -> DataFrame:
-    """`df` with `split`: exactly min(val_size, rows) rows are "val", drawn by digest, the others "train"."""
-    chosen = sample_rows(df.select(key), key, val_size, seed).select(F.col(key).alias("__val"))
-    marked = df.join(chosen, df[key] == F.col("__val"), "left")
-    return marked.withColumn("split", F.when(F.col("__val").isNotNull(), "val").otherwise("train")).drop("__val")
+    """`df` with `split`: exactly min(val_size, rows) rows are "val", drawn by digest, the others "train". No row moves."""
+    return df.withColumn("split", F.when(drawn(df, key, val_size, seed), "val").otherwise("train"))
 
 
 def split_by_offset(df: DataFrame, index: str, train: int | None, val: int | None) -> DataFrame:
@@ -29,7 +27,7 @@ def split_by_offset(df: DataFrame, index: str, train: int | None, val: int | Non
 
 
 def length_statistics(df: DataFrame, tokens: Column) -> DataFrame:
-    """Count, sum, least, most, mean and median of the sequences' lengths."""
+    """Count, sum, least, most, mean and median of the sequences' lengths (integers, so the median's buffer is one count per length)."""
     n = df.select(F.size(tokens).cast("long").alias("n"))
     return n.agg(
         F.count("*").alias("n_molecules"), F.sum("n").alias("n_tokens"), F.min("n").alias("min_tokens"), F.max("n").alias("max_tokens"),

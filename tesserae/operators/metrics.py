@@ -4,20 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.functions.order import quantiles
+
 MEV = 1000.0
 #: Energy (eV) and force (eV per length) tolerances of a structure that counts as predicted well.
 ENERGY_TOLERANCE, FORCE_TOLERANCE = 0.02, 0.03
 
 
 def error_summary(df: DataFrame, error: Column, by: Iterable[str] = ()) -> DataFrame:
-    """mae, median_error, rmse and max_error of a column of signed errors, per group."""
-    rows = df.select(*by, error.alias("e"))
-    return rows.groupBy(*by).agg(
-        F.avg(F.abs("e")).alias("mae"), F.percentile(F.abs("e"), 0.5).alias("median_error"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.max(F.abs("e")).alias("max_error")
-    )
+    """mae, median_error, rmse and max_error of a column of signed errors, per group. Groups are a few: their rows pass through the driver."""
+    by = list(by)
+    rows = df.select(*by, F.abs(error).alias("__e")).persist()
+    e = F.col("__e")
+    found = rows.groupBy(*by).agg(F.avg(e), F.sqrt(F.avg(e * e)), F.max(e)).collect()
+    median = quantiles(rows, "__e", [0.5], by)
+    out = [(*r[: len(by)], r[-3], (median.get(tuple(r[: len(by)])) or [None])[0], r[-2], r[-1]) for r in found]
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in by]
+    rows.unpersist()
+    return df.sparkSession.createDataFrame(out, ", ".join([*kinds, "mae double, median_error double, rmse double, max_error double"]))
 
 
 def stacked(df: DataFrame, channels: dict[str, list[tuple[str, str]]], keep: Iterable[str] = ()) -> DataFrame:
@@ -124,12 +131,13 @@ def task_rows(evaluation: DataFrame, task: str) -> DataFrame:
 
 
 def run_tasks(evaluation: DataFrame, tasks: Iterable[str] | None = None) -> dict[str, DataFrame | dict]:
-    """A result table per task. Unknown tasks are passed over; one that fails gives {"error": ...} and the others go on."""
+    """A one-row result table per task. Unknown tasks are passed over; one that fails, in its plan or on its rows, gives {"error": ...} and the others go on."""
     out: dict[str, DataFrame | dict] = {}
     for name in tasks or TASKS:
         if name in TASKS:
             try:
-                out[name] = TASKS[name](task_rows(evaluation, name))
+                made = TASKS[name](task_rows(evaluation, name))
+                out[name] = evaluation.sparkSession.createDataFrame(made.collect(), made.schema)  # one row: here a task fails, if it does
             except Exception as e:  # noqa: BLE001 - a task's failure is its result
                 out[name] = {"error": str(e)}
     return out
@@ -139,14 +147,18 @@ def run_tasks(evaluation: DataFrame, tasks: Iterable[str] | None = None) -> dict
 HEADLINES = ("accuracy", "mae_mev", "ie_mae_mev")
 
 
-def summary(evaluation: DataFrame, tasks: Iterable[str] | None = None) -> DataFrame:
-    """(task, metric, value) of every task's headline, in one plan."""
-    out = None
-    for name, result in run_tasks(evaluation, tasks).items():
+def headlines(results: dict[str, DataFrame | dict], spark: SparkSession) -> DataFrame:
+    """(task, metric, value) of every result of `run_tasks`; a failed task has the metric "error" and no value."""
+    rows = []
+    for name, result in results.items():
         if isinstance(result, DataFrame):
             metric = next(h for h in HEADLINES if h in result.columns)
-            row = result.select(F.lit(name).alias("task"), F.lit(metric).alias("metric"), F.col(metric).cast("double").alias("value"))
+            rows.append((name, metric, float(result.first()[metric])))
         else:
-            row = evaluation.sparkSession.createDataFrame([(name, "error", None)], "task string, metric string, value double")
-        out = row if out is None else out.unionByName(row)
-    return out
+            rows.append((name, "error", None))
+    return spark.createDataFrame(rows, "task string, metric string, value double")
+
+
+def summary(evaluation: DataFrame, tasks: Iterable[str] | None = None) -> DataFrame:
+    """(task, metric, value) of every task's headline."""
+    return headlines(run_tasks(evaluation, tasks), evaluation.sparkSession)

@@ -1,82 +1,102 @@
-"""Molecules to token sequences and back."""
+"""Molecules to token sequences and back.
+
+Both directions are one Arrow function over a batch's flat buffers: the atoms (or tokens) of all its molecules are one
+array, and offsets say where a molecule ends. Nothing crosses molecules, so nothing is exploded or shuffled.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tesserae.functions.arrays import code_tokens, draw, token_code
-from tesserae.operators.codebook import Levels1D, Levels3D, encode_vectors
-from tesserae.operators.scale import Scales, apply_scales
+from tesserae.functions.arrays import draw
+from tesserae.operators.codebook import Levels1D, Levels3D, encode_vectors, scalar_codes
+from tesserae.operators.scale import Scales, as_lists, centre, flat
 from tesserae.operators.vocab import (
     ATOMS, ATOMS_END, BOS, ENERGY, ENERGY_END, EOS, FIRST_ATOM, FORCE, FORCE_END, N_ATOMS, NEWLINE, POS, POS_END, Space,
 )
 
 CODES = "pos array<array<int>>, fx array<array<int>>, fy array<array<int>>, fz array<array<int>>, en array<int>"
+DECODED = "atomic_numbers array<int>, positions array<array<double>>, forces array<array<double>>, energy double, error boolean"
+SECTIONS = ("atoms", "pos", "force", "energy")
 
 
 def space_of(books: dict[str, Levels1D | Levels3D]) -> Space:
     return Space(len(books["position"].vectors[0]), len(books["position"].vectors), len(books["energy"].centroids))
 
 
-def _encode_scalars(x: np.ndarray, book: Levels1D, digits: int = 9) -> np.ndarray:
-    codes, r = np.empty((len(x), len(book.centroids)), np.int32), np.array(x, float)
-    for level, (c, b) in enumerate(zip(book.centroids, book.bounds, strict=True)):
-        codes[:, level] = np.searchsorted(np.array(b), r)
-        r = np.round(r - np.array(c)[codes[:, level]], digits)
-    return codes
+def _coder(books: dict[str, Levels1D | Levels3D]):
+    """A function of scaled positions, forces and energies to a dict of code matrices, a row per atom or molecule."""
+    pos = [np.array(v, float) for v in books["position"].vectors]
 
+    def code(p: np.ndarray, f: np.ndarray, e: np.ndarray) -> dict[str, np.ndarray]:
+        out = {"pos": encode_vectors(p, pos)[0]}
+        for axis, name in enumerate(("fx", "fy", "fz")):
+            out[name] = scalar_codes(f[:, axis], books[f"force_{'xyz'[axis]}"])[0]
+        return out | {"en": scalar_codes(e, books["energy"])[0]}
 
-def encode_codes(molecules: DataFrame, books: dict[str, Levels1D | Levels3D]) -> DataFrame:
-    """`molecules` (scaled: positions, forces, energy) with `codes`, a struct of CODES.
+    return code
 
-    One Arrow batch function for all channels: a batch's atoms are one matrix, cut back to molecules at the end.
-    """
-    pos = [np.array(v, float) for v in books["position"].vectors]
 
-    def triples(column: pd.Series, sizes: np.ndarray) -> np.ndarray:
-        rows = [a for m in column for a in m]
-        if len(rows) != int(sizes.sum()):
-            raise ValueError("positions, forces and atomic numbers differ in length")
-        return np.array([list(a) for a in rows], float).reshape(-1, 3)
-
-    @F.pandas_udf(CODES)
-    def coded(positions: pd.Series, forces: pd.Series, energy: pd.Series) -> pd.DataFrame:
-        sizes = np.array([len(m) for m in positions], int)
-        p, f = triples(positions, sizes), triples(forces, sizes)
-        cuts = np.cumsum(sizes)[:-1]
-        cut = lambda codes: [[row.tolist() for row in part] for part in np.split(codes, cuts)]
-        out = {"pos": cut(encode_vectors(p, pos)[0])}
-        for axis, name in enumerate(("fx", "fy", "fz")):
-            out[name] = cut(_encode_scalars(f[:, axis], books[f"force_{'xyz'[axis]}"]))
-        out["en"] = _encode_scalars(energy.to_numpy(float), books["energy"]).tolist()
-        return pd.DataFrame(out)
+def _same_sizes(*sizes: np.ndarray) -> None:
+    if any(not np.array_equal(sizes[0], s) for s in sizes[1:]):
+        raise ValueError("positions, forces and atomic numbers differ in length")
+
+
+def _ends(sizes) -> pa.Array:
+    return pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+
+
+def encode_codes(molecules: DataFrame, books: dict[str, Levels1D | Levels3D]) -> DataFrame:
+    """`molecules` (scaled: positions, forces, energy) with `codes`, a struct of CODES. Lists of different lengths fail."""
+    code = _coder(books)
+
+    @F.arrow_udf(CODES)
+    def coded(positions: pa.Array, forces: pa.Array, energy: pa.Array) -> pa.Array:
+        (n, p, _), (m, f, _) = flat(positions), flat(forces)
+        _same_sizes(n, m)
+        rows = lambda c: pa.ListArray.from_arrays(pa.array(np.arange(0, c.size + 1, c.shape[1], dtype=np.int32)), pa.array(c.reshape(-1)))
+        out = code(p, f, energy.to_numpy(zero_copy_only=False).astype(float))
+        lists = [pa.ListArray.from_arrays(_ends(n), rows(out[k])) for k in ("pos", "fx", "fy", "fz")]
+        return pa.StructArray.from_arrays([*lists, rows(out["en"])], ["pos", "fx", "fy", "fz", "en"])
 
     return molecules.withColumn("codes", coded("positions", "forces", "energy"))
 
 
-def sequence(atomic_numbers: Column, codes: Column, space: Space, order: list[str] | Column | None = None) -> Column:
-    """The token sequence of a molecule. `order` permutes the four sections (names, or an array column of their numbers)."""
-    one = lambda *ids: F.array(*(F.lit(i) for i in ids))
-    row_end = one(NEWLINE)
-    atoms = F.concat(one(ATOMS), F.transform(atomic_numbers, lambda z: (z + (FIRST_ATOM - 1)).cast("int")), one(ATOMS_END))
-    pos = F.concat(one(POS), F.flatten(F.transform(codes["pos"], lambda c: F.concat(code_tokens(c, space.pos, space.size), row_end))), one(POS_END))
+def _sequencer(space: Space):
+    """A function of atomic numbers, molecule sizes, codes and section orders to (tokens, lengths)."""
     starts = [space.channel(k) for k in range(4)]
-    rows = F.transform(F.arrays_zip(codes["fx"].alias("fx"), codes["fy"].alias("fy"), codes["fz"].alias("fz")), lambda r: F.concat(
-        *(code_tokens(r[n], starts[k], space.size) for k, n in enumerate(("fx", "fy", "fz"))), row_end,
-    ))
-    force = F.concat(one(FORCE), F.flatten(rows), one(FORCE_END))
-    energy = F.concat(one(ENERGY), code_tokens(codes["en"], starts[3], space.size), row_end, one(ENERGY_END))
-    parts = {"atoms": atoms, "pos": pos, "force": force, "energy": energy}
-    if isinstance(order, Column):
-        by = list(parts.values())
-        body = F.flatten(F.transform(order, lambda k: F.element_at(F.array(*by), k + 1)))
-    else:
-        body = F.concat(*(parts[n] for n in order or parts))
-    return F.concat(one(BOS), body, one(EOS))
+    p_row, f_row = space.pos_levels + 1, 3 * space.levels + 1
+    step = lambda levels: np.arange(levels) * space.size
+
+    def tokens(numbers: np.ndarray, n: np.ndarray, codes: dict[str, np.ndarray], order: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.column_stack([n + 2, n * p_row + 2, n * f_row + 2, np.full(len(n), space.levels + 3)])
+        total = lengths.sum(axis=1) + 2
+        first = np.cumsum(total) - total
+        out = np.full(int(total.sum()), NEWLINE, np.int32)  # what is not written below ends a row
+        out[first], out[first + total - 1] = BOS, EOS
+        at, now, every = np.empty_like(lengths), first + 1, np.arange(len(n))
+        for k in range(4):  # where each section starts
+            own = np.full(len(n), k) if order is None else order[:, k]
+            at[every, own] = now
+            now = now + lengths[every, own]
+        for k, (opens, closes) in enumerate(((ATOMS, ATOMS_END), (POS, POS_END), (FORCE, FORCE_END), (ENERGY, ENERGY_END))):
+            out[at[:, k]], out[at[:, k] + lengths[:, k] - 1] = opens, closes
+        of = np.repeat(every, n)
+        inside = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        out[at[of, 0] + 1 + inside] = numbers + (FIRST_ATOM - 1)
+        row = at[of, 1] + 1 + inside * p_row
+        out[row[:, None] + np.arange(space.pos_levels)] = codes["pos"] + space.pos + step(space.pos_levels)
+        row = at[of, 2] + 1 + inside * f_row
+        for k, name in enumerate(("fx", "fy", "fz")):
+            out[row[:, None] + k * space.levels + np.arange(space.levels)] = codes[name] + starts[k] + step(space.levels)
+        out[at[:, 3][:, None] + 1 + np.arange(space.levels)] = codes["en"] + starts[3] + step(space.levels)
+        return out, total
+
+    return tokens
 
 
 def section_order(key: Column, seed: int) -> Column:
@@ -86,94 +106,140 @@ def section_order(key: Column, seed: int) -> Column:
 
 
 def tokenize(molecules: DataFrame, books: dict, scales: Scales, shuffle_seed: int | None = None, key: str = "mol_id") -> DataFrame:
-    """`molecules` (atomic_numbers, positions, forces, energy) with `tokens`. Rows never leave their partition."""
-    space = space_of(books)
-    coded = encode_codes(apply_scales(molecules, scales), books)
-    order = None if shuffle_seed is None else section_order(F.col(key), shuffle_seed)
-    return coded.withColumn("tokens", sequence(F.col("atomic_numbers"), F.col("codes"), space, order)).drop("codes")
+    """`molecules` (atomic_numbers, positions, forces, energy) with `tokens`: centred, scaled, coded and laid out in one function.
 
+    Sections come in the order atoms, positions, forces, energy, or in one drawn by key and seed. Rows never leave their
+    partition. Lists of different lengths in a molecule fail; null lists are empty.
+    """
+    code, lay = _coder(books), _sequencer(space_of(books))
 
-def decode_rows(sequences: DataFrame, space: Space, key: str = "mol_id") -> DataFrame:
-    """Rows that a decoder reads out of `tokens`: (key, section, row, codes array<int>) and for atoms their numbers.
+    def tokens(numbers: pa.Array, positions: pa.Array, forces: pa.Array, energy: pa.Array, order: np.ndarray | None) -> pa.Array:
+        (n, p, _), (m, f, _) = flat(positions), flat(forces)
+        z = pc.fill_null(pc.list_value_length(numbers), 0).to_numpy(zero_copy_only=False)
+        _same_sizes(n, m, z)
+        e = np.round((energy.to_numpy(zero_copy_only=False).astype(float) - scales.energy_shift) / scales.energy, 9)
+        out, total = lay(pc.list_flatten(numbers).to_numpy(zero_copy_only=False), n, code(np.round(centre(p, n) / scales.position, 9), np.round(f / scales.force, 9), e), order)
+        return pa.ListArray.from_arrays(_ends(total), pa.array(out))
 
-    section is "atoms" (codes: the atomic numbers), "pos", "fx", "fy", "fz" or "energy". Markers open and close
-    sections; a position row ends at a line end and is lost without one; a force row ends at a line end only if it has
-    x codes, otherwise its y and z codes carry over; levels count by arrival. A molecule's tokens are one window
-    partition, so nothing larger than a molecule meets.
+    columns = [F.col(c) for c in ("atomic_numbers", "positions", "forces", "energy")]
+    if shuffle_seed is None:
+
+        @F.arrow_udf("array<int>")
+        def plain(numbers: pa.Array, positions: pa.Array, forces: pa.Array, energy: pa.Array) -> pa.Array:
+            return tokens(numbers, positions, forces, energy, None)
+
+        return molecules.withColumn("tokens", plain(*columns))
+
+    @F.arrow_udf("array<int>")
+    def shuffled(numbers: pa.Array, positions: pa.Array, forces: pa.Array, energy: pa.Array, order: pa.Array) -> pa.Array:
+        return tokens(numbers, positions, forces, energy, pc.list_flatten(order).to_numpy(zero_copy_only=False).reshape(-1, 4))
+
+    return molecules.withColumn("tokens", shuffled(*columns, section_order(F.col(key), shuffle_seed)))
+
+
+def _groups(marks: np.ndarray) -> np.ndarray:
+    """Numbers of runs from 0 on, a new one where marks are true."""
+    return np.cumsum(marks) - 1
+
+
+def _any_in(group: np.ndarray, is_: np.ndarray) -> np.ndarray:
+    """For every place whether any of its group is true."""
+    return np.bincount(group, is_, group[-1] + 1)[group] > 0 if len(group) else is_
+
+
+def _decoder(books: dict, scales: Scales):
+    """A function of (tokens, molecule of each, molecules) to the parts of DECODED.
+
+    Markers open and close sections. A position row ends at a line end and is lost without one; a force row ends at a
+    line end only if it has x codes, otherwise its y and z codes carry over; levels count by arrival.
     """
-    tid, i = F.col("t"), F.col("i")
-    flat = sequences.select(key, F.posexplode("tokens").alias("i", "t")).where(~tid.isin(BOS, EOS))
-    marker = tid.between(ATOMS, ENERGY_END)
-    upto = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    opened = F.when(marker, F.when(tid.isin(ATOMS, POS, FORCE, ENERGY), tid).otherwise(F.lit(-1)))
-    flat = flat.withColumns({"sec": F.last(opened, ignorenulls=True).over(upto), "seg": F.count(F.when(marker, 1)).over(upto)})
-    body = flat.where(~marker & F.col("sec").isin(ATOMS, POS, FORCE, ENERGY))
-    end = tid == NEWLINE
-    before = Window.partitionBy(key, "seg").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    body = body.withColumn("raw", F.coalesce(F.count(F.when(end, 1)).over(before), F.lit(0)))
+    space = space_of(books)
     starts = [space.channel(k) for k in range(4)]
-    axis = F.when(tid >= starts[2], "fz").when(tid >= starts[1], "fy").when(tid >= starts[0], "fx")
-    body = body.withColumn("axis", F.when((F.col("sec") == FORCE) & ~end, axis))
-    with_x = F.max((F.col("axis") == "fx").cast("int")).over(Window.partitionBy(key, "seg", "raw"))
-    with_any = F.max((~end).cast("int")).over(Window.partitionBy(key, "seg", "raw"))
-    closes = end & F.when(F.col("sec") == FORCE, F.coalesce(with_x, F.lit(0)) == 1).when(F.col("sec") == POS, with_any == 1).otherwise(F.lit(False))
-    body = body.withColumn("eff", closes.cast("int"))
-    body = body.withColumn("row", F.coalesce(F.sum("eff").over(before), F.lit(0)))
-    body = body.withColumn("whole", F.max("eff").over(Window.partitionBy(key, "seg", "row")))
-    kept = body.where(~end & (F.col("sec").isin(ATOMS, ENERGY) | (F.col("whole") == 1)))
-    section = F.when(F.col("sec") == ATOMS, "atoms").when(F.col("sec") == POS, "pos").when(F.col("sec") == ENERGY, "energy").otherwise(F.col("axis"))
-    code = F.when(F.col("sec") == ATOMS, tid - (FIRST_ATOM - 1)).when(F.col("sec") == POS, token_code(tid, space.pos, space.size))
-    code = code.when(F.col("sec") == ENERGY, token_code(tid, starts[3], space.size))
-    for k, name in enumerate(("fx", "fy", "fz")):
-        code = code.when(F.col("axis") == name, token_code(tid, starts[k], space.size))
-    rows = kept.withColumns({"section": section, "code": code.cast("int")}).where(F.col("section").isNotNull())
-    # Atoms are those in the atoms' own range; every section's rows are numbered in order of arrival.
-    rows = rows.where((F.col("section") != "atoms") | tid.between(FIRST_ATOM, FIRST_ATOM + N_ATOMS - 1))
-    rows = rows.withColumn("row", F.when(F.col("section").isin("atoms", "energy"), F.lit(0)).otherwise(F.col("row")))
-    rows = rows.withColumn("seg", F.when(F.col("section").isin("atoms", "energy"), F.lit(0)).otherwise(F.col("seg")))
-    listed = rows.groupBy(key, "section", "seg", "row").agg(F.array_sort(F.collect_list(F.struct(i.alias("i"), F.col("code").alias("c"))))["c"].alias("codes"))
-    nth = F.row_number().over(Window.partitionBy(key, "section").orderBy("seg", "row")) - 1
-    return listed.withColumn("nth", nth).select(key, "section", F.col("nth").alias("row"), "codes")
+    vectors = np.array(books["position"].vectors, float)
+
+    def decode(t: np.ndarray, of: np.ndarray, count: int) -> tuple:
+        keep = (t != BOS) & (t != EOS)
+        t, of = t[keep], of[keep]
+        marker = (t >= ATOMS) & (t <= ENERGY_END)
+        begins = np.r_[True, of[1:] != of[:-1]] if len(t) else np.zeros(0, bool)
+        segment = _groups(begins | marker)
+        opened = np.where(np.isin(t, (ATOMS, POS, FORCE, ENERGY)) & marker, t, -1)
+        section = opened[np.maximum.accumulate(np.where(begins | marker, np.arange(len(t)), 0))] if len(t) else opened
+        body = ~marker & (section >= 0)
+        t, of, segment, section = t[body], of[body], segment[body], section[body]
+        end = t == NEWLINE
+        new = np.r_[True, segment[1:] != segment[:-1]] if len(t) else np.zeros(0, bool)
+        line = _groups(new | np.r_[False, end[:-1]]) if len(t) else segment
+        axis = np.where(t >= starts[2], 2, np.where(t >= starts[1], 1, np.where(t >= starts[0], 0, -1)))
+        axis = np.where((section == FORCE) & ~end, axis, -1)
+        closes = end & np.where(section == FORCE, _any_in(line, axis == 0), np.where(section == POS, _any_in(line, ~end), False))
+        row = _groups(new | np.r_[False, closes[:-1]]) if len(t) else segment
+        whole = _any_in(row, closes)
+        code = lambda start: np.mod(t - start, space.size)
+
+        def rows(is_: np.ndarray, group: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """(places of the codes that count, their row, their level, the rows' molecules, whether a row is short)."""
+            at = np.nonzero(is_)[0]
+            g = group[at]
+            lead = np.r_[True, g[1:] != g[:-1]] if len(at) else np.zeros(0, bool)
+            number = _groups(lead)
+            level = np.arange(len(at)) - np.nonzero(lead)[0][number] if len(at) else number
+            size = np.bincount(number, minlength=int(lead.sum()))
+            fits = level < levels
+            return at[fits], number[fits], level[fits], of[at[lead]], size < levels
+
+        error = np.zeros(count, bool)
+        at, number, level, p_of, short = rows((section == POS) & ~end & whole, row, space.pos_levels)
+        error[p_of[short]] = True
+        found = vectors[level, code(space.pos)[at]] * scales.position
+        positions = np.column_stack([np.bincount(number, found[:, i], len(p_of)) for i in range(3)])
+        n = np.bincount(p_of, minlength=count)
+
+        def scalars(is_: np.ndarray, group: np.ndarray, start: int, book: Levels1D) -> tuple[np.ndarray, np.ndarray]:
+            at, number, level, own, short = rows(is_, group, len(book.centroids))
+            error[own[short]] = True
+            return np.bincount(number, np.array(book.centroids, float)[level, code(start)[at]], len(own)), own
+
+        forces = [scalars((axis == k) & whole, row, starts[k], books[f"force_{x}"]) for k, x in enumerate("xyz")]
+        energy, e_of = scalars((section == ENERGY) & ~end, of, starts[3], books["energy"])
+        m = [np.bincount(own, minlength=count) for _, own in forces]
+        full = np.zeros(count)
+        full[e_of] = energy * scales.energy + scales.energy_shift
+        error |= (n < 1) | (m[0] < 1) | (m[0] != m[1]) | (m[0] != m[2]) | (np.bincount(e_of, minlength=count) < 1)
+        good = [~error[own] for _, own in forces]
+        atoms = (section == ATOMS) & ~end & (t >= FIRST_ATOM) & (t < FIRST_ATOM + N_ATOMS)
+        force = np.column_stack([value[ok] * scales.force for (value, _), ok in zip(forces, good, strict=True)])
+        none = lambda sizes: np.where(error, 0, sizes)
+        return t[atoms] - (FIRST_ATOM - 1), np.bincount(of[atoms], minlength=count), positions[~error[p_of]], none(n), force, none(m[0]), full, error
+
+    return decode
+
+
+def with_decoded(sequences: DataFrame, books: dict, scales: Scales) -> DataFrame:
+    """`sequences` with `decoded`, a struct of DECODED read from `tokens`: one function of a batch's tokens, no shuffle."""
+    decoder = _decoder(books, scales)
+
+    @F.arrow_udf(DECODED)
+    def decoded(tokens: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        flat_tokens = pc.fill_null(pc.list_flatten(tokens), BOS).to_numpy(zero_copy_only=False)  # a null token says nothing
+        z, n_z, p, n_p, f, n_f, energy, error = decoder(flat_tokens.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes), len(sizes))
+        good = pa.array([None if bad else 1 for bad in error], pa.int8())  # what `as_lists` takes its nulls from
+        return pa.StructArray.from_arrays(
+            [pa.ListArray.from_arrays(_ends(n_z), pa.array(z.astype(np.int32))), as_lists(p, n_p, good), as_lists(f, n_f, good), pa.array(energy, mask=error), pa.array(error)],
+            ["atomic_numbers", "positions", "forces", "energy", "error"],
+        )
+
+    return sequences.withColumn("decoded", decoded("tokens"))
 
 
 def decode(sequences: DataFrame, books: dict, scales: Scales, key: str = "mol_id") -> DataFrame:
-    """Molecules read back from `tokens`: key, atomic_numbers, positions (centred), forces, energy, error.
+    """Molecules read back from `tokens`, row by row: key, atomic_numbers, positions (centred), forces, energy, error.
 
     A sequence that has no position or force row, a row with fewer codes than levels, or too few energy codes gives
-    `error` and null values. Codes beyond the levels are left out.
+    `error` and null values. Codes beyond the levels are left out. Null sequences are empty ones.
     """
-    space = space_of(books)
-    rows = decode_rows(sequences, space, key)
-    p3, channels = books["position"], {f"f{a}": books[f"force_{a}"] for a in "xyz"} | {"energy": books["energy"]}
-
-    def total(book: Levels1D, factor: float) -> Column:
-        parts = [F.get(F.array(*(F.lit(float(c)) for c in level)), F.get("codes", F.lit(k))) for k, level in enumerate(book.centroids)]
-        return sum(parts[1:], parts[0]) * F.lit(factor)
-
-    xyz = F.array(*(
-        sum((F.get(F.array(*(F.lit(float(v[a])) for v in level)), F.get("codes", F.lit(k))) for k, level in enumerate(p3.vectors)), F.lit(0.0)) * F.lit(scales.position)
-        for a in range(3)
-    ))
-    value = F.when(F.col("section") == "energy", total(channels["energy"], scales.energy) + F.lit(scales.energy_shift))
-    for name in ("fx", "fy", "fz"):
-        value = value.when(F.col("section") == name, total(channels[name], scales.force))
-    short = F.when(F.col("section") == "pos", F.size("codes") < space.pos_levels).when(F.col("section") != "atoms", F.size("codes") < space.levels).otherwise(F.lit(False))
-    rows = rows.withColumns({"xyz": F.when(F.col("section") == "pos", xyz), "value": value, "short": short})
-    of = lambda s, c: F.array_sort(F.collect_list(F.when(F.col("section") == s, F.struct(F.col("row").alias("r"), F.col(c).alias("v")))))["v"]
-    made = rows.groupBy(key).agg(
-        F.first(F.when(F.col("section") == "atoms", F.col("codes")), ignorenulls=True).alias("atomic_numbers"), of("pos", "xyz").alias("positions"),
-        of("fx", "value").alias("fx"), of("fy", "value").alias("fy"), of("fz", "value").alias("fz"),
-        F.first(F.when(F.col("section") == "energy", F.col("value")), ignorenulls=True).alias("energy"), F.max(F.col("short").cast("int")).alias("short"),
-    )
-    out = sequences.select(key).join(made, key, "left")
-    size = lambda c: F.coalesce(F.size(c), F.lit(0))
-    bad = (F.coalesce("short", F.lit(0)) == 1) | (size("positions") < 1) | (size("fx") < 1) | (size("fx") != size("fy")) | (size("fx") != size("fz")) | F.col("energy").isNull()
-    forces = F.transform(F.arrays_zip("fx", "fy", "fz"), lambda r: F.array(r["fx"], r["fy"], r["fz"]))
-    none = lambda c: F.when(~F.col("error"), c)
-    return out.withColumn("error", bad).select(
-        key, F.coalesce("atomic_numbers", F.array().cast("array<int>")).alias("atomic_numbers"), none(F.col("positions")).alias("positions"),
-        none(forces).alias("forces"), none(F.col("energy")).alias("energy"), "error",
-    )
+    return with_decoded(sequences, books, scales).select(key, "decoded.*")
 
 
 def prompt(tokens: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tesserae.operators.molecule import decode, with_defaults
+from tesserae.operators.molecule import with_decoded, with_defaults
 
 PREDICTIONS = "id string, energy double, forces array<array<double>>"
 
@@ -38,5 +38,5 @@ def predict_tokens(prompts: DataFrame, make: Callable[[], Callable[[list[int], i
 
 def parse_outputs(generated: DataFrame, books: dict, scales, natoms: str = "natoms", key: str = "mol_id") -> DataFrame:
     """(key, energy, forces) of generated sequences, zeros where they cannot be read."""
-    read = decode(generated, books, scales, key).join(generated.select(key, natoms), key)
+    read = with_decoded(generated.select(key, natoms, "tokens"), books, scales).select(key, natoms, "decoded.*")
     return with_defaults(read, natoms).select(key, "energy", "forces")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.arrays import positive_or_one
@@ -21,19 +24,56 @@ class Scales:
         return asdict(self)
 
 
-def _axis_mean(i: int) -> Column:
-    return F.aggregate(F.transform("positions", lambda p: F.get(p, F.lit(i))), F.lit(0.0), lambda a, x: a + x) / F.size("positions")
+def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(sizes, values as rows of three, the array) of an Arrow array of vector lists; null lists are empty."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = pc.list_flatten(pc.list_flatten(lists)).to_numpy(zero_copy_only=False).astype(float)
+    if len(values) != 3 * sizes.sum():
+        raise ValueError("a vector has not three components")
+    return sizes, values.reshape(-1, 3), lists
+
+
+def as_lists(values: np.ndarray, sizes: np.ndarray, like: pa.Array) -> pa.Array:
+    """Rows of three as vector lists of the given sizes; null where `like` is."""
+    ends = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(0, 3 * len(values) + 1, 3, dtype=np.int32)), pa.array(values.reshape(-1)))
+    out = pa.ListArray.from_arrays(pa.array(ends), inner)
+    return pc.if_else(like.is_valid(), out, pa.nulls(len(out), out.type)) if like.null_count else out
+
+
+def centre(values: np.ndarray, sizes: np.ndarray, digits: int = 9) -> np.ndarray:
+    """Rows of three less the mean of their molecule: one pass over the atoms."""
+    if not len(values):
+        return values
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    mean = np.column_stack([np.bincount(of, values[:, i], len(sizes)) for i in range(3)]) / np.maximum(sizes, 1)[:, None]
+    return np.round(values - mean[of], digits)
 
 
 def with_centred(molecules: DataFrame) -> DataFrame:
     """`molecules` with each one's positions centred inside its row (no shuffle), at nine digits, so that sums in another order end alike."""
-    rows = molecules.withColumn("__mean", F.when(F.size("positions") > 0, F.array(*map(_axis_mean, range(3)))))
-    moved = F.transform("positions", lambda p: F.zip_with(p, "__mean", lambda x, m: F.round(x - m, 9)))
-    return rows.withColumn("positions", moved).drop("__mean")
 
+    @F.arrow_udf("array<array<double>>")
+    def centred(positions: pa.Array) -> pa.Array:
+        sizes, values, like = flat(positions)
+        return as_lists(centre(values, sizes), sizes, like)
+
+    return molecules.withColumn("positions", centred("positions"))
 
-def square_sum(vectors: Column) -> Column:
-    return F.aggregate(F.flatten(vectors), F.lit(0.0), lambda a, x: a + x * x)
+
+def with_moments(molecules: DataFrame) -> DataFrame:
+    """Per molecule the square sums of the centred positions (p) and of the forces (f), how many components they have (np, nf), and its energy."""
+
+    @F.arrow_udf("p double, np long, f double, nf long")
+    def moments(positions: pa.Array, forces: pa.Array) -> pa.Array:
+        out = []
+        for column, move in ((positions, centre), (forces, lambda v, _: v)):
+            sizes, values, _ = flat(column)
+            square = (move(values, sizes) ** 2).sum(axis=1)
+            out += [pa.array(np.bincount(np.repeat(np.arange(len(sizes)), sizes), square, len(sizes))), pa.array(3 * sizes)]
+        return pa.StructArray.from_arrays(out, ["p", "np", "f", "nf"])
+
+    return molecules.select(moments("positions", "forces").alias("m"), "energy").select("m.*", "energy")
 
 
 def fit_scales(molecules: DataFrame) -> Scales:
@@ -41,12 +81,7 @@ def fit_scales(molecules: DataFrame) -> Scales:
 
     One aggregation over whole molecules: nothing is exploded. A scale that is not positive is 1; all are kept to nine digits.
     """
-    rows = with_centred(molecules)
-    parts = rows.select(
-        square_sum(F.col("positions")).alias("p"), F.size(F.flatten("positions")).alias("np"),
-        square_sum(F.col("forces")).alias("f"), F.size(F.flatten("forces")).alias("nf"), "energy",
-    )
-    r = parts.agg(
+    r = with_moments(molecules).agg(
         positive_or_one(F.sqrt(F.try_divide(F.sum("p"), F.sum("np")))).alias("p"), positive_or_one(F.sqrt(F.try_divide(F.sum("f"), F.sum("nf")))).alias("f"),
         F.avg("energy").alias("m"), positive_or_one(F.stddev_pop("energy")).alias("e"),
     ).first()
@@ -61,9 +96,13 @@ def scale_frame(molecules: DataFrame) -> DataFrame:
 
 def apply_scales(molecules: DataFrame, scales: Scales) -> DataFrame:
     """Molecules in scaled units: centred positions and forces over their scales, energies shifted and scaled; nine digits."""
-    rows = with_centred(molecules)
-    over = lambda c, s: F.transform(c, lambda p: F.transform(p, lambda x: F.round(x / F.lit(s), 9)))
-    return rows.withColumns({
-        "positions": over("positions", scales.position), "forces": over("forces", scales.force),
-        "energy": F.round((F.col("energy") - F.lit(scales.energy_shift)) / F.lit(scales.energy), 9),
-    })
+
+    @F.arrow_udf("p array<array<double>>, f array<array<double>>")
+    def scaled(positions: pa.Array, forces: pa.Array) -> pa.Array:
+        (n, p, p_like), (m, f, f_like) = flat(positions), flat(forces)
+        p, f = np.round(centre(p, n) / scales.position, 9), np.round(f / scales.force, 9)
+        return pa.StructArray.from_arrays([as_lists(p, n, p_like), as_lists(f, m, f_like)], ["p", "f"])
+
+    rows = molecules.withColumn("__s", scaled("positions", "forces"))
+    energy = F.round((F.col("energy") - F.lit(scales.energy_shift)) / F.lit(scales.energy), 9)
+    return rows.withColumns({"positions": F.col("__s.p"), "forces": F.col("__s.f"), "energy": energy}).drop("__s")

@@ -196,6 +196,23 @@ def vocab_sql() -> str:
     return "SELECT token_id::BIGINT AS token_id, token FROM (" + " UNION ALL ".join(parts) + ")"
 
 
+def big_scalar_sql() -> str:
+    ctes = ["l0 AS (SELECT event_id, round(value / 100 - 2, 9) AS r FROM events)"]
+    for k, (c, b) in enumerate(zip(q.BIG_SCALAR.centroids, q.BIG_SCALAR.bounds, strict=True)):
+        ctes.append(f"e{k} AS (SELECT *, len(list_filter({lst(b)}, lambda v: v < r)) AS c{k} FROM l{k})")
+        ctes.append(f"l{k + 1} AS (SELECT * REPLACE (round(r - {lst(c)}[c{k} + 1], 9) AS r) FROM e{k})")
+    return f"WITH {', '.join(ctes)} SELECT event_id, {', '.join(f'c{k}::BIGINT AS c{k}' for k in range(4))} FROM l4"
+
+
+def big_position_sql() -> str:
+    ctes = [ATOMS_B, "a0 AS (SELECT mol_id, atom_idx, x, y, z FROM atoms)"]
+    for k, book in enumerate(q.BIG_POSITION.vectors):
+        ctes.append(f"n{k} AS (SELECT *, list_transform({[list(v) for v in book]}, lambda v: (x - v[1]) * (x - v[1]) + (y - v[2]) * (y - v[2]) + (z - v[3]) * (z - v[3])) AS ds FROM a{k})")
+        ctes.append(f"o{k} AS (SELECT * EXCLUDE (ds), list_position(ds, list_min(ds)) - 1 AS c{k} FROM n{k})")
+        ctes.append(f"a{k + 1} AS (SELECT * REPLACE ({', '.join(f'round({a} - {lst(v[i] for v in book)}[c{k} + 1], 9) AS {a}' for i, a in enumerate('xyz'))}) FROM o{k})")
+    return f"WITH {', '.join(ctes)} SELECT mol_id, atom_idx::BIGINT AS atom_idx, {', '.join(f'c{k}::BIGINT AS c{k}' for k in range(8))} FROM a8"
+
+
 def info_sql() -> str:
     s = vocab.Space()
     named = {"vocab_size": s.vocab_size, "codebook_size": s.size, "pos_levels": s.pos_levels, "n_levels": s.levels, "atom_start": vocab.FIRST_ATOM, "pos_start": s.pos, "fx_start": s.channel(0), "fy_start": s.channel(1), "fz_start": s.channel(2), "energy_start": s.channel(3), "pad_id": 0, "bos_id": 1, "eos_id": 2}
@@ -226,6 +243,8 @@ def oracle_sql() -> dict[str, str]:
         "morton_codebook": f"WITH {SCALED_B}, {codebook_ctes('scaled', 'k0', 64)} SELECT 'position' AS channel, 0::BIGINT AS level, code::BIGINT AS code, {', '.join(f'{r6(a)} AS {a}' for a in 'xyz')} FROM k0",
         "rvq3d_encode": f"WITH {SCALED_B}, {two} SELECT mol_id, atom_idx::BIGINT AS atom_idx, c0::BIGINT AS c0, c1::BIGINT AS c1 FROM q1",
         "rvq3d_residual_rms": f"WITH {SCALED_B}, {two} " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS level, {r6('sqrt(sum(x * x + y * y + z * z) / (3 * count(*)))')} AS rms FROM q{k}" for k in range(2)),
+        "rvq1d_encode_256": big_scalar_sql(),
+        "rvq3d_encode_256": big_position_sql(),
         "vocab_table": vocab_sql(),
         "vocab_info": info_sql(),
         "token_ids": f"WITH {ids} SELECT mol_id, ({LENGTH})::BIGINT AS n_tokens, s AS tokens FROM seqs",
@@ -248,7 +267,7 @@ def oracle_sql() -> dict[str, str]:
         "predict_continuation": f"WITH {ATOMS_A} SELECT mol_id, 0.0::DOUBLE AS energy, count(atom_idx)::BIGINT AS n_forces FROM mols LEFT JOIN atoms USING (mol_id) GROUP BY mol_id",
         "wordlevel_ids": f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda v: v <> '') AS l FROM documents),
             u AS (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM w), i AS (SELECT doc_id, pos, coalesce(list_position({words}, token), 0) AS id FROM u)
-            SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE id = 0) AS n_unknown, sum(pos * id)::BIGINT AS checksum FROM i GROUP BY 1""",
+            SELECT doc_id, count(id) AS n_words, count(*) FILTER (WHERE id = 0) AS n_unknown, coalesce(sum(pos * id), 0)::BIGINT AS checksum FROM documents LEFT JOIN i USING (doc_id) GROUP BY 1""",
         "md5_sample": f"SELECT o_orderkey, {r6('o_totalprice')} AS o_totalprice FROM orders ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT 500",
         "train_val_split": f"WITH {split} SELECT o_orderkey, split FROM split",
         "shard_sizes": f"WITH {shards} SELECT split, shard::BIGINT AS shard, count(*) AS n FROM sh GROUP BY 1, 2",

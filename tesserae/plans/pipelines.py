@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.arrays import draw
+from tesserae.functions.order import drawn
 from tesserae.operators.codebook import (
     Levels1D, Levels3D, codebook_table, decode_1d, decode_3d, encode_1d, encode_3d, load_codebooks, train_1d, train_1d_kmeans, train_3d,
 )
-from tesserae.operators.corpus import length_statistics, split_by_sample
-from tesserae.operators.metrics import error_summary, s2ef, stacked
+from tesserae.operators.corpus import length_statistics, sample_rows, split_by_sample
+from tesserae.operators.metrics import error_summary, headlines, run_tasks, s2ef, stacked
 from tesserae.operators.molecule import space_of, tokenize
 from tesserae.operators.predict import predict
 from tesserae.operators.scale import Scales, apply_scales, fit_scales
 from tesserae.operators.vocab import tokens_to_text, vocabulary_info
-from tesserae.sources.files import shard_numbers, write_corpus, write_results, write_shards
+from tesserae.sources.files import (
+    SAMPLE_COLUMNS, place_in_shards, read_evaluation, shard_starts, write_corpus, write_molecule_csv, write_predictions, write_results, write_shards,
+)
 from tesserae.sources.fixtures import explode_atoms
 
 
@@ -24,7 +29,7 @@ def train(molecules: DataFrame, size: int = 256, pos_levels: int = 8, levels: in
     scales = fit_scales(molecules)
     scaled = apply_scales(molecules, scales)
     atoms = explode_atoms(scaled).withColumn("atom_key", F.concat_ws("/", "mol_id", "atom_idx"))
-    one = train_1d if method == "quantile" else (lambda df, c, n, k, key=None, cap=None, seed=0: train_1d_kmeans(df, c, n, k, seed))
+    one = train_1d if method == "quantile" else train_1d_kmeans
     books: dict[str, Levels1D | Levels3D] = {"position": train_3d(atoms, pos_levels, size, ["atom_key"], cap, seed, method)}
     for k, axis in enumerate("xyz", 1):
         books[f"force_{axis}"] = one(atoms, f"f{axis}", levels, size, "atom_key", cap, seed + 100 * k)
@@ -45,9 +50,7 @@ def reconstruction_report(molecules: DataFrame, books: dict, scales: Scales, spl
     """Errors in scaled units per split and channel: position, force (all axes together) and energy."""
     keep = [split] if split else []
     scaled = apply_scales(molecules, scales)
-    atoms = explode_atoms(scaled)
-    if split:
-        atoms = atoms.join(molecules.select("mol_id", split), "mol_id")
+    atoms = explode_atoms(scaled, keep)
     coded = encode_3d(atoms, books["position"])
     back = decode_3d(F.col("codes"), books["position"])
     coded = coded.withColumns({f"r{a}": F.get(back, F.lit(i)) for i, a in enumerate("xyz")})
@@ -70,10 +73,24 @@ def serialize(molecules: DataFrame, books: dict, scales: Scales, path: str) -> D
 
 
 def publish(molecules: DataFrame, books: dict, scales: Scales, path: str, val_size: int = 100_000, shard_size: int = 250_000, seed: int = 0, key: str = "mol_id") -> None:
-    """Tokenise, split, and write text shards of exact size: one shuffle to mark the split, one to deal the shards."""
+    """Tokenise, split, and write text shards of exact size.
+
+    Split and shard follow from the key's digest alone: keys are ranked on their own, and the first digest of every
+    shard is a short sorted list that goes to the tasks. So a text is made inside the scan and moves once, to its shard.
+    """
+    marked = split_by_sample(molecules.select(key), key, val_size, seed)
+    order = draw(F.col(key), seed + 1)
+    firsts = shard_starts(marked, order, shard_size)
     text = tokenize(molecules, books, scales).select(key, tokens_to_text(F.col("tokens"), space_of(books)).alias("text"))
-    marked = split_by_sample(text, key, val_size, seed)
-    write_shards(shard_numbers(marked, draw(F.col(key), seed + 1), shard_size).select("text", "split", "shard"), path)
+    placed = place_in_shards(text.withColumn("split", F.when(drawn(molecules.select(key), key, val_size, seed), "val").otherwise("train")), order, firsts)
+    write_shards(placed.select("text", "split", "shard"), path)
+
+
+def sample_to_csv(spark: SparkSession, source: str, path: str, n: int = 1_000_000, seed: int = 0, key: str = "property_id") -> None:
+    """n rows of a Parquet table, drawn by the digest of their key, as a CSV of the sample's columns: a projected scan and a filter."""
+    rows = spark.read.parquet(source)
+    rows = rows.select(*(c for c in SAMPLE_COLUMNS if c in rows.columns))
+    write_molecule_csv(sample_rows(rows, key, n, seed), path)
 
 
 def evaluate(structures: DataFrame, make, path: str | None = None) -> DataFrame:
@@ -82,3 +99,27 @@ def evaluate(structures: DataFrame, make, path: str | None = None) -> DataFrame:
     if path:
         write_results(result, path)
     return result
+
+
+def evaluate_file(spark: SparkSession, source: str, make, path: str, split: str = "val", max_samples: int = 0) -> DataFrame | None:
+    """Predict the structures of a Parquet table; write the predictions and, for the val split, the metrics. Other splits have no targets."""
+    structures = read_evaluation(spark, source, split, max_samples)
+    write_predictions(predict(structures, make), f"{path}/predictions")
+    if split != "val":
+        return None
+    back = spark.read.parquet(f"{path}/predictions").select("id", "energy", "forces")  # a model runs once
+    result = s2ef(back, structures, "id")
+    write_results(result, f"{path}/s2ef")
+    return result
+
+
+def evaluate_tasks(evaluation: DataFrame, path: str, tasks: Iterable[str] | None = None) -> DataFrame:
+    """Every task over (task, group_id, state, idx, pred, target): a result file per task, an error file for one that fails, and a summary."""
+    spark = evaluation.sparkSession
+    results = run_tasks(evaluation, tasks)
+    for name, result in results.items():
+        rows = result if isinstance(result, DataFrame) else spark.createDataFrame([(result["error"],)], "error string")
+        write_results(rows, f"{path}/{name}")
+    out = headlines(results, spark)
+    write_results(out, f"{path}/summary")
+    return out

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,6 +75,29 @@ def rvq1d_decode_error(spark, sf_dir):
     return out.select(*(r6(c).alias(c) for c in out.columns))
 
 
+def _big_scalar(levels: int = 4, size: int = 256) -> cb.Levels1D:
+    """A codebook of the default shape, made from a rule: even steps that shrink from level to level."""
+    levels_ = [[(k - (size - 1) / 2) * 8.0 / size ** (1 + level) for k in range(size)] for level in range(levels)]
+    return cb.Levels1D(tuple(map(tuple, levels_)), tuple(tuple((a + b) / 2 for a, b in zip(c, c[1:], strict=False)) for c in levels_))
+
+
+BIG_SCALAR = _big_scalar()
+#: 256 vectors a level: a grid of 4 x 8 x 8 that shrinks from level to level.
+BIG_POSITION = cb.Levels3D(tuple(tuple((((k >> 6) - 1.5) * 2.0 / 4**level, ((k >> 3) % 8 - 3.5) / 4**level, (k % 8 - 3.5) / 4**level) for k in range(256)) for level in range(8)))
+
+
+def rvq1d_encode_256(spark, sf_dir):
+    """Every event at the default shape of a scalar channel: 256 codes, four levels, nothing trained."""
+    rows = fx.table(spark, sf_dir, "events").select("event_id", F.round(F.col("value") / 100 - 2, 9).alias("r"))
+    return cb.encode_1d(rows, "r", BIG_SCALAR).select("event_id", *(big(f"c{k}").alias(f"c{k}") for k in range(4)))
+
+
+def rvq3d_encode_256(spark, sf_dir):
+    """Every atom at the default shape of positions: 256 codes, eight levels, nothing trained."""
+    out = cb.encode_3d(fx.vector_atoms(spark, sf_dir), BIG_POSITION)
+    return out.select("mol_id", big("atom_idx").alias("atom_idx"), *(big(F.get("codes", F.lit(k))).alias(f"c{k}") for k in range(8)))
+
+
 def scale_stats(spark, sf_dir):
     out = scale.scale_frame(fx.order_molecules(spark, sf_dir))
     return out.select(*(r6(c).alias(c) for c in out.columns))
@@ -112,18 +134,14 @@ def rvq3d_encode(spark, sf_dir):
 
 def rvq3d_residual_rms(spark, sf_dir):
     atoms = _scaled_atoms(spark, sf_dir)
-    book = cb.train_3d(atoms, 2, 16, ["mol_id", "atom_idx"])
-    parts = []
-    for k in range(1, 3):
-        left = cb.encode_3d(atoms, cb.Levels3D(book.vectors[:k]), keep_residual=True)
-        square = F.col("rx") * F.col("rx") + F.col("ry") * F.col("ry") + F.col("rz") * F.col("rz")
-        parts.append(left.agg(F.sqrt(F.sum(square) / (3 * F.count("*"))).alias("rms")).select(big(F.lit(k - 1)).alias("level"), r6("rms").alias("rms")))
-    return reduce(DataFrame.unionByName, parts)
+    left = cb.encode_3d(atoms, cb.train_3d(atoms, 2, 16, ["mol_id", "atom_idx"]), keep_squares=True)
+    levels = left.select(F.posexplode("squares").alias("level", "square")).groupBy("level")
+    return levels.agg(F.sqrt(F.sum("square") / (3 * F.count("*"))).alias("rms")).select(big("level").alias("level"), r6("rms").alias("rms"))
 
 
 def kmeans_codebook(spark, sf_dir):
     atoms = _scaled_atoms(spark, sf_dir)
-    book = cb.kmeans_vectors(atoms, ["x", "y", "z"], 8, seed=1, restarts=2)
+    book = cb.kmeans_vectors(atoms, ["x", "y", "z"], 8, seed=1)
     return _book_rows(spark, {"position": cb.Levels3D((tuple(book),))})
 
 
@@ -210,9 +228,10 @@ def predict_continuation(spark, sf_dir):
 
 def wordlevel_ids(spark, sf_dir):
     words = spark.createDataFrame([(w, k) for k, w in enumerate(WORDS, 1)], "token string, token_id int")
-    ids = vocab.word_ids(fx.table(spark, sf_dir, "documents"), words, "doc_id", "text", 0)
-    out = ids.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count(F.when(F.col("token_id") == 0, 1)).alias("n_unknown"), F.sum(big("pos") * big("token_id")).alias("checksum"))
-    return out
+    docs = fx.table(spark, sf_dir, "documents")
+    ids = vocab.word_ids(docs, words, "doc_id", "text", 0)
+    found = ids.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count(F.when(F.col("token_id") == 0, 1)).alias("n_unknown"), F.sum(big("pos") * big("token_id")).alias("checksum"))
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_words", "n_unknown", "checksum")))
 
 
 def md5_sample(spark, sf_dir):
@@ -290,7 +309,7 @@ def task_gap_errors(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     rvq1d_level1, rvq1d_encode, rvq1d_encode_plain, rvq1d_decode_error, scale_stats, centered_positions, morton_codes, morton_codebook, rvq3d_encode,
-    rvq3d_residual_rms, kmeans_codebook, vocab_table, vocab_info, token_ids, token_text, token_stats, section_shuffle, decode_tokens, roundtrip_error,
+    rvq3d_residual_rms, rvq1d_encode_256, rvq3d_encode_256, kmeans_codebook, vocab_table, vocab_info, token_ids, token_text, token_stats, section_shuffle, decode_tokens, roundtrip_error,
     recon_report, prompt_tokens, parse_defaults, predict_continuation, wordlevel_ids, md5_sample, train_val_split, shard_sizes, shard_members, offset_split,
     row_index, nested_json_roundtrip, s2ef_metrics, task_summary, task_distance_detail, task_gap_errors,
 )} | {f"task_{name}": _task(name) for name in metrics.TASKS}

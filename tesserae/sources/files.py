@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -94,6 +96,30 @@ def shard_numbers(df: DataFrame, draw: Column, shard_size: int, split: str = "sp
     return ranked.join(starts, [split, "__c"]).withColumn("shard", shard).drop("__o", "__c", "__r", "__s")
 
 
+def shard_starts(df: DataFrame, draw: Column, shard_size: int, split: str = "split") -> dict[str, list[str]]:
+    """The first `draw` of every shard of `shard_numbers`, in order, by split: one text per shard reaches the driver."""
+    rows = shard_numbers(df.withColumn("__d", draw), F.col("__d"), shard_size, split).groupBy(split, "shard").agg(F.min("__d").alias("first"))
+    out: dict[str, list[str]] = {}
+    for r in rows.orderBy(split, "shard").collect():
+        out.setdefault(r[split], []).append(r["first"])
+    return out
+
+
+def place_in_shards(df: DataFrame, draw: Column, firsts: dict[str, list[str]], split: str = "split") -> DataFrame:
+    """`df` with the `shard` whose range of `draw` a row falls in: a binary search per row, and no shuffle."""
+    starts = {s: np.array(x) for s, x in firsts.items()}
+
+    @F.arrow_udf("long")
+    def shard(splits: pa.Array, draws: pa.Array) -> pa.Array:
+        own, d = splits.to_numpy(zero_copy_only=False), draws.to_numpy(zero_copy_only=False).astype(str)
+        out = np.zeros(len(d), np.int64)
+        for s, first in starts.items():
+            out[own == s] = np.searchsorted(first, d[own == s], "right") - 1
+        return pa.array(np.maximum(out, 0))
+
+    return df.withColumn("shard", shard(F.col(split), draw))
+
+
 def write_shards(df: DataFrame, path: str, split: str = "split", shard: str = "shard") -> None:
     """One file per shard, in folders split=.../shard=...: rows of a shard meet in one task, which its size bounds."""
     df.repartition(split, shard).write.mode("overwrite").partitionBy(split, shard).parquet(path)

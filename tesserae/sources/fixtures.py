@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,10 +57,10 @@ def vector_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_atoms(vector_molecules(spark, sf_dir))
 
 
-def explode_atoms(molecules: DataFrame) -> DataFrame:
-    rows = molecules.select("mol_id", "energy", F.posexplode(F.arrays_zip("atomic_numbers", "positions", "forces")).alias("atom_idx", "a"))
+def explode_atoms(molecules: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
+    rows = molecules.select("mol_id", "energy", *keep, F.posexplode(F.arrays_zip("atomic_numbers", "positions", "forces")).alias("atom_idx", "a"))
     axes = [F.get(F.col("a")[k], F.lit(i)).alias(n) for k, names in (("positions", "x y z"), ("forces", "fx fy fz")) for i, n in enumerate(names.split())]
-    return rows.select("mol_id", "atom_idx", F.col("a.atomic_numbers").alias("atomic_number"), *axes, "energy")
+    return rows.select("mol_id", "atom_idx", F.col("a.atomic_numbers").alias("atomic_number"), *axes, "energy", *keep)
 
 
 def task_energies(spark: SparkSession, sf_dir: str) -> DataFrame:

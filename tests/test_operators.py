@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -11,12 +13,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tesserae.functions.arrays import bucket, morton
+from tesserae.functions import order
+from tesserae.functions.arrays import morton
 from tesserae.operators import codebook as cb
 from tesserae.operators import corpus, metrics, molecule, predict, scale, vocab
 from tesserae.plans import pipelines
-from tesserae.queries import FIXED_BOOKS, FIXED_SCALES, SPACE
+from tesserae.queries import BIG_POSITION, BIG_SCALAR, FIXED_BOOKS, FIXED_SCALES, SPACE
 from tesserae.sources import files
+from tesserae.streaming import encode as stream
 
 MOLECULE = "mol_id long, atomic_numbers array<int>, positions array<array<double>>, forces array<array<double>>, energy double"
 ATOMS_END, POS, POS_END, FORCE, FORCE_END, ENERGY, ENERGY_END, NL = 5, 6, 7, 8, 9, 10, 11, 3
@@ -40,14 +44,17 @@ def whole(atoms=(1,), pos_rows=1, force_rows=1, energy=2):
 
 @settings(max_examples=200)
 @given(st.lists(st.floats(-5, 5), min_size=1, max_size=9).map(sorted), st.floats(-6, 6))
-def test_searchsorted_is_what_bucket_means(bounds, x):
-    # The rule itself, without Spark: how many bounds lie below.
-    assert int(np.searchsorted(bounds, x, "left")) == sum(b < x for b in bounds)
+def test_codes_count_the_bounds_below(bounds, x):
+    book = cb.Levels1D((tuple([0.0] * (len(bounds) + 1)),), (tuple(bounds),))
+    assert cb.scalar_codes(np.array([x]), book)[0].item() == sum(b < x for b in bounds)
 
 
-def test_bucket_takes_bounds_to_the_lower_side(spark):
+def test_values_on_bounds_go_to_the_lower_side(spark):
     rows = spark.createDataFrame([(x,) for x in (-9.0, 0.0, 0.5, 1.0, 1.5, 9.0, None)], "x double")
-    assert [r[0] for r in rows.select(bucket(F.col("x"), [0.0, 1.0, 1.0])).collect()] == [0, 0, 1, 1, 3, 3, None]
+    book = cb.Levels1D(((0.0, 1.0, 2.0, 3.0),), ((0.0, 1.0, 1.0),))
+    got = cb.encode_1d(rows, "x", book, residual="r").collect()
+    assert [r["c0"] for r in got] == [0, 0, 1, 1, 3, 3, None] and got[-1]["r"] is None and got[-2]["r"] == 6.0
+    assert [r["c0"] for r in cb.encode_1d_plain(rows, "x", book).collect()] == [0, 0, 1, 1, 3, 3, None]
 
 
 def test_morton_interleaves_ten_bits(spark):
@@ -193,3 +200,296 @@ def test_empty_tables(spark):
     assert molecule.tokenize(none, FIXED_BOOKS, FIXED_SCALES).count() == 0
     assert molecule.decode(molecule.tokenize(none, FIXED_BOOKS, FIXED_SCALES), FIXED_BOOKS, FIXED_SCALES).count() == 0
     assert corpus.split_by_sample(none, "mol_id", 3).count() == 0
+
+
+# Exact order statistics
+
+
+def test_quantiles_are_numpys(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(size=4000), np.zeros(2000), rng.normal(size=500) * 1e9, [1e-300, -1e300]]).tolist()
+    df = spark.createDataFrame([(x,) for x in values] + [(None,)], "x double")
+    at = [0.0, 0.01, 1 / 3, 0.5, 0.9, 1.0]
+    got = order.quantiles(df, "x", at)[()]
+    assert np.allclose(got, np.quantile(values, at), rtol=1e-12, atol=1e-300)
+
+
+def test_order_values_cut_cells_until_few_rows_are_left(spark, monkeypatch):
+    monkeypatch.setattr(order, "CELLS", 4)
+    monkeypatch.setattr(order, "COLLECTED", 3)
+    rng = np.random.default_rng(6)
+    values = sorted([*rng.integers(-50, 50, 200).tolist(), *[7] * 100, -(2**59), 2**59, 2**59 + 1, 2**59 + 2])
+    df = spark.createDataFrame([(x, x % 2) for x in values], "x long, g long")
+    n, got = order.order_values(df, "x", range)[()]
+    assert n == len(values) and {r: v for r, (v, _) in got.items()} == dict(enumerate(values))
+    assert all(below == sum(v < values[r] for v in values) for r, (_, below) in got.items())
+    groups = order.order_values(df, "x", range, ["g"])
+    assert all({r: v for r, (v, _) in groups[g,][1].items()} == dict(enumerate(x for x in values if x % 2 == g)) for g in (0, 1))
+    assert order.order_values(df.limit(0), "x", range).get((), (0, {}))[1] == {}
+    assert order.quantiles(df.limit(0), "x", [0.5]).get(()) is None
+
+
+def test_nan_is_the_largest(spark):
+    df = spark.createDataFrame([(float("nan"),), (1.0,), (2.0,)], "x double")
+    got = order.order_values(df, "x", range)[()][1]
+    assert [got[0][0], got[1][0]] == [1.0, 2.0] and math.isnan(got[2][0])
+
+
+def test_error_summary_of_groups(spark):
+    rows = [("a", -1.0), ("a", 3.0), ("a", 2.0), (None, 5.0)]
+    got = {r["g"]: r for r in metrics.error_summary(spark.createDataFrame(rows, "g string, e double"), F.col("e"), ["g"]).collect()}
+    assert (got["a"]["mae"], got["a"]["median_error"], got["a"]["max_error"]) == (2.0, 2.0, 3.0) and got[None]["median_error"] == 5.0
+    none = metrics.error_summary(spark.createDataFrame([], "e double"), F.col("e")).collect()
+    assert len(none) == 1 and none[0]["median_error"] is None
+
+
+def test_exact_subsamples(spark):
+    rows = spark.range(500).select(F.col("id").alias("k"), F.rand(1).alias("r"))
+    some = cb.sample_exact(rows, "k", 40, seed=3)
+    assert some.count() == 40 and sorted(map(str, some.collect())) == sorted(map(str, cb.sample_exact(rows, "k", 40, seed=3).collect()))
+    assert cb.sample_exact(rows, "k", 40, seed=4).intersect(some).count() < 40 and cb.sample_exact(rows, "k", 9000).count() == 500
+    assert cb.train_1d(rows, "r", 1, 8, key="k", cap=40, seed=3) == cb.train_1d(some, "r", 1, 8)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "TakeOrdered" not in plan
+
+
+# Scaling and coding at scale
+
+
+def test_centring_costs_the_same_per_atom_whatever_the_molecule(spark):
+    def seconds(atoms):
+        rng = np.random.default_rng(1)
+        rows = [(k, [1] * atoms, rng.normal(size=(atoms, 3)).tolist(), rng.normal(size=(atoms, 3)).tolist(), 0.0) for k in range(40_000 // atoms)]
+        df = spark.createDataFrame(rows, MOLECULE).repartition(4).cache()
+        df.count()
+        out = scale.apply_scales(df, FIXED_SCALES)
+        run = lambda: out.write.format("noop").mode("overwrite").save()
+        run()
+        began = time.perf_counter()
+        run()
+        return time.perf_counter() - began
+
+    small, large = seconds(50), seconds(2000)
+    assert large < 4 * small + 0.5
+
+
+def test_plans_hold_no_aggregate_inside_a_lambda_and_move_no_rows(spark):
+    source = molecules(spark, (2, 3))
+    for df in (scale.with_centred(source), scale.apply_scales(source, FIXED_SCALES), molecule.decode(molecule.tokenize(source, FIXED_BOOKS, FIXED_SCALES), FIXED_BOOKS, FIXED_SCALES)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "aggregate(" not in plan and "Window" not in plan
+
+
+def test_default_shapes_code_and_decode(spark):
+    rng = np.random.default_rng(2)
+    books = {"position": BIG_POSITION, **{f"force_{a}": BIG_SCALAR for a in "xyz"}, "energy": BIG_SCALAR}
+    rows = [(k, [6] * n, rng.normal(size=(n, 3)).tolist(), rng.normal(size=(n, 3)).tolist(), float(k)) for k, n in enumerate((1, 17, 300))]
+    source, scales = spark.createDataFrame(rows, MOLECULE), scale.Scales(1.0, 1.0, 0.0, 1.0)
+    tokens = molecule.tokenize(source, books, scales)
+    assert {r["mol_id"]: r["n"] for r in tokens.select("mol_id", F.size("tokens").alias("n")).collect()} == {k: 23 * n + 15 for k, n in enumerate((1, 17, 300))}
+    back = {r["mol_id"]: r for r in molecule.decode(tokens, books, scales).collect()}
+    for k, _, p, f, e in rows:
+        assert np.abs(np.array(back[k]["forces"]) - f).max() < 1e-6 and abs(back[k]["energy"] - e) < 1e-6
+        assert np.abs(np.array(back[k]["positions"]) - (np.array(p) - np.mean(p, axis=0))).max() < 0.1
+    coded = molecule.encode_codes(scale.apply_scales(source, scales), books).select("mol_id", "codes").collect()
+    assert [(len(r["codes"]["pos"]), len(r["codes"]["pos"][0]), len(r["codes"]["fx"][0]), len(r["codes"]["en"])) for r in sorted(coded)] == [(n, 8, 4, 4) for n in (1, 17, 300)]
+
+
+def test_lists_of_different_lengths_fail(spark):
+    rows = spark.createDataFrame([(1, [1, 2], [[0.0] * 3], [[0.0] * 3], 0.0)], MOLECULE)
+    with pytest.raises(Exception, match="differ in length"):
+        molecule.tokenize(rows, FIXED_BOOKS, FIXED_SCALES).collect()
+
+
+def read_by_hand(tokens):
+    """The decoder's rules, token by token."""
+    f, e, K = [SPACE.channel(k) for k in range(3)], SPACE.channel(3), SPACE.size
+    atoms, pos, forces, energy, section = [], [], [[], [], []], [], None
+    here, axes = [], [[], [], []]
+    for t in tokens:
+        if t in (1, 2):
+            continue
+        if 4 <= t <= 11:
+            section = t if t in (4, POS, FORCE, ENERGY) else None
+            here, axes = [], [[], [], []]
+        elif section == 4:
+            if 12 <= t < 130:
+                atoms.append(t - 11)
+        elif section == POS:
+            if t == NL:
+                if here:
+                    pos.append(here)
+                here = []
+            else:
+                here.append((t - SPACE.pos) % K)
+        elif section == FORCE:
+            if t == NL:
+                if axes[0]:
+                    for out, own in zip(forces, axes):
+                        if own:
+                            out.append(own)
+                    axes = [[], [], []]
+            elif t >= f[0]:
+                k = 2 if t >= f[2] else 1 if t >= f[1] else 0
+                axes[k].append((t - f[k]) % K)
+        elif section == ENERGY and t != NL:
+            energy.append((t - e) % K)
+    short = any(len(c) < SPACE.pos_levels for c in pos) or any(len(c) < SPACE.levels for c in [*forces[0], *forces[1], *forces[2], energy])
+    bad = short or not pos or not forces[0] or len({*map(len, forces)}) > 1
+    if bad:
+        return atoms, None, None, None, True
+    value = lambda book, codes: sum(level[c] for level, c in zip(book.centroids, codes))
+    xyz = [[FIXED_SCALES.position * sum(level[c][i] for level, c in zip(FIXED_BOOKS["position"].vectors, codes)) for i in range(3)] for codes in pos]
+    force = [[FIXED_SCALES.force * value(FIXED_BOOKS["force_x"], own[k]) for own in forces] for k in range(len(forces[0]))]
+    return atoms, xyz, force, value(FIXED_BOOKS["energy"], energy) * FIXED_SCALES.energy + FIXED_SCALES.energy_shift, False
+
+
+def test_random_malformed_sequences_follow_the_rules(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(600):
+        seq = whole(atoms=[rng.randrange(1, 9) for _ in range(rng.randrange(3))], pos_rows=rng.randrange(3), force_rows=rng.randrange(3), energy=rng.choice([0, 1, 2, 2, 3]))
+        for _ in range(rng.choice([0, 1, 2, 6])):
+            at, what = rng.randrange(len(seq)), rng.randrange(4)
+            seq[at : at + (what > 0)] = [[rng.randrange(SPACE.vocab_size + 5)], [], [rng.randrange(12)], [NL]][what]
+        if k % 7 == 0:
+            seq = seq + seq[rng.randrange(len(seq)) :]
+        rows.append((k, seq))
+    got = {r["mol_id"]: r for r in molecule.decode(spark.createDataFrame(rows, "mol_id long, tokens array<int>"), FIXED_BOOKS, FIXED_SCALES).collect()}
+    good = 0
+    for k, seq in rows:
+        atoms, pos, force, energy, bad = read_by_hand(seq)
+        r = got[k]
+        assert (r["atomic_numbers"], r["error"], r["positions"] is None, r["energy"] is None) == (atoms, bad, bad, bad), (seq, r)
+        if not bad:
+            good += 1
+            assert np.allclose(r["positions"], pos) and np.allclose(r["forces"], force) and r["energy"] == pytest.approx(energy)
+    assert 50 < good < 550
+    odd = molecule.decode(spark.createDataFrame([(1, None), (2, [None, 1, None])], "mol_id long, tokens array<int>"), FIXED_BOOKS, FIXED_SCALES).collect()
+    assert all(r["error"] and r["atomic_numbers"] == [] for r in odd)
+
+
+# k-means
+
+
+def test_kmeans_fills_up_and_beats_a_plain_lloyd(spark):
+    few = spark.createDataFrame([(float(x % 3),) for x in range(30)], "r double")
+    book = cb.train_1d_kmeans(few, "r", 2, 8, restarts=1)
+    assert len(book.centroids[0]) == 8 and set(book.centroids[0]) == {0.0, 1.0, 2.0}
+    assert [r["c0"] for r in cb.encode_1d(few.distinct().orderBy("r"), "r", book).collect()] == sorted({r["c0"] for r in cb.encode_1d(few, "r", book).collect()})
+    rng = np.random.default_rng(3)
+    points = np.concatenate([rng.normal(c, 0.1, (60, 3)) for c in ((0, 0, 0), (3, 0, 0), (0, 3, 0), (0, 0, 3))])
+    df = spark.createDataFrame(points.tolist(), "x double, y double, z double")
+    cost = lambda centres: ((points - centres[cb.nearest(points, centres)]) ** 2).sum()
+    best = np.inf
+    for seed in range(10):
+        centres = points[np.random.default_rng(seed).choice(len(points), 4, replace=False)]
+        for _ in range(30):
+            own = cb.nearest(points, centres)
+            centres = np.array([points[own == k].mean(axis=0) if (own == k).any() else centres[k] for k in range(4)])
+        best = min(best, cost(centres))
+    assert cost(np.array(cb.kmeans_vectors(df, ["x", "y", "z"], 4, seed=1))) <= best * 1.01
+
+
+def test_scalar_kmeans_trains_on_its_cap(spark):
+    rows = spark.range(200).select(F.col("id").alias("k"), F.col("id").cast("double").alias("r"))
+    some = cb.sample_exact(rows, "k", 5, seed=2)
+    assert set(cb.train_1d_kmeans(rows, "r", 1, 5, "k", 5, 2, restarts=3).centroids[0]) == {r["r"] for r in some.collect()}
+
+
+# Whole jobs
+
+
+def test_train_by_kmeans(spark):
+    books, _ = pipelines.train(molecules(spark, (4, 5, 6)), size=3, pos_levels=1, levels=1, cap=10, method="kmeans")
+    assert len(books["position"].vectors[0]) == 3 and all(len(books[c].centroids[0]) == 3 for c in ("force_x", "force_y", "force_z", "energy"))
+
+
+def test_serialize_and_read_the_corpus(spark, tmp_path):
+    source = molecules(spark, (1, 3))
+    stats = pipelines.serialize(source, FIXED_BOOKS, FIXED_SCALES, str(tmp_path / "c")).first()
+    rows, info = files.read_corpus(spark, str(tmp_path / "c"))
+    assert stats["n_molecules"] == rows.count() == 2 and stats["n_tokens"] == sum(len(r["tokens"]) for r in rows.collect())
+    assert info["vocab_size"] == SPACE.vocab_size and info["pos_start"] == SPACE.pos
+
+
+def test_publish_moves_text_once_and_keeps_every_molecule(spark, tmp_path):
+    source = molecules(spark, [1 + k % 3 for k in range(60)])
+    pipelines.publish(source, FIXED_BOOKS, FIXED_SCALES, str(tmp_path / "out"), val_size=13, shard_size=10)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert {(r["split"], r["shard"]): r["count"] for r in out.groupBy("split", "shard").count().collect()} == {**{("train", k): 10 for k in range(4)}, ("train", 4): 7, ("val", 0): 10, ("val", 1): 3}
+    texts = molecule.tokenize(source, FIXED_BOOKS, FIXED_SCALES).select(vocab.tokens_to_text(F.col("tokens"), SPACE).alias("text"))
+    assert sorted(r["text"] for r in out.select("text").collect()) == sorted(r["text"] for r in texts.collect())
+
+
+def test_sampler_job(spark, tmp_path):
+    rows = molecules(spark, [1 + k % 2 for k in range(50)]).select(F.concat(F.lit("p"), "mol_id").alias("property_id"), "atomic_numbers", "positions", F.col("forces").alias("atomic_forces"), "energy", F.lit(1).alias("other"))
+    rows.write.parquet(str(tmp_path / "in"))
+    pipelines.sample_to_csv(spark, str(tmp_path / "in"), str(tmp_path / "out"), n=20, seed=3)
+    back = files.read_molecule_csv(spark, str(tmp_path / "out"))
+    assert back.count() == 20 and tuple(back.columns) == files.SAMPLE_COLUMNS
+    want = {r["property_id"]: r for r in rows.collect()}
+    assert all(want[r["property_id"]]["positions"] == r["positions"] for r in back.collect())
+    first = files.read_molecule_csv(spark, str(tmp_path / "out"), max_rows=5)
+    assert [r["property_id"] for r in first.orderBy("property_id").collect()] == sorted(r["property_id"] for r in back.collect())[:5]
+    assert files.read_molecule_parquet(spark, str(tmp_path / "in")).columns == ["atomic_numbers", "positions", "atomic_forces", "energy"]
+
+
+def test_evaluation_of_a_file(spark, tmp_path):
+    def zeros():
+        return lambda batch: pd.DataFrame({"id": batch["id"], "energy": 0.0, "forces": [[[0.0] * 3] * int(n) for n in batch["natoms"]]})
+
+    molecules(spark, (1, 2, 3)).select("atomic_numbers", "positions", "forces", F.col("energy").alias("total_energy")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    rows = files.read_evaluation(spark, str(tmp_path / "in"))
+    assert sorted(r["id"] for r in rows.collect()) == ["0", "1", "2"] and {"energy", "forces"} <= set(rows.columns)
+    assert files.read_evaluation(spark, str(tmp_path / "in"), max_samples=2).count() == 2
+    assert "energy" not in files.read_evaluation(spark, str(tmp_path / "in"), split="test").columns
+    got = pipelines.evaluate_file(spark, str(tmp_path / "in"), zeros, str(tmp_path / "out")).first()
+    assert got["n_structures"] == 3 and got["energy_mae"] == pytest.approx(149_000.0)
+    assert spark.read.json(str(tmp_path / "out" / "s2ef")).first()["n_atoms"] == 6
+    assert sorted(r["natoms"] for r in spark.read.parquet(str(tmp_path / "out" / "predictions")).collect()) == [1, 2, 3]
+    assert pipelines.evaluate_file(spark, str(tmp_path / "in"), zeros, str(tmp_path / "test"), split="test") is None
+    assert pipelines.evaluate(rows, zeros, str(tmp_path / "r")).first()["n_structures"] == spark.read.json(str(tmp_path / "r")).first()["n_structures"] == 3
+
+
+def test_a_failing_task_does_not_stop_the_others(spark, tmp_path):
+    rows = [("conformers", 1, "", 0, 1.0, 2.0), ("conformers", 1, "", 1, 0.5, 1.0), ("spin_gap", 1, "singlet", 0, 1.0, 1.0), ("ligand_pocket", 1, "complex", 0, 2.0, 3.0)]
+    table = spark.createDataFrame(rows, "task string, group_id long, state string, idx long, pred double, target double")
+    broken = table.withColumn("pred", F.when(F.col("task") == "spin_gap", F.raise_error(F.lit("broken rows"))).otherwise(F.col("pred")))
+    got = metrics.run_tasks(broken, ["conformers", "no such task", "spin_gap", "ligand_pocket"])
+    assert set(got) == {"conformers", "spin_gap", "ligand_pocket"} and "broken rows" in got["spin_gap"]["error"]
+    out = {r["task"]: (r["metric"], r["value"]) for r in pipelines.evaluate_tasks(broken, str(tmp_path / "t"), got).collect()}
+    assert out == {"conformers": ("accuracy", 1.0), "spin_gap": ("error", None), "ligand_pocket": ("mae_mev", 1000.0)}
+    assert "broken rows" in spark.read.json(str(tmp_path / "t" / "spin_gap")).first()["error"]
+    assert spark.read.json(str(tmp_path / "t" / "ligand_pocket")).first()["n"] == 1 and spark.read.json(str(tmp_path / "t" / "summary")).count() == 3
+
+
+def test_reports_by_split(spark):
+    source = molecules(spark, (2, 3, 4)).withColumn("split", F.when(F.col("mol_id") == 0, "val").otherwise("train"))
+    by = {(r["split"], r["channel"]): r for r in pipelines.reconstruction_report(source, FIXED_BOOKS, FIXED_SCALES, split="split").collect()}
+    assert set(by) == {(s, c) for s in ("val", "train") for c in ("position", "force", "energy")}
+    whole_ = {r["channel"]: r for r in pipelines.reconstruction_report(source, FIXED_BOOKS, FIXED_SCALES).collect()}
+    assert all(whole_[c]["max_error"] == max(by[s, c]["max_error"] for s in ("val", "train")) for c in whole_)
+
+
+def test_vocabulary_files_and_texts(spark, tmp_path):
+    vocab.write_tokenizer(spark, SPACE, str(tmp_path / "v"))
+    rows = spark.read.json(str(tmp_path / "v")).collect()
+    assert len(rows) == SPACE.vocab_size + 1 and {r["role"]: r["token"] for r in rows if r["role"]} == {"pad": "[PAD]", "bos": "[BOS]", "eos": "[EOS]", "unk": "[UNK]"}
+    tokens = spark.createDataFrame([([1, NL, -1, SPACE.vocab_size],)], "t array<int>")
+    text = lambda **k: tokens.select(vocab.tokens_to_text(F.col("t"), SPACE, **k)).first()[0]
+    assert text() == f"[BOS] [NL] [UNK:-1] [UNK:{SPACE.vocab_size}]" and text(pretty=True) == f"[BOS] \n [UNK:-1] [UNK:{SPACE.vocab_size}]"
+
+
+# Streams
+
+
+def test_streams_tokenise_like_tables(spark, tmp_path):
+    source = molecules(spark, (1, 2, 3))
+    source.write.parquet(str(tmp_path / "in"))
+    want = sorted(map(str, molecule.tokenize(source, FIXED_BOOKS, FIXED_SCALES).select("mol_id", "tokens").collect()))
+    stream.stream_tokens(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "at"), FIXED_BOOKS, FIXED_SCALES, MOLECULE).awaitTermination()
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == want
+    seen = []
+    stream.stream_batches(spark, str(tmp_path / "in"), str(tmp_path / "at2"), FIXED_BOOKS, FIXED_SCALES, MOLECULE, lambda df, k: seen.extend(map(str, df.collect()))).awaitTermination()
+    assert sorted(seen) == want
