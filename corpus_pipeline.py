@@ -3,8 +3,8 @@
 Every stage is a function of (spark, docs, sf_dir) to a DataFrame; what it returns is written as Parquet and read again
 as the next stage's `docs`. All but the last return the columns of `documents`. Rows are only dropped by a stage's own
 verdict: toxic documents, near-duplicates other than the smallest id of a class, contaminated documents. Mixing drops
-nothing; it repeats documents of small sources. The last stage returns one row per document of the mix, read back from
-the written token blocks.
+nothing; it repeats documents of small sources (its order is not among a document's columns, and the last stage writes by
+id). The last stage returns one row per document of the mix, read back from the written token blocks.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources flattened until the smallest is read one and a half times; every document is read at least once."""
-    return mix(docs, max_repeats=1.5).select(*docs.columns)
+    return mix(docs, max_repeats=1.5, places=False)
 
 
 def write_token_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
