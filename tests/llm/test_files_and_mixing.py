@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tesserae.llm import mixing
+from tesserae.llm import common, mixing
 from tesserae.llm import queries as q
 from tesserae.llm.common import table
 from tesserae.llm.graph import connected_components
@@ -253,3 +253,42 @@ def test_pipeline_stages_take_effect(spark, sf_dir):
     # The first stage rejects what the classifier predicts, and nothing else; op4's test holds its predictions against labels.
     clean = {r["doc_id"] for r in q.op4_counterfactual_toxicity(spark, sf_dir).collect() if not r["predicted"]}
     assert set(seen["toxicity"]) == clean
+
+
+ODD_DOCS = [
+    (1, None, "en", "a", 0), (2, "", "en", None, 0), (None, "no id at all " * 6, "en", "a", 3), (None, "no id at all " * 6, "en", "a", 3), (3, "plain words of a text " * 9, None, "b", None),
+    (3, "plain words of a text " * 9, None, "b", None), (4, "another text of one id", "en", "b", 1), (4, "and one more of it here", "en", "b", 1), (5, "long " * 40_000, "en", "c", 7),
+]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_odd_rows_empty_tables_and_other_columns(spark, sf_dir, name, stage):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = {c: F.lit("own") for c in ("epoch", "position", "class_id", "h", "n_words", "digest", "__h")}
+    docs = spark.createDataFrame(ODD_DOCS, schema).withColumns(extra)
+    out = stage(spark, docs, sf_dir)
+    rows = out.collect()
+    if name == "token_blocks":
+        assert Counter(r["doc_id"] for r in rows) == Counter(r[0] for r in ODD_DOCS)
+    else:
+        assert out.columns == docs.columns and all(r["epoch"] == r["__h"] == "own" for r in rows)
+        kept, own = Counter((r["doc_id"], r["text"]) for r in rows), Counter((r[0], r[1]) for r in ODD_DOCS)
+        assert set(kept) == set(own)  # nothing here is toxic, contaminated or a copy of another id
+        assert name == "mixing" or not kept - own
+    none = stage(spark, docs.limit(0), sf_dir)
+    assert none.count() == 0 and (name == "token_blocks" or none.columns == docs.columns)
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Elsewhere:
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Elsewhere)
+    assert common.shared_dir(spark).endswith(spark.conf.get("spark.checkpoint.dir").rpartition("/")[2])

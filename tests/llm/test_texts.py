@@ -22,7 +22,7 @@ from tesserae.llm.common import kth_largest, table
 from tesserae.llm.decontamination import decontaminate, keep_clean
 from tesserae.llm.importance import BUCKETS, ngram_buckets, resample
 from tesserae.llm.ngram_join import choose_bands, keep_one_per_class, ngram_jaccard_join
-from tesserae.llm.quality_rules import RuleList, apply_rules, text_statistics
+from tesserae.llm.quality_rules import RuleList, apply_rules, judge, learn_rules, text_statistics
 from tesserae.llm.token_blocks import token_table
 from tesserae.llm.token_counts import CACHE_SCHEMA, count_tokens
 from tesserae.llm.toxicity import IDENTITY_TERMS, WORD, ToxicityModel, counterfactuals, drop_toxic, fit, held_out, score
@@ -431,10 +431,36 @@ def test_quality_statistics_and_verdicts(spark, sf_dir, texts):
 
 def test_quality_rules_agree_with_labels_they_did_not_prune_on(spark):
     sf = "/root/testdata/sf0.01"
-    kept = {r["doc_id"]: r["kept"] for r in rows_of(q.op8_decision_list_quality(spark, sf))}
+    got = {r["doc_id"]: r for r in rows_of(q.op8_decision_list_quality(spark, sf))}
     labels = rows_of(table(spark, sf, "labels"))
-    good = [kept[r["doc_id"]] for r in labels if r["quality"] == 1]
-    assert sum(good) / len(good) > 0.9
+    good, bad = ([got[r["doc_id"]] for r in labels if r["quality"] == k] for k in (1, 0))
+    assert sum(r["kept"] for r in good) / len(good) > 0.9
+    # The list itself rejects bad texts that the base rule lets pass, and few good ones: an empty list fails here.
+    by_rule = [sum(r["rule"] > 0 for r in rows) for rows in (good, bad)]
+    assert by_rule[1] >= 10 and by_rule[1] / sum(by_rule) > 0.9
+    assert sum(r["rule"] > 0 and not r["base_failed"] for r in bad) > 0
+
+
+def test_covering_finds_planted_rules(spark):
+    rng = random.Random(2)
+    rows = []
+    for k in range(3000):
+        kind = k % 6
+        symbols, dup, words = rng.randrange(5), rng.randrange(3), 100
+        if kind == 0:
+            symbols = 40 + rng.randrange(20)
+        if kind == 1:
+            dup = 30 + rng.randrange(20)
+        rows.append((k, words, 500, symbols, dup, 0, 10, 5, 40, 80, int(kind > 1)))
+    names = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper, n_digits, n_lines, n_distinct_words, quality"
+    stats = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names.split(", ")))
+    rules = learn_rules(stats, "quality", "doc_id")
+    assert {c.feature for conds, _ in rules.rules for c in conds} == {"symbols_per_word", "dup_lines_per_100_words"} and len(rules.rules) == 2
+    got = judge(stats, rules)
+    assert got.where("(rule > 0) <> (quality = 0)").count() == 0
+    # The same by hand: the best single cut of the first rule, over all cuts of all features.
+    assert all(p == 1.0 for _, p in rules.rules) and all(len(conds) == 1 and conds[0].above for conds, _ in rules.rules)
+    assert learn_rules(stats.where("quality = 1"), "quality", "doc_id").rules == ()
 
 
 def test_quality_of_odd_rows(spark, odd, none):
