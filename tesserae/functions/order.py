@@ -45,15 +45,16 @@ def order_values(df: DataFrame, column: str, ranks: Callable[[int], Iterable[int
         if not cells:
             break
         level = f"__c{len(path)}"
-        table = df.sparkSession.createDataFrame([(*p, float(c[1]), float(c[2]) - float(c[1])) for p, c in cells.items()], ", ".join([*(f"{n} {rows.schema[n].dataType.simpleString()}" for n in path), "__lo double", "__span double"]))
-        inside = rows
-        if path:
-            ends = table.withColumnsRenamed({n: f"{n}_" for n in path})
-            same = [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in path]
-            inside = rows.join(F.broadcast(ends), same).drop(*(f"{n}_" for n in path))  # a row per open cell
-        else:
-            inside = rows.withColumns({n: F.lit(table.first()[n]) for n in ("__lo", "__span")})
         few = sum(c[0] for c in cells.values()) <= COLLECTED or all(float(c[1]) == float(c[2]) for c in cells.values())
+        if not path:
+            (_, lo, hi, *_), = cells.values()
+            inside = rows.withColumns({"__lo": F.lit(float(lo)), "__span": F.lit(float(hi) - float(lo))})
+        elif few and not by and len(path) == 1:
+            inside = rows.where(F.col(path[0]).isin([p[0] for p in cells]))
+        else:
+            kinds = ", ".join([*(f"{n}_ {rows.schema[n].dataType.simpleString()}" for n in path), "__lo double", "__span double"])
+            table = df.sparkSession.createDataFrame([(*p, float(c[1]), float(c[2]) - float(c[1])) for p, c in cells.items()], kinds)
+            inside = rows.join(F.broadcast(table), [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in path]).drop(*(f"{n}_" for n in path))  # a row per open cell
         if few:
             counts = inside.groupBy(*path, F.col("__x").alias("__k")).agg(F.count("*").alias("n"), F.first("__x").alias("lo"), F.first("__x").alias("hi")).collect()
         else:
@@ -79,13 +80,13 @@ def order_values(df: DataFrame, column: str, ranks: Callable[[int], Iterable[int
     return out
 
 
-def quantiles(df: DataFrame, column: str, at: list[float], by: Iterable[str] = ()) -> dict[tuple, list[float] | None]:
-    """Per group the exact quantiles, between two values by their distance; None for a group without numbers."""
-    ends = lambda n: [int((n - 1) * p) for p in at] + [min(int((n - 1) * p) + 1, n - 1) for p in at] if n else []
+def quantiles(df: DataFrame, column: str, at: list[float], by: Iterable[str] = (), least: int = 1) -> dict[tuple, list[float] | None]:
+    """Per group the exact quantiles, between two values by their distance; None for a group of fewer than `least` numbers."""
+    ends = lambda n: [int((n - 1) * p) for p in at] + [min(int((n - 1) * p) + 1, n - 1) for p in at] if n >= least else []
     out: dict[tuple, list[float] | None] = {}
     for g, (n, values) in order_values(df, column, ends, by).items():
         made = []
-        for p in at if n else ():
+        for p in at if n >= least else ():
             place, low = (n - 1) * p, int((n - 1) * p)
             a = values[low][0]
             made.append(float(a) if place == low else (low + 1 - place) * a + (place - low) * values[min(low + 1, n - 1)][0])

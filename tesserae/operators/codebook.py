@@ -49,7 +49,7 @@ def quantile_centroids(df: DataFrame, column: str, size: int, digits: int = 9) -
     rows = df.select(F.col(column).alias("r"))
     up = lambda found: [round(x + HALF_UP * 10**-digits, digits) for x in found]
     big = rows.where(significant_1d(F.col("r")))
-    less = quantiles(big, "r", [(j + 0.5) / (size - 1) for j in range(size - 1)]).get(()) if big.count() >= size - 1 and size > 1 else None
+    less = quantiles(big, "r", [(j + 0.5) / (size - 1) for j in range(size - 1)], least=max(size - 1, 1)).get(())
     if less:
         return sorted([0.0, *up(less)])
     return up(quantiles(rows, "r", [(j + 0.5) / size for j in range(size)]).get(()) or [0.0] * size)

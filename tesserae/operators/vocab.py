@@ -78,9 +78,17 @@ def vocabulary_info(spark: SparkSession, space: Space) -> DataFrame:
     return spark.createDataFrame([row], ", ".join(f"{n} int" for n in names.split()))
 
 
+def texts(space: Space) -> list[str]:
+    """The texts of all ids, in order."""
+    channels = [("P", space.pos_levels), *((n, space.levels) for n in ("FX", "FY", "FZ", "E"))]
+    coded = [f"[{name}{level}:{code}]" for name, levels in channels for level in range(levels) for code in range(space.size)]
+    return [*SPECIAL_TEXT, *(f"[Z={z}]" for z in range(1, N_ATOMS + 1)), *coded]
+
+
 def tokens_to_text(tokens: Column, space: Space, pretty: bool = False) -> Column:
-    """Token texts joined by spaces; `pretty` shows line ends as such."""
-    text = F.array_join(F.transform(tokens, lambda t: token_text(t, space)), " ")
+    """Token texts joined by spaces; `pretty` shows line ends as such. A token is one look-up in the vocabulary, a constant of the plan."""
+    words = F.split(F.lit(" ".join(texts(space))), " ")
+    text = F.array_join(F.transform(tokens, lambda t: F.coalesce(F.get(words, t), F.concat(F.lit("[UNK:"), t.cast("string"), F.lit("]")))), " ")
     return F.replace(text, F.lit("[NL]"), F.lit("\n")) if pretty else text
 
 

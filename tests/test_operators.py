@@ -125,6 +125,11 @@ def test_default_vocabulary(spark):
     assert words[3] == "[NL]" and words[12] == "[Z=1]" and words[130] == "[P0:0]" and words[6273] == "[E3:255]"
 
 
+def test_the_vocabulary_is_the_same_by_id_and_by_list(spark):
+    space = vocab.Space(256, 8, 4)
+    assert [r["token"] for r in vocab.vocabulary(spark, space).orderBy("token_id").collect()] == vocab.texts(space)
+
+
 def test_words_between_any_white_space(spark):
     docs = spark.createDataFrame([(1, "\tthe  cat\nsat "), (2, ""), (3, None)], "doc_id long, text string")
     words = spark.createDataFrame([("the", 1), ("sat", 2)], "token string, token_id int")
