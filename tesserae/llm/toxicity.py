@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -208,33 +209,33 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     chosen = {f: k for k, f in enumerate(features)}
     got = rows.mapInArrow(_selected_rows(chosen, classes, swaps_per_row), "y int, own array<int>, swapped array<int>")
     # Equal rows meet as one with a weight.
-    got = got.groupBy("y", "own", "swapped").agg(F.count("*").alias("n")).orderBy("y", "own", "swapped").collect()
+    got = got.groupBy("y", "own", "swapped").agg(F.count("*").alias("n")).orderBy("y", "own", "swapped").toArrow()
     weights, bias = _descend(got, len(features), prior, penalty, ridge, steps)
     drop_materialized(rows)
     keep = [k for k in range(len(features)) if abs(weights[k]) > 1e-6]
     return ToxicityModel(tuple(features[k] for k in keep), tuple(float(weights[k]) for k in keep), float(bias))
 
 
-def _descend(rows, n_features: int, prior: float, penalty: float, ridge: float, steps: int) -> tuple[np.ndarray, float]:
+def _descend(rows: pa.Table, n_features: int, prior: float, penalty: float, ridge: float, steps: int) -> tuple[np.ndarray, float]:
     """Full-batch gradient descent (Adam) on log loss + penalty * squared logit change + ridge."""
-    real, swap = [r for r in rows if r["y"] >= 0], [r for r in rows if r["y"] < 0]
+    is_real = pc.greater_equal(rows["y"], 0)
+    real, swap = rows.filter(is_real), rows.filter(pc.invert(is_real))
 
-    def flat(lists):
-        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        return row, np.array([f for x in lists for f in x], np.int64)
+    def flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy()), pc.list_flatten(lists).to_numpy()
 
-    r_row, r_col = flat([r["own"] for r in real])
-    a_row, a_col = flat([r["own"] for r in swap])
-    b_row, b_col = flat([r["swapped"] for r in swap])
-    y, n, m = np.array([r["y"] for r in real], float), np.array([r["n"] for r in real], float), np.array([r["n"] for r in swap], float)
+    r_row, r_col = flat(real["own"])
+    a_row, a_col = flat(swap["own"])
+    b_row, b_col = flat(swap["swapped"])
+    y, n, m = real["y"].to_numpy().astype(float), real["n"].to_numpy().astype(float), swap["n"].to_numpy().astype(float)
     w, bias = np.zeros(n_features), prior
     first, second, fb, sb = np.zeros(n_features), np.zeros(n_features), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = bias + np.bincount(r_row, w[r_col], len(real))
+        z = bias + np.bincount(r_row, w[r_col], real.num_rows)
         g = n * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n.sum()
         grad = np.bincount(r_col, g[r_row], n_features) + ridge * w
-        if swap:
-            d = np.bincount(a_row, w[a_col], len(swap)) - np.bincount(b_row, w[b_col], len(swap))
+        if swap.num_rows:
+            d = np.bincount(a_row, w[a_col], swap.num_rows) - np.bincount(b_row, w[b_col], swap.num_rows)
             e = 2 * penalty * m * d / m.sum()
             grad += np.bincount(a_col, e[a_row], n_features) - np.bincount(b_col, e[b_row], n_features)
         gb = g.sum()
