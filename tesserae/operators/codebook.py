@@ -210,6 +210,8 @@ def train_3d(df: DataFrame, levels: int, size: int, ties: list[str], cap: int |
     for level in range(levels):
         book = morton_vectors(now, size, ties) if method == "quantile" else kmeans_vectors(now, ["x", "y", "z"], size, seed + level)
         books.append(tuple(map(tuple, book)))
+        if level == levels - 1:
+            break
         after = encode_3d(now, Levels3D((books[-1],)), keep_residual=True).select(F.col("rx").alias("x"), F.col("ry").alias("y"), F.col("rz").alias("z"), *ties).persist()
         after.count()
         now.unpersist()
