@@ -143,4 +143,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **names) -> DataFrame:
     """The documents that are not contaminated, with all their columns, those without an id too."""
     bad = decontaminate(docs, benchmark, doc_id, text, **names).where("contaminated").select(F.col("doc_id").alias("__bad"), F.col("text_hash").alias("__h")).distinct()
-    return docs.join(bad.hint("merge"), docs[doc_id].eqNullSafe(F.col("__bad")) & (F.xxhash64(docs[text]) == F.col("__h")), "left_anti")
+    return docs.join(bad.hint("merge"), docs[doc_id].eqNullSafe(bad["__bad"]) & (F.xxhash64(docs[text]) == bad["__h"]), "left_anti")

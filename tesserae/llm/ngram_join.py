@@ -305,8 +305,10 @@ def keep_one_per_class(docs: DataFrame, joined: DataFrame, doc_id: str = "doc_id
     other = ~(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("kept_hash")))
     extra = joined.where(other).select(F.col("doc_id").alias("__extra"), F.col("text_hash").alias("__h")).distinct()
     h, id_ = F.xxhash64(docs[text]), docs[doc_id]
-    known = docs.where(id_.isNotNull()).join(extra.where("__extra IS NOT NULL").hint("merge"), (id_ == F.col("__extra")) & (h == F.col("__h")), "left_anti")
-    nameless = docs.where(id_.isNull()).join(extra.where("__extra IS NULL").hint("merge"), h == F.col("__h"), "left_anti")
+    named, unnamed = extra.where("__extra IS NOT NULL").hint("merge"), extra.where("__extra IS NULL").hint("merge")
+    known = docs.where(id_.isNotNull()).join(named, (id_ == named["__extra"]) & (h == named["__h"]), "left_anti")
+    nameless = docs.where(id_.isNull()).join(unnamed, h == unnamed["__h"], "left_anti")
     blank = F.coalesce(F.trim(F.regexp_replace(F.col(text), r"\s", "")) == "", F.lit(True))
-    one = nameless.where(~blank).withColumn("__h", F.xxhash64(F.col(text))).dropDuplicates(["__h"]).drop("__h")
+    key = max(docs.columns, key=len) + "_hash"  # no column has this name
+    one = nameless.where(~blank).withColumn(key, F.xxhash64(F.col(text))).dropDuplicates([key]).drop(key)
     return known.unionByName(one).unionByName(nameless.where(blank))
