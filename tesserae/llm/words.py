@@ -33,3 +33,22 @@ def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
         out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j]
         out ^= out >> np.uint64(29)
     return out
+
+
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
+
+
+def long_run_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every run of k word hashes, for a large k: differences of one running sum of powers, whatever k is."""
+    if len(h) < k:
+        return np.zeros(0, np.uint64)
+    if len(_POWERS[0]) < len(h):
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(2 * len(h), base, np.uint64)
+            steps[0] = 1
+            _POWERS[i] = np.multiply.accumulate(steps)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _POWERS[0][: len(h)], out=total[1:])
+    out = (total[k:] - total[:-k]) * _POWERS[1][: len(h) - k + 1]
+    return out ^ (out >> np.uint64(29))
