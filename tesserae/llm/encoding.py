@@ -15,7 +15,8 @@ import numpy as np
 
 #: Pieces that each generation of a worker's cache keeps: at some 200 bytes each, 160 MB for both.
 CACHE_PIECES = 400_000
-_LOADED: dict[str, "Encoder"] = {}
+_LOADED: dict[tuple[str, bool], "Encoder"] = {}
+_PIECES: dict[str, "PieceEncoder"] = {}
 
 
 class _Filled(dict):
@@ -38,9 +39,9 @@ class _Filled(dict):
 
 
 class Encoder:
-    """ids(text) and count(text) of one tokenizer file of the tokenizers library."""
+    """ids(text) and count(text) of one tokenizer file of the tokenizers library; plain: special strings are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -52,7 +53,8 @@ class Encoder:
         self.width = np.dtype("<u2") if self.tokenizer.get_vocab_size() < 1 << 16 else np.dtype("<u4")
         self.mode = _mode(spec)
         added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.tokenizer.encode_special_tokens = plain
+        self.special = re.compile("|".join(map(re.escape, added))) if added and not plain else None
         self.normalizer, self.pre, self.model = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
         self.code = "H" if self.width.itemsize == 2 else "I"
         self.cache = _Filled(self._led_piece if self.mode == "led" else self._piece)
@@ -99,6 +101,50 @@ class Encoder:
     def count(self, text: str) -> int:
         return len(self.encoded(text)) // self.width.itemsize
 
+    def entry_bytes(self) -> list[bytes]:
+        """The bytes of every entry of a byte-level vocabulary."""
+        shown = {chr(b): b for b in range(0x21, 0x7F)} | {c: b for b, c in _SHOWN.items()} | {chr(0x100 + b): b for b in range(0x21)} | {chr(0x121): 0x7F}
+        return [bytes(shown[c] for c in self.tokenizer.id_to_token(k)) for k in range(self.tokenizer.get_vocab_size())]
+
+
+class PieceEncoder:
+    """ids(text) of a sentencepiece model, by cached runs of spaces and what follows them."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.pieces = [self.library.id_to_piece(k) for k in range(self.library.get_piece_size())]
+        self.width = np.dtype("<u2") if len(self.pieces) < 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.width.itemsize == 2 else "I"
+        # Merges go past the front of a run of spaces only where a piece holds a space behind something else; what the
+        # library's normaliser changes is seen on a text of such cases.
+        odd = "  \u00e9 e\u0301 \ufb01 \u3000\u00a0 \t\n A "
+        self.cut = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in self.pieces) and self.library.normalize(odd) == (" " + odd).replace(" ", SPACE_MARK)
+        self.space = array(self.code, [self.library.piece_to_id(SPACE_MARK)]).tobytes()
+        self.cache = _Filled(self._of)
+
+    def _of(self, piece: str) -> bytes:
+        """A piece without the space that leads it: the library adds one, but not to nothing."""
+        return array(self.code, self.library.encode(piece)).tobytes() if piece else self.space
+
+    def ids(self, text: str) -> np.ndarray:
+        if not self.cut or not text:
+            return np.asarray(self.library.encode(text), self.width)
+        self.cache.trim()
+        if "  " in text or text[0] == " ":
+            pieces = [p[1:] for p in SPACED.findall(" " + text)]
+        else:
+            pieces = text.split(" ")
+        return np.frombuffer(b"".join(map(self.cache.__getitem__, pieces)), self.width)
+
+    def entry_bytes(self) -> list[bytes]:
+        return [bytes([int(p[3:-1], 16)]) if self.library.is_byte(k) else p.replace(SPACE_MARK, " ").encode() for k, p in enumerate(self.pieces)]
+
+
+#: How sentencepiece writes a space; a run of spaces and what follows it.
+SPACE_MARK, SPACED = "\u2581", re.compile(r" +[^ ]*")
+
 
 #: A space that does not start a piece: before other white space or at the end.
 SPACE_RUN, VISIBLE_NEXT = re.compile(r" [\s\x1c-\x1f]"), re.compile(r" (?=[^\s\x1c-\x1f])")
@@ -128,9 +174,15 @@ def _mode(spec: dict) -> str:
     return "whole"
 
 
-def encoder(path: str) -> Encoder:
-    """One per worker process and file."""
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+def encoder(path: str, plain: bool = False) -> Encoder:
+    """One per worker process, file and kind."""
+    if (path, plain) not in _LOADED:
+        _LOADED[path, plain] = Encoder(path, plain)
+    return _LOADED[path, plain]
+
+
+def piece_encoder(path: str) -> PieceEncoder:
+    if path not in _PIECES:
+        _PIECES[path] = PieceEncoder(path)
+    return _PIECES[path]
 

@@ -46,4 +46,27 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, len(l)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(l) AS contaminated FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-ORACLE_SQL = {"op3_zstd_warc_archives": ARCHIVES, "op9_minhash_ngram_jaccard": NEAR_DUPLICATES, "op10_benchmark_decontamination": CONTAMINATION}
+
+
+def _clusters(rounds: int = 3) -> str:
+    """Lloyd rounds one after another: d holds a vector's squared distance to every centroid, a its nearest one, c the centroids."""
+    steps = [
+        "kept AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        "e AS MATERIALIZED (SELECT vec_id, unnest(range(64)) AS d, unnest(v) AS x FROM kept)",
+        "f AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k FROM kept)",
+        "c0 AS MATERIALIZED (SELECT k, d, x FROM e JOIN f USING (vec_id) WHERE k < 16)",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"d{r} AS (SELECT vec_id, k, sum((e.x - c.x) * (e.x - c.x)) AS far FROM e JOIN c{r} AS c USING (d) GROUP BY vec_id, k)")
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, k, far FROM d{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY far, k) = 1)")
+        if r < rounds:
+            steps.append(f"m{r} AS (SELECT k, d, sum(x) AS s, count(*) AS n FROM a{r} JOIN e USING (vec_id) GROUP BY k, d)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT k, d, coalesce((s - ((s % n) + n) % n) // n, x)::BIGINT AS x FROM c{r} LEFT JOIN m{r} USING (k, d))")
+    steps.append(f"h AS (SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS digest FROM c{rounds} GROUP BY k)")
+    return (
+        f"WITH {', '.join(steps)} SELECT vec_id, k::INT AS cluster, far::BIGINT AS distance, (sum(far) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(far) OVER ())::BIGINT AS inertia, digest AS centroid_sha256 "
+        f"FROM a{rounds} JOIN h USING (k)"
+    )
+
+
+ORACLE_SQL = {"op3_zstd_warc_archives": ARCHIVES, "op9_minhash_ngram_jaccard": NEAR_DUPLICATES, "op10_benchmark_decontamination": CONTAMINATION, "op13_partial_distance_clusters": _clusters()}

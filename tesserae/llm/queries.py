@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import materialize, table
+from tesserae.llm.common import fresh_path, materialize, table
 from tesserae.llm.oracles import ORACLE_SQL  # noqa: F401 - what the entry module registers
 
 
@@ -76,7 +76,28 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "text_hash")
 
 
+def op11_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.sharding import record_size, two_pass_shuffle
+
+    shards = two_pass_shuffle(table(spark, sf_dir, "documents"), fresh_path(spark, "shards"), shards=40)
+    crc = F.crc32(F.coalesce("text", F.lit("")))
+    return shards.select("doc_id", record_size("text").alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_byte_owner_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.alignment import alignment_scores
+
+    return alignment_scores(table(spark, sf_dir, "documents"))
+
+
+def op13_partial_distance_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.clustering import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), clusters=16, rounds=3, scale=64).drop("centroid")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_importance_resampling, op2_patched_frame_of_reference, op3_zstd_warc_archives, op4_counterfactual_toxicity, op5_digest_cache_token_counts, op6_collinear_chaining, op7_temperature_mixing,
     op8_decision_list_quality, op9_minhash_ngram_jaccard, op10_benchmark_decontamination,
+    op11_two_pass_shuffle, op12_byte_owner_alignment, op13_partial_distance_clusters,
 )}
