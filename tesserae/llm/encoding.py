@@ -132,6 +132,7 @@ class PieceEncoder:
         if not self.cut or not text:
             return np.asarray(self.library.encode(text), self.width)
         self.cache.trim()
+        text = text.replace(SPACE_MARK, " ")  # the library tells them apart no more
         if "  " in text or text[0] == " ":
             pieces = [p[1:] for p in SPACED.findall(" " + text)]
         else:

@@ -1,0 +1,265 @@
+"""The two-pass shuffle, byte-owner alignment and partial-distance clustering against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tesserae.llm import queries as q
+from tesserae.llm.alignment import align, align_text, alignment_scores, sides
+from tesserae.llm.clustering import cluster_vectors, nearest
+from tesserae.llm.common import fresh_path, table
+from tesserae.llm.encoding import piece_encoder
+from tesserae.llm.oracles import ORACLE_SQL
+from tesserae.llm.sharding import two_pass_shuffle
+
+DOCS = "doc_id long, text string"
+ODD = [(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "lost"), (None, None), (4, "long " * 60_000), (5, "a b c"), (6, "é中")]
+
+
+# Shards
+
+
+def shards_of(df):
+    found = defaultdict(list)
+    for r in df.collect():
+        found[r["shard"]].append(r)
+    return {k: sorted(v, key=lambda r: r["slot"]) for k, v in found.items()}
+
+
+def lawful(found, n, shards):
+    assert all([r["slot"] for r in v] == list(range(len(v))) for v in found.values())
+    sizes = [len(found.get(k, ())) for k in range(shards)]
+    assert sum(sizes) == n and max(sizes) - min(sizes) <= 1 and set(found) <= set(range(shards))
+
+
+def test_shards_equal_a_fisher_yates_by_hand(spark, sf_dir, tmp_path):
+    docs, seed, size = table(spark, sf_dir, "documents"), 1 << 40, 1 << 16
+    out = two_pass_shuffle(docs, f"file://{tmp_path}/s", shards=7, seed=seed, bucket_bytes=size)
+    rows = docs.select("doc_id", "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h")).collect()
+    buckets = math.ceil(sum(len((r["text"] or "").encode()) + 16 for r in rows) / size)
+    assert buckets > 3
+    held = defaultdict(list)
+    for r in rows:
+        held[((r["h"] & (1 << 64) - 1) >> 44) * buckets >> 20].append(r)
+    order = []
+    for k in range(buckets):
+        own = sorted(held[k], key=lambda r: (r["h"], r["doc_id"]))
+        twister, places = spark._jvm.org.apache.commons.math3.random.MersenneTwister(seed + k), []
+        for i in range(len(own)):
+            j = twister.nextInt(i + 1)
+            places.append(places[j] if j < i else i)
+            places[j] = i
+        order += [own[p] for p in places]
+    found = shards_of(out)
+    lawful(found, len(rows), 7)
+    assert [(r["doc_id"], r["text"]) for k in range(7) for r in found[k]] == [(r["doc_id"], r["text"]) for r in order]
+
+
+def test_shards_do_not_depend_on_partitions_but_on_the_seed(spark, sf_dir, tmp_path):
+    docs = table(spark, sf_dir, "documents")
+    place = lambda df: {r["doc_id"]: (r["shard"], r["slot"]) for r in df.collect()}
+    made = [place(two_pass_shuffle(d, f"file://{tmp_path}/{k}", seed=s, bucket_bytes=50_000)) for k, (d, s) in enumerate([(docs, 3), (docs.repartition(5), 3), (docs, 4)])]
+    assert made[0] == made[1] != made[2]
+    after = [d for d, _ in sorted(made[0].items(), key=lambda x: x[1])]
+    assert abs(np.corrcoef(after, range(len(after)))[0, 1]) < 0.25
+
+
+def test_shards_of_odd_rows(spark, tmp_path):
+    docs = spark.createDataFrame(ODD, DOCS).withColumns({"Slot": F.lit(1), "shard": F.lit("x"), "hash": F.lit(2), "size": F.lit(3)})
+    out = two_pass_shuffle(docs, f"file://{tmp_path}/odd", shards=4, bucket_bytes=100)
+    assert out.columns == ["doc_id", "text", "hash", "size", "slot", "shard"]
+    lawful(shards_of(out), len(ODD), 4)
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(ODD)
+    empty = two_pass_shuffle(docs.limit(0), f"file://{tmp_path}/none")
+    assert empty.count() == 0 and empty.columns == out.columns
+
+
+def test_a_record_repeated_many_times_spreads(spark, tmp_path):
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 2000, "same text").otherwise("other").alias("text"))
+    out = two_pass_shuffle(rows, f"file://{tmp_path}/many", shards=6, bucket_bytes=4000)
+    lawful(shards_of(out), 3000, 6)
+    assert Counter(r["text"] for r in out.collect()) == {"same text": 2000, "other": 1000}
+    per_file = Counter(r["f"] for r in out.select(F.input_file_name().alias("f")).collect())
+    assert max(per_file.values()) < 400  # of some 20 buckets
+
+
+def test_shard_query(spark, sf_dir):
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in table(spark, sf_dir, "documents").collect()}
+    out = q.op11_two_pass_shuffle(spark, sf_dir)
+    rows = out.collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {d: (len(t) + 16, zlib.crc32(t)) for d, t in docs.items()}
+    assert {(r["law"], r["grown_shard"]) for r in rows} == {("rows", None)}
+    lawful(shards_of(out), len(docs), 40)
+
+
+# Alignment
+
+
+@pytest.fixture(scope="module")
+def libraries():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    return a, sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def letters():
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def by_hand(texts, libraries):
+    """Rows of the contract, token by token."""
+    lib_a, lib_b = libraries
+    back, out, links = letters(), [], []
+    for text in texts:
+        ids_a = lib_a.encode(" " + (text or ""), add_special_tokens=False).ids
+        ids_b = lib_b.encode(text or "")
+        bytes_a = [bytes(back[c] for c in lib_a.id_to_token(i)) for i in ids_a]
+        bytes_b = [bytes([int(p[3:-1], 16)]) if lib_b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, lib_b.id_to_piece(i)) for i in ids_b)]
+        want = (" " + (text or "")).encode()
+        if not text or b"".join(bytes_a) != want or b"".join(bytes_b) != want:
+            out.append((0, 0, 0, 0, ""))
+            links.append([])
+            continue
+        spans = [], []
+        for side, own in zip(spans, (bytes_a, bytes_b), strict=True):
+            at = 0
+            for b in own:
+                side.append((at, at + len(b)))
+                at += len(b)
+        pairs, j = [], 0
+        for i, (lo, hi) in enumerate(spans[0]):
+            while j and spans[1][j][0] > lo or j == len(spans[1]):
+                j -= 1
+            while spans[1][j][1] <= lo:
+                j += 1
+            k = j
+            while k < len(spans[1]) and spans[1][k][0] < hi:
+                pairs.append((ids_a[i], ids_b[k]))
+                k += 1
+        ends = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
+        groups, lo = [], 0
+        for e in ends:
+            groups.append("|".join(",".join(str(i) for i, (x, y) in zip(ids, s, strict=True) if lo <= x and y <= e) for ids, s in ((ids_a, spans[0]), (ids_b, spans[1]))))
+            lo = e
+        out.append((len(ids_a), len(ids_b), len(groups), len(pairs), hashlib.sha256(";".join(groups).encode()).hexdigest()))
+        links.append(pairs)
+    held = Counter(p for own in links for p in set(own))
+    most = defaultdict(int)
+    for (a, _), n in held.items():
+        most[a] = max(most[a], n)
+    return [(*o, sum(held[p] == most[p[0]] for p in own), sum(held[p] for p in own)) for o, own in zip(out, links, strict=True)]
+
+
+TEXTS = ["a  b", "", None, " ", "   ", "a ", "  a", "\n x\ty", "<s> hi <|endoftext|> <unk>", "▁x", "é́ ﬁ Å", "日本  語", "<0x41>", "\x00a b\x7f\xad", "a b", "a b", "\U0001f600 ok", "word" * 500, "x " * 3000]
+COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum")
+
+
+def test_alignment_of_odd_texts_equals_brute_force(spark, libraries):
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(TEXTS)], "doc_id long, text string, pairs string")
+    want = dict(enumerate(by_hand(TEXTS, libraries)))
+    for broadcast in (1000, 0):
+        got = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in alignment_scores(docs, broadcast_pairs=broadcast).collect()}
+        assert got == want
+    assert alignment_scores(docs.limit(0)).count() == 0
+    same = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], DOCS)
+    assert [(r["doc_id"], r["count_sum"]) for r in alignment_scores(same).orderBy("doc_id").collect()] == [(None, 6), (1, 6), (1, 6)]
+
+
+def test_alignment_query_equals_brute_force(spark, sf_dir, libraries):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").collect()
+    want = dict(zip([r["doc_id"] for r in docs], by_hand([r["text"] for r in docs], libraries), strict=True))
+    assert {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in q.op12_byte_owner_alignment(spark, sf_dir).collect()} == want
+
+
+def test_stretches_do_not_change_a_text(spark, sf_dir):
+    a, b = sides(*(public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")))
+    for text in [*TEXTS, *(r["text"] for r in table(spark, sf_dir, "documents").collect())]:
+        whole, cut = align_text(text, a, b), align_text(text, a, b, 16)
+        assert whole[:5] == cut[:5] and all(np.array_equal(x, y) for x, y in zip(whole[5:], cut[5:], strict=True))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=" ab\n\té▁中<0x>1,.", max_size=40))
+def test_pieces_equal_the_library(text):
+    made = piece_encoder(public_tokenizers.path("piece_bpe_32k.model"))
+    assert made.cut and made.ids(text).tolist() == made.library.encode(text)
+
+
+def test_link_lists_add_up(spark):
+    r = align(spark.createDataFrame([(1, "tokenization of tokenization")], DOCS)).first()
+    assert sum(r["times"]) == r["n_links"] and len(set(r["pairs"])) == len(r["pairs"])
+
+
+# Clusters
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 10**9), st.integers(1, 6), st.integers(1, 3))
+def test_nearest_equals_all_distances(seed, k, wide):
+    rng = np.random.default_rng(seed)
+    v, c = rng.integers(-wide, wide + 1, (50, 10)), rng.integers(-wide, wide + 1, (k, 10))  # many ties
+    d = ((v[:, None] - c[None]) ** 2).sum(axis=2)
+    at, far = nearest(v, c, rng.permutation(10), 3)
+    assert at.tolist() == d.argmin(axis=1).tolist() and far.tolist() == d.min(axis=1).tolist()
+
+
+def clusters_by_hand(rows, n=16, rounds=3, dims=64):
+    """rows: (vec_id, list of Python floats)."""
+    kept = [(k, [math.floor(64 * x) for x in v]) for k, v in rows if v is not None and len(v) == dims and all(x is not None and math.isfinite(x) for x in v)]
+    first = sorted(kept, key=lambda r: (r[0] is None, hashlib.sha256(f"1:{r[0]}".encode()).hexdigest(), r[1]))[:n]
+    centroids = [list(v) for _, v in first]
+    near = lambda v: min((sum((x - y) ** 2 for x, y in zip(v, c, strict=True)), k) for k, c in enumerate(centroids))
+    for _ in range(rounds):
+        held = defaultdict(list)
+        for _, v in kept:
+            held[near(v)[1]].append(v)
+        for k, own in held.items():
+            centroids[k] = [sum(x) // len(own) for x in zip(*own, strict=True)]
+    found = [(i, *near(v)[::-1]) for i, v in kept]
+    inertia = Counter()
+    for _, k, d in found:
+        inertia[k] += d
+    return Counter((i, k, d, inertia[k], sum(inertia.values()), hashlib.sha256(",".join(map(str, centroids[k])).encode()).hexdigest()) for i, k, d in found)
+
+
+NAMES = ("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def test_cluster_query_equals_sql_and_brute_force(spark, sf_dir):
+    rows = [(r["vec_id"], r["embedding"]) for r in table(spark, sf_dir, "embeddings").collect()]
+    got = Counter(tuple(r[c] for c in NAMES) for r in q.op13_partial_distance_clusters(spark, sf_dir).collect())
+    assert got == clusters_by_hand(rows)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
+    assert got == Counter(con.execute(f"SELECT {', '.join(NAMES)} FROM ({ORACLE_SQL['op13_partial_distance_clusters']})").fetchall())
+
+
+def test_clusters_of_odd_vectors(spark):
+    rng = np.random.default_rng(5)
+    good = [(k, rng.normal(size=64).tolist()) for k in range(40)]
+    odd = [(50, None), (51, []), (52, [0.5] * 63), (53, [0.5] * 65), (54, [None] + [0.5] * 63), (55, [float("nan")] + [0.5] * 63), (56, [float("-inf")] + [0.5] * 63), (None, [0.25] * 64)]
+    rows = [*good, *good[:5], (3, [-0.75] * 64), *odd]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"cluster": F.lit("x"), "label": F.lit(1)})
+    got = lambda d: Counter(tuple(r[c] for c in NAMES) for r in cluster_vectors(d).collect())
+    assert got(df) == got(df.repartition(7)) == clusters_by_hand(rows)
+    few = df.where("vec_id < 6 OR vec_id IS NULL")
+    assert got(few) == clusters_by_hand([r for r in rows if r[0] is None or r[0] < 6])
+    assert cluster_vectors(df.limit(0)).count() == 0 and cluster_vectors(df.where("vec_id BETWEEN 50 AND 56")).columns == [*NAMES, "centroid"]
+    with pytest.raises(Exception, match="would not fit a long"):
+        cluster_vectors(spark.createDataFrame([(1, [1e30] * 64)], "vec_id long, embedding array<double>")).collect()
