@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from tesserae.functions.arrays import draw
 
 CELLS, COLLECTED = 4096, 50_000
+#: Bits of a digest that a draw looks at first.
+PLACE_BITS = 60
 
 
 def order_values(df: DataFrame, column: str, ranks: Callable[[int], Iterable[int]], by: Iterable[str] = ()) -> dict[tuple, tuple[int, dict[int, tuple]]]:
@@ -98,15 +100,28 @@ def drawn(df: DataFrame, key: str, n: int, seed: int = 0) -> Column:
     """Whether a row is among the n that come first by the seeded digest of their key: a filter, whatever n is.
 
     All rows, where there are no more than n. Keys are taken to be unique; rows of one key stand or fall together.
+    Digests spread evenly, so the counts of their first bits are known cells of about equal size: one job counts them
+    (and all rows with them), and one takes what is left of n from the cell that holds the n-th.
     """
     if n < 1:
         return F.lit(False)
     digest = draw(F.col(key), seed)
     place = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
-    got = order_values(df.select(place.alias("x")), "x", lambda total: [n - 1] if n <= total else []).get((), (0, {}))[1]
-    if not got:
-        return F.lit(True)
-    value, below = got[n - 1]
-    # Digests that agree in 60 bits are a handful.
-    last = df.where(place == value).select(digest.alias("d"), F.col(key).alias("k")).orderBy("d", "k").limit(n - below).collect()[-1]
-    return (place < value) | ((place == value) & (F.struct(digest.alias("d"), F.col(key).alias("k")) <= F.struct(F.lit(last["d"]).alias("d"), F.lit(last["k"]).alias("k"))))
+    cell = lambda bits: F.shiftright(place, PLACE_BITS - bits)
+    rows, bits, rest = df.select(F.col(key)), CELLS.bit_length() - 1, n
+    while True:
+        counts = sorted(tuple(r) for r in rows.groupBy(cell(bits).alias("c")).agg(F.count("*")).collect())
+        for at, held in counts:
+            if rest <= held:
+                break
+            rest -= held
+        else:
+            return F.lit(True)
+        rows = rows.where(cell(bits) == at)
+        if held <= COLLECTED or bits == PLACE_BITS:
+            break
+        bits = min(bits + CELLS.bit_length() - 1, PLACE_BITS)
+    # The last one drawn: a part of one cell is ordered, or rows that agree in 60 bits, which are a handful.
+    last = rows.select(place.alias("p"), digest.alias("d"), F.col(key).alias("k")).orderBy("d", "k").limit(rest).agg(F.max(F.struct("d", "k", "p")).alias("l")).first()["l"]
+    own = F.struct(digest.alias("d"), F.col(key).alias("k")) <= F.struct(F.lit(last["d"]).alias("d"), F.lit(last["k"]).alias("k"))
+    return (place < last["p"]) | ((place == last["p"]) & own)

@@ -274,6 +274,8 @@ def oracle_sql() -> dict[str, str]:
         "shard_members": f"WITH {shards} SELECT o_orderkey, split, shard::BIGINT AS shard FROM sh",
         "offset_split": "WITH i AS (SELECT CASE WHEN k < 100 THEN 'train' ELSE 'val' END AS split, k FROM (SELECT row_number() OVER () - 1 AS k FROM customer) WHERE k < 130) SELECT split, count(*) AS n, min(k)::BIGINT AS first, max(k)::BIGINT AS last FROM i GROUP BY 1",
         "row_index": "SELECT count(*) AS n, count(*) AS n_distinct, 0::BIGINT AS least, (count(*) - 1)::BIGINT AS most FROM orders",
+        "published_files": f"WITH {shards} SELECT CASE split WHEN 'val' THEN 'validation' ELSE split END || '-' || lpad(shard::VARCHAR, 5, '0') || '.parquet' AS file, count(*) AS n FROM sh GROUP BY 1",
+        "csv_first_rows": f"""SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_idx, c_custkey, c_name || ',' || chr(10) || '"' || c_mktsegment || '"' || chr(10) AS note, {r6('c_acctbal')} AS balance FROM customer ORDER BY c_custkey LIMIT 1000""",
         "nested_json_roundtrip": f"WITH {ATOMS_A} SELECT mol_id, count(atom_idx)::BIGINT AS n, {r6('coalesce(sum(x + y + z), 0.0::DOUBLE)')} AS total FROM mols LEFT JOIN atoms USING (mol_id) GROUP BY mol_id",
         "s2ef_metrics": f"""WITH {ATOMS_B}, p AS (SELECT *, floor(energy / 0.125::DOUBLE) * 0.125::DOUBLE AS pe, {', '.join(f'floor(f{a} / 0.25::DOUBLE) * 0.25::DOUBLE AS p{a}' for a in 'xyz')} FROM atoms),
             n AS (SELECT *, sqrt(px * px + py * py + pz * pz) AS lp, sqrt(fx * fx + fy * fy + fz * fz) AS lt FROM p),

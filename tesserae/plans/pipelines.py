@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.arrays import draw
@@ -12,7 +12,7 @@ from tesserae.functions.order import drawn
 from tesserae.operators.codebook import (
     Levels1D, Levels3D, codebook_table, decode_1d, decode_3d, encode_1d, encode_3d, load_codebooks, train_1d, train_1d_kmeans, train_3d,
 )
-from tesserae.operators.corpus import length_statistics, sample_rows, split_by_sample
+from tesserae.operators.corpus import length_statistics, sample_rows
 from tesserae.operators.metrics import error_summary, headlines, run_tasks, s2ef, stacked
 from tesserae.operators.molecule import space_of, tokenize
 from tesserae.operators.predict import predict
@@ -64,26 +64,36 @@ def reconstruction_report(molecules: DataFrame, books: dict, scales: Scales, spl
     return error_summary(errors, F.col("error"), [*keep, "channel"])
 
 
-def serialize(molecules: DataFrame, books: dict, scales: Scales, path: str) -> DataFrame:
-    """Tokenise into a corpus at `path`; returns the length statistics."""
+def progress(tokens: Column) -> list[Column]:
+    """What an observation counts of token rows as they pass: rows and tokens."""
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size(tokens)), F.lit(0)).cast("long").alias("tokens")]
+
+
+def serialize(molecules: DataFrame, books: dict, scales: Scales, path: str, seen: Observation | None = None) -> DataFrame:
+    """Tokenise into a corpus at `path`; returns the length statistics. `seen` gets the rows and tokens as they are written."""
     spark = molecules.sparkSession
     rows = tokenize(molecules, books, scales).select("mol_id", "tokens")
+    if seen:
+        rows = rows.observe(seen, *progress(F.col("tokens")))
     write_corpus(rows, path, vocabulary_info(spark, space_of(books)).first().asDict())
     return length_statistics(spark.read.parquet(f"{path}/tokens"), F.col("tokens"))
 
 
-def publish(molecules: DataFrame, books: dict, scales: Scales, path: str, val_size: int = 100_000, shard_size: int = 250_000, seed: int = 0, key: str = "mol_id") -> None:
-    """Tokenise, split, and write text shards of exact size.
+def publish(molecules: DataFrame, books: dict, scales: Scales, path: str, val_size: int = 100_000, shard_size: int = 250_000, seed: int = 0, key: str = "mol_id") -> dict[str, int]:
+    """Tokenise, split, and write text shards of exact size; returns how many rows, tokens and validation rows were written.
 
     Split and shard follow from the key's digest alone: keys are ranked on their own, and the first digest of every
     shard is a short sorted list that goes to the tasks. So a text is made inside the scan and moves once, to its shard.
+    The counts are observed while the texts are made, without a scan of their own.
     """
-    marked = split_by_sample(molecules.select(key), key, val_size, seed)
+    split = F.when(drawn(molecules.select(key), key, val_size, seed), "val").otherwise("train")
     order = draw(F.col(key), seed + 1)
-    firsts = shard_starts(marked, order, shard_size)
-    text = tokenize(molecules, books, scales).select(key, tokens_to_text(F.col("tokens"), space_of(books)).alias("text"))
-    placed = place_in_shards(text.withColumn("split", F.when(drawn(molecules.select(key), key, val_size, seed), "val").otherwise("train")), order, firsts)
-    write_shards(placed.select("text", "split", "shard"), path)
+    firsts = shard_starts(molecules.select(key).withColumn("split", split), order, shard_size)
+    seen = Observation("publish")
+    tokens = tokenize(molecules, books, scales).select(key, "tokens", split.alias("split")).observe(seen, *progress(F.col("tokens")), F.count_if(F.col("split") == "val").alias("validation"))
+    text = tokens.select(key, "split", tokens_to_text(F.col("tokens"), space_of(books)).alias("text"))
+    write_shards(place_in_shards(text, order, firsts).select("text", "split", "shard"), path, {s: len(x) for s, x in firsts.items()})
+    return seen.get
 
 
 def sample_to_csv(spark: SparkSession, source: str, path: str, n: int = 1_000_000, seed: int = 0, key: str = "property_id") -> None:

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from tesserae.functions.arrays import draw, parse_vectors
 from tesserae.operators import codebook as cb
 from tesserae.operators import corpus, metrics, molecule, predict, scale, vocab
-from tesserae.plans.pipelines import reconstruction_report
+from tesserae.plans.pipelines import publish, reconstruction_report
 from tesserae.sources import fixtures as fx
+from tesserae.sources.csv_ranges import read_csv_rows
 from tesserae.sources.files import shard_numbers, with_row_index
+from tesserae.sources.shared import shared_path
 
 # Codebooks made from a rule, for the queries that do not train: K = 8 codes, two levels everywhere.
 K, POS_LEVELS, LEVELS = 8, 2, 2
@@ -265,6 +267,23 @@ def row_index(spark, sf_dir):
     return out.agg(F.count("*").alias("n"), F.countDistinct("row_idx").alias("n_distinct"), F.min("row_idx").alias("least"), F.max("row_idx").alias("most"))
 
 
+def published_files(spark, sf_dir):
+    """Every order's token text, published in shards of 400: the files' names and rows."""
+    path = shared_path(spark, "published")
+    publish(fx.order_molecules(spark, sf_dir), FIXED_BOOKS, FIXED_SCALES, path, val_size=700, shard_size=400, seed=3)
+    return spark.read.parquet(f"{path}/data").groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n"))
+
+
+def csv_first_rows(spark, sf_dir):
+    """The first 1,000 customers in file order of CSV files with line ends and quotes in a field."""
+    path = shared_path(spark, "customers-csv")
+    note = F.concat("c_name", F.lit(',\n"'), "c_mktsegment", F.lit('"\n')).alias("note")
+    rows = fx.table(spark, sf_dir, "customer").select("c_custkey", note, r6("c_acctbal").alias("balance"))
+    rows.repartitionByRange(6, "c_custkey").sortWithinPartitions("c_custkey").write.option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    out = read_csv_rows(spark, path, ["c_custkey", "note", "balance"], max_rows=1000, range_bytes=1 << 14)
+    return out.select("row_idx", big("c_custkey").alias("c_custkey"), "note", F.col("balance").cast("double").alias("balance"))
+
+
 def nested_json_roundtrip(spark, sf_dir):
     rows = fx.order_molecules(spark, sf_dir).select("mol_id", F.to_json("positions").alias("j"))
     back = rows.select("mol_id", parse_vectors(F.col("j")).alias("p"))
@@ -311,5 +330,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     rvq1d_level1, rvq1d_encode, rvq1d_encode_plain, rvq1d_decode_error, scale_stats, centered_positions, morton_codes, morton_codebook, rvq3d_encode,
     rvq3d_residual_rms, rvq1d_encode_256, rvq3d_encode_256, kmeans_codebook, vocab_table, vocab_info, token_ids, token_text, token_stats, section_shuffle, decode_tokens, roundtrip_error,
     recon_report, prompt_tokens, parse_defaults, predict_continuation, wordlevel_ids, md5_sample, train_val_split, shard_sizes, shard_members, offset_split,
-    row_index, nested_json_roundtrip, s2ef_metrics, task_summary, task_distance_detail, task_gap_errors,
+    row_index, published_files, csv_first_rows, nested_json_roundtrip, s2ef_metrics, task_summary, task_distance_detail, task_gap_errors,
 )} | {f"task_{name}": _task(name) for name in metrics.TASKS}

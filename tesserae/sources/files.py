@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -11,23 +13,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tesserae.functions.arrays import json_if_nested, parse_numbers, parse_vectors
+from tesserae.sources.csv_ranges import read_csv_rows
+from tesserae.sources.shared import Folder
 
 SAMPLE_COLUMNS = ("property_id", "configuration_id", "dataset_id", "atomic_numbers", "positions", "atomic_forces", "energy", "multiplicity", "cell", "pbc")
+#: A file that Spark wrote carries its task's number.
+PART = re.compile(r"part-(\d+)-")
 
 
-def read_molecule_csv(spark: SparkSession, path: str, max_rows: int | None = None, key: str = "property_id") -> DataFrame:
-    """Molecules of a CSV whose nested columns are JSON text. `max_rows` takes the first rows by `key`, since file order is not an order in a distributed scan."""
-    schema = ", ".join(f"{c} {'double' if c == 'energy' else 'int' if c == 'multiplicity' else 'string'}" for c in SAMPLE_COLUMNS)
-    rows = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').csv(path)
-    rows = rows.withColumns({"atomic_numbers": parse_numbers(F.col("atomic_numbers")), "positions": parse_vectors(F.col("positions")), "atomic_forces": parse_vectors(F.col("atomic_forces"))})
-    return rows if max_rows is None else rows.orderBy(key).limit(max_rows)
+def read_molecule_csv(spark: SparkSession, path: str, max_rows: int | None = None, **options) -> DataFrame:
+    """Molecules of CSV files whose nested columns are JSON text, with row_idx, their place in file order. `max_rows` takes the first ones; nothing is sorted."""
+    rows = read_csv_rows(spark, path, SAMPLE_COLUMNS, max_rows, **options)
+    kinds = {"energy": F.col("energy").cast("double"), "multiplicity": F.col("multiplicity").cast("int")}
+    return rows.withColumns({"atomic_numbers": parse_numbers(F.col("atomic_numbers")), "positions": parse_vectors(F.col("positions")), "atomic_forces": parse_vectors(F.col("atomic_forces")), **kinds})
 
 
 def write_molecule_csv(df: DataFrame, path: str, columns: tuple[str, ...] = SAMPLE_COLUMNS) -> None:
     """A CSV of fixed columns: nested ones as JSON, missing ones empty."""
     kinds = dict(df.dtypes)
     out = [json_if_nested(c, kinds[c]) if c in kinds else F.lit(None).cast("string").alias(c) for c in columns]
-    df.select(*out).write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    df.select(*out).write.option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_molecule_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -120,9 +125,42 @@ def place_in_shards(df: DataFrame, draw: Column, firsts: dict[str, list[str]], s
     return df.withColumn("shard", shard(F.col(split), draw))
 
 
-def write_shards(df: DataFrame, path: str, split: str = "split", shard: str = "shard") -> None:
-    """One file per shard, in folders split=.../shard=...: rows of a shard meet in one task, which its size bounds."""
-    df.repartition(split, shard).write.mode("overwrite").partitionBy(split, shard).parquet(path)
+#: What files of a split are called where it is not the split's own name.
+SPLIT_NAMES = {"val": "validation"}
+
+
+def write_shards(df: DataFrame, path: str, shards: dict[str, int] | None = None, split: str = "split", shard: str = "shard") -> list[str]:
+    """One file per shard, called data/<split>-<number>.parquet with five digits, of the columns other than `split` and `shard`; returns the names.
+
+    Shard k of a split is a partition by number, not by hash, so every task has one shard and writes one file. Files are
+    written aside and moved when all are there: a failed write leaves what was there before. `shards` says how many each
+    split has; without it one more aggregation finds out. A shard without rows has no file.
+    """
+    spark, columns = df.sparkSession, [c for c in df.columns if c not in (split, shard)]
+    if shards is None:
+        shards = {r[0]: r[1] + 1 for r in df.groupBy(split).agg(F.max(shard)).collect()}  # a row per split
+    wanted = [f"{SPLIT_NAMES.get(s, s)}-{k:05d}.parquet" for s in sorted(shards) for k in range(shards[s])]
+    first, at = {}, 0
+    for s in sorted(shards):
+        first[s], at = at, at + shards[s]
+    number = F.coalesce(*(F.when((F.col(split) == s) & F.col(shard).between(0, shards[s] - 1), F.col(shard) + k) for s, k in first.items()), F.raise_error(F.lit("a row lies in no shard")).cast("int")) if first else F.lit(0)
+    out, aside = Folder(spark, path), f"_publish-{uuid.uuid4().hex}"
+    try:
+        placed = df.repartitionById(max(at, 1), number.cast("int")).select(*columns)
+        placed.write.option("maxRecordsPerFile", 0).parquet(f"{path}/{aside}/parts")
+        moved = []
+        out.fs.mkdirs(out.child(f"{aside}/data"))
+        for name, _ in Folder(spark, f"{path}/{aside}/parts").files() if at else []:
+            k = int(PART.search(name)[1])
+            out.move(out.child(f"{aside}/parts/{name.rsplit('/', 1)[1]}"), out.child(f"{aside}/data/{wanted[k]}"))
+            moved.append(wanted[k])
+        if len(set(moved)) < len(moved):
+            raise ValueError("a shard was written by two tasks")
+        out.delete(out.child("data"))
+        out.move(out.child(f"{aside}/data"), out.child("data"))
+    finally:
+        out.delete(out.child(aside))
+    return sorted(moved)
 
 
 def write_results(results: DataFrame, path: str) -> None:

@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tesserae.functions import order
@@ -185,8 +186,8 @@ def test_train_save_publish(spark, tmp_path):
     again = pipelines.read_codebooks(spark, str(tmp_path / "books"))
     assert again == (books, scales)
     pipelines.publish(source, books, scales, str(tmp_path / "out"), val_size=2, shard_size=3)
-    out = spark.read.parquet(str(tmp_path / "out"))
-    assert {(r["split"], r["shard"]): r["count"] for r in out.groupBy("split", "shard").count().collect()} == {("train", 0): 3, ("train", 1): 1, ("val", 0): 2}
+    out = spark.read.parquet(str(tmp_path / "out/data"))
+    assert {r["f"]: r["count"] for r in out.groupBy(F.col("_metadata.file_name").alias("f")).count().collect()} == {"train-00000.parquet": 3, "train-00001.parquet": 1, "validation-00000.parquet": 2}
 
 
 def test_predictors_run_once_per_task_and_targets_join_by_key(spark):
@@ -412,31 +413,24 @@ def test_train_by_kmeans(spark):
 
 def test_serialize_and_read_the_corpus(spark, tmp_path):
     source = molecules(spark, (1, 3))
-    stats = pipelines.serialize(source, FIXED_BOOKS, FIXED_SCALES, str(tmp_path / "c")).first()
+    seen = Observation("serialize")
+    stats = pipelines.serialize(source, FIXED_BOOKS, FIXED_SCALES, str(tmp_path / "c"), seen).first()
+    assert seen.get == {"rows": 2, "tokens": stats["n_tokens"]}
     rows, info = files.read_corpus(spark, str(tmp_path / "c"))
     assert stats["n_molecules"] == rows.count() == 2 and stats["n_tokens"] == sum(len(r["tokens"]) for r in rows.collect())
     assert info["vocab_size"] == SPACE.vocab_size and info["pos_start"] == SPACE.pos
 
 
-def test_publish_moves_text_once_and_keeps_every_molecule(spark, tmp_path):
-    source = molecules(spark, [1 + k % 3 for k in range(60)])
-    pipelines.publish(source, FIXED_BOOKS, FIXED_SCALES, str(tmp_path / "out"), val_size=13, shard_size=10)
-    out = spark.read.parquet(str(tmp_path / "out"))
-    assert {(r["split"], r["shard"]): r["count"] for r in out.groupBy("split", "shard").count().collect()} == {**{("train", k): 10 for k in range(4)}, ("train", 4): 7, ("val", 0): 10, ("val", 1): 3}
-    texts = molecule.tokenize(source, FIXED_BOOKS, FIXED_SCALES).select(vocab.tokens_to_text(F.col("tokens"), SPACE).alias("text"))
-    assert sorted(r["text"] for r in out.select("text").collect()) == sorted(r["text"] for r in texts.collect())
-
-
 def test_sampler_job(spark, tmp_path):
     rows = molecules(spark, [1 + k % 2 for k in range(50)]).select(F.concat(F.lit("p"), "mol_id").alias("property_id"), "atomic_numbers", "positions", F.col("forces").alias("atomic_forces"), "energy", F.lit(1).alias("other"))
     rows.write.parquet(str(tmp_path / "in"))
     pipelines.sample_to_csv(spark, str(tmp_path / "in"), str(tmp_path / "out"), n=20, seed=3)
     back = files.read_molecule_csv(spark, str(tmp_path / "out"))
-    assert back.count() == 20 and tuple(back.columns) == files.SAMPLE_COLUMNS
+    assert back.count() == 20 and tuple(back.columns) == (*files.SAMPLE_COLUMNS, "row_idx")
     want = {r["property_id"]: r for r in rows.collect()}
     assert all(want[r["property_id"]]["positions"] == r["positions"] for r in back.collect())
     first = files.read_molecule_csv(spark, str(tmp_path / "out"), max_rows=5)
-    assert [r["property_id"] for r in first.orderBy("property_id").collect()] == sorted(r["property_id"] for r in back.collect())[:5]
+    assert [r["property_id"] for r in first.orderBy("row_idx").collect()] == [r["property_id"] for r in back.orderBy("row_idx").collect()][:5]
     assert files.read_molecule_parquet(spark, str(tmp_path / "in")).columns == ["atomic_numbers", "positions", "atomic_forces", "energy"]
 
 
