@@ -8,7 +8,10 @@ or keeps the whole column.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from tesserae.functions.arrays import draw
 CELLS, COLLECTED = 4096, 50_000
 #: Bits of a digest that a draw looks at first.
 PLACE_BITS = 60
+#: Size of a quantile sketch, and how far in rank its answers are taken to be off (about its 99 % bound; a miss is noticed).
+SKETCH, SKETCH_ERROR = 65_535, 1.5e-4
 
 
 def order_values(df: DataFrame, column: str, ranks: Callable[[int], Iterable[int]], by: Iterable[str] = ()) -> dict[tuple, tuple[int, dict[int, tuple]]]:
@@ -82,17 +87,102 @@ def order_values(df: DataFrame, column: str, ranks: Callable[[int], Iterable[int
     return out
 
 
-def quantiles(df: DataFrame, column: str, at: list[float], by: Iterable[str] = (), least: int = 1) -> dict[tuple, list[float] | None]:
-    """Per group the exact quantiles, between two values by their distance; None for a group of fewer than `least` numbers."""
-    ends = lambda n: [int((n - 1) * p) for p in at] + [min(int((n - 1) * p) + 1, n - 1) for p in at] if n >= least else []
-    out: dict[tuple, list[float] | None] = {}
-    for g, (n, values) in order_values(df, column, ends, by).items():
-        made = []
-        for p in at if n >= least else ():
+def _between(values: list[float], place: float, low: int) -> float:
+    """The quantile at `place` between the values of ranks low and low + 1."""
+    return values[0] if place == low else (low + 1 - place) * values[0] + (place - low) * values[-1]
+
+
+def _bracketed(brackets: dict[int, np.ndarray]):
+    """Counts of what lies in or between a group's brackets (ascending ends, from, to, from, to...): values inside keep their own row."""
+
+    def count(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            group, x = b.column("g").to_numpy(), b.column("x").to_numpy()
+            for g, ends in brackets.items():
+                own = np.sort(x[group == g])
+                if len(own):
+                    cuts = np.r_[0, np.stack([np.searchsorted(own, ends[0::2], "left"), np.searchsorted(own, ends[1::2], "right")], 1).ravel(), len(own)]
+                    held.setdefault(g, []).append(np.diff(cuts)[::2])  # what lies before, between and behind the brackets
+                    inside = np.concatenate([own[lo:hi] for lo, hi in zip(cuts[1::2], cuts[2::2], strict=False)])
+                    value, n = np.unique(inside, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), g)), pa.nulls(len(value), pa.int64()), pa.array(value), pa.array(n)], ["g", "gap", "x", "n"])
+        for g, parts in held.items():
+            n = np.sum(parts, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), g)), pa.array(np.arange(len(n))), pa.nulls(len(n), pa.float64()), pa.array(n)], ["g", "gap", "x", "n"])
+
+    return count
+
+
+def quantiles(df: DataFrame, column: str, at: list[float], by: Iterable[str] = (), least: int = 1, also: Iterable[Column] = ()) -> dict[tuple, tuple[list[float] | None, tuple]]:
+    """Per group the exact quantiles, between two values by their distance, and the aggregates `also`; None instead of quantiles for a group of fewer than `least` numbers.
+
+    Two jobs: one aggregation makes `also` and a KLL sketch that brackets every wanted rank; one pass counts exactly what
+    lies between the brackets and keeps the values inside. A rank that its bracket misses, or brackets that hold too
+    many rows for the driver, fall back on `order_values`. Nulls are left out; NaN counts as larger than any number.
+    """
+    by, at, also = list(by), list(at), list(also)
+    x = F.col(column).cast("double")
+    real = F.when(~F.isnan(x), x)
+    sketch = F.kll_sketch_agg_double(real, SKETCH)
+    ends = [e for p in sorted(at) for e in (max(p - SKETCH_ERROR, 0.0), min(p + SKETCH_ERROR, 1.0))]
+    found = df.groupBy(*by).agg(F.count(x).alias("__n"), F.count(real).alias("__real"), sketch.alias("__s"), *also)
+    probes = F.when(F.col("__real") > COLLECTED, F.kll_sketch_get_quantile_double("__s", F.array(*map(F.lit, ends)))) if at else F.lit(None)
+    first = [tuple(r) for r in found.withColumn("__s", probes).collect()]  # a row per group
+    out: dict[tuple, tuple[list[float] | None, tuple]] = {}
+    todo, brackets, groups = {}, {}, {}
+    for r in first:
+        g, n, finite, probed, rest = r[: len(by)], *r[len(by) : len(by) + 3], r[len(by) + 3 :]
+        out[g] = None, rest
+        if n >= max(least, 1) and at:
+            k = len(todo)
+            todo[g] = k, n, finite
+            groups[k] = g
+            edges = np.array(probed if probed is not None else [-np.inf, np.inf])
+            joined: list[float] = []  # brackets that meet are one
+            for lo, hi in zip(edges[0::2], edges[1::2], strict=True):
+                if joined and lo <= joined[-1]:
+                    joined[-1] = max(joined[-1], hi)
+                else:
+                    joined += [lo, hi]
+            brackets[k] = np.array(joined)
+    if not todo:
+        return out
+    wide = sum(min(finite, 2 * SKETCH_ERROR * len(at) * finite) if finite > COLLECTED else finite for _, _, finite in todo.values())
+    counts: dict[int, list] = {k: [] for k in groups}
+    if wide <= 4 * COLLECTED:
+        number = F.coalesce(*(F.when(F.lit(True) if not by else reduce(lambda p, q: p & q, (F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(by, g, strict=True))), F.lit(k)) for k, g in groups.items()), F.lit(-1))
+        rows = df.select(number.cast("long").alias("g"), real.alias("x")).where("x IS NOT NULL AND g >= 0")
+        for g, gap, value, n in rows.mapInArrow(_bracketed(brackets), "g long, gap long, x double, n long").groupBy("g", "gap", "x").agg(F.sum("n")).collect():
+            # Gap i lies before bracket i, so it sorts by that bracket's lower end, ahead of the values inside.
+            counts[g].append((float(brackets[g][2 * gap]) if gap is not None and 2 * gap < len(brackets[g]) else np.inf if gap is not None else value, gap is None, n))
+    missed = []
+    for g, (k, n, finite) in todo.items():
+        own = sorted(counts[k])
+        upto = np.cumsum([c[2] for c in own]) if own else np.zeros(0)
+
+        def ranked(r: int, own=own, upto=upto, finite=finite) -> float | None:
+            if r >= finite:
+                return float("nan")
+            i = int(np.searchsorted(upto, r, "right"))
+            return own[i][0] if i < len(own) and own[i][1] else None
+
+        made: list[float] = []
+        for p in at:
             place, low = (n - 1) * p, int((n - 1) * p)
-            a = values[low][0]
-            made.append(float(a) if place == low else (low + 1 - place) * a + (place - low) * values[min(low + 1, n - 1)][0])
-        out[g] = made or None
+            values = [ranked(low), ranked(min(low + 1, n - 1))]
+            if values[0] is None or (values[1] is None and place != low):
+                missed.append(g)
+                break
+            made.append(float(_between(values, place, low)))
+        else:
+            out[g] = made, out[g][1]
+    if missed:
+        ranks = lambda n: [int((n - 1) * p) for p in at] + [min(int((n - 1) * p) + 1, n - 1) for p in at] if n else []
+        for g, (n, values) in order_values(df, column, ranks, by).items():
+            if g in missed:
+                places = [((n - 1) * p, int((n - 1) * p)) for p in at]
+                out[g] = [float(_between([values[low][0], values[min(low + 1, n - 1)][0]], place, low)) for place, low in places], out[g][1]
     return out
 
 

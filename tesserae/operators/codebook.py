@@ -11,14 +11,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesserae.functions.arrays import grid, midpoints, morton, significant_1d, significant_3d
+from tesserae.functions.arrays import draw, grid, midpoints, morton, significant_1d, significant_3d
 from tesserae.functions.order import drawn, quantiles
+from tesserae.sources.shared import written
 
 TRAIN_CAP = 500_000
+#: Rows that one task orders.
+TASK_ROWS = 1_000_000
 #: Of a last digit: what keeps a half from depending on a sum's last bit.
 HALF_UP = 0.17
 
@@ -49,10 +53,10 @@ def quantile_centroids(df: DataFrame, column: str, size: int, digits: int = 9) -
     rows = df.select(F.col(column).alias("r"))
     up = lambda found: [round(x + HALF_UP * 10**-digits, digits) for x in found]
     big = rows.where(significant_1d(F.col("r")))
-    less = quantiles(big, "r", [(j + 0.5) / (size - 1) for j in range(size - 1)], least=max(size - 1, 1)).get(())
+    less = quantiles(big, "r", [(j + 0.5) / (size - 1) for j in range(size - 1)], least=max(size - 1, 1))[()][0]
     if less:
         return sorted([0.0, *up(less)])
-    return up(quantiles(rows, "r", [(j + 0.5) / size for j in range(size)]).get(()) or [0.0] * size)
+    return up(quantiles(rows, "r", [(j + 0.5) / size for j in range(size)])[()][0] or [0.0] * size)
 
 
 def scalar_codes(x: np.ndarray, book: Levels1D, digits: int = 9) -> tuple[np.ndarray, np.ndarray]:
@@ -84,14 +88,17 @@ def train_1d(df: DataFrame, column: str, levels: int, size: int, key: str | None
     """Quantile codebooks of a scalar column."""
     rows = (sample_exact(df, key, cap, seed) if key else df).select(F.col(column).alias("r")).where("r IS NOT NULL AND NOT isnan(r)").persist()
     centroids, bounds = [], []
-    now = rows
-    for _ in range(levels):
-        c = quantile_centroids(now, "r", size)
+    now, before = rows, None
+    for level in range(levels):
+        c = quantile_centroids(now, "r", size)  # its first job fills the cache of `now`
+        if before:
+            before.unpersist()
         b = midpoints(c)
         centroids.append(tuple(c))
         bounds.append(tuple(b))
-        now = now.select(_coded("r", Levels1D((tuple(c),), (tuple(b),)), True)["r"].alias("r"))
-    rows.unpersist()
+        if level < levels - 1:
+            now, before = now.select(_coded("r", Levels1D((tuple(c),), (tuple(b),)), True)["r"].alias("r")).persist(), now
+    now.unpersist()
     return Levels1D(tuple(centroids), tuple(bounds))
 
 
@@ -120,22 +127,37 @@ def with_morton(df: DataFrame, x: str = "x", y: str = "y", z: str = "z") -> Data
     return df.withColumn("mc", morton(cell(x), cell(y), cell(z)))
 
 
-def pick_ranks(df: DataFrame, order: list[str], ranks: list[int], spread: int | None = None) -> DataFrame:
-    """The rows at the given ranks (from 0) of the order, with column `rank`.
+def pick_ranks(df: DataFrame, order: list[str], ranks: list[int], spread: int | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The rows at the given ranks (from 0) of the order, with column `rank`. The order columns together are taken to be unique.
 
     The first order column (a long) is cut into cells; their counts tell which cells hold a wanted rank, and only those
-    rows are ordered. No task ranks the whole table.
+    rows go on. They are dealt by ranges of the whole order, so equal values of its first columns are split as well: a
+    task orders about `task_rows` rows, however many share a cell.
     """
+    spark = df.sparkSession
     cell = (F.col(order[0]) if spread is None else F.floor(F.col(order[0]) / spread)).alias("__cell")
     cells = df.withColumn("__cell", cell)
     counts = cells.groupBy("__cell").agg(F.count("*").alias("n"))
     starts = counts.select("__cell", (F.sum("n").over(Window.orderBy("__cell")) - F.col("n")).alias("__s"), "n")
-    wanted = df.sparkSession.createDataFrame([(r,) for r in sorted(set(ranks))], "rank long")
+    wanted = spark.createDataFrame([(r,) for r in sorted(set(ranks))], "rank long")
     # A codebook's ranks at most: K rows.
-    hit = starts.join(F.broadcast(wanted), (F.col("rank") >= F.col("__s")) & (F.col("rank") < F.col("__s") + F.col("n"))).groupBy("__cell").agg(F.first("__s").alias("__s"), F.collect_list("rank").alias("__ranks"))
-    inside = cells.join(F.broadcast(hit), "__cell")
-    rank = F.row_number().over(Window.partitionBy("__cell").orderBy(*order)) - 1 + F.col("__s")
-    return inside.withColumn("rank", rank).where(F.array_contains("__ranks", F.col("rank"))).drop("__cell", "__s", "__ranks")
+    hit = starts.join(F.broadcast(wanted), (F.col("rank") >= F.col("__s")) & (F.col("rank") < F.col("__s") + F.col("n"))).groupBy("__cell").agg(F.first("__s").alias("s"), F.first("n").alias("n"), F.collect_list("rank").alias("ranks"))
+    places, inside = {}, 0  # place among the rows of hit cells -> rank
+    hits = hit.orderBy("__cell").collect()
+    for h in hits:
+        places.update({inside + r - h["s"]: r for r in h["ranks"]})
+        inside += h["n"]
+    if not hits:
+        return df.withColumn("rank", F.lit(0).cast("long")).limit(0)
+    dealt = cells.where(F.col("__cell").isin([h["__cell"] for h in hits])).drop("__cell").repartitionByRange(-(-inside // task_rows), *order).sortWithinPartitions(*order)
+    # Numbers say which partition a row is in and where; written once, they cannot change between the two reads.
+    dealt = written(dealt.withColumn("__at", F.monotonically_increasing_id()), "ranked-rows")
+    at, found = 0, {}
+    for part, n in sorted(tuple(r) for r in dealt.groupBy(F.shiftright("__at", 33)).count().collect()):  # a row per task
+        found.update({(part << 33) + place - at: rank for place, rank in places.items() if at <= place < at + n})
+        at += n
+    picked = spark.createDataFrame(list(found.items()), "__at long, rank long")
+    return dealt.join(F.broadcast(picked), "__at").drop("__at")
 
 
 def morton_vectors(df: DataFrame, size: int, ties: list[str]) -> list[tuple[float, float, float]]:
@@ -161,7 +183,7 @@ def nearest(vectors: np.ndarray, book: np.ndarray) -> np.ndarray:
     for k in range(0, len(vectors), 4096):
         v = vectors[k : k + 4096]
         d = np.zeros((len(v), len(book)))
-        for axis in range(3):
+        for axis in range(book.shape[1]):
             step = v[:, axis, None] - book[None, :, axis]
             d += step * step
         out[k : k + 4096] = d.argmin(axis=1)
@@ -226,19 +248,148 @@ def decode_3d(codes: Column, book: Levels3D) -> Column:
     return F.array(*(sum((F.get(axis(level, i), F.get(codes, F.lit(level))) for level in range(1, len(book.vectors))), F.get(axis(0, i), F.get(codes, F.lit(0)))) for i in range(3)))
 
 
-def kmeans_vectors(df: DataFrame, columns: list[str], size: int, seed: int, restarts: int = 10) -> list[tuple[float, ...]]:
-    """Cluster centres of the best of several k-means runs, `size` of them: with fewer distinct points the last one repeats (and is never chosen)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+def _points(columns: list[str]):
+    return lambda b: np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns])
+
+
+def _lloyd(columns: list[str], centres: dict[int, np.ndarray], far: int):
+    """Per task, run and code: rows, whole nine-digit sums and cost; and the `far` rows that lie farthest from their centre (code -1)."""
+    points, dims = _points(columns), len(columns)
+
+    def step(batches):
+        n = {r: np.zeros(len(c), np.int64) for r, c in centres.items()}
+        sums = {r: np.zeros((len(c), dims), np.int64) for r, c in centres.items()}
+        cost = dict.fromkeys(centres, 0.0)
+        apart: dict[int, tuple] = {r: (np.zeros(0), np.zeros((0, dims))) for r in centres}
+        for b in batches:
+            v = points(b)
+            whole = np.round(v * 1e9).astype(np.int64)
+            for r, c in centres.items():
+                code = nearest(v, c)
+                d = np.square(v - c[code]).sum(axis=1)
+                n[r] += np.bincount(code, minlength=len(c))
+                for i in range(dims):
+                    np.add.at(sums[r][:, i], code, whole[:, i])
+                cost[r] += float(d.sum())
+                d, w = np.r_[apart[r][0], d], np.r_[apart[r][1], v]
+                keep = np.lexsort((*w.T[::-1], -d))[:far]
+                apart[r] = d[keep], w[keep]
+        for r, c in centres.items():
+            d, w = apart[r]
+            rows = {"run": np.full(len(c) + len(d), r), "code": np.r_[np.arange(len(c)), np.full(len(d), -1)], "n": np.r_[n[r], np.zeros(len(d), np.int64)], "cost": np.r_[[cost[r]], np.zeros(len(c) - 1), d]}
+            rows |= {f"s{i}": np.r_[sums[r][:, i], np.round(w[:, i] * 1e9).astype(np.int64)] for i in range(dims)}
+            yield pa.RecordBatch.from_pydict({k: pa.array(x) for k, x in rows.items()})
+
+    return step
+
+
+def lloyd_step(points: DataFrame, columns: list[str], centres: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, float]]:
+    """One step of several k-means runs in one job: each run's next centres (nine digits) and the cost of its present ones.
+
+    A centre without rows moves to the row that lies farthest from its own centre, the next one to the next such row.
+    Sums are whole numbers, so a step does not depend on how rows are dealt.
+    """
+    size, dims = max(map(len, centres.values())), len(columns)
+    sums = ", ".join(f"s{i} long" for i in range(dims))
+    made = points.select(*columns).mapInArrow(_lloyd(columns, centres, size), f"run long, code long, n long, cost double, {sums}")
+    near = made.where("code >= 0").groupBy("run", "code").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *(F.sum(F.col(f"s{i}").cast("decimal(38,0)")).alias(f"s{i}") for i in range(dims)))
+    # The farthest rows of each task are `size` at most; of them the farthest `size` of all are kept.
+    last = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("cost"), *(f"s{i}" for i in range(dims))))
+    far = made.where("code < 0").withColumn("nth", last).where(F.col("nth") <= size).select("run", (-F.col("nth")).alias("code"), F.lit(0).cast("long").alias("n"), "cost", *(F.col(f"s{i}").cast("decimal(38,0)").alias(f"s{i}") for i in range(dims)))
+    found: dict[tuple[int, int], tuple] = {(r["run"], r["code"]): r for r in near.unionByName(far).collect()}  # 2 * runs * size rows
+    out = {}
+    for run, c in centres.items():
+        after, nth = np.array(c, float), 0
+        for code in range(len(c)):
+            r = found.get((run, code))
+            if r and r["n"]:
+                after[code] = [round(int(r[f"s{i}"]) / r["n"] / 1e9, 9) for i in range(dims)]
+            else:
+                nth += 1
+                if (other := found.get((run, -nth))) and other["cost"] > 0:
+                    after[code] = [int(other[f"s{i}"]) / 1e9 for i in range(dims)]
+        out[run] = after, sum(r["cost"] for (x, code), r in found.items() if x == run and code >= 0)
+    return out
+
+
+def digest_seeds(df: DataFrame, columns: list[str], key: list[str], size: int, seed: int, restarts: int) -> dict[int, np.ndarray]:
+    """Start centres: for each run the `size` rows whose keys have the smallest seeded digests. A top-k per run, no order of all rows."""
+    out = {}
+    for r in range(restarts):
+        first = df.orderBy(draw(F.concat_ws(":", *key), seed + r)).limit(size).select(*columns).collect()
+        out[r] = np.array([tuple(x) for x in first], float).reshape(-1, len(columns))
+    return out
+
+
+def _farness(columns: list[str], centres: dict[int, np.ndarray], seed: int, take: int):
+    """Per task and run the `take` rows that win a race of exponential draws over their squared distance: D-squared sampling."""
+    points = _points(columns)
 
-    points = VectorAssembler(inputCols=columns, outputCol="features").transform(df.select(*columns)).select("features").persist()
-    best = None
-    for k in range(restarts):
-        model = KMeans(k=size, seed=seed + k, maxIter=20).fit(points)
-        if best is None or model.summary.trainingCost < best[0]:
-            best = model.summary.trainingCost, [tuple(map(float, c)) for c in model.clusterCenters()]
+    def race(batches):
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        best: dict[int, tuple] = {r: (np.zeros(0), np.zeros((0, len(columns)))) for r in centres}
+        for b in batches:
+            v = points(b)
+            for r, c in centres.items():
+                d = np.square(v - c[nearest(v, c)]).sum(axis=1) if len(c) else np.ones(len(v))
+                with np.errstate(divide="ignore"):
+                    t = np.where(d > 0, rng.exponential(size=len(v)) / d, np.inf)
+                t, w = np.r_[best[r][0], t], np.r_[best[r][1], v]
+                keep = np.argsort(t, kind="stable")[:take]
+                keep = keep[np.isfinite(t[keep])]
+                best[r] = t[keep], w[keep]
+        for r, (t, w) in best.items():
+            yield pa.RecordBatch.from_pydict({"run": pa.array(np.full(len(t), r)), "t": pa.array(t), **{f"s{i}": pa.array(w[:, i]) for i in range(len(columns))}})
+
+    return race
+
+
+def spread_seeds(points: DataFrame, columns: list[str], size: int, seed: int, restarts: int, rounds: int = 4) -> dict[int, np.ndarray]:
+    """Start centres of all runs in a few passes: each adds rows drawn by their squared distance from those before; twice as many as needed are then thinned out.
+
+    Draws follow the seed and the task, so equal inputs in equal partitions start alike.
+    """
+    names, take = [f"s{i}" for i in range(len(columns))], max(1, -(-2 * size // rounds))
+    chosen = {r: np.zeros((0, len(columns))) for r in range(restarts)}
+    for k in range(rounds + 1):
+        n = 1 if k == 0 else take
+        rows = points.select(*columns).mapInArrow(_farness(columns, chosen, seed * 1000 + k, n), f"run long, t double, {', '.join(f'{c} double' for c in names)}")
+        nth = F.row_number().over(Window.partitionBy("run").orderBy("t", *names))
+        got = rows.withColumn("nth", nth).where(F.col("nth") <= n).collect()  # restarts * take rows
+        chosen = {r: np.unique(np.r_[c, np.array([[x[s] for s in names] for x in got if x["run"] == r]).reshape(-1, len(columns))], axis=0) for r, c in chosen.items()}
+    out = {}
+    for r, c in chosen.items():
+        weights, rng = np.ones(len(c)), np.random.default_rng([seed, r])
+        picked: list[int] = []
+        while len(picked) < min(size, len(c)):  # k-means++ over a few hundred rows
+            d = np.square(c[:, None] - c[picked][None]).sum(axis=2).min(axis=1) * weights if picked else weights
+            picked.append(int(rng.choice(len(c), p=d / d.sum())))
+        out[r] = c[picked]
+    return out
+
+
+def kmeans_vectors(df: DataFrame, columns: list[str], size: int, seed: int, restarts: int = 10, steps: int = 20, seeds: dict[int, np.ndarray] | None = None) -> list[tuple[float, ...]]:
+    """Cluster centres of the best of several k-means runs, `size` of them: with fewer distinct points the last one repeats (and is never chosen).
+
+    All runs take each step together, in one job; a run that no longer changes sits out. Without rows all centres are zero.
+    """
+    points = df.select(*columns).persist()
+    centres = seeds if seeds is not None else spread_seeds(points, columns, size, seed, restarts)
+    moving, cost = {r: c for r, c in centres.items() if len(c)}, {}
+    for _ in range(steps):
+        if not moving:
+            break
+        after = lloyd_step(points, columns, moving)
+        cost.update({r: x for r, (_, x) in after.items()})
+        centres = centres | {r: c for r, (c, _) in after.items()}
+        moving = {r: c for r, (c, _) in after.items() if not np.array_equal(c, moving[r])}
+    if moving:
+        cost.update({r: x for r, (_, x) in lloyd_step(points, columns, moving).items()})
     points.unpersist()
-    return best[1] + best[1][-1:] * (size - len(best[1]))
+    if not cost:
+        return [(0.0,) * len(columns)] * size
+    best = [tuple(map(float, c)) for c in centres[min(cost, key=lambda r: (round(cost[r], 6), r))]]
+    return best + best[-1:] * (size - len(best))
 
 
 def train_1d_kmeans(df: DataFrame, column: str, levels: int, size: int, key: str | None = None, cap: int | None = None, seed: int = 0, restarts: int = 10) -> Levels1D:

@@ -19,9 +19,8 @@ def error_summary(df: DataFrame, error: Column, by: Iterable[str] = ()) -> DataF
     by = list(by)
     rows = df.select(*by, F.abs(error).alias("__e")).persist()
     e = F.col("__e")
-    found = rows.groupBy(*by).agg(F.avg(e), F.sqrt(F.avg(e * e)), F.max(e)).collect()
-    median = quantiles(rows, "__e", [0.5], by)
-    out = [(*r[: len(by)], r[-3], (median.get(tuple(r[: len(by)])) or [None])[0], r[-2], r[-1]) for r in found]
+    found = quantiles(rows, "__e", [0.5], by, also=[F.avg(e), F.sqrt(F.avg(e * e)), F.max(e)])
+    out = [(*g, mean, (median or [None])[0], rmse, most) for g, (median, (mean, rmse, most)) in found.items()]
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in by]
     rows.unpersist()
     return df.sparkSession.createDataFrame(out, ", ".join([*kinds, "mae double, median_error double, rmse double, max_error double"]))

@@ -81,6 +81,21 @@ def nearest_ctes(source: str, book: str, out: str, code: str) -> str:
 {out} AS (SELECT * EXCLUDE (bc, bx, by_, bz, k, x, y, z), bc AS {code}, round(x - bx, 9) AS x, round(y - by_, 9) AS y, round(z - bz, 9) AS z FROM {out}_d WHERE k = 1)"""
 
 
+def kmeans_sql(runs: int, steps: int, size: int) -> str:
+    """Lloyd steps of all runs side by side; no centre loses all its rows on these tables."""
+    ctes = [SCALED_B, "p AS MATERIALIZED (SELECT mol_id, atom_idx, x, y, z FROM scaled)"]
+    firsts = " UNION ALL ".join(f"(SELECT {r} AS run, row_number() OVER (ORDER BY g) - 1 AS code, x, y, z FROM (SELECT *, md5('{1 + r}:' || mol_id || ':' || atom_idx) AS g FROM p ORDER BY g LIMIT {size}))" for r in range(runs))
+    ctes.append(f"c0 AS MATERIALIZED ({firsts})")
+    far = "(p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) + (p.z - c.z) * (p.z - c.z)"
+    for k in range(steps + 1):
+        ctes.append(f"d{k} AS (SELECT run, mol_id, atom_idx, any_value(p.x) AS x, any_value(p.y) AS y, any_value(p.z) AS z, min({{'d': {far}, 'c': c.code}}) AS m FROM p, c{k} AS c GROUP BY run, mol_id, atom_idx)")
+        if k < steps:
+            mean = ", ".join(f"round(sum(round({a} * 1e9)::HUGEINT)::DOUBLE / count(*) / 1e9::DOUBLE, 9) AS {a}" for a in "xyz")
+            ctes.append(f"c{k + 1} AS MATERIALIZED (SELECT run, m.c AS code, {mean} FROM d{k} GROUP BY run, m.c)")
+    ctes.append(f"best AS (SELECT run FROM d{steps} GROUP BY run ORDER BY round(sum(m.d), 6), run LIMIT 1)")
+    return f"WITH {', '.join(ctes)} SELECT 'position' AS channel, 0::BIGINT AS level, code::BIGINT AS code, {', '.join(f'{r6(a)} AS {a}' for a in 'xyz')} FROM c{steps} JOIN best USING (run)"
+
+
 def events_ctes(levels: int, size: int) -> str:
     n = size - 1
     out = ["st AS (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events)", "l0 AS (SELECT event_id, round((value - m) / s, 9) AS r0, round((value - m) / s, 9) AS r FROM events, st)"]
@@ -243,6 +258,7 @@ def oracle_sql() -> dict[str, str]:
         "morton_codebook": f"WITH {SCALED_B}, {codebook_ctes('scaled', 'k0', 64)} SELECT 'position' AS channel, 0::BIGINT AS level, code::BIGINT AS code, {', '.join(f'{r6(a)} AS {a}' for a in 'xyz')} FROM k0",
         "rvq3d_encode": f"WITH {SCALED_B}, {two} SELECT mol_id, atom_idx::BIGINT AS atom_idx, c0::BIGINT AS c0, c1::BIGINT AS c1 FROM q1",
         "rvq3d_residual_rms": f"WITH {SCALED_B}, {two} " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS level, {r6('sqrt(sum(x * x + y * y + z * z) / (3 * count(*)))')} AS rms FROM q{k}" for k in range(2)),
+        "kmeans_codebook": kmeans_sql(q.KMEANS_RUNS, q.KMEANS_STEPS, 8),
         "rvq1d_encode_256": big_scalar_sql(),
         "rvq3d_encode_256": big_position_sql(),
         "vocab_table": vocab_sql(),

@@ -27,6 +27,7 @@ FIXED_BOOKS = {"position": FIXED_POSITION, "force_x": FIXED_SCALAR, "force_y": F
 FIXED_SCALES = scale.Scales(1.5, 0.1, -150.0, 80.0)
 SPACE = vocab.Space(K, POS_LEVELS, LEVELS)
 EVENT_SIZE, EVENT_LEVELS = 16, 3
+KMEANS_RUNS, KMEANS_STEPS = 10, 12
 #: Words of the small word-level vocabulary; their ids follow from 1, unknown words are 0.
 WORDS = ("the", "of", "and", "to", "in", "is", "that", "for", "with", "de", "la", "que", "der", "die", "und", "le", "les", "des")
 
@@ -143,7 +144,8 @@ def rvq3d_residual_rms(spark, sf_dir):
 
 def kmeans_codebook(spark, sf_dir):
     atoms = _scaled_atoms(spark, sf_dir)
-    book = cb.kmeans_vectors(atoms, ["x", "y", "z"], 8, seed=1)
+    seeds = cb.digest_seeds(atoms, ["x", "y", "z"], ["mol_id", "atom_idx"], 8, seed=1, restarts=KMEANS_RUNS)
+    book = cb.kmeans_vectors(atoms, ["x", "y", "z"], 8, seed=1, steps=KMEANS_STEPS, seeds=seeds)
     return _book_rows(spark, {"position": cb.Levels3D((tuple(book),))})
 
 

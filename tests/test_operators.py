@@ -216,7 +216,7 @@ def test_quantiles_are_numpys(spark):
     values = np.concatenate([rng.normal(size=4000), np.zeros(2000), rng.normal(size=500) * 1e9, [1e-300, -1e300]]).tolist()
     df = spark.createDataFrame([(x,) for x in values] + [(None,)], "x double")
     at = [0.0, 0.01, 1 / 3, 0.5, 0.9, 1.0]
-    got = order.quantiles(df, "x", at)[()]
+    got = order.quantiles(df, "x", at)[()][0]
     assert np.allclose(got, np.quantile(values, at), rtol=1e-12, atol=1e-300)
 
 
@@ -232,7 +232,7 @@ def test_order_values_cut_cells_until_few_rows_are_left(spark, monkeypatch):
     groups = order.order_values(df, "x", range, ["g"])
     assert all({r: v for r, (v, _) in groups[g,][1].items()} == dict(enumerate(x for x in values if x % 2 == g)) for g in (0, 1))
     assert order.order_values(df.limit(0), "x", range).get((), (0, {}))[1] == {}
-    assert order.quantiles(df.limit(0), "x", [0.5]).get(()) is None
+    assert order.quantiles(df.limit(0), "x", [0.5])[()] == (None, ())
 
 
 def test_nan_is_the_largest(spark):
@@ -492,3 +492,63 @@ def test_streams_tokenise_like_tables(spark, tmp_path):
     seen = []
     stream.stream_batches(spark, str(tmp_path / "in"), str(tmp_path / "at2"), FIXED_BOOKS, FIXED_SCALES, MOLECULE, lambda df, k: seen.extend(map(str, df.collect()))).awaitTermination()
     assert sorted(seen) == want
+
+
+# Exact order statistics and codebook training at any shape of data
+
+
+@pytest.mark.parametrize("collected, sketch", [(50_000, 65_535), (100, 64), (400, 512)])
+def test_quantiles_by_brackets_and_their_fallback(spark, monkeypatch, collected, sketch):
+    monkeypatch.setattr(order, "COLLECTED", collected)
+    monkeypatch.setattr(order, "SKETCH", sketch)
+    monkeypatch.setattr(order, "SKETCH_ERROR", 0.01)
+    rng = np.random.default_rng(4)
+    x = {"a": rng.normal(size=3000), "b": np.r_[np.zeros(2000), rng.normal(size=500)], "c": np.array([2.0]), "d": np.full(700, -1.5)}
+    rows = [(g, float(v)) for g, vs in x.items() for v in vs] + [("a", None), (None, 3.0), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    at = [0.0, 0.013, 0.25, 0.5, 0.99, 1.0]
+    got = order.quantiles(df, "x", at, ["g"], also=[F.count("*"), F.max("x")])
+    for g, v in (*x.items(), (None, [3.0])):
+        assert got[g,][0] == pytest.approx(np.quantile(v, at).tolist(), abs=1e-12) and got[g,][1][1] == max(v)
+    assert got["e",] == (None, (1, None)) and got["a",][1][0] == 3001
+    assert order.quantiles(df, "x", [0.5], ["g"], least=600)["b",][0] == [0.0] and order.quantiles(df, "x", [0.5], ["g"], least=600)["c",][0] is None
+    nan = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,)], "x double")
+    assert order.quantiles(nan, "x", [0.0, 0.5])[()][0] == [1.0, 2.0] and math.isnan(order.quantiles(nan, "x", [1.0])[()][0][0])
+
+
+def test_ranks_among_equal_values_are_dealt_over_tasks(spark):
+    df = spark.range(20_000).select(F.lit(7).cast("long").alias("mc"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.col("id").alias("v")).repartition(6)
+    seen = []
+    whole = cb.written
+    try:
+        cb.written = lambda rows, name: seen.append(whole(rows, name)) or seen[-1]
+        got = {r["rank"]: r["key"] for r in cb.pick_ranks(df, ["mc", "key"], [0, 5, 9_999, 19_999, 19_999], 4096, task_rows=2_000).collect()}
+    finally:
+        cb.written = whole
+    keys = sorted(f"k{i}" for i in range(20_000))
+    assert got == {r: keys[r] for r in (0, 5, 9_999, 19_999)}
+    sizes = sorted(r["count"] for r in seen[0].groupBy(F.shiftright("__at", 33)).count().collect())
+    assert len(sizes) == 10 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_equal_vectors_train_without_a_cap(spark):
+    df = spark.range(500).select(F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit(3.0).alias("z"), F.col("id").cast("string").alias("k"))
+    assert cb.train_3d(df, 1, 8, ["k"], cap=None).vectors == (((0.0, 0.0, 0.0), *[(1.0, 2.0, 3.0)] * 7),)
+
+
+def test_lloyd_steps_equal_numpy_and_refill_empty_centres(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(300, 3)).round(4)
+    df = spark.createDataFrame(v.tolist(), "x double, y double, z double").repartition(7)
+    centres = {0: v[:4], 3: np.r_[v[10:13], [[90.0, 0.0, 0.0]]]}
+    for run, (after, cost) in cb.lloyd_step(df, ["x", "y", "z"], centres).items():
+        d = np.square(v[:, None] - centres[run][None]).sum(axis=2)
+        code = d.argmin(axis=1)
+        want = [v[code == k].mean(axis=0) if (code == k).any() else v[d.min(axis=1).argmax()] for k in range(4)]
+        assert np.allclose(after, want, atol=1e-9) and cost == pytest.approx(d.min(axis=1).sum())
+    seeds = {k: v[k * 5 : k * 5 + 5] for k in range(3)}
+    one = cb.kmeans_vectors(df, ["x", "y", "z"], 5, 1, seeds=seeds)
+    assert one == cb.kmeans_vectors(df.repartition(2), ["x", "y", "z"], 5, 1, seeds=seeds) and len(set(one)) == 5
+    assert cb.kmeans_vectors(df.limit(0), ["x", "y", "z"], 3, 1) == [(0.0, 0.0, 0.0)] * 3
+    apart = spark.createDataFrame([(float(100 * (i % 6)) + 0.01 * (i % 7), 0.0, 0.0) for i in range(600)], "x double, y double, z double")
+    assert sorted(round(c[0] / 100) for c in cb.kmeans_vectors(apart, ["x", "y", "z"], 6, 2, restarts=2)) == [0, 1, 2, 3, 4, 5]
