@@ -23,6 +23,8 @@ from tesserae.llm.common import drop_materialized, fresh_path, materialize
 DICT_FRAME, DATA_FRAME = 0x184D2A5D, 0xFD2FB528
 #: Bytes that a frame may decode to: what an archive claims is not trusted.
 MAX_RECORD_BYTES = 1 << 30
+#: Bytes that a block decodes to at most (fixed by the format); the largest window and dictionary that are accepted.
+BLOCK_BYTES, MAX_WINDOW, MAX_DICT_BYTES = 1 << 17, 1 << 27, 16 << 20
 ARCHIVE_BYTES, SAMPLE_BYTES, SAMPLE_RECORDS, DICT_BYTES = 32 << 20, 4 << 20, 400, 32 << 10
 DATE = "2025-01-01T00:00:00Z"
 TYPES = {"warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation"}
@@ -70,8 +72,53 @@ def make_archive(records: list[bytes]) -> bytes:
     return lead + b"".join(packer.compress(r) for r in records)
 
 
+def _frame_end(data: bytes, at: int) -> tuple[int, int]:
+    """(where the frame at `at` ends, the bytes that its blocks decode to at most), from its headers alone."""
+    view = memoryview(data)
+    try:
+        p = at + zstandard.frame_header_size(view[at : at + 18])
+        checked = zstandard.get_frame_parameters(view[at : at + 18]).has_checksum
+    except zstandard.ZstdError as e:
+        raise zstandard.ZstdError("the frame is cut off" if len(data) - at < 18 else str(e)) from e
+    last, blocks = 0, 0
+    while not last:
+        if p + 3 > len(data):
+            raise zstandard.ZstdError("the frame is cut off")
+        head = int.from_bytes(view[p : p + 3], "little")
+        last, kind, size = head & 1, head >> 1 & 3, head >> 3
+        if kind == 3:
+            raise zstandard.ZstdError("a block of an unknown kind")
+        p += 3 + (1 if kind == 1 else size)  # a run is one byte
+        blocks += 1
+    p += 4 * checked
+    if p > len(data):
+        raise zstandard.ZstdError("the frame is cut off")
+    return p, blocks * BLOCK_BYTES
+
+
+def _decoded(decoder: zstandard.ZstdDecompressor, frame: bytes, most: int, bound: int) -> bytes:
+    """A frame's bytes, if there are no more than `most`; never more than one byte beyond is made."""
+    told = zstandard.get_frame_parameters(frame[:18]).content_size
+    known = told if told < zstandard.CONTENTSIZE_UNKNOWN else bound
+    if told < zstandard.CONTENTSIZE_UNKNOWN and told > most:
+        raise zstandard.ZstdError(f"the frame holds more than {most} bytes")
+    want, out = min(most, known, bound) + 1, []
+    with decoder.stream_reader(frame) as reader:
+        while want and (piece := reader.read(want)):
+            out.append(piece)
+            want -= len(piece)
+    made = b"".join(out)
+    if len(made) > most:
+        raise zstandard.ZstdError(f"the frame holds more than {most} bytes")
+    return made
+
+
 def frames(data: bytes, max_record_bytes: int = MAX_RECORD_BYTES):
-    """(frame number, record bytes or None, error or None) of an archive; decoding stops at the first broken or too large frame."""
+    """(frame number, record bytes or None, error or None) of an archive; decoding stops at the first broken or too large frame.
+
+    Where a frame ends is read from its block headers. It is decoded only so far as its bound allows, so a small archive
+    that decodes to a large one costs no more than the bound; windows beyond MAX_WINDOW are refused.
+    """
     dictionary, at = None, 0
     if len(data) >= 8 and struct.unpack_from("<I", data)[0] == DICT_FRAME:
         size = struct.unpack_from("<I", data, 4)[0]
@@ -80,31 +127,27 @@ def frames(data: bytes, max_record_bytes: int = MAX_RECORD_BYTES):
             yield 0, None, "the dictionary frame is cut off"
             return
         if raw[:4] == struct.pack("<I", DATA_FRAME):  # the dictionary may itself be compressed
-            raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+            try:
+                raw = _decoded(zstandard.ZstdDecompressor(max_window_size=MAX_WINDOW), raw, MAX_DICT_BYTES, _frame_end(raw, 0)[1])
+            except zstandard.ZstdError as e:
+                yield 0, None, f"dictionary: {e}"
+                return
         dictionary, at = (zstandard.ZstdCompressionDict(raw) if raw else None), 8 + size
-    decoder = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
-    view, number = memoryview(data), 0
+    decoder = zstandard.ZstdDecompressor(dict_data=dictionary, max_window_size=MAX_WINDOW)
+    number = 0
     while at < len(data):
         magic = struct.unpack_from("<I", data, at)[0] if len(data) - at >= 8 else 0
         if magic & 0xFFFFFFF0 == 0x184D2A50:  # other skippable frames
             at += 8 + struct.unpack_from("<I", data, at + 4)[0]
             continue
-        one, out, fed, size = decoder.decompressobj(), [], at, 0
         try:
-            while not one.eof and fed < len(data):
-                piece = view[fed : fed + 16384]
-                out.append(one.decompress(piece))
-                fed += len(piece)
-                size += len(out[-1])
-                if size > max_record_bytes:
-                    raise zstandard.ZstdError(f"the frame holds more than {max_record_bytes} bytes")
-            if not one.eof:
-                raise zstandard.ZstdError("the frame is cut off")
+            end, bound = _frame_end(data, at)
+            out = _decoded(decoder, data[at:end], max_record_bytes, bound)
         except zstandard.ZstdError as e:
             yield number, None, f"frame: {e}"
             return
-        at = fed - len(one.unused_data)
-        yield number, b"".join(out), None
+        at = end
+        yield number, out, None
         number += 1
 
 

@@ -101,6 +101,45 @@ def test_broken_archives(spark):
         read_archives(rows).collect()
 
 
+def test_a_frame_is_never_decoded_beyond_its_bound():
+    import subprocess
+    import sys
+
+    code = """
+import resource, zstandard
+from tesserae.llm.warc import frames
+bomb = zstandard.ZstdCompressor(level=19, write_content_size={told}).compress(b"\\0" * (600 << 20))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+import os; pid = os.fork()  # a child's peak begins at what it has now
+if not pid:
+    open("/proc/self/clear_refs", "w").write("5")
+    (n, raw, error), = frames(bomb, 1 << 20)
+    peak = int(next(x for x in open("/proc/self/status") if x.startswith("VmHWM")).split()[1])
+    now = int(next(x for x in open("/proc/self/status") if x.startswith("VmRSS")).split()[1])
+    os._exit(0 if raw is None and "more than" in error and peak - now < 40_000 else 1)
+assert os.waitpid(pid, 0)[1] == 0
+"""
+    for told in (True, False):
+        subprocess.run([sys.executable, "-c", code.replace("{told}", str(told))], check=True, timeout=120)
+
+
+def test_frames_of_every_form_decode(spark):
+    import zstandard
+
+    from tesserae.llm.warc import frames
+
+    bodies = [b"", b"a", b"\0" * 400_000, bytes(range(256)) * 2000, "é".encode() * 50_000]
+    for told, checked in ((True, True), (False, False)):
+        packer = zstandard.ZstdCompressor(write_content_size=told, write_checksum=checked)
+        data = b"".join(packer.compress(b) for b in bodies)
+        assert [f[:2] for f in frames(data)] == list(enumerate(bodies))
+        for cut in (1, 3, 9):
+            assert "cut off" in list(frames(data[:-cut]))[-1][2]
+    worse = bytearray(zstandard.ZstdCompressor(write_checksum=True).compress(bytes(range(256)) * 50))
+    worse[-1] ^= 1
+    assert list(frames(bytes(worse)))[0][2].startswith("frame:")
+
+
 def test_frames_of_no_bounded_size_and_second_skippable_frames(spark):
     bodies = [b"<p>one</p>", b"\0" * 3_000_000, b"<p>two</p>"]
     parts = [make_archive([make_record(k, None, b, sha1(b))]) for k, b in enumerate(bodies)]
