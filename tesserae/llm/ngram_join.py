@@ -3,9 +3,11 @@
 Texts with equal n-gram sets form a class; one representative each goes on. Bands and rows are chosen for a target
 recall at the threshold. Representatives meet where a band's hash is equal; buckets with the same members are one.
 
-Members of a bucket too large for one block are first compared with one pivot, on full sets. Jaccard distance is a
-metric, so members within half the allowed distance of a pivot (its core) all link with each other: they are counted
-without meeting. What is left is cut into blocks of bounded size and every pair of blocks, but for those of one core,
+Members of a bucket too large for one block are first compared with one pivot, on full sets: the bucket's consensus, the
+n-grams that half of its members have. Jaccard distance is a metric and a pivot need not be a member, so members within
+half the allowed distance of it (its core) all link with each other: they are counted without meeting. Copies of one
+text, each changed a little, all lie around their consensus, however many they are. What is left has a consensus of
+its own, a few times over; then it is cut into blocks of bounded size and every pair of blocks, but for those of one core,
 is a group, in which all pairs are verified on their full n-gram sets. A pair counts in one of its buckets only. A
 group returns a row per member, not per pair: the links it adds and the smallest member they connect it to; so the rows
 stay linear in the members, however many pairs link.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,8 @@ from tesserae.llm.words import run_hashes, word_hashes
 BLOCK_MEMBERS, BLOCK_NGRAMS = 256, 500_000
 #: Members that one copy of a pivot's set serves, and members that make a core worth blocks of its own.
 PIVOT_MEMBERS, CORE_MEMBERS = 4096, 64
+#: Times that a consensus is taken of what the cores before left over.
+CORE_ROUNDS = 3
 
 
 def ngram_hashes(text: str | None, n: int = 5) -> np.ndarray:
@@ -90,17 +95,28 @@ def _set_maker(n: int):
     return make
 
 
+def _gram_counts(batches):
+    """How many of the members of a home in each task have an n-gram: (home, gram, n); rows arrive ordered by home."""
+    for b in batches:
+        home = b.column("home").to_numpy()
+        cuts = np.r_[0, np.flatnonzero(home[1:] != home[:-1]) + 1, len(home)] if len(home) else np.zeros(1, np.int64)
+        grams = b.column("grams")
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            found, n = np.unique(np.concatenate([np.frombuffer(g.as_py(), np.uint64) for g in grams.slice(lo, hi - lo)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), home[lo])), pa.array(found.view(np.int64)), pa.array(n)], ["home", "gram", "n"])
+
+
 def _near_pivot(threshold: float):
-    """(rep, pivot) of the members within half the allowed distance of the pivot whose row leads their block."""
+    """(rep, core) of the members within half the allowed distance of the pivot whose row leads their block; core is the pivot's number."""
 
     def near(batches):
-        pivot = None
+        pivot, key = None, 0
         for b in batches:
             found = [], []
-            for kind, key, rep, grams in zip(*(b.column(c).to_pylist() for c in ("kind", "pivot", "rep", "grams")), strict=True):
+            for kind, rep, grams in zip(*(b.column(c).to_pylist() for c in ("kind", "rep", "grams")), strict=True):
                 own = np.frombuffer(grams, np.uint64)
                 if kind == 0:
-                    pivot = own
+                    pivot, key = np.sort(own), rep
                     continue
                 both = np.intersect1d(own, pivot, assume_unique=True).size
                 if 2 * both >= (1 + threshold) * (len(own) + len(pivot) - both):
@@ -111,6 +127,14 @@ def _near_pivot(threshold: float):
     return near
 
 
+def _packed(batches):
+    """(home, core, grams) of a consensus: its sorted n-grams as one byte string, and a number that equal ones share."""
+    for b in batches:
+        sets = [np.sort(np.asarray(g, np.int64).view(np.uint64)) for g in b.column("set").to_pylist()]
+        keys = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in sets]
+        yield pa.RecordBatch.from_arrays([b.column("home"), pa.array(keys, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["home", "core", "grams"])
+
+
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """How many n-grams each two of the sets share."""
     m = len(sets)
@@ -198,17 +222,50 @@ def _verifier(threshold: float):
 
 
 def _cores(big: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(rep, core) of the members of large buckets that lie close to a bucket's pivot, its smallest member."""
-    pivots = materialize(big.groupBy("bucket").agg(F.min("rep").alias("pivot")), "pivots")
-    pairs = materialize(big.select("bucket", "rep").join(pivots, "bucket").select("pivot", "rep").distinct(), "pivot-members")
-    copies = materialize(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PIVOT_MEMBERS).cast("int").alias("copies")), "pivot-copies")
-    cells = pairs.join(copies, "pivot").select("pivot", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int").alias("copy"), "rep", F.lit(1).alias("kind"))
-    leads = copies.select("pivot", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("pivot").alias("rep"), F.lit(0).alias("kind"))
-    rows = cells.unionByName(leads).hint("merge").join(sets, "rep").select("pivot", "copy", "kind", "rep", "grams")
-    rows = rows.repartition(shuffle_width(big.sparkSession), "pivot", "copy").sortWithinPartitions("pivot", "copy", "kind")
-    near = rows.mapInArrow(_near_pivot(threshold), "rep long, core long").groupBy("rep").agg(F.min("core").alias("core"))
-    out = materialize(near, "cores")
-    drop_materialized(pivots, pairs, copies)
+    """(rep, core) of the members of large buckets that lie close to the consensus of a bucket they are in.
+
+    A member's home is the largest bucket it is in; the consensus of the members at home there is a pivot, so a set is
+    read once for it. All members of a bucket meet the pivot that most of them have at home; equal pivots are one.
+    Members that no core takes go into the next round, among themselves.
+    """
+    spark, left, found, made = big.sparkSession, big.select("bucket", "rep"), [], []
+    for _ in range(CORE_ROUNDS):
+        sizes = materialize(left.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_MEMBERS), "home-sizes")
+        homes = materialize(left.join(sizes.hint("merge"), "bucket").groupBy("rep").agg(F.max(F.struct("m", "bucket"))["bucket"].alias("home")), "homes")
+        held = materialize(homes.groupBy("home").agg(F.count("*").alias("m")).where(F.col("m") >= CORE_MEMBERS), "home-members")
+        made += [sizes, homes, held]
+        if held.isEmpty():
+            break
+        members = homes.hint("merge").join(sets, "rep").select("home", "grams")
+        counts = members.sortWithinPartitions("home").mapInArrow(_gram_counts, "home long, gram long, n long").groupBy("home", "gram").agg(F.sum("n").alias("n"))
+        common = counts.join(held.hint("merge"), "home").where(2 * F.col("n") >= F.col("m"))
+        # A consensus holds at most twice as many n-grams as its members do on average.
+        pivots = common.groupBy("home").agg(F.collect_list("gram").alias("set")).mapInArrow(_packed, "home long, core long, grams binary")
+        pivots = materialize(pivots, "consensus")
+        # A bucket's pivot is the one that most of its members have at home.
+        at_home = homes.join(pivots.select("home", "core").hint("merge"), "home").select("rep", "core")
+        votes = left.join(at_home.hint("merge"), "rep").groupBy("bucket", "core").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max(F.struct("m", "core"))["core"].alias("core"))
+        pairs = left.join(votes.hint("merge"), "bucket").select("core", "rep").distinct()
+        pairs = materialize(pairs, "core-candidates")
+        copies = materialize(pairs.groupBy("core").agg(F.ceil(F.count("*") / PIVOT_MEMBERS).cast("int").alias("copies")), "core-copies")
+        cells = pairs.join(copies.hint("merge"), "core").select("core", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("kind"), "rep")
+        cells = cells.hint("merge").join(sets, "rep").select("core", "copy", "kind", "rep", "grams")
+        leads = pivots.select("core", "grams").dropDuplicates(["core"]).join(copies.hint("merge"), "core")
+        leads = leads.select("core", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), F.col("core").alias("rep"), "grams")
+        rows = cells.unionByName(leads).repartition(shuffle_width(spark), "core", "copy").sortWithinPartitions("core", "copy", "kind")
+        close = materialize(rows.mapInArrow(_near_pivot(threshold), "rep long, core long"), "close")
+        # Of several cores the one with most members takes a document.
+        width = close.groupBy("core").agg(F.count("*").alias("m"))
+        near = close.join(width.hint("merge"), "core").groupBy("rep").agg(F.max(F.struct("m", "core"))["core"].alias("core"))
+        near = materialize(near, "cores")
+        made += [pivots, pairs, copies, close]
+        found.append(near)
+        if near.isEmpty():
+            break
+        left = materialize(left.join(near.select("rep").hint("merge"), "rep", "left_anti"), "beside-cores")
+        made.append(left)
+    out = materialize(reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "rep long, core long"), "all-cores")
+    drop_materialized(*made, *found)
     return out
 
 
@@ -272,8 +329,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, targ
         cores = _cores(large, sets, threshold)
         cells, told = small.unionByName(_block_cells(large, cores)), mine.join(cores.hint("merge"), "rep", "left")
         whole = cores.join(mine.select("rep", "size"), "rep")
-        total = materialize(whole.groupBy("core").agg(F.sum("size").alias("total")), "core-sizes")
-        in_cores = whole.join(total, "core").select("rep", (F.col("total") - F.col("size")).alias("links"), F.col("core").alias("root"))
+        total = materialize(whole.groupBy("core").agg(F.sum("size").alias("total"), F.min("rep").alias("root")), "core-sizes")
+        in_cores = whole.join(total, "core").select("rep", (F.col("total") - F.col("size")).alias("links"), "root")
         made += [sets, cores, total]
     told = sets.join(told.select("rep", "size", "buckets", "core").hint("merge"), "rep")
     groups = cells.hint("merge").join(told, "rep").repartition(shuffle_width(spark), "bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "rep")
