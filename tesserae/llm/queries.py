@@ -36,9 +36,12 @@ def op4_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_digest_cache_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against a cache that an earlier run has filled with half of their contents (by a hash of the text)."""
     from tesserae.llm.token_counts import count_tokens
 
-    return count_tokens(table(spark, sf_dir, "documents"), "word_bpe_49k.json").select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    docs, cache = table(spark, sf_dir, "documents").select("doc_id", "text"), fresh_path(spark, "token-counts")
+    count_tokens(docs.where(F.xxhash64("text") < 0), "word_bpe_49k.json", cache)
+    return count_tokens(docs, "word_bpe_49k.json", cache).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op6_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:

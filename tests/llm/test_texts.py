@@ -215,6 +215,19 @@ def test_cached_counts_are_not_made_again(spark, odd, none, tmp_path):
     assert count_tokens(none, cache=at).count() == 0
 
 
+def test_the_count_query_meets_a_half_filled_cache(spark, sf_dir, docs, monkeypatch):
+    from tesserae.llm import token_counts
+
+    encoded = []
+    monkeypatch.setattr(token_counts, "_counter", lambda path, f=token_counts._counter: encoded.append(path) or f(path))
+    paths = []
+    monkeypatch.setattr(q, "fresh_path", lambda s, name, f=q.fresh_path: paths.append(f(s, name)) or paths[-1])
+    got = {r["doc_id"]: r["n_tokens"] for r in rows_of(q.op5_digest_cache_token_counts(spark, sf_dir))}
+    assert got == {r["doc_id"]: r["n_tokens"] for r in rows_of(count_tokens(docs))}
+    stored = spark.read.schema(CACHE_SCHEMA).parquet(paths[0])
+    assert len(encoded) == 3 and stored.count() == stored.select("digest").distinct().count() == rows_of(count_tokens(docs).select(F.countDistinct("digest").alias("n")))[0]["n"]
+
+
 def test_a_half_filled_cache_is_met(spark, sf_dir, docs, tmp_path):
     at, half = str(tmp_path / "cache"), docs.where("doc_id % 2 = 0")
     count_tokens(half, cache=at)
@@ -544,6 +557,28 @@ def test_near_copies_of_a_core_are_not_verified_in_pairs(spark, monkeypatch):
     assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 2999)} and cells == [0]
 
 
+def test_copies_around_a_text_that_is_no_document_grow_in_proportion(spark, monkeypatch):
+    rng, base, cells = random.Random(6), [f"w{k}" for k in range(200)], []
+    monkeypatch.setattr(ngram_join, "_block_cells", lambda *a, f=ngram_join._block_cells: cells.append(f(*a).count()) or f(*a))
+
+    def edited(k, n):
+        w = list(base)
+        for x in rng.sample(range(5, 195), n):
+            w[x] = f"x{k}-{x}"
+        return k, " ".join(w)
+
+    for n in (1000, 2000):
+        got = rows_of(ngram_jaccard_join(spark.createDataFrame([edited(k, 2) for k in range(n)], "doc_id long, text string")))
+        assert {r["class_id"] for r in got} == {0} and min(r["n_links"] for r in got) == n - 1
+    assert len(cells) == 2 and cells[1] <= 2.2 * max(cells[0], 500)  # in pairs it would be 4, and over 30,000 at first
+    # Two texts, each the middle of its own copies: what the first consensus leaves over has one of its own.
+    other = [f"v{k}" for k in range(200)]
+    mixed = [edited(k, 1) for k in range(600)] + [(1000 + k, " ".join([*base[:150], *other[:50]][:-1] + [f"e{k}"])) for k in range(400)]
+    texts = dict(mixed)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows_of(ngram_jaccard_join(spark.createDataFrame(mixed, "doc_id long, text string")))}
+    assert got == {k: (0, 599) if k < 1000 else (1000, 399) for k in texts}
+
+
 def test_jaccard_join_keeps_texts_of_one_id_apart(spark, docs):
     a, b, c = ("alpha beta gamma delta " + " ".join(f"{x}{k}" for k in range(60)) for x in "abc")
     rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (None, c), (None, c), (None, c + " end"), (4, a), (None, "  "), (None, None), (5, "")]
