@@ -8,6 +8,7 @@ bounded size, drawn by hash.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -177,19 +178,68 @@ def morton_vectors(df: DataFrame, size: int, ties: list[str]) -> list[tuple[floa
     return picked if total is not None else [(0.0, 0.0, 0.0), *picked]
 
 
-def nearest(vectors: np.ndarray, book: np.ndarray) -> np.ndarray:
-    """Index of the closest codeword by squared distance, the lowest index on ties; in blocks of bounded size."""
-    out = np.empty(len(vectors), np.int32)
-    for k in range(0, len(vectors), 4096):
-        v = vectors[k : k + 4096]
+def _closest(vectors: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """Index of the closest codeword by squared distance, the lowest index on ties; blocks stay in the processor's cache."""
+    out, rows = np.empty(len(vectors), np.int32), max(1, (1 << 16) // max(len(book), 1))
+    for k in range(0, len(vectors), rows):
+        v = vectors[k : k + rows]
         d = np.zeros((len(v), len(book)))
         for axis in range(book.shape[1]):
             step = v[:, axis, None] - book[None, :, axis]
             d += step * step
-        out[k : k + 4096] = d.argmin(axis=1)
+        out[k : k + rows] = d.argmin(axis=1)
     return out
 
 
+class CodeCells:
+    """An exact index over a codebook of 3-vectors: boxes of its bounding box, each with the codes that can be closest inside.
+
+    A code whose least distance to a box is beyond another's greatest distance cannot win there. Codes of a box are in
+    ascending order, so ties go to the lowest as without the index. Vectors outside all boxes meet the whole book.
+    """
+
+    def __init__(self, book: np.ndarray, cells: int = 12):
+        self.book, self.cells = book, cells
+        low, high = book.min(axis=0), book.max(axis=0)
+        pad = np.maximum((high - low) / cells, 1e-9)
+        self.low, self.step = low - pad, (high - low + 2 * pad) / cells
+        nearest, farthest = [], []
+        for axis in range(3):
+            a = self.low[axis] + self.step[axis] * np.arange(cells)[:, None]
+            c = book[None, :, axis]
+            nearest.append(np.square(np.maximum(np.maximum(a - c, c - a - self.step[axis]), 0)))
+            farthest.append(np.square(np.maximum(np.abs(a - c), np.abs(a + self.step[axis] - c))))
+        box = lambda d: (d[0][:, None, None] + d[1][None, :, None] + d[2][None, None]).reshape(cells**3, -1)
+        least, most = box(nearest), box(farthest)
+        # A margin for rounding, and for vectors that the division below puts one box off.
+        self.able = least <= most.min(axis=1, keepdims=True) * (1 + 1e-6) + 1e-12
+
+    def closest(self, v: np.ndarray) -> np.ndarray:
+        at = np.floor((v - self.low) / self.step)
+        inside = ((at >= 0) & (at < self.cells)).all(axis=1)
+        number = np.where(inside, (np.nan_to_num(at[:, 0], posinf=0, neginf=0) * self.cells + np.nan_to_num(at[:, 1], posinf=0, neginf=0)) * self.cells + np.nan_to_num(at[:, 2], posinf=0, neginf=0), -1).astype(np.int64)
+        order = np.argsort(number, kind="stable")
+        cuts = np.r_[0, np.flatnonzero(np.diff(number[order])) + 1, len(v)]
+        out = np.empty(len(v), np.int32)
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            own, cell = order[lo:hi], number[order[lo]]
+            codes = np.flatnonzero(self.able[cell]) if cell >= 0 else np.arange(len(self.book))
+            out[own] = codes[_closest(v[own], self.book[codes])]
+        return out
+
+
+@lru_cache(maxsize=64)
+def _cells_of(raw: bytes, size: int) -> CodeCells:
+    return CodeCells(np.frombuffer(raw).reshape(size, 3))
+
+
+def nearest(vectors: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """Index of the closest codeword by squared distance, the lowest index on ties. Large books of 3-vectors are searched through cells."""
+    if book.ndim == 2 and book.shape[1] == 3 and len(book) >= 64 and len(vectors) >= 1024 and np.isfinite(book).all():
+        return _cells_of(np.ascontiguousarray(book, float).tobytes(), len(book)).closest(vectors)
+    return _closest(vectors, book)
+
+
 def encode_vectors(v: np.ndarray, books: list[np.ndarray], digits: int = 9) -> tuple[np.ndarray, np.ndarray]:
     """(codes of all levels, residual) of an (n, 3) array."""
     codes, r = np.empty((len(v), len(books)), np.int32), np.array(v, float)

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ SPECIAL_TEXT = ("[PAD]", "[BOS]", "[EOS]", "[NL]", "[ATOMS]", "[ATOMS_END]", "[P
 FIRST_ATOM, N_ATOMS = 12, 118
 FIRST_CODE = FIRST_ATOM + N_ATOMS
 UNKNOWN = "[UNK]"
+#: Words of a vocabulary that goes to every task: some 100 bytes each.
+MAX_WORDS = 500_000
 
 
 @dataclass(frozen=True)
@@ -97,12 +102,43 @@ def text_words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def word_id_lists(docs: DataFrame, vocab: DataFrame, text: str, unknown_id: int, name: str = "ids") -> DataFrame:
+    """`docs` with the ids of each text's words as a list: a look-up in a constant table inside the row, and no shuffle.
+
+    The vocabulary (token, token_id) goes to the tasks whole, up to MAX_WORDS words; a larger one is refused (`word_ids`
+    joins it). Null texts have no words.
+    """
+    rows = vocab.select("token", "token_id").limit(MAX_WORDS + 1).collect()
+    if len(rows) > MAX_WORDS:
+        raise ValueError(f"more than {MAX_WORDS} words do not go to every task")
+    table = {r["token"]: r["token_id"] for r in rows}
+
+    @F.arrow_udf("array<int>")
+    def ids(words: pa.Array) -> pa.Array:
+        found = [table.get(w, unknown_id) for w in words.flatten().to_pylist()]
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(found, pa.int32()))
+
+    return docs.withColumn(name, ids(F.coalesce(text_words(F.col(text)), F.array().cast("array<string>"))))
+
+
 def word_ids(docs: DataFrame, vocab: DataFrame, key: str, text: str, unknown_id: int) -> DataFrame:
-    """(key, pos, token_id): every word's id, `unknown_id` for words that the vocabulary (token, token_id) lacks. Null texts have no words."""
+    """(key, pos, token_id): every word's id, `unknown_id` for words that the vocabulary (token, token_id) lacks. Null texts have no words.
+
+    A vocabulary of more than MAX_WORDS words is joined by a shuffle of the words.
+    """
+    if vocab.limit(MAX_WORDS + 1).count() <= MAX_WORDS:
+        return word_id_lists(docs.select(key, text), vocab, text, unknown_id, "__ids").select(key, F.posexplode("__ids").alias("pos", "token_id"))
     words = docs.select(key, F.posexplode(text_words(F.col(text))).alias("pos", "token"))
     return words.join(vocab, "token", "left").select(key, "pos", F.coalesce("token_id", F.lit(unknown_id)).cast("int").alias("token_id"))
 
 
+def token_uses(tokens: DataFrame, space: Space, column: str = "tokens") -> DataFrame:
+    """(token_id, token, n_uses) of the whole vocabulary over a table of token lists."""
+    counts = tokens.select(F.explode(column).alias("token_id")).groupBy("token_id").agg(F.count("*").alias("n_uses"))
+    return vocabulary(tokens.sparkSession, space, unknown=True).join(counts, "token_id", "left").withColumn("n_uses", F.coalesce("n_uses", F.lit(0)))
+
+
 def write_tokenizer(spark: SparkSession, space: Space, path: str) -> None:
     """The word-level vocabulary as JSON lines, with the roles of pad, bos, eos and unknown."""
     role = F.when(F.col("token_id") == PAD, "pad").when(F.col("token_id") == BOS, "bos").when(F.col("token_id") == EOS, "eos").when(F.col("token") == UNKNOWN, "unk")

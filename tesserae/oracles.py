@@ -201,8 +201,8 @@ def error_columns(e: str) -> str:
     return f"{r6(f'avg(abs({e}))')} AS mae, {r6(f'quantile_cont(abs({e}), 0.5)')} AS median_error, {r6(f'sqrt(avg(({e}) * ({e})))')} AS rmse, {r6(f'max(abs({e}))')} AS max_error"
 
 
-def vocab_sql() -> str:
-    s, K = vocab.Space(), vocab.Space().size
+def vocab_sql(s: vocab.Space) -> str:
+    K = s.size
     parts = [f"SELECT {k} AS token_id, '{t}' AS token" for k, t in enumerate(vocab.SPECIAL_TEXT)]
     parts.append(f"SELECT {vocab.FIRST_ATOM} - 1 + z, '[Z=' || z || ']' FROM (SELECT unnest(range(1, {vocab.N_ATOMS + 1})) AS z)")
     for name, start, levels in [("P", s.pos, s.pos_levels), *((n, s.channel(k), s.levels) for k, n in enumerate(("FX", "FY", "FZ", "E")))]:
@@ -229,9 +229,29 @@ def big_position_sql() -> str:
 
 
 def info_sql() -> str:
-    s = vocab.Space()
+    s = q.SPACE
     named = {"vocab_size": s.vocab_size, "codebook_size": s.size, "pos_levels": s.pos_levels, "n_levels": s.levels, "atom_start": vocab.FIRST_ATOM, "pos_start": s.pos, "fx_start": s.channel(0), "fy_start": s.channel(1), "fz_start": s.channel(2), "energy_start": s.channel(3), "pad_id": 0, "bos_id": 1, "eos_id": 2}
-    return "SELECT " + ", ".join(f"{v}::BIGINT AS {k}" for k, v in named.items())
+    return ", ".join(f"{v}::BIGINT AS {k}" for k, v in named.items())
+
+
+def big_report_sql() -> tuple[str, str]:
+    """Errors at the default shape, and lengths, sums of decoded forces and decoded energies by molecule."""
+    ctes = [ATOMS_B, CENTRED, "a0 AS (SELECT mol_id, atom_idx, x, y, z FROM centred)"]
+    for k, book in enumerate(q.BIG_POSITION.vectors):
+        ctes.append(f"n{k} AS (SELECT *, list_transform({[list(v) for v in book]}, lambda v: (x - v[1]) * (x - v[1]) + (y - v[2]) * (y - v[2]) + (z - v[3]) * (z - v[3])) AS ds FROM a{k})")
+        ctes.append(f"o{k} AS (SELECT * EXCLUDE (ds), list_position(ds, list_min(ds)) AS c FROM n{k})")
+        ctes.append(f"a{k + 1} AS (SELECT * EXCLUDE (c) REPLACE ({', '.join(f'round({a} - {lst(v[i] for v in book)}[c], 9) AS {a}' for i, a in enumerate('xyz'))}) FROM o{k})")
+    scalars = " UNION ALL ".join(f"SELECT mol_id, 'force' AS channel, round(f{a}, 9) AS r, 0.0::DOUBLE AS dec FROM atoms" for a in "xyz")
+    ctes.append(f"s0 AS ({scalars} UNION ALL SELECT mol_id, 'energy', round(any_value(energy), 9), 0.0::DOUBLE FROM atoms GROUP BY mol_id)")
+    for k, (c, b) in enumerate(zip(q.BIG_SCALAR.centroids, q.BIG_SCALAR.bounds, strict=True)):
+        ctes.append(f"t{k} AS (SELECT *, {lst(c)}[len(list_filter({lst(b)}, lambda v: v < r)) + 1] AS c FROM s{k})")
+        ctes.append(f"s{k + 1} AS (SELECT * EXCLUDE (c) REPLACE (round(r - c, 9) AS r, dec + c AS dec) FROM t{k})")
+    er = " UNION ALL ".join(f"SELECT 'position' AS channel, {a} AS e FROM a8" for a in "xyz")
+    report = f"WITH {', '.join(ctes)}, er AS ({er} UNION ALL SELECT channel, r FROM s4) SELECT channel, {error_columns('e')} FROM er GROUP BY 1"
+    length = 21 * (8 + 3 * 4 + 3) + 4 + 11
+    values = f"SELECT mol_id, {length}::BIGINT AS n_tokens, {r6('sum(dec) FILTER (WHERE channel = $$force$$)')} AS force_sum, {r6('sum(dec) FILTER (WHERE channel = $$energy$$)')} AS energy FROM s4 GROUP BY mol_id"
+    own = [c for c in ctes if c == ATOMS_B or c[0] in "st"]
+    return report, f"WITH {', '.join(own)} {values}"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -261,8 +281,10 @@ def oracle_sql() -> dict[str, str]:
         "kmeans_codebook": kmeans_sql(q.KMEANS_RUNS, q.KMEANS_STEPS, 8),
         "rvq1d_encode_256": big_scalar_sql(),
         "rvq3d_encode_256": big_position_sql(),
-        "vocab_table": vocab_sql(),
-        "vocab_info": info_sql(),
+        "vocab_table": f"WITH {ids}, u AS (SELECT unnest(string_split(s, ' '))::BIGINT AS token_id FROM seqs), c AS (SELECT token_id, count(*) AS n_uses FROM u GROUP BY 1) SELECT v.token_id, token, coalesce(n_uses, 0)::BIGINT AS n_uses FROM ({vocab_sql(q.SPACE)}) v LEFT JOIN c USING (token_id)",
+        "vocab_info": f"WITH {ids}, u AS (SELECT unnest(string_split(s, ' ')) AS t FROM seqs) SELECT {info_sql()}, count(DISTINCT t)::BIGINT AS n_used, count(*)::BIGINT AS n_tokens FROM u",
+        "recon_report_256": big_report_sql()[0],
+        "roundtrip_256": big_report_sql()[1],
         "token_ids": f"WITH {ids} SELECT mol_id, ({LENGTH})::BIGINT AS n_tokens, s AS tokens FROM seqs",
         "token_text": f"WITH {txt} SELECT mol_id, s AS text FROM seqs",
         "token_stats": f"WITH {ATOMS_A}, t AS (SELECT mol_id, {LENGTH} AS k FROM (SELECT mol_id, count(atom_idx) AS n FROM mols LEFT JOIN atoms USING (mol_id) GROUP BY 1)) SELECT count(*) AS n_molecules, sum(k)::BIGINT AS n_tokens, min(k)::BIGINT AS min_tokens, max(k)::BIGINT AS max_tokens, round(avg(k), 6) AS mean_tokens, round(quantile_cont(k, 0.5), 6) AS median_tokens FROM t",
@@ -280,7 +302,8 @@ def oracle_sql() -> dict[str, str]:
         "prompt_tokens": f"WITH {ATOMS_A}, c AS (SELECT mol_id, count(atom_idx) AS n FROM mols LEFT JOIN atoms USING (mol_id) GROUP BY 1) SELECT mol_id, (n * {q.SPACE.pos_levels + 2} + 6)::BIGINT AS n_prompt, {vocab.FORCE}::BIGINT AS last_token FROM c",
         "parse_defaults": f"""WITH {codes}, per AS (SELECT mol_id, count(*) AS n, sum(abs(dfx) + abs(dfy) + abs(dfz)) AS f FROM acodes GROUP BY 1), al AS (SELECT mol_id, denergy, coalesce(n, 0) AS n, f FROM ecodes LEFT JOIN per USING (mol_id))
             SELECT mol_id, {r6(f'CASE WHEN {bad_cut} THEN 0.0::DOUBLE ELSE denergy END')} AS energy, n::BIGINT AS n_forces, {r6(f'CASE WHEN {bad_cut} THEN 0.0::DOUBLE ELSE f END')} AS force_sum FROM al""",
-        "predict_continuation": f"WITH {ATOMS_A} SELECT mol_id, 0.0::DOUBLE AS energy, count(atom_idx)::BIGINT AS n_forces FROM mols LEFT JOIN atoms USING (mol_id) GROUP BY mol_id",
+        "predict_continuation": f"""WITH {codes}, per AS (SELECT mol_id, count(*) AS n, sum(abs(dfx) + abs(dfy) + abs(dfz)) AS f FROM acodes GROUP BY 1), al AS (SELECT mol_id, denergy, coalesce(n, 0) AS n, f FROM ecodes LEFT JOIN per USING (mol_id))
+            SELECT mol_id, {r6('CASE WHEN n > 0 AND mol_id % 2 = 0 THEN denergy ELSE 0.0::DOUBLE END')} AS energy, n::BIGINT AS n_forces, {r6('CASE WHEN n > 0 AND mol_id % 2 = 0 THEN f ELSE 0.0::DOUBLE END')} AS force_sum FROM al""",
         "wordlevel_ids": f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda v: v <> '') AS l FROM documents),
             u AS (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM w), i AS (SELECT doc_id, pos, coalesce(list_position({words}, token), 0) AS id FROM u)
             SELECT doc_id, count(id) AS n_words, count(*) FILTER (WHERE id = 0) AS n_unknown, coalesce(sum(pos * id), 0)::BIGINT AS checksum FROM documents LEFT JOIN i USING (doc_id) GROUP BY 1""",

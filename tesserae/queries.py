@@ -89,6 +89,9 @@ BIG_SCALAR = _big_scalar()
 BIG_POSITION = cb.Levels3D(tuple(tuple((((k >> 6) - 1.5) * 2.0 / 4**level, ((k >> 3) % 8 - 3.5) / 4**level, (k % 8 - 3.5) / 4**level) for k in range(256)) for level in range(8)))
 
 
+BIG_BOOKS = {"position": BIG_POSITION, "force_x": BIG_SCALAR, "force_y": BIG_SCALAR, "force_z": BIG_SCALAR, "energy": BIG_SCALAR}
+
+
 def rvq1d_encode_256(spark, sf_dir):
     """Every event at the default shape of a scalar channel: 256 codes, four levels, nothing trained."""
     rows = fx.table(spark, sf_dir, "events").select("event_id", F.round(F.col("value") / 100 - 2, 9).alias("r"))
@@ -150,12 +153,15 @@ def kmeans_codebook(spark, sf_dir):
 
 
 def vocab_table(spark, sf_dir):
-    return vocab.vocabulary(spark, vocab.Space(), unknown=True).select(big("token_id").alias("token_id"), "token")
+    """The whole vocabulary, with how often the orders' sequences use each token."""
+    return vocab.token_uses(_tokens(spark, sf_dir), SPACE).select(big("token_id").alias("token_id"), "token", "n_uses")
 
 
 def vocab_info(spark, sf_dir):
-    out = vocab.vocabulary_info(spark, vocab.Space())
-    return out.select(*(big(c).alias(c) for c in out.columns))
+    """What describes the vocabulary, and how many of its tokens the orders' sequences use."""
+    used = _tokens(spark, sf_dir).select(F.explode("tokens").alias("t")).agg(F.countDistinct("t").alias("n_used"), F.count("*").alias("n_tokens"))
+    out = vocab.vocabulary_info(spark, SPACE)
+    return used.join(F.broadcast(out)).select(*(big(c).alias(c) for c in (*out.columns, "n_used", "n_tokens")))  # one row each
 
 
 def _tokens(spark, sf_dir, seed=None) -> DataFrame:
@@ -188,11 +194,10 @@ def decode_tokens(spark, sf_dir):
 
 
 def roundtrip_error(spark, sf_dir):
-    """Per molecule the errors of positions (both sides centred), forces and energy after encoding and decoding."""
-    whole = fx.order_molecules(spark, sf_dir)
-    back = molecule.decode(_tokens(spark, sf_dir).select("mol_id", "tokens"), FIXED_BOOKS, FIXED_SCALES).where("NOT error")
-    a = scale.with_centred(whole).select("mol_id", F.col("positions").alias("p"), F.col("forces").alias("f"), F.col("energy").alias("e"))
-    both = a.join(scale.with_centred(back.select("mol_id", "positions", F.col("forces").alias("bf"), F.col("energy").alias("be"))), "mol_id")
+    """Per molecule the errors of positions (both sides centred), forces and energy after encoding and decoding, all inside its row."""
+    rows = molecule.with_decoded(_tokens(spark, sf_dir), FIXED_BOOKS, FIXED_SCALES).where("NOT decoded.error")
+    a = scale.with_centred(rows).select("mol_id", F.col("positions").alias("p"), F.col("forces").alias("f"), F.col("energy").alias("e"), "decoded")
+    both = scale.with_centred(a.select("mol_id", "p", "f", "e", F.col("decoded.positions").alias("positions"), F.col("decoded.forces").alias("bf"), F.col("decoded.energy").alias("be")))
     off = lambda x, y: F.zip_with(F.flatten(x), F.flatten(y), lambda u, v: u - v)
     rows = both.select("mol_id", off("p", "positions").alias("dp"), off("f", "bf").alias("df"), "e", "be")
     rmse = lambda d: F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x) / F.size(d))
@@ -208,6 +213,20 @@ def recon_report(spark, sf_dir):
     return out.select("channel", *(r6(c).alias(c) for c in ("mae", "median_error", "rmse", "max_error")))
 
 
+def recon_report_256(spark, sf_dir):
+    """The report at the default shape: 256 codes, eight position levels and four of the others, over every embedding's molecule."""
+    out = reconstruction_report(fx.vector_molecules(spark, sf_dir), BIG_BOOKS, scale.Scales(1.0, 1.0, 0.0, 1.0))
+    return out.select("channel", *(r6(c).alias(c) for c in ("mae", "median_error", "rmse", "max_error")))
+
+
+def roundtrip_256(spark, sf_dir):
+    """Tokens of the default shape and what they decode to: lengths and mean forces of every embedding's molecule."""
+    scales = scale.Scales(1.0, 1.0, 0.0, 1.0)
+    rows = molecule.with_decoded(molecule.tokenize(fx.vector_molecules(spark, sf_dir), BIG_BOOKS, scales), BIG_BOOKS, scales)
+    total = F.aggregate(F.flatten("decoded.forces"), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("mol_id", big(F.size("tokens")).alias("n_tokens"), r6(total).alias("force_sum"), r6("decoded.energy").alias("energy"))
+
+
 def prompt_tokens(spark, sf_dir):
     out = _tokens(spark, sf_dir).select("mol_id", molecule.prompt(F.col("tokens")).alias("p"))
     return out.select("mol_id", big(F.size("p")).alias("n_prompt"), big(F.element_at("p", -1)).alias("last_token"))
@@ -223,19 +242,20 @@ def parse_defaults(spark, sf_dir):
 
 
 def predict_continuation(spark, sf_dir):
-    """A generator that answers every prompt with the end token only: all outputs fall to the defaults."""
-    rows = _tokens(spark, sf_dir).select("mol_id", F.size("atomic_numbers").alias("natoms"), molecule.prompt(F.col("tokens")).alias("tokens"))
+    """A generator that only ends a sequence: every other molecule's prompt is its sequence up to there and reads well, the others fall to the defaults."""
+    whole = F.slice("tokens", 1, F.size("tokens") - 1)
+    rows = _tokens(spark, sf_dir).select("mol_id", F.size("atomic_numbers").alias("natoms"), F.when(F.col("mol_id") % 2 == 0, whole).otherwise(molecule.prompt(F.col("tokens"))).alias("tokens"))
     made = predict.predict_tokens(rows, lambda: (lambda tokens, most: [vocab.EOS]))
     read = predict.parse_outputs(made, FIXED_BOOKS, FIXED_SCALES)
-    return read.select("mol_id", r6("energy").alias("energy"), big(F.size("forces")).alias("n_forces"))
+    total = F.aggregate(F.flatten("forces"), F.lit(0.0), lambda a, x: a + F.abs(x))
+    return read.select("mol_id", r6("energy").alias("energy"), big(F.size("forces")).alias("n_forces"), r6(total).alias("force_sum"))
 
 
 def wordlevel_ids(spark, sf_dir):
     words = spark.createDataFrame([(w, k) for k, w in enumerate(WORDS, 1)], "token string, token_id int")
-    docs = fx.table(spark, sf_dir, "documents")
-    ids = vocab.word_ids(docs, words, "doc_id", "text", 0)
-    found = ids.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count(F.when(F.col("token_id") == 0, 1)).alias("n_unknown"), F.sum(big("pos") * big("token_id")).alias("checksum"))
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_words", "n_unknown", "checksum")))
+    ids = vocab.word_id_lists(fx.table(spark, sf_dir, "documents").select("doc_id", "text"), words, "text", 0)
+    at = F.transform("ids", lambda t, k: big(t) * k)
+    return ids.select("doc_id", big(F.size("ids")).alias("n_words"), big(F.size(F.filter("ids", lambda t: t == 0))).alias("n_unknown"), F.aggregate(at, F.lit(0).cast("long"), lambda s, x: s + x).alias("checksum"))
 
 
 def md5_sample(spark, sf_dir):
@@ -331,6 +351,6 @@ def task_gap_errors(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     rvq1d_level1, rvq1d_encode, rvq1d_encode_plain, rvq1d_decode_error, scale_stats, centered_positions, morton_codes, morton_codebook, rvq3d_encode,
     rvq3d_residual_rms, rvq1d_encode_256, rvq3d_encode_256, kmeans_codebook, vocab_table, vocab_info, token_ids, token_text, token_stats, section_shuffle, decode_tokens, roundtrip_error,
-    recon_report, prompt_tokens, parse_defaults, predict_continuation, wordlevel_ids, md5_sample, train_val_split, shard_sizes, shard_members, offset_split,
+    recon_report, recon_report_256, roundtrip_256, prompt_tokens, parse_defaults, predict_continuation, wordlevel_ids, md5_sample, train_val_split, shard_sizes, shard_members, offset_split,
     row_index, published_files, csv_first_rows, nested_json_roundtrip, s2ef_metrics, task_summary, task_distance_detail, task_gap_errors,
 )} | {f"task_{name}": _task(name) for name in metrics.TASKS}

@@ -552,3 +552,36 @@ def test_lloyd_steps_equal_numpy_and_refill_empty_centres(spark):
     assert cb.kmeans_vectors(df.limit(0), ["x", "y", "z"], 3, 1) == [(0.0, 0.0, 0.0)] * 3
     apart = spark.createDataFrame([(float(100 * (i % 6)) + 0.01 * (i % 7), 0.0, 0.0) for i in range(600)], "x double, y double, z double")
     assert sorted(round(c[0] / 100) for c in cb.kmeans_vectors(apart, ["x", "y", "z"], 6, 2, restarts=2)) == [0, 1, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("book", [BIG_POSITION.vectors[0], BIG_POSITION.vectors[3], tuple((float(k % 3), 0.0, float(k // 3)) for k in range(100)), ((1.0, 1.0, 1.0),) * 70])
+def test_code_cells_give_the_codes_of_the_whole_book(book):
+    rng, book = np.random.default_rng(2), np.array(book)
+    spread = np.abs(book).max() * 1.3 + 0.1
+    v = np.r_[rng.uniform(-spread, spread, (5000, 3)), book, (book[:-1] + book[1:]) / 2, np.round(rng.uniform(-spread, spread, (500, 3)) * 2) / 2, [[9e9, 0, 0], [np.inf, 0, 0], [np.nan, 0, 0]]]
+    d = sum(np.square(v[:, i, None] - book[None, :, i]) for i in range(3))
+    assert cb.nearest(v, book).tolist() == d.argmin(axis=1).tolist()
+
+
+def test_tasks_of_one_scan_equal_single_ones(spark, sf_dir):
+    from tesserae.sources.fixtures import task_energies
+
+    rows = task_energies(spark, sf_dir)
+    together = metrics.run_tasks(rows)
+    for name, made in together.items():
+        one = metrics.run_tasks(rows, [name])[name]
+        assert made.columns == one.columns and made.first().asDict() == pytest.approx(one.first().asDict())
+    none = metrics.run_tasks(rows.limit(0))
+    assert {t: r.first()[-1] for t, r in none.items()} == dict.fromkeys(metrics.TASKS, 0) and len(together) == 7
+
+
+def test_words_of_a_vocabulary_too_large_for_the_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the cat the dog"), (2, None), (3, "")], "doc_id long, text string")
+    words = spark.createDataFrame([("the", 7), ("dog", 9)], "token string, token_id int")
+    ids = lambda: sorted(map(tuple, vocab.word_ids(docs, words, "doc_id", "text", 0).collect()))
+    small = ids()
+    assert [r["ids"] for r in vocab.word_id_lists(docs, words, "text", 0).orderBy("doc_id").collect()] == [[7, 0, 7, 9], [], []]
+    monkeypatch.setattr(vocab, "MAX_WORDS", 1)
+    assert ids() == small == [(1, 0, 7), (1, 1, 0), (1, 2, 7), (1, 3, 9)]
+    with pytest.raises(ValueError, match="do not go to every task"):
+        vocab.word_id_lists(docs, words, "text", 0)
