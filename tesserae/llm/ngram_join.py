@@ -7,7 +7,7 @@ Members of a bucket too large for one block are first compared with one pivot, o
 n-grams that half of its members have. Jaccard distance is a metric and a pivot need not be a member, so members within
 half the allowed distance of it (its core) all link with each other: they are counted without meeting. Copies of one
 text, each changed a little, all lie around their consensus, however many they are. What is left has a consensus of
-its own, a few times over; then it is cut into blocks of bounded size and every pair of blocks, but for those of one core,
+its own, once more; then it is cut into blocks of bounded size and every pair of blocks, but for those of one core,
 is a group, in which all pairs are verified on their full n-gram sets. A pair counts in one of its buckets only. A
 group returns a row per member, not per pair: the links it adds and the smallest member they connect it to; so the rows
 stay linear in the members, however many pairs link.
@@ -37,7 +37,7 @@ BLOCK_MEMBERS, BLOCK_NGRAMS = 256, 500_000
 #: Members that one copy of a pivot's set serves, and members that make a core worth blocks of its own.
 PIVOT_MEMBERS, CORE_MEMBERS = 4096, 64
 #: Times that a consensus is taken of what the cores before left over.
-CORE_ROUNDS = 3
+CORE_ROUNDS = 2
 
 
 def ngram_hashes(text: str | None, n: int = 5) -> np.ndarray:
@@ -96,14 +96,14 @@ def _set_maker(n: int):
 
 
 def _gram_counts(batches):
-    """How many of the members of a home in each task have an n-gram: (home, gram, n); rows arrive ordered by home."""
+    """How many of the members of a home in each task have an n-gram: (home, its members, gram, n); rows arrive ordered by home."""
     for b in batches:
         home = b.column("home").to_numpy()
         cuts = np.r_[0, np.flatnonzero(home[1:] != home[:-1]) + 1, len(home)] if len(home) else np.zeros(1, np.int64)
         grams = b.column("grams")
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             found, n = np.unique(np.concatenate([np.frombuffer(g.as_py(), np.uint64) for g in grams.slice(lo, hi - lo)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), home[lo])), pa.array(found.view(np.int64)), pa.array(n)], ["home", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), home[lo])), b.column("m").slice(lo, 1).take(pa.array(np.zeros(len(found), np.int64))), pa.array(found.view(np.int64)), pa.array(n)], ["home", "m", "gram", "n"])
 
 
 def _near_pivot(threshold: float):
@@ -229,25 +229,23 @@ def _cores(big: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     Members that no core takes go into the next round, among themselves.
     """
     spark, left, found, made = big.sparkSession, big.select("bucket", "rep"), [], []
-    for _ in range(CORE_ROUNDS):
-        sizes = materialize(left.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_MEMBERS), "home-sizes")
+    for again in range(CORE_ROUNDS):
+        sizes = left.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_MEMBERS)
         homes = materialize(left.join(sizes.hint("merge"), "bucket").groupBy("rep").agg(F.max(F.struct("m", "bucket"))["bucket"].alias("home")), "homes")
-        held = materialize(homes.groupBy("home").agg(F.count("*").alias("m")).where(F.col("m") >= CORE_MEMBERS), "home-members")
-        made += [sizes, homes, held]
-        if held.isEmpty():
-            break
-        members = homes.hint("merge").join(sets, "rep").select("home", "grams")
-        counts = members.sortWithinPartitions("home").mapInArrow(_gram_counts, "home long, gram long, n long").groupBy("home", "gram").agg(F.sum("n").alias("n"))
-        common = counts.join(held.hint("merge"), "home").where(2 * F.col("n") >= F.col("m"))
+        held = homes.groupBy("home").agg(F.count("*").alias("m")).where(F.col("m") >= CORE_MEMBERS)
+        members = homes.join(held.hint("merge"), "home").join(sets.hint("merge"), "rep").select("home", "m", "grams")
+        counts = members.sortWithinPartitions("home").mapInArrow(_gram_counts, "home long, m long, gram long, n long").groupBy("home", "m", "gram").agg(F.sum("n").alias("n"))
         # A consensus holds at most twice as many n-grams as its members do on average.
-        pivots = common.groupBy("home").agg(F.collect_list("gram").alias("set")).mapInArrow(_packed, "home long, core long, grams binary")
+        pivots = counts.where(2 * F.col("n") >= F.col("m")).groupBy("home").agg(F.collect_list("gram").alias("set")).mapInArrow(_packed, "home long, core long, grams binary")
         pivots = materialize(pivots, "consensus")
+        made += [homes, pivots]
+        if pivots.isEmpty():
+            break
         # A bucket's pivot is the one that most of its members have at home.
         at_home = homes.join(pivots.select("home", "core").hint("merge"), "home").select("rep", "core")
         votes = left.join(at_home.hint("merge"), "rep").groupBy("bucket", "core").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max(F.struct("m", "core"))["core"].alias("core"))
-        pairs = left.join(votes.hint("merge"), "bucket").select("core", "rep").distinct()
-        pairs = materialize(pairs, "core-candidates")
-        copies = materialize(pairs.groupBy("core").agg(F.ceil(F.count("*") / PIVOT_MEMBERS).cast("int").alias("copies")), "core-copies")
+        pairs = materialize(left.join(votes.hint("merge"), "bucket").select("core", "rep").distinct(), "core-candidates")
+        copies = pairs.groupBy("core").agg(F.ceil(F.count("*") / PIVOT_MEMBERS).cast("int").alias("copies"))
         cells = pairs.join(copies.hint("merge"), "core").select("core", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("kind"), "rep")
         cells = cells.hint("merge").join(sets, "rep").select("core", "copy", "kind", "rep", "grams")
         leads = pivots.select("core", "grams").dropDuplicates(["core"]).join(copies.hint("merge"), "core")
@@ -257,15 +255,13 @@ def _cores(big: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         # Of several cores the one with most members takes a document.
         width = close.groupBy("core").agg(F.count("*").alias("m"))
         near = close.join(width.hint("merge"), "core").groupBy("rep").agg(F.max(F.struct("m", "core"))["core"].alias("core"))
-        near = materialize(near, "cores")
-        made += [pivots, pairs, copies, close]
+        made += [pairs, close]
         found.append(near)
-        if near.isEmpty():
-            break
-        left = materialize(left.join(near.select("rep").hint("merge"), "rep", "left_anti"), "beside-cores")
-        made.append(left)
+        if again < CORE_ROUNDS - 1:
+            left = materialize(left.join(near.select("rep").hint("merge"), "rep", "left_anti"), "beside-cores")
+            made.append(left)
     out = materialize(reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "rep long, core long"), "all-cores")
-    drop_materialized(*made, *found)
+    drop_materialized(*made)
     return out
 
 
