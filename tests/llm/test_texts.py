@@ -414,6 +414,31 @@ def test_a_passage_is_found_where_earlier_documents_hold_its_parts(spark):
     assert [(r["doc_id"], r["source_id"], r["start_word"], r["end_word"]) for r in got] == [(4, 3, 60, 116)]
 
 
+def test_an_edited_passage_is_found_where_earlier_documents_hold_its_parts(spark):
+    rng, rows, want, new = random.Random(3), [], {}, iter(range(10**7))
+    words = lambda n, c="w": [f"{c}{next(new)}" for _ in range(n)]
+    shapes = ((0.95, 56), (0.9, 56), (0.9, 80), (0.85, 80))
+    for identity, size in shapes:
+        for _ in range(25):
+            base = words(size)
+            edited = list(base)
+            for x in rng.sample(range(size), round(size * (1 - identity))):
+                edited[x] = f"e{next(new)}"
+            parts = base[: size // 2 + 2], base[size // 2 - 2 :], base, edited  # the halves overlap by four words
+            at = len(rows)
+            rows += [(at + k, " ".join([*words(30), *p, *words(30)])) for k, p in enumerate(parts)]
+            want[at + 3] = identity, size, at + 2
+    found = {(r["doc_id"], r["source_id"]) for r in rows_of(fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")))}
+    hits = Counter((i, n) for d, (i, n, c) in want.items() if (d, c) in found)
+    assert all(hits[s] >= 23 for s in shapes), hits
+
+
+def test_a_bitmap_of_any_size_loses_no_passage(spark, texts, docs, monkeypatch):
+    whole = sorted(map(str, fuzzy_passages(docs).collect()))
+    monkeypatch.setattr(chaining, "MAP_BITS", 1 << 15)
+    assert sorted(map(str, fuzzy_passages(docs).collect())) == whole and whole
+
+
 def test_a_passage_is_found_where_its_lines_recur_in_another_order(spark):
     lines = [own(f"line {k}", 20) for k in range(3)]
     source = [*own(9), *lines[2], *own(10), *lines[1], *own(11), *lines[0], *own(12), *lines[0], *lines[1], *lines[2], *own(13)]
