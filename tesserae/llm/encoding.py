@@ -22,8 +22,8 @@ _PIECES: dict[str, "PieceEncoder"] = {}
 class _Filled(dict):
     """A dict that makes what it lacks. Of two generations, what was used since the last turn survives the next."""
 
-    def __init__(self, make):
-        self.make, self.old = make, {}
+    def __init__(self, make, most: int = CACHE_PIECES):
+        self.make, self.old, self.most = make, {}, most
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -33,7 +33,7 @@ class _Filled(dict):
         return value
 
     def trim(self):
-        if len(self) > CACHE_PIECES:
+        if len(self) > self.most:
             self.old = dict(self)
             self.clear()
 
@@ -57,8 +57,10 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, added))) if added and not plain else None
         self.normalizer, self.pre, self.model = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
         self.code = "H" if self.width.itemsize == 2 else "I"
-        self.cache = _Filled(self._led_piece if self.mode == "led" else self._piece)
-        self.words = _Filled(self._ids_of)
+        # Lower-cased words repeat more than pieces do, and both caches fill in that mode: half as many of each.
+        most = CACHE_PIECES // 2 if self.mode == "words" else CACHE_PIECES
+        self.cache = _Filled(self._led_piece if self.mode == "led" else self._piece, most)
+        self.words = _Filled(self._ids_of, most)
 
     def _piece(self, piece: str) -> bytes:
         """One piece through the library: normaliser, pre-tokenizer, and the model for each word not met before."""
