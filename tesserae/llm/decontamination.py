@@ -3,8 +3,9 @@
 Test items are cut into windows of 13 normalised words. The first eight words of a window (four, two or one for
 shorter items) are its anchor; the anchors' 64-bit hashes form the broadcast set. Training texts are scanned once:
 the hash of every position's anchor is looked up, and each hit is verified on the words themselves by an equality
-join with the windows. Beyond `max_broadcast_windows` windows nothing is broadcast: anchors and windows are then
-matched by shuffled joins, with the same result.
+join with the windows. Up to `max_broadcast_windows` anchors are constants of the plan; up to `max_broadcast_anchors`
+they are a broadcast table that the scan's positions meet inside their tasks, so positions never move; beyond that
+anchors and windows are matched by shuffled joins. The result is the same.
 
 A row is known by its id and a hash of its text, so rows of one id with different texts, and rows without an id, are
 judged each on its own.
@@ -21,6 +22,8 @@ from tesserae.llm.common import materialize
 WINDOW_WORDS = 13
 #: 200,000 anchors are 1.6 MB in a plan and about 20 MB as a hash set in an executor.
 MAX_BROADCAST_WINDOWS = 200_000
+#: Some 30 bytes each in a broadcast table of longs: 300 MB in an executor.
+MAX_BROADCAST_ANCHORS = 10_000_000
 #: What separates words once A-Z are lower-cased: ASCII other than digits and a-z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,10 +74,11 @@ def _cut(words: Column, start: Column, lengths: list[int]) -> Column:
     return F.filter(F.array(*map(one, lengths)), lambda x: x["start"] + x["n_words"] <= F.size(words))
 
 
-def scan(docs: DataFrame, windows: DataFrame, doc_id: str = "doc_id", text: str = "text", max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> tuple[DataFrame, DataFrame]:
+def scan(docs: DataFrame, windows: DataFrame, doc_id: str = "doc_id", text: str = "text", max_broadcast_windows: int = MAX_BROADCAST_WINDOWS, max_broadcast_anchors: int = MAX_BROADCAST_ANCHORS) -> tuple[DataFrame, DataFrame]:
     """What one pass over the texts finds: rows (doc_id, h, n_words), and distinct verified hits (doc_id, h, start int from 0, n_words int, window string)."""
     keys = [(r[0], r[1], r[2]) for r in windows.groupBy("anchor_words").agg(F.countDistinct("anchor"), F.array_sort(F.collect_set("n_words"))).collect()]
-    small = sum(n for _, n, _ in keys) <= max_broadcast_windows
+    total = sum(n for _, n, _ in keys)
+    small = total <= max_broadcast_windows
     words = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), normal_words(F.col(text)).alias("words"))
     words = words.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     none = F.array().cast("array<struct<start:int,n_words:int,window:string>>")
@@ -87,7 +91,8 @@ def scan(docs: DataFrame, windows: DataFrame, doc_id: str = "doc_id", text: str
             starts = F.filter(F.transform(f"anchors{k}", lambda h, i: F.when(h.isin(known), i)), lambda i: i.isNotNull())
             found.append(F.flatten(F.transform(starts, lambda i: _cut(F.col("words"), i, lengths))))
         else:
-            at = words.select("doc_id", "h", F.posexplode_outer(f"anchors{k}").alias("start", "anchor")).join(anchors, "anchor", "left_semi")
+            at = words.select("doc_id", "h", F.posexplode_outer(f"anchors{k}").alias("start", "anchor"))
+            at = at.join(F.broadcast(anchors) if total <= max_broadcast_anchors else anchors, "anchor", "left_semi")  # positions stay in their tasks, or move
             at = at.groupBy("doc_id", "h").agg(F.collect_set("start").alias("starts")).select(F.col("doc_id").alias("of"), F.col("h").alias("of_h"), "starts")
             both = words.select("doc_id", "h", "words").join(at.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h")))
             both = both.select("doc_id", "h", F.explode(F.flatten(F.transform("starts", lambda i: _cut(F.col("words"), i, lengths)))).alias("x"))
@@ -101,7 +106,7 @@ def scan(docs: DataFrame, windows: DataFrame, doc_id: str = "doc_id", text: str
     return rows.drop("cuts"), hits
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW_WORDS, max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW_WORDS, max_broadcast_windows: int = MAX_BROADCAST_WINDOWS, max_broadcast_anchors: int = MAX_BROADCAST_ANCHORS) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, the hit word spans, and text_hash.
 
     `spans` lists the merged hit ranges as (start, end) word positions, end exclusive. A document is contaminated if it
@@ -112,7 +117,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     # A few hundred items to a bounded table: read once, used three times.
     windows = materialize(benchmark_windows(benchmark, item_id, item_text, window), "benchmark-windows")
     small = windows.count() <= max_broadcast_windows
-    rows, hits = scan(docs, windows, doc_id, text, max_broadcast_windows)
+    rows, hits = scan(docs, windows, doc_id, text, max_broadcast_windows, max_broadcast_anchors)
     hits = materialize(hits, "window-hits")
     # Merge overlapping windows of a document: a range starts where no earlier window reaches.
     key = ["doc_id", "h"]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tesserae.llm import queries as q
-from tesserae.llm import chaining, ngram_join
+from tesserae.llm import chaining, decontamination, ngram_join
 from tesserae.llm.chaining import chains, fuzzy_passages
 from tesserae.llm.common import kth_largest, table
 from tesserae.llm.decontamination import decontaminate, keep_clean
@@ -660,23 +660,23 @@ def contamination(text, items: dict):
 FACTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-@pytest.mark.parametrize("most", [200_000, 0])
+@pytest.mark.parametrize("most", [{}, {"max_broadcast_windows": 0}, {"max_broadcast_windows": 0, "max_broadcast_anchors": 0}])
 def test_decontamination_equals_a_scan(spark, sf_dir, texts, docs, most):
     benchmark = table(spark, sf_dir, "benchmark")
     items = {r["item_id"]: words_of(r["text"]) for r in benchmark.collect()}
-    got = rows_of(decontaminate(docs, benchmark, max_broadcast_windows=most))
+    got = rows_of(decontaminate(docs, benchmark, **most))
     assert len(got) == len(texts) and any(r["contaminated"] for r in got)
     for r in got:
         assert tuple(r[c] for c in FACTS) == contamination(texts[r["doc_id"]], items)
         assert sum(e - s for s, e in r["spans"]) == r["n_hit"]
 
 
-@pytest.mark.parametrize("most", [200_000, 0])
+@pytest.mark.parametrize("most", [{}, {"max_broadcast_windows": 0}, {"max_broadcast_windows": 0, "max_broadcast_anchors": 0}])
 def test_decontamination_of_short_items_and_odd_rows(spark, odd, none, most):
     items = {1: "Two, THREE", 2: "word", 3: None, 4: "?!", 5: "b c d e f g h i j k l m n o", 6: "a b c d e f g h i j k l m", 7: "one two three"}
     benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
     own = {k: words_of(t) for k, t in items.items()}
-    got = Counter((r["doc_id"], *(r[c] for c in FACTS)) for r in rows_of(decontaminate(odd, benchmark, max_broadcast_windows=most)))
+    got = Counter((r["doc_id"], *(r[c] for c in FACTS)) for r in rows_of(decontaminate(odd, benchmark, **most)))
     assert got == Counter((k, *contamination(t, own)) for k, t in ODD)
     assert decontaminate(none, benchmark).count() == 0
     assert not any(r["contaminated"] for r in rows_of(decontaminate(odd, benchmark.limit(0))))
@@ -684,7 +684,7 @@ def test_decontamination_of_short_items_and_odd_rows(spark, odd, none, most):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 8, 9}
 
 
-@pytest.mark.parametrize("most", [200_000, 0])
+@pytest.mark.parametrize("most", [{}, {"max_broadcast_windows": 0}, {"max_broadcast_windows": 0, "max_broadcast_anchors": 0}])
 def test_decontamination_judges_every_row_by_its_own_text(spark, most):
     item = "a b c d e f g h i j k l m n o p"
     rows = [(1, "four clean words here"), (1, item), (1, f"x {item} y"), (None, item), (None, "clean"), (2, "q w e r t z u i o p s d f g"), (3, None)]
@@ -697,6 +697,19 @@ def test_decontamination_judges_every_row_by_its_own_text(spark, most):
         listed = ["i"] if contamination(t, {"i": items["i"]})[1] else []
         return n, hit, len(listed), hashlib.sha256(",".join(listed).encode()).hexdigest(), bad
 
-    got = Counter((r["doc_id"], *(r[c] for c in FACTS)) for r in rows_of(decontaminate(docs, benchmark, max_broadcast_windows=most)))
+    got = Counter((r["doc_id"], *(r[c] for c in FACTS)) for r in rows_of(decontaminate(docs, benchmark, **most)))
     assert got == Counter((k, *want(t)) for k, t in rows)
-    assert sorted(map(str, keep_clean(docs, benchmark, max_broadcast_windows=most).collect())) == sorted(str(r) for r in docs.collect() if not want(r["text"])[4])
+    assert sorted(map(str, keep_clean(docs, benchmark, **most).collect())) == sorted(str(r) for r in docs.collect() if not want(r["text"])[4])
+
+
+def test_a_million_windows_meet_the_texts_without_moving_positions(spark):
+    words = F.transform(F.sequence(F.lit(0), F.lit(25)), lambda i: F.concat(F.lit("w"), (F.col("id") * 26 + i).cast("string")))
+    benchmark = spark.range(0, 75_000, 1, 8).select(F.col("id").alias("item_id"), F.array_join(words, " ").alias("text"))
+    lines = [" ".join(f"w{k}" for k in range(lo, lo + 40)) for lo in (5, 26 * 70_000 + 3)]
+    docs = spark.createDataFrame([(1, lines[0]), (2, "none of these words " * 10), (3, lines[1]), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_hit"] for r in rows_of(decontaminate(docs, benchmark))}
+    hit = lambda lo: len({p for at in range(lo, lo + 28) if at // 26 == (at + 12) // 26 for p in range(at, at + 13)})
+    assert got == {1: hit(5), 2: 0, 3: hit(26 * 70_000 + 3), 4: 0}
+    found = decontamination.scan(docs, decontamination.benchmark_windows(benchmark.limit(50)), max_broadcast_windows=0)[1]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and not any("Exchange hashpartitioning(anchor" in line for line in plan.splitlines())
