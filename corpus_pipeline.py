@@ -22,14 +22,17 @@ ORACLE_SQL = None  # SQL can express neither the classifier nor the tokenizer
 
 
 def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below the threshold, all columns kept; null and empty texts are scored like others. The model is fitted on this stage's own labelled rows."""
     return drop_toxic(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of 0.8 or more in five-word n-grams, that of the smallest id; rows without words stay."""
     return keep_one_per_class(docs, ngram_jaccard_join(docs, n=5, threshold=0.8))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark; null and empty texts stay."""
     return keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -39,6 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_token_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per row of the mix, read back from the written blocks: integer ids in ascending order, null ids first, null texts as empty ones."""
     return token_table(docs, "byte_bpe_50k.json", end_id=0)
 
 
