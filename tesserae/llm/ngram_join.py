@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +35,6 @@ from tesserae.llm.words import run_hashes, word_hashes
 BLOCK_MEMBERS, BLOCK_NGRAMS = 256, 500_000
 #: Members that one copy of a pivot's set serves, and members that make a core worth blocks of its own.
 PIVOT_MEMBERS, CORE_MEMBERS = 4096, 64
-#: Times that a consensus is taken of what the cores before left over.
-CORE_ROUNDS = 2
 
 
 def ngram_hashes(text: str | None, n: int = 5) -> np.ndarray:
@@ -226,42 +223,32 @@ def _cores(big: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     A member's home is the largest bucket it is in; the consensus of the members at home there is a pivot, so a set is
     read once for it. All members of a bucket meet the pivot that most of them have at home; equal pivots are one.
-    Members that no core takes go into the next round, among themselves.
     """
-    spark, left, found, made = big.sparkSession, big.select("bucket", "rep"), [], []
-    for again in range(CORE_ROUNDS):
-        sizes = left.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_MEMBERS)
-        homes = materialize(left.join(sizes.hint("merge"), "bucket").groupBy("rep").agg(F.max(F.struct("m", "bucket"))["bucket"].alias("home")), "homes")
-        held = homes.groupBy("home").agg(F.count("*").alias("m")).where(F.col("m") >= CORE_MEMBERS)
-        members = homes.join(held.hint("merge"), "home").join(sets.hint("merge"), "rep").select("home", "m", "grams")
-        counts = members.sortWithinPartitions("home").mapInArrow(_gram_counts, "home long, m long, gram long, n long").groupBy("home", "m", "gram").agg(F.sum("n").alias("n"))
-        # A consensus holds at most twice as many n-grams as its members do on average.
-        pivots = counts.where(2 * F.col("n") >= F.col("m")).groupBy("home").agg(F.collect_list("gram").alias("set")).mapInArrow(_packed, "home long, core long, grams binary")
-        pivots = materialize(pivots, "consensus")
-        made += [homes, pivots]
-        if pivots.isEmpty():
-            break
-        # A bucket's pivot is the one that most of its members have at home.
-        at_home = homes.join(pivots.select("home", "core").hint("merge"), "home").select("rep", "core")
-        votes = left.join(at_home.hint("merge"), "rep").groupBy("bucket", "core").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max(F.struct("m", "core"))["core"].alias("core"))
-        pairs = materialize(left.join(votes.hint("merge"), "bucket").select("core", "rep").distinct(), "core-candidates")
-        copies = pairs.groupBy("core").agg(F.ceil(F.count("*") / PIVOT_MEMBERS).cast("int").alias("copies"))
-        cells = pairs.join(copies.hint("merge"), "core").select("core", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("kind"), "rep")
-        cells = cells.hint("merge").join(sets, "rep").select("core", "copy", "kind", "rep", "grams")
-        leads = pivots.select("core", "grams").dropDuplicates(["core"]).join(copies.hint("merge"), "core")
-        leads = leads.select("core", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), F.col("core").alias("rep"), "grams")
-        rows = cells.unionByName(leads).repartition(shuffle_width(spark), "core", "copy").sortWithinPartitions("core", "copy", "kind")
-        close = materialize(rows.mapInArrow(_near_pivot(threshold), "rep long, core long"), "close")
-        # Of several cores the one with most members takes a document.
-        width = close.groupBy("core").agg(F.count("*").alias("m"))
-        near = close.join(width.hint("merge"), "core").groupBy("rep").agg(F.max(F.struct("m", "core"))["core"].alias("core"))
-        made += [pairs, close]
-        found.append(near)
-        if again < CORE_ROUNDS - 1:
-            left = materialize(left.join(near.select("rep").hint("merge"), "rep", "left_anti"), "beside-cores")
-            made.append(left)
-    out = materialize(reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "rep long, core long"), "all-cores")
-    drop_materialized(*made)
+    spark, inside = big.sparkSession, big.select("bucket", "rep")
+    sizes = inside.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_MEMBERS)
+    homes = materialize(inside.join(sizes.hint("merge"), "bucket").groupBy("rep").agg(F.max(F.struct("m", "bucket"))["bucket"].alias("home")), "homes")
+    held = homes.groupBy("home").agg(F.count("*").alias("m")).where(F.col("m") >= CORE_MEMBERS)
+    members = homes.join(held.hint("merge"), "home").join(sets.hint("merge"), "rep").select("home", "m", "grams")
+    counts = members.sortWithinPartitions("home").mapInArrow(_gram_counts, "home long, m long, gram long, n long").groupBy("home", "m", "gram").agg(F.sum("n").alias("n"))
+    # A consensus holds at most twice as many n-grams as its members do on average.
+    pivots = counts.where(2 * F.col("n") >= F.col("m")).groupBy("home").agg(F.collect_list("gram").alias("set")).mapInArrow(_packed, "home long, core long, grams binary")
+    pivots = materialize(pivots, "consensus")
+    # A bucket's pivot is the one that most of its members have at home.
+    at_home = homes.join(pivots.select("home", "core").hint("merge"), "home").select("rep", "core")
+    votes = inside.join(at_home.hint("merge"), "rep").groupBy("bucket", "core").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max(F.struct("m", "core"))["core"].alias("core"))
+    pairs = materialize(inside.join(votes.hint("merge"), "bucket").select("core", "rep").distinct(), "core-candidates")
+    copies = pairs.groupBy("core").agg(F.ceil(F.count("*") / PIVOT_MEMBERS).cast("int").alias("copies"))
+    cells = pairs.join(copies.hint("merge"), "core").select("core", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("kind"), "rep")
+    cells = cells.hint("merge").join(sets, "rep").select("core", "copy", "kind", "rep", "grams")
+    leads = pivots.select("core", "grams").dropDuplicates(["core"]).join(copies.hint("merge"), "core")
+    leads = leads.select("core", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), F.col("core").alias("rep"), "grams")
+    rows = cells.unionByName(leads).repartition(shuffle_width(spark), "core", "copy").sortWithinPartitions("core", "copy", "kind")
+    close = materialize(rows.mapInArrow(_near_pivot(threshold), "rep long, core long"), "close")
+    # Of several cores the one with most members takes a document.
+    width = close.groupBy("core").agg(F.count("*").alias("m"))
+    near = close.join(width.hint("merge"), "core").groupBy("rep").agg(F.max(F.struct("m", "core"))["core"].alias("core"))
+    out = materialize(near, "cores")
+    drop_materialized(homes, pivots, pairs, close)
     return out
 
 
