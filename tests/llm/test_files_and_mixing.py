@@ -154,7 +154,7 @@ def test_frames_of_no_bounded_size_and_second_skippable_frames(spark):
 @pytest.mark.parametrize("name", sorted(q.ORACLE_SQL))
 def test_query_equals_its_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     want = con.execute(q.ORACLE_SQL[name])
     columns = [c[0] for c in want.description]
