@@ -21,6 +21,8 @@ from pyspark.sql.window import Window
 from tesserae.sources.shared import Folder, written
 
 RANGE_BYTES = 8 << 20
+#: Tasks that ranges are dealt over at most. Rows that only name a range are too small for a width that Spark derives from their bytes.
+MOST_TASKS = 20_000
 RANGES = "file_no int, file string, size long, start long, end long"
 NEWLINE, QUOTE, RETURN = 10, 34, 13
 
@@ -127,6 +129,11 @@ def _parser(columns: Sequence[str], most: int | None):
     return rows
 
 
+def dealt(named: DataFrame) -> DataFrame:
+    """Rows that each name a piece of work, one to a task up to MOST_TASKS tasks and evenly beyond."""
+    return named.repartition(max(1, min(named.count(), MOST_TASKS)))
+
+
 def csv_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, upto: int | None = None) -> tuple[DataFrame, int]:
     """The byte ranges of all files under `path` in the order of their paths (file_no, file, size, start, end), and the bytes of all files.
 
@@ -149,7 +156,7 @@ def count_ranges(ranges: DataFrame) -> DataFrame:
 
     One row per range is summed in order inside its file, and one per file over all.
     """
-    counts = ranges.repartition(F.col("file"), F.col("start")).mapInArrow(_count, f"{RANGES}, quotes long, even long, odd long")
+    counts = dealt(ranges).mapInArrow(_count, f"{RANGES}, quotes long, even long, odd long")
     counts = written(counts, "csv-counts")
     earlier = Window.partitionBy("file_no").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     state = counts.withColumn("inside", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
@@ -182,4 +189,4 @@ def read_csv_rows(spark: SparkSession, path: str, columns: Sequence[str], max_ro
     if max_rows is not None:
         counted = counted.where(F.col("first_row") < max_rows)
     schema = ", ".join([*(f"`{c}` string" for c in columns), "row_idx long"])
-    return counted.where("records > 0").repartition(F.col("file"), F.col("start")).mapInArrow(_parser(list(columns), None if max_rows is None else max(max_rows, 0)), schema)
+    return dealt(counted.where("records > 0")).mapInArrow(_parser(list(columns), None if max_rows is None else max(max_rows, 0)), schema)

@@ -13,6 +13,7 @@ from test_operators import FIXED_BOOKS, FIXED_SCALES, SPACE, molecules
 
 from tesserae.operators import molecule, vocab
 from tesserae.plans import pipelines
+from tesserae.sources import csv_ranges as csv_ranges_module
 from tesserae.sources import files
 from tesserae.sources.csv_ranges import count_ranges, csv_ranges, read_csv_rows
 
@@ -34,7 +35,8 @@ def odd_rows(n, seed):
 
 
 @pytest.mark.parametrize("size", [3, 17, 64, 1 << 20])
-def test_csv_ranges_give_file_order_whatever_their_size(spark, tmp_path, size):
+def test_csv_ranges_give_file_order_whatever_their_size(spark, tmp_path, size, monkeypatch):
+    monkeypatch.setattr(csv_ranges_module, "MOST_TASKS", 16)  # several ranges to a task
     want, heads = [], (["key", "a", "b"], ["b", "key", "a"], ["key", "a", "b"])
     for k, (head, ending, last) in enumerate(zip(heads, ("\n", "\r\n", "\n"), (True, True, False), strict=True)):
         rows = odd_rows(12, k)
@@ -63,6 +65,14 @@ def test_a_row_limit_stops_reading(spark, tmp_path):
     assert sum(r["records"] for r in state) == 21 and [r["first_row"] for r in state] == [sum(s["records"] for s in state[:i]) - (i > 0) for i in range(len(state))]
 
 
+def test_ranges_are_parsed_by_many_tasks(spark, tmp_path):
+    for k in range(4):
+        write(tmp_path / f"{k}.csv", [[str(i), "x" * 50] for i in range(200)], ["key", "text"])
+    rows = read_csv_rows(spark, str(tmp_path), ["key"], range_bytes=2048)
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert len(sizes) >= 20 and sum(sizes) == 800 and max(sizes) < 80
+
+
 def test_no_files_and_blank_lines(spark, tmp_path):
     (tmp_path / "in").mkdir()
     assert read_csv_rows(spark, str(tmp_path / "in"), ["a"]).count() == 0
