@@ -308,6 +308,7 @@ def oracle_sql() -> dict[str, str]:
             u AS (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM w), i AS (SELECT doc_id, pos, coalesce(list_position({words}, token), 0) AS id FROM u)
             SELECT doc_id, count(id) AS n_words, count(*) FILTER (WHERE id = 0) AS n_unknown, coalesce(sum(pos * id), 0)::BIGINT AS checksum FROM documents LEFT JOIN i USING (doc_id) GROUP BY 1""",
         "md5_sample": f"SELECT o_orderkey, {r6('o_totalprice')} AS o_totalprice FROM orders ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT 500",
+        "buffered_sample": "SELECT least(500, count(*)) AS n_rows, least(500, count(DISTINCT o_orderkey)) AS n_distinct, least(500, count(o_totalprice)) AS n_in_table FROM orders",
         "train_val_split": f"WITH {split} SELECT o_orderkey, split FROM split",
         "shard_sizes": f"WITH {shards} SELECT split, shard::BIGINT AS shard, count(*) AS n FROM sh GROUP BY 1, 2",
         "shard_members": f"WITH {shards} SELECT o_orderkey, split, shard::BIGINT AS shard FROM sh",

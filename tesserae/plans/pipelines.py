@@ -18,6 +18,7 @@ from tesserae.operators.molecule import space_of, tokenize
 from tesserae.operators.predict import predict
 from tesserae.operators.scale import Scales, apply_scales, fit_scales
 from tesserae.operators.vocab import tokens_to_text, vocabulary_info
+from tesserae.sources.buffered import BUFFER, buffered_sample
 from tesserae.sources.files import (
     SAMPLE_COLUMNS, place_in_shards, read_evaluation, shard_starts, write_corpus, write_molecule_csv, write_predictions, write_results, write_shards,
 )
@@ -103,6 +104,12 @@ def sample_to_csv(spark: SparkSession, source: str, path: str, n: int = 1_000_00
     write_molecule_csv(sample_rows(rows, key, n, seed), path)
 
 
+def stream_sample_to_csv(spark: SparkSession, source: str, path: str, n: int = 1_000_000, seed: int = 0, buffer: int = BUFFER) -> None:
+    """n rows of a Parquet table by bounded shuffle buffers, as a CSV of the sample's columns: only the row groups that the sample needs are read."""
+    has = spark.read.parquet(source).columns
+    write_molecule_csv(buffered_sample(spark, source, n, [c for c in SAMPLE_COLUMNS if c in has], seed, buffer), path)
+
+
 def evaluate(structures: DataFrame, make, path: str | None = None) -> DataFrame:
     """Predict `structures` (id, ..., energy, forces) and score them; results go to `path` as JSON if given."""
     result = s2ef(predict(structures, make), structures)

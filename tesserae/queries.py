@@ -12,6 +12,7 @@ from tesserae.functions.arrays import draw, parse_vectors
 from tesserae.operators import codebook as cb
 from tesserae.operators import corpus, metrics, molecule, predict, scale, vocab
 from tesserae.plans.pipelines import publish, reconstruction_report
+from tesserae.sources import buffered
 from tesserae.sources import fixtures as fx
 from tesserae.sources.csv_ranges import read_csv_rows
 from tesserae.sources.files import shard_numbers, with_row_index
@@ -262,6 +263,13 @@ def md5_sample(spark, sf_dir):
     return corpus.sample_rows(fx.table(spark, sf_dir, "orders").select("o_orderkey", r6("o_totalprice").alias("o_totalprice")), "o_orderkey", 500, seed=7)
 
 
+def buffered_sample(spark, sf_dir):
+    """500 orders through shuffle buffers: how many come, how many differ, and how many the table has with the same price."""
+    rows = buffered.buffered_sample(spark, f"{sf_dir}/orders.parquet", 500, ["o_orderkey", "o_totalprice"], seed=7, buffer=100)
+    known = rows.join(fx.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price")), "o_orderkey", "left")
+    return known.agg(F.count("*").alias("n_rows"), F.countDistinct("o_orderkey").alias("n_distinct"), F.count_if(F.col("o_totalprice") == F.col("price")).alias("n_in_table"))
+
+
 def _split(spark, sf_dir) -> DataFrame:
     return corpus.split_by_sample(fx.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 700, seed=3)
 
@@ -351,6 +359,6 @@ def task_gap_errors(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     rvq1d_level1, rvq1d_encode, rvq1d_encode_plain, rvq1d_decode_error, scale_stats, centered_positions, morton_codes, morton_codebook, rvq3d_encode,
     rvq3d_residual_rms, rvq1d_encode_256, rvq3d_encode_256, kmeans_codebook, vocab_table, vocab_info, token_ids, token_text, token_stats, section_shuffle, decode_tokens, roundtrip_error,
-    recon_report, recon_report_256, roundtrip_256, prompt_tokens, parse_defaults, predict_continuation, wordlevel_ids, md5_sample, train_val_split, shard_sizes, shard_members, offset_split,
+    recon_report, recon_report_256, roundtrip_256, prompt_tokens, parse_defaults, predict_continuation, wordlevel_ids, md5_sample, buffered_sample, train_val_split, shard_sizes, shard_members, offset_split,
     row_index, published_files, csv_first_rows, nested_json_roundtrip, s2ef_metrics, task_summary, task_distance_detail, task_gap_errors,
 )} | {f"task_{name}": _task(name) for name in metrics.TASKS}
