@@ -70,3 +70,15 @@ def test_a_buffer_draws_evenly():
 def test_no_files(spark, tmp_path):
     spark.createDataFrame([], "id long").write.parquet(str(tmp_path / "none"))
     assert bf.buffered_sample(spark, str(tmp_path / "none"), 5).collect() == []
+
+
+def test_the_sampler_job_writes_the_samples_columns(spark, tmp_path):
+    from tesserae.plans import pipelines
+    from tesserae.sources import files
+
+    rows = spark.range(300).select(F.col("id").cast("string").alias("property_id"), F.array(F.lit(1), F.lit(8)).alias("atomic_numbers"), F.col("id").cast("double").alias("energy"), F.lit("x").alias("other"))
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    pipelines.stream_sample_to_csv(spark, str(tmp_path / "in"), str(tmp_path / "out"), n=40, seed=2, buffer=16)
+    back = files.read_molecule_csv(spark, str(tmp_path / "out")).collect()
+    assert len({r["property_id"] for r in back}) == len(back) == 40
+    assert all(r["energy"] == float(r["property_id"]) and r["atomic_numbers"] == [1, 8] for r in back)
