@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from tesserae.functions.arrays import draw, grid, midpoints, morton, significant_1d, significant_3d
 from tesserae.functions.order import drawn, quantiles
+from tesserae.functions.rounding import half_away
 from tesserae.sources.shared import written
 
 TRAIN_CAP = 500_000
@@ -65,7 +66,7 @@ def scalar_codes(x: np.ndarray, book: Levels1D, digits: int = 9) -> tuple[np.nda
     codes, r = np.empty((len(x), len(book.centroids)), np.int32), np.array(x, float)
     for level, (c, b) in enumerate(zip(book.centroids, book.bounds, strict=True)):
         codes[:, level] = np.searchsorted(np.array(b, float), r)
-        r = np.round(r - np.array(c, float)[codes[:, level]], digits)
+        r = half_away(r - np.array(c, float)[codes[:, level]], digits)
     return codes, r
 
 
@@ -245,7 +246,7 @@ def encode_vectors(v: np.ndarray, books: list[np.ndarray], digits: int = 9) -> t
     codes, r = np.empty((len(v), len(books)), np.int32), np.array(v, float)
     for level, book in enumerate(books):
         codes[:, level] = nearest(r, book)
-        r = np.round(r - book[codes[:, level]], digits)
+        r = half_away(r - book[codes[:, level]], digits)
     return codes, r
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.arrays import draw
+from tesserae.functions.rounding import half_away
 from tesserae.operators.codebook import Levels1D, Levels3D, encode_vectors, scalar_codes
 from tesserae.operators.scale import Scales, as_lists, centre, flat
 from tesserae.operators.vocab import (
@@ -117,8 +118,8 @@ def tokenize(molecules: DataFrame, books: dict, scales: Scales, shuffle_seed: in
         (n, p, _), (m, f, _) = flat(positions), flat(forces)
         z = pc.fill_null(pc.list_value_length(numbers), 0).to_numpy(zero_copy_only=False)
         _same_sizes(n, m, z)
-        e = np.round((energy.to_numpy(zero_copy_only=False).astype(float) - scales.energy_shift) / scales.energy, 9)
-        out, total = lay(pc.list_flatten(numbers).to_numpy(zero_copy_only=False), n, code(np.round(centre(p, n) / scales.position, 9), np.round(f / scales.force, 9), e), order)
+        e = half_away((energy.to_numpy(zero_copy_only=False).astype(float) - scales.energy_shift) / scales.energy, 9)
+        out, total = lay(pc.list_flatten(numbers).to_numpy(zero_copy_only=False), n, code(half_away(centre(p, n) / scales.position), half_away(f / scales.force), e), order)
         return pa.ListArray.from_arrays(_ends(total), pa.array(out))
 
     columns = [F.col(c) for c in ("atomic_numbers", "positions", "forces", "energy")]

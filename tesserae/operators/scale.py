@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.arrays import positive_or_one
+from tesserae.functions.rounding import half_away
 
 
 @dataclass(frozen=True)
@@ -47,7 +48,7 @@ def centre(values: np.ndarray, sizes: np.ndarray, digits: int = 9) -> np.ndarray
         return values
     of = np.repeat(np.arange(len(sizes)), sizes)
     mean = np.column_stack([np.bincount(of, values[:, i], len(sizes)) for i in range(3)]) / np.maximum(sizes, 1)[:, None]
-    return np.round(values - mean[of], digits)
+    return half_away(values - mean[of], digits)
 
 
 def with_centred(molecules: DataFrame) -> DataFrame:
@@ -100,7 +101,7 @@ def apply_scales(molecules: DataFrame, scales: Scales) -> DataFrame:
     @F.arrow_udf("p array<array<double>>, f array<array<double>>")
     def scaled(positions: pa.Array, forces: pa.Array) -> pa.Array:
         (n, p, p_like), (m, f, f_like) = flat(positions), flat(forces)
-        p, f = np.round(centre(p, n) / scales.position, 9), np.round(f / scales.force, 9)
+        p, f = half_away(centre(p, n) / scales.position), half_away(f / scales.force)
         return pa.StructArray.from_arrays([as_lists(p, n, p_like), as_lists(f, m, f_like)], ["p", "f"])
 
     rows = molecules.withColumn("__s", scaled("positions", "forces"))

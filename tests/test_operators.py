@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import order
 from tesserae.functions.arrays import morton
+from tesserae.functions.rounding import half_away
 from tesserae.operators import codebook as cb
 from tesserae.operators import corpus, metrics, molecule, predict, scale, vocab
 from tesserae.plans import pipelines
@@ -154,6 +155,16 @@ def test_nearest_takes_the_lowest_index_on_ties():
     assert cb.nearest(np.array([[0.0, 0, 0], [2.0, 0, 0]]), book).tolist() == [0, 0]
 
 
+def test_residuals_round_halves_away_from_zero():
+    """Vectors whose residual is half a unit of the ninth digit at a level: expected codes are DuckDB's for rvq3d_encode_256."""
+    v = np.array([[0.0350341796875, -0.2143678218126297, 0.07085667550563812], [0.17286358773708344, 0.4895208477973938, 0.1787109375]])
+    want = [[156, 42, 19, 98, 28, 82, 220, 234], [164, 26, 108, 109, 155, 28, 157, 21]]
+    assert cb.encode_vectors(v, [np.array(b, float) for b in BIG_POSITION.vectors])[0].tolist() == want
+    x = np.array([0.5, -0.5, 2.5, 0.49999999999999994, np.nan, np.inf, 1e308])
+    np.testing.assert_array_equal(half_away(x, 0), [1.0, -1.0, 3.0, 0.0, np.nan, np.inf, 1e308])
+    assert half_away(np.array([1e308]))[0] == 1e308
+
+
 def test_samples_splits_and_shards_are_exact(spark):
     rows = spark.range(1000).withColumnRenamed("id", "k")
     assert corpus.sample_rows(rows, "k", 37).count() == 37
