@@ -71,8 +71,9 @@ def with_row_index(df: DataFrame, name: str = "row_idx") -> DataFrame:
     """A scan with each row's place in the whole data set: its place in its file behind all rows of earlier files. No shuffle of rows."""
     starts = file_offsets(df).select("file", "first_row")
     placed = df.withColumns({"__file": F.col("_metadata.file_path"), "__at": F.col("_metadata.row_index")})
-    # A row per input file, thousands of times fewer than data rows; Spark picks a broadcast by its size.
-    joined = placed.join(starts, placed["__file"] == starts["file"], "left")
+    # A row per input file, thousands of times fewer than data rows. Without the hint Spark, which cannot tell how few they
+    # are, first deals all rows by their file's name.
+    joined = placed.join(F.broadcast(starts), placed["__file"] == starts["file"], "left")
     return joined.withColumn(name, F.col("__at") + F.col("first_row")).drop("__file", "__at", "file", "first_row")
 
 

@@ -20,7 +20,7 @@ from tesserae.functions.rounding import half_away
 from tesserae.operators import codebook as cb
 from tesserae.operators import corpus, metrics, molecule, predict, scale, vocab
 from tesserae.plans import pipelines
-from tesserae.queries import BIG_POSITION, BIG_SCALAR, FIXED_BOOKS, FIXED_SCALES, SPACE
+from tesserae.queries import BIG_POSITION, BIG_SCALAR, FIXED_BOOKS, FIXED_SCALES, QUERIES, SPACE
 from tesserae.sources import files
 from tesserae.streaming import encode as stream
 
@@ -182,6 +182,15 @@ def test_row_index_runs_over_files(spark, tmp_path):
     assert sorted(r["row_idx"] for r in got) == list(range(900))
 
 
+def test_row_index_keeps_no_row_per_place(spark, tmp_path):
+    """The scan's rows are not dealt by their file, and distinct places are grouped 64 at a time."""
+    spark.range(0, 1000, 1, 7).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    out = QUERIES["row_index"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "distinct" not in plan and "bit_or" in plan
+    assert tuple(out.first()) == (1000, 1000, 0, 999)
+
+
 def test_csv_round_trip_of_nested_columns(spark, tmp_path):
     rows = molecules(spark).select(F.col("mol_id").cast("string").alias("property_id"), "atomic_numbers", "positions", F.col("forces").alias("atomic_forces"), "energy")
     files.write_molecule_csv(rows, str(tmp_path / "m"))
