@@ -22,7 +22,10 @@ from tesserae.operators.vocab import (
 
 CODES = "pos array<array<int>>, fx array<array<int>>, fy array<array<int>>, fz array<array<int>>, en array<int>"
 DECODED = "atomic_numbers array<int>, positions array<array<double>>, forces array<array<double>>, energy double, error boolean"
+ROUND_TRIP = "positions array<array<double>>, back_positions array<array<double>>, back_forces array<array<double>>, back_energy double, error boolean"
 SECTIONS = ("atoms", "pos", "force", "energy")
+#: Tokens, and atoms, whose arrays a task holds at once, beside what one molecule has: a batch may be many times larger.
+TOKENS_AT_ONCE, ATOMS_AT_ONCE = 1 << 16, 1 << 13
 
 
 def space_of(books: dict[str, Levels1D | Levels3D]) -> Space:
@@ -51,6 +54,20 @@ def _ends(sizes) -> pa.Array:
     return pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
 
 
+def _piecewise(make, most: int, sizes: np.ndarray, *arrays: pa.Array) -> pa.Array:
+    """`make` of consecutive slices of the arrays, whose `sizes` add up to `most` or which are one row, put together again."""
+    upto, lo, out = np.cumsum(sizes), 0, []
+    while lo < len(sizes) or not out:
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, "right")))
+        out.append(make(*(a.slice(lo, hi - lo) for a in arrays)))
+        lo = hi
+    return pa.concat_arrays(out)
+
+
+def _list_sizes(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+
+
 def encode_codes(molecules: DataFrame, books: dict[str, Levels1D | Levels3D]) -> DataFrame:
     """`molecules` (scaled: positions, forces, energy) with `codes`, a struct of CODES. Lists of different lengths fail."""
     code = _coder(books)
@@ -106,34 +123,44 @@ def section_order(key: Column, seed: int) -> Column:
     return F.array_sort(drawn)["k"]
 
 
-def tokenize(molecules: DataFrame, books: dict, scales: Scales, shuffle_seed: int | None = None, key: str = "mol_id") -> DataFrame:
-    """`molecules` (atomic_numbers, positions, forces, energy) with `tokens`: centred, scaled, coded and laid out in one function.
-
-    Sections come in the order atoms, positions, forces, energy, or in one drawn by key and seed. Rows never leave their
-    partition. Lists of different lengths in a molecule fail; null lists are empty.
-    """
+def _tokenizer(books: dict, scales: Scales):
+    """A function of atomic numbers, positions, forces, energies and section orders (or None) to lists of tokens."""
     code, lay = _coder(books), _sequencer(space_of(books))
 
-    def tokens(numbers: pa.Array, positions: pa.Array, forces: pa.Array, energy: pa.Array, order: np.ndarray | None) -> pa.Array:
+    def piece(numbers: pa.Array, positions: pa.Array, forces: pa.Array, energy: pa.Array, order: pa.Array | None = None) -> pa.Array:
         (n, p, _), (m, f, _) = flat(positions), flat(forces)
-        z = pc.fill_null(pc.list_value_length(numbers), 0).to_numpy(zero_copy_only=False)
+        z = _list_sizes(numbers)
         _same_sizes(n, m, z)
+        order = None if order is None else pc.list_flatten(order).to_numpy(zero_copy_only=False).reshape(-1, 4)
         e = half_away((energy.to_numpy(zero_copy_only=False).astype(float) - scales.energy_shift) / scales.energy, 9)
         out, total = lay(pc.list_flatten(numbers).to_numpy(zero_copy_only=False), n, code(half_away(centre(p, n) / scales.position), half_away(f / scales.force), e), order)
         return pa.ListArray.from_arrays(_ends(total), pa.array(out))
 
+    def tokens(*arrays: pa.Array) -> pa.Array:
+        return _piecewise(piece, ATOMS_AT_ONCE, _list_sizes(arrays[0]), *arrays)
+
+    return tokens
+
+
+def tokenize(molecules: DataFrame, books: dict, scales: Scales, shuffle_seed: int | None = None, key: str = "mol_id") -> DataFrame:
+    """`molecules` (atomic_numbers, positions, forces, energy) with `tokens`: centred, scaled, coded and laid out in one function.
+
+    Sections come in the order atoms, positions, forces, energy, or in one drawn by key and seed. Rows never leave their
+    partition. Lists of different lengths in a molecule fail; null lists are empty.
+    """
+    tokens = _tokenizer(books, scales)
     columns = [F.col(c) for c in ("atomic_numbers", "positions", "forces", "energy")]
     if shuffle_seed is None:
 
         @F.arrow_udf("array<int>")
         def plain(numbers: pa.Array, positions: pa.Array, forces: pa.Array, energy: pa.Array) -> pa.Array:
-            return tokens(numbers, positions, forces, energy, None)
+            return tokens(numbers, positions, forces, energy)
 
         return molecules.withColumn("tokens", plain(*columns))
 
     @F.arrow_udf("array<int>")
     def shuffled(numbers: pa.Array, positions: pa.Array, forces: pa.Array, energy: pa.Array, order: pa.Array) -> pa.Array:
-        return tokens(numbers, positions, forces, energy, pc.list_flatten(order).to_numpy(zero_copy_only=False).reshape(-1, 4))
+        return tokens(numbers, positions, forces, energy, order)
 
     return molecules.withColumn("tokens", shuffled(*columns, section_order(F.col(key), shuffle_seed)))
 
@@ -216,13 +243,12 @@ def _decoder(books: dict, scales: Scales):
     return decode
 
 
-def with_decoded(sequences: DataFrame, books: dict, scales: Scales) -> DataFrame:
-    """`sequences` with `decoded`, a struct of DECODED read from `tokens`: one function of a batch's tokens, no shuffle."""
+def _reader(books: dict, scales: Scales):
+    """A function of lists of tokens to structs of DECODED."""
     decoder = _decoder(books, scales)
 
-    @F.arrow_udf(DECODED)
-    def decoded(tokens: pa.Array) -> pa.Array:
-        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    def piece(tokens: pa.Array) -> pa.Array:
+        sizes = _list_sizes(tokens)
         flat_tokens = pc.fill_null(pc.list_flatten(tokens), BOS).to_numpy(zero_copy_only=False)  # a null token says nothing
         z, n_z, p, n_p, f, n_f, energy, error = decoder(flat_tokens.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes), len(sizes))
         good = pa.array([None if bad else 1 for bad in error], pa.int8())  # what `as_lists` takes its nulls from
@@ -231,7 +257,46 @@ def with_decoded(sequences: DataFrame, books: dict, scales: Scales) -> DataFrame
             ["atomic_numbers", "positions", "forces", "energy", "error"],
         )
 
-    return sequences.withColumn("decoded", decoded("tokens"))
+    def read(tokens: pa.Array) -> pa.Array:
+        return _piecewise(piece, TOKENS_AT_ONCE, _list_sizes(tokens), tokens)
+
+    return read
+
+
+def with_decoded(sequences: DataFrame, books: dict, scales: Scales) -> DataFrame:
+    """`sequences` with `decoded`, a struct of DECODED read from `tokens`: one function of a batch's tokens, no shuffle."""
+    read = _reader(books, scales)
+
+    @F.arrow_udf(DECODED)
+    def decoded(tokens: pa.Array) -> pa.Array:
+        return read(tokens)
+
+    # Else a filter on `decoded` is pushed below, with a call (and a worker) of its own.
+    return sequences.withColumn("decoded", decoded.asNondeterministic()("tokens"))
+
+
+def with_round_trip(molecules: DataFrame, books: dict, scales: Scales) -> DataFrame:
+    """`molecules` with `trip`, a struct of ROUND_TRIP: positions before and after encoding and decoding (both centred), and the decoded forces and energy.
+
+    Tokens are made and read inside one function, so a task has one Python worker for the whole way and no token leaves it.
+    """
+    tokens, read = _tokenizer(books, scales), _reader(books, scales)
+
+    def piece(numbers: pa.Array, positions: pa.Array, forces: pa.Array, energy: pa.Array) -> pa.Array:
+        back = read(tokens(numbers, positions, forces, energy))
+
+        def middle(lists: pa.Array) -> pa.Array:
+            sizes, values, _ = flat(lists)
+            return as_lists(centre(values, sizes), sizes, lists)
+
+        return pa.StructArray.from_arrays([middle(positions), middle(back.field("positions")), back.field("forces"), back.field("energy"), back.field("error")], ["positions", "back_positions", "back_forces", "back_energy", "error"])
+
+    @F.arrow_udf(ROUND_TRIP)
+    def trip(numbers: pa.Array, positions: pa.Array, forces: pa.Array, energy: pa.Array) -> pa.Array:
+        return _piecewise(piece, ATOMS_AT_ONCE, _list_sizes(positions), numbers, positions, forces, energy)
+
+    # Else a filter on `trip` is pushed below, with a call (and a worker) of its own.
+    return molecules.withColumn("trip", trip.asNondeterministic()("atomic_numbers", "positions", "forces", "energy"))
 
 
 def decode(sequences: DataFrame, books: dict, scales: Scales, key: str = "mol_id") -> DataFrame:

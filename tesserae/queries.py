@@ -196,11 +196,9 @@ def decode_tokens(spark, sf_dir):
 
 def roundtrip_error(spark, sf_dir):
     """Per molecule the errors of positions (both sides centred), forces and energy after encoding and decoding, all inside its row."""
-    rows = molecule.with_decoded(_tokens(spark, sf_dir), FIXED_BOOKS, FIXED_SCALES).where("NOT decoded.error")
-    a = scale.with_centred(rows).select("mol_id", F.col("positions").alias("p"), F.col("forces").alias("f"), F.col("energy").alias("e"), "decoded")
-    both = scale.with_centred(a.select("mol_id", "p", "f", "e", F.col("decoded.positions").alias("positions"), F.col("decoded.forces").alias("bf"), F.col("decoded.energy").alias("be")))
+    both = molecule.with_round_trip(fx.order_molecules(spark, sf_dir), FIXED_BOOKS, FIXED_SCALES).where("NOT trip.error")
     off = lambda x, y: F.zip_with(F.flatten(x), F.flatten(y), lambda u, v: u - v)
-    rows = both.select("mol_id", off("p", "positions").alias("dp"), off("f", "bf").alias("df"), "e", "be")
+    rows = both.select("mol_id", off(F.col("trip.positions"), F.col("trip.back_positions")).alias("dp"), off(F.col("forces"), F.col("trip.back_forces")).alias("df"), F.col("energy").alias("e"), F.col("trip.back_energy").alias("be"))
     rmse = lambda d: F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x) / F.size(d))
     worst = lambda d: F.array_max(F.transform(d, lambda x: F.abs(x)))
     return rows.select(
