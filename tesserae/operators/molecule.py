@@ -299,6 +299,34 @@ def with_round_trip(molecules: DataFrame, books: dict, scales: Scales) -> DataFr
     return molecules.withColumn("trip", trip.asNondeterministic()("atomic_numbers", "positions", "forces", "energy"))
 
 
+def with_coding_errors(molecules: DataFrame, books: dict) -> DataFrame:
+    """`molecules` (scaled: positions, forces, energy) with `errors`, a struct of what coding loses: lists of position and force components, and the energy's."""
+    pos = [np.array(v, float) for v in books["position"].vectors]
+
+    def added(codes: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+        total = levels[0][codes[:, 0]]
+        for k in range(1, len(levels)):
+            total = total + levels[k][codes[:, k]]
+        return total
+
+    def lost(x: np.ndarray, book: Levels1D) -> np.ndarray:
+        return x - added(scalar_codes(x, book)[0], [np.array(c, float) for c in book.centroids])
+
+    def piece(positions: pa.Array, forces: pa.Array, energy: pa.Array) -> pa.Array:
+        (n, p, _), (m, f, _) = flat(positions), flat(forces)
+        _same_sizes(n, m)
+        e = lost(energy.to_numpy(zero_copy_only=False).astype(float), books["energy"])
+        f = np.column_stack([lost(f[:, i], books[f"force_{a}"]) for i, a in enumerate("xyz")])
+        lists = [pa.ListArray.from_arrays(_ends(3 * n), pa.array(x.reshape(-1))) for x in (p - added(encode_vectors(p, pos)[0], pos), f)]
+        return pa.StructArray.from_arrays([*lists, pa.array(e, mask=energy.is_null().to_numpy(zero_copy_only=False))], ["position", "force", "energy"])
+
+    @F.arrow_udf("position array<double>, force array<double>, energy double")
+    def errors(positions: pa.Array, forces: pa.Array, energy: pa.Array) -> pa.Array:
+        return _piecewise(piece, ATOMS_AT_ONCE, _list_sizes(positions), positions, forces, energy)
+
+    return molecules.withColumn("errors", errors.asNondeterministic()("positions", "forces", "energy"))
+
+
 def decode(sequences: DataFrame, books: dict, scales: Scales, key: str = "mol_id") -> DataFrame:
     """Molecules read back from `tokens`, row by row: key, atomic_numbers, positions (centred), forces, energy, error.
 

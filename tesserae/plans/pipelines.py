@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from tesserae.functions.arrays import draw
 from tesserae.functions.order import drawn
 from tesserae.operators.codebook import (
-    Levels1D, Levels3D, codebook_table, decode_1d, decode_3d, encode_1d, encode_3d, load_codebooks, train_1d, train_1d_kmeans, train_3d,
+    Levels1D, Levels3D, codebook_table, load_codebooks, train_1d, train_1d_kmeans, train_3d,
 )
 from tesserae.operators.corpus import length_statistics, sample_rows
-from tesserae.operators.metrics import error_summary, headlines, run_tasks, s2ef, stacked
-from tesserae.operators.molecule import space_of, tokenize
+from tesserae.operators.metrics import error_summary, headlines, run_tasks, s2ef
+from tesserae.operators.molecule import space_of, tokenize, with_coding_errors
 from tesserae.operators.predict import predict
 from tesserae.operators.scale import Scales, apply_scales, fit_scales
 from tesserae.operators.vocab import tokens_to_text, vocabulary_info
@@ -50,18 +50,10 @@ def read_codebooks(spark: SparkSession, path: str) -> tuple[dict, Scales]:
 def reconstruction_report(molecules: DataFrame, books: dict, scales: Scales, split: str | None = None) -> DataFrame:
     """Errors in scaled units per split and channel: position, force (all axes together) and energy."""
     keep = [split] if split else []
-    scaled = apply_scales(molecules, scales)
-    atoms = explode_atoms(scaled, keep)
-    coded = encode_3d(atoms, books["position"])
-    back = decode_3d(F.col("codes"), books["position"])
-    coded = coded.withColumns({f"r{a}": F.get(back, F.lit(i)) for i, a in enumerate("xyz")})
-    for a in "xyz":
-        coded = encode_1d(coded, f"f{a}", books[f"force_{a}"], prefix=f"c{a}")
-        coded = coded.withColumn(f"rf{a}", decode_1d([F.col(f"c{a}{k}") for k in range(len(books[f"force_{a}"].centroids))], books[f"force_{a}"]))
-    energies = encode_1d(scaled.select("mol_id", "energy", *keep), "energy", books["energy"], prefix="ce")
-    energies = energies.withColumn("re", decode_1d([F.col(f"ce{k}") for k in range(len(books["energy"].centroids))], books["energy"]))
-    errors = stacked(coded, {"position": [(a, f"r{a}") for a in "xyz"], "force": [(f"f{a}", f"rf{a}") for a in "xyz"]}, keep)
-    errors = errors.unionByName(stacked(energies, {"energy": [("energy", "re")]}, keep))
+    coded = with_coding_errors(apply_scales(molecules, scales), books).select(*keep, "errors")
+    named = lambda name, values: F.transform(values, lambda x: F.struct(F.lit(name).alias("channel"), x.alias("error")))
+    channels = [named("position", F.col("errors.position")), named("force", F.col("errors.force")), named("energy", F.array("errors.energy"))]
+    errors = coded.select(*keep, F.explode(F.concat(*channels)).alias("x")).select(*keep, "x.channel", "x.error")
     return error_summary(errors, F.col("error"), [*keep, "channel"])
 
 

@@ -111,6 +111,14 @@ def test_a_filter_on_what_is_read_calls_no_second_function(spark):
     assert calls(molecule.decode(sequences, FIXED_BOOKS, FIXED_SCALES).where("NOT error").select("positions", "forces")) == 1
 
 
+def test_the_report_makes_no_row_per_atom_before_it_codes(spark):
+    """Codes and errors of a molecule come from one Python call beside the scaling, and its atoms are not rows on the way there."""
+    plan = molecule.with_coding_errors(scale.apply_scales(molecules(spark), FIXED_SCALES), FIXED_BOOKS)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("EvalPython") <= 2 and "Generate" not in plan
+    rows = molecule.with_coding_errors(molecules(spark).withColumn("energy", F.lit(None).cast("double")), FIXED_BOOKS).select("errors").collect()
+    assert all(r["errors"]["energy"] is None for r in rows) and sorted(len(r["errors"]["position"]) for r in rows) == [0, 3, 9]
+
+
 def test_section_shuffle_decodes_to_the_same(spark):
     source = molecules(spark, (2, 3))
     read = lambda seed: sorted(map(str, molecule.decode(molecule.tokenize(source, FIXED_BOOKS, FIXED_SCALES, shuffle_seed=seed), FIXED_BOOKS, FIXED_SCALES).collect()))
