@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,10 @@ from tesserae.sources.csv_ranges import read_csv_rows
 from tesserae.sources.shared import Folder
 
 SAMPLE_COLUMNS = ("property_id", "configuration_id", "dataset_id", "atomic_numbers", "positions", "atomic_forces", "energy", "multiplicity", "cell", "pbc")
-#: A file that Spark wrote carries its task's number.
-PART = re.compile(r"part-(\d+)-")
+#: A shard's file lies in a folder of its number.
+PART = re.compile(r"/shard_number=(\d+)/")
+#: Shards that one task writes, where there are more than tasks; and moves that run at once.
+SHARDS_A_TASK, MOVERS = 64, 16
 
 
 def read_molecule_csv(spark: SparkSession, path: str, max_rows: int | None = None, **options) -> DataFrame:
@@ -133,8 +136,8 @@ SPLIT_NAMES = {"val": "validation"}
 def write_shards(df: DataFrame, path: str, shards: dict[str, int] | None = None, split: str = "split", shard: str = "shard") -> list[str]:
     """One file per shard, called data/<split>-<number>.parquet with five digits, of the columns other than `split` and `shard`; returns the names.
 
-    Shard k of a split is a partition by number, not by hash, so every task has one shard and writes one file. Files are
-    written aside and moved when all are there: a failed write leaves what was there before. `shards` says how many each
+    Shards are dealt by number, not by hash: every task has one, or a run of up to SHARDS_A_TASK where there are many (a
+    task and a row of shuffle blocks for each shard would grow with the square of the input). Files are written aside and moved when all are there: a failed write leaves what was there before. `shards` says how many each
     split has; without it one more aggregation finds out. A shard without rows has no file.
     """
     spark, columns = df.sparkSession, [c for c in df.columns if c not in (split, shard)]
@@ -147,16 +150,17 @@ def write_shards(df: DataFrame, path: str, shards: dict[str, int] | None = None,
     number = F.coalesce(*(F.when((F.col(split) == s) & F.col(shard).between(0, shards[s] - 1), F.col(shard) + k) for s, k in first.items()), F.raise_error(F.lit("a row lies in no shard")).cast("int")) if first else F.lit(0)
     out, aside = Folder(spark, path), f"_publish-{uuid.uuid4().hex}"
     try:
-        placed = df.repartitionById(max(at, 1), number.cast("int")).select(*columns)
-        placed.write.option("maxRecordsPerFile", 0).parquet(f"{path}/{aside}/parts")
-        moved = []
+        width = max(min(at, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-at // SHARDS_A_TASK), 1)
+        numbered = df.select(*columns, number.cast("int").alias("shard_number"))
+        placed = numbered.repartitionById(width, F.floor(F.col("shard_number").cast("long") * width / max(at, 1)).cast("int"))
+        placed.write.option("maxRecordsPerFile", 0).partitionBy("shard_number").parquet(f"{path}/{aside}/parts")
         out.fs.mkdirs(out.child(f"{aside}/data"))
-        for name, _ in Folder(spark, f"{path}/{aside}/parts").files() if at else []:
-            k = int(PART.search(name)[1])
-            out.move(out.child(f"{aside}/parts/{name.rsplit('/', 1)[1]}"), out.child(f"{aside}/data/{wanted[k]}"))
-            moved.append(wanted[k])
+        parts = [(name, int(PART.search(name)[1])) for name, _ in Folder(spark, f"{path}/{aside}/parts").files()] if at else []
+        moved = [wanted[k] for _, k in parts]
         if len(set(moved)) < len(moved):
             raise ValueError("a shard was written by two tasks")
+        with ThreadPoolExecutor(MOVERS) as movers:
+            list(movers.map(lambda x: out.move(out.path_of(x[0]), out.child(f"{aside}/data/{wanted[x[1]]}")), parts))
         out.delete(out.child("data"))
         out.move(out.child(f"{aside}/data"), out.child("data"))
     finally:

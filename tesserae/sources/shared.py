@@ -43,6 +43,9 @@ class Folder:
     def child(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(self.path, name)
 
+    def path_of(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(name)
+
     def files(self) -> list[tuple[str, int]]:
         """(path, bytes) of the files below, by path; names that begin with _ or . are left out."""
         status = self.fs.getFileStatus(self.path)

@@ -114,3 +114,17 @@ def test_one_task_writes_one_shard_and_a_failed_one_leaves_nothing(spark, tmp_pa
         files.write_shards(rows, str(tmp_path), {"train": 49})
     assert len(shard_files(tmp_path)) == 50 and 0 in pq.read_table(tmp_path / "data/train-00000.parquet").column("n").to_pylist()
     assert [f for f in os.listdir(tmp_path) if not f.startswith(".")] == ["data"]
+
+
+def test_many_shards_share_tasks(spark, tmp_path):
+    """300 shards are written by a handful of tasks, each whole and by its name."""
+    rows = spark.range(1500).select(F.col("id").alias("text"), F.lit("train").alias("split"), F.floor(F.col("id") / 5).cast("long").alias("shard"))
+    group = f"shards-{tmp_path.name}"
+    spark.sparkContext.setJobGroup(group, group)
+    names = files.write_shards(rows, str(tmp_path), {"train": 300})
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)]
+    assert max(tasks) < 50
+    assert names == [f"train-{k:05d}.parquet" for k in range(300)]
+    back = spark.read.parquet(f"{tmp_path}/data").select("text", F.col("_metadata.file_name").alias("f")).collect()
+    assert len(back) == 1500 and all(r["f"] == f"train-{r['text'] // 5:05d}.parquet" for r in back)
