@@ -57,6 +57,7 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, added))) if added and not plain else None
         self.normalizer, self.pre, self.model = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
         self.code = "H" if self.width.itemsize == 2 else "I"
+        self.packed = [array(self.code, [k]).tobytes() for k in range(self.tokenizer.get_vocab_size())]
         # Lower-cased words repeat more than pieces do, and both caches fill in that mode: half as many of each.
         most = CACHE_PIECES // 2 if self.mode == "words" else CACHE_PIECES
         self.cache = _Filled(self._led_piece if self.mode == "led" else self._piece, most)
@@ -72,15 +73,26 @@ class Encoder:
         return b"".join(out)
 
     def _led_piece(self, piece: str) -> bytes:
-        """A piece that follows a space. Most are a run of letters, perhaps with one mark behind: the pre-tokenizer's first two cases."""
+        """A piece that follows a space. Most are letters, perhaps with marks behind, perhaps with letters and marks of a next line."""
         if piece.isalpha():
-            return self._ids_of("\u0120" + byte_letters(piece))
-        if piece[:-1].isalpha() and piece[-1] in ".,;:!?":
-            return self.cache[piece[:-1]] + self.words[piece[-1]]
-        return self._piece(" " + piece)
+            return self._ids_of(SPACE_BYTE + byte_letters(piece))
+        found = LED.fullmatch(piece)
+        if not found or self.special and self.special.search(piece):
+            return self._piece(" " + piece)
+        head, marks, word, more = found.groups()
+        if not head.isalpha() or word and not word.isalpha():  # \w holds numbers that are not digits
+            return self._piece(" " + piece)
+        out = self.cache[head]
+        if marks:
+            out += self.words[marks]
+        if word:
+            out += self.words[NEW_LINE] + self.words[byte_letters(word)]
+            if more:
+                out += self.words[more]
+        return out
 
     def _ids_of(self, word: str) -> bytes:
-        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(word)])
 
     def _look_up(self, pieces: list[str]) -> bytes:
         """pieces without the space that leads them."""
@@ -149,6 +161,10 @@ class PieceEncoder:
 SPACE_MARK, SPACED = "\u2581", re.compile(r" +[^ ]*")
 
 
+#: How byte-level vocabularies write a space and a new line; letters, ASCII marks, and perhaps both once more on the next line.
+SPACE_BYTE, NEW_LINE = "\u0120", "\u010a"
+LED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)(?:\n([^\W\d_]+)([!-/:-@\[-`{-~]*))?")
+
 #: A space that does not start a piece: before other white space or at the end.
 SPACE_RUN, VISIBLE_NEXT = re.compile(r" [\s\x1c-\x1f]"), re.compile(r" (?=[^\s\x1c-\x1f])")
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tesserae.llm import queries as q
-from tesserae.llm import chaining, decontamination, ngram_join
+from tesserae.llm import chaining, decontamination, encoding, ngram_join
 from tesserae.llm.chaining import chains, fuzzy_passages
 from tesserae.llm.common import kth_largest, table
 from tesserae.llm.decontamination import decontaminate, keep_clean
@@ -243,6 +243,19 @@ def test_a_half_filled_cache_is_met(spark, sf_dir, docs, tmp_path):
     assert again.count() == again.select("digest").distinct().count() > stored.count()
 
 
+@pytest.mark.parametrize("plain", [False, True])
+def test_marks_and_new_lines_behind_words_need_no_pre_tokenizer(plain):
+    enc = encoding.Encoder(public_tokenizers.path("byte_bpe_50k.json"), plain)
+    rows = ["a den$$$ ef,***\nGh&&& \u00e9t\u00e9.\n\u00c9t\u00e9, x'.\nY_ Ab!", "a x\u00b2 \u216b\nab it's x'\nS's a1. b\n\nc d\n e <|endoftext|> f<|endoftext|>\ng", "a \u01c5b. \u02b0x\nI b__\n_ \u00bd!"]
+    for text in rows:
+        assert enc.ids(text).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    met, piece = [], enc._piece
+    enc._piece = lambda p: met.append(p) or piece(p)
+    enc.cache.clear()
+    enc.ids(rows[0])
+    assert met == ["a"]  # the head of a text
+
+
 def test_token_blocks_hold_the_librarys_ids(spark, sf_dir, texts, odd, none):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
