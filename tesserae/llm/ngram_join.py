@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesserae.llm.common import drop_materialized, materialize, shuffle_width
+from tesserae.llm.common import drop_materialized, materialize, shuffle_width, sliced
 from tesserae.llm.graph import connected_components
 from tesserae.llm.words import run_hashes, word_hashes
 
@@ -243,7 +243,7 @@ def _cores(big: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     leads = pivots.select("core", "grams").dropDuplicates(["core"]).join(copies.hint("merge"), "core")
     leads = leads.select("core", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), F.col("core").alias("rep"), "grams")
     rows = cells.unionByName(leads).repartition(shuffle_width(spark), "core", "copy").sortWithinPartitions("core", "copy", "kind")
-    close = materialize(rows.mapInArrow(_near_pivot(threshold), "rep long, core long"), "close")
+    close = materialize(rows.mapInArrow(sliced(_near_pivot(threshold)), "rep long, core long"), "close")
     # Of several cores the one with most members takes a document.
     width = close.groupBy("core").agg(F.count("*").alias("m"))
     near = close.join(width.hint("merge"), "core").groupBy("rep").agg(F.max(F.struct("m", "core"))["core"].alias("core"))
@@ -282,7 +282,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, targ
     bands, rows = choose_bands(threshold, target_recall)
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
     kind = plain.schema["doc_id"].dataType.simpleString()
-    signed = materialize(plain.mapInArrow(_signer(n, bands, rows, seed), f"doc_id {kind}, h long, n long, digest binary, bands array<long>"), "signatures")
+    signed = materialize(plain.mapInArrow(sliced(_signer(n, bands, rows, seed)), f"doc_id {kind}, h long, n long, digest binary, bands array<long>"), "signatures")
     # A class's number is drawn once and written, so it never changes; ids come in again at the end.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("f")
     classes = signed.where("n > 0").groupBy("digest").agg(first, F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -301,7 +301,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, targ
     mine = inside.groupBy("rep").agg(F.collect_set("bucket").alias("buckets"))  # at most `bands` of them
     mine = materialize(mine.join(classes.hint("merge"), "rep").select("rep", "size", "buckets", F.col("f.doc_id").alias("first_id"), F.col("f.h").alias("first_h")), "candidates")
     sets = plain.join(mine.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))).select("rep", "text")
-    sets = sets.mapInArrow(_set_maker(n), "rep long, grams binary").dropDuplicates(["rep"])  # repeated rows
+    sets = sets.mapInArrow(sliced(_set_maker(n)), "rep long, grams binary").dropDuplicates(["rep"])  # repeated rows
     small = inside.where("parts = 1").select("bucket", F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(0).alias("block"), "rep")
     large = inside.where("parts > 1")
     made = [buckets, inside, mine]
@@ -318,7 +318,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, targ
     told = sets.join(told.select("rep", "size", "buckets", "core").hint("merge"), "rep")
     groups = cells.hint("merge").join(told, "rep").repartition(shuffle_width(spark), "bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "rep")
     groups = groups.select("bucket", "left", "right", "block", "rep", "size", "buckets", "core", "grams")
-    found = groups.mapInArrow(_verifier(threshold), "rep long, links long, root long")
+    found = groups.mapInArrow(sliced(_verifier(threshold)), "rep long, links long, root long")
     found = materialize(found if in_cores is None else found.unionByName(in_cores), "verified")
     drop_materialized(*made)
     roots = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesserae.llm.common import fresh_path, shuffle_width, tokenizer_path
+from tesserae.llm.common import fresh_path, shuffle_width, sliced, tokenizer_path
 from tesserae.llm.encoding import encoder
 
 MAGIC, BLOCK, PERCENTILE = b"PFB1", 256, 0.95
@@ -199,7 +199,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
     ordered = rows.repartitionByRange(shuffle_width(docs.sparkSession), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    ordered.mapInArrow(_segment_writer(tokenizer_path(tokenizer), end_id, segment_ids), SEGMENTS).write.parquet(path)
+    ordered.mapInArrow(sliced(_segment_writer(tokenizer_path(tokenizer), end_id, segment_ids)), SEGMENTS).write.parquet(path)
 
 
 def _document_reader(batches):

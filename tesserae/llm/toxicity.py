@@ -19,13 +19,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import drop_materialized, materialize
+from tesserae.llm.common import SLICE_ROWS, drop_materialized, materialize, sliced
 
 # Group names by language and class, each with a neutral word first. Pass your own as `identity_terms`.
 IDENTITY_TERMS = {
@@ -199,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     if not n0 or not n1:
         drop_materialized(rows)
         return ToxicityModel((), (), prior)
-    counts = rows.mapInArrow(_count_features, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b"))
+    counts = rows.mapInArrow(sliced(_count_features), "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b"))
     odds = F.log((F.col("b") + 0.5) / (n1 - F.col("b") + 0.5)) - F.log((F.col("a") + 0.5) / (n0 - F.col("a") + 0.5))
     spread = F.sqrt(1 / (F.col("b") + 0.5) + 1 / (F.col("a") + 0.5))
     z = F.abs(odds / spread)
@@ -207,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     named = {f for terms in classes.values() for t in terms for f in word_features(t)}
     features = sorted({r[0] for r in best.collect()} | named)
     chosen = {f: k for k, f in enumerate(features)}
-    got = rows.mapInArrow(_selected_rows(chosen, classes, swaps_per_row), "y int, own array<int>, swapped array<int>")
+    got = rows.mapInArrow(sliced(_selected_rows(chosen, classes, swaps_per_row)), "y int, own array<int>, swapped array<int>")
     # Equal rows meet as one with a weight.
     got = got.groupBy("y", "own", "swapped").agg(F.count("*").alias("n")).orderBy("y", "own", "swapped").toArrow()
     weights, bias = _descend(got, len(features), prior, penalty, ridge, steps)
@@ -258,17 +257,18 @@ def score(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: s
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(scored, f"doc_id {kind}, held_out boolean, score double")
+    out = rows.mapInArrow(sliced(scored), f"doc_id {kind}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs`, with all their columns, that score below the threshold: a filter inside the scan's stage."""
 
-    def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def toxicity(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = model.scorer()
         for texts in batches:
-            yield pd.Series(of([t or "" for t in texts]))
+            yield pa.array(np.concatenate([np.zeros(0), *(of(texts.slice(lo, SLICE_ROWS).to_pylist()) for lo in range(0, len(texts), SLICE_ROWS))]))
+        pa.default_memory_pool().release_unused()
 
-    toxicity = F.pandas_udf(toxicity, "double")
+    toxicity = F.arrow_udf(toxicity, "double")
     return docs.where(toxicity(F.col(text)) < threshold)

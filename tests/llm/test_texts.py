@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from tokenizers import Tokenizer
 from tesserae.llm import queries as q
 from tesserae.llm import chaining, decontamination, encoding, ngram_join
 from tesserae.llm.chaining import chains, fuzzy_passages
-from tesserae.llm.common import kth_largest, table
+from tesserae.llm.common import SLICE_ROWS, kth_largest, sliced, table
 from tesserae.llm.decontamination import decontaminate, keep_clean
 from tesserae.llm.importance import BUCKETS, ngram_buckets, resample
 from tesserae.llm.ngram_join import choose_bands, keep_one_per_class, ngram_jaccard_join
@@ -726,3 +727,23 @@ def test_a_million_windows_meet_the_texts_without_moving_positions(spark):
     found = decontamination.scan(docs, decontamination.benchmark_windows(benchmark.limit(50)), max_broadcast_windows=0)[1]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and not any("Exchange hashpartitioning(anchor" in line for line in plan.splitlines())
+
+
+def test_batches_are_made_in_slices():
+    sizes = []
+
+    def make(batches):
+        for b in batches:
+            sizes.append(b.num_rows)
+            yield b
+
+    rows = [pa.RecordBatch.from_pydict({"x": list(range(n))}) for n in (0, 1, 2500)]
+    assert [x for b in sliced(make)(iter(rows)) for x in b.column("x").to_pylist()] == [0, *range(2500)]
+    assert max(sizes) <= SLICE_ROWS
+
+
+def test_signatures_and_sets_are_made_in_slices(spark, docs, monkeypatch):
+    made = []
+    monkeypatch.setattr(ngram_join, "sliced", lambda f: made.append(f.__qualname__.split(".")[0]) or sliced(f))
+    ngram_jaccard_join(docs).count()
+    assert {"_signer", "_set_maker", "_verifier"} <= set(made)
