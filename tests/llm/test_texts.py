@@ -747,3 +747,17 @@ def test_signatures_and_sets_are_made_in_slices(spark, docs, monkeypatch):
     monkeypatch.setattr(ngram_join, "sliced", lambda f: made.append(f.__qualname__.split(".")[0]) or sliced(f))
     ngram_jaccard_join(docs).count()
     assert {"_signer", "_set_maker", "_verifier"} <= set(made)
+
+
+def test_an_edited_passage_is_found_behind_many_holders_of_its_parts(spark):
+    rng, rows, want, new = random.Random(5), [], {}, iter(range(10**7))
+    words = lambda n, c="w": [f"{c}{next(new)}" for _ in range(n)]
+    for _ in range(5):
+        base = words(56)
+        edited = [f"e{next(new)}" if rng.random() < 0.08 else w for w in base]
+        parts = [*[base[:30]] * 10, *[base[26:]] * 10]
+        for part in (*parts, base, edited):
+            rows.append((len(rows), " ".join(words(20, "x") + part + words(20, "y"))))
+        want[len(rows) - 1] = len(rows) - 2
+    got = rows_of(fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert want.items() <= {(r["doc_id"], r["source_id"]) for r in got}
