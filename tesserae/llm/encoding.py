@@ -13,6 +13,8 @@ from array import array
 
 import numpy as np
 
+from tesserae.llm.common import CACHES, only_cache
+
 #: Pieces that each generation of a worker's cache keeps: at some 200 bytes each, 160 MB for both.
 CACHE_PIECES = 400_000
 _LOADED: dict[tuple[str, bool], "Encoder"] = {}
@@ -195,13 +197,22 @@ def _mode(spec: dict) -> str:
 
 def encoder(path: str, plain: bool = False) -> Encoder:
     """One per worker process, file and kind."""
+    only_cache("encoders")
     if (path, plain) not in _LOADED:
         _LOADED[path, plain] = Encoder(path, plain)
     return _LOADED[path, plain]
 
 
 def piece_encoder(path: str) -> PieceEncoder:
+    only_cache("encoders")
     if path not in _PIECES:
         _PIECES[path] = PieceEncoder(path)
     return _PIECES[path]
 
+
+def _forget() -> None:
+    _LOADED.clear()
+    _PIECES.clear()
+
+
+CACHES["encoders"] = _forget

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesserae.llm.common import drop_materialized, materialize, shuffle_width, sliced
+from tesserae.llm.common import drop_materialized, materialize, only_cache, shuffle_width, sliced
 from tesserae.llm.graph import connected_components
 from tesserae.llm.words import run_hashes, word_hashes
 
@@ -71,6 +71,7 @@ def _signer(n: int, bands: int, rows: int, seed: int):
         return (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
 
     def sign(batches):
+        only_cache("words")
         for batch in batches:
             count, digest, bits = [], [], []
             for t in batch.column("text"):
@@ -85,6 +86,7 @@ def _signer(n: int, bands: int, rows: int, seed: int):
 
 def _set_maker(n: int):
     def make(batches):
+        only_cache("words")
         for b in batches:
             sets = [ngram_hashes(t.as_py(), n).tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(sets, pa.binary())], ["rep", "grams"])

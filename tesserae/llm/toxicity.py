@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import SLICE_ROWS, drop_materialized, materialize, sliced
+from tesserae.llm.common import SLICE_ROWS, drop_materialized, materialize, only_cache, sliced
 
 # Group names by language and class, each with a neutral word first. Pass your own as `identity_terms`.
 IDENTITY_TERMS = {
@@ -55,6 +56,8 @@ BUCKETS = 1 << 20
 TRAIN_ROWS, MAX_FEATURES = 20_000, 4096
 #: Counterfactuals of a row that the fit reads at most; of more, those with the smallest hashes.
 SWAPS_PER_ROW = 32
+#: Chunks that a task's cache holds at most, and their length.
+CACHED_CHUNKS, CACHED_LENGTH = 100_000, 64
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
 THRESHOLD = 0.3
@@ -69,16 +72,21 @@ def word_features(word: str) -> set[int]:
     return {zlib.crc32(p.encode()) & (BUCKETS - 1) for p in parts}
 
 
-def text_features(text: str, cache: dict[str, frozenset[int]]) -> set[int]:
-    out: set[int] = set()
+def _features(chunk: str) -> set[int]:
+    return set().union(*map(word_features, WORD.findall(chunk)))
+
+
+def _of_chunks(text: str, cache: dict, make) -> Iterator:
+    """What `make` gives for each distinct white-space chunk of a text. The cache is bounded in chunks and in the length of each."""
     for chunk in set(text.lower().split()):
         found = cache.get(chunk)
         if found is None:
-            if len(cache) > 100_000:
-                cache.clear()
-            found = cache[chunk] = frozenset().union(*map(word_features, WORD.findall(chunk)))
-        out |= found
-    return out
+            found = make(chunk)
+            if len(chunk) <= CACHED_LENGTH:
+                if len(cache) >= CACHED_CHUNKS:
+                    cache.clear()
+                cache[chunk] = found
+        yield found
 
 
 def counterfactuals(text: str, classes: dict[str, tuple[str, ...]]) -> set[tuple[str, str]]:
@@ -111,6 +119,7 @@ class ToxicityModel:
     def scorer(self):
         """A function of texts to scores, for one worker."""
         weight = dict(zip(self.features, self.weights, strict=True))
+        place = {f: f for f in weight}  # so that the cache holds no numbers of its own
         cache: dict[str, tuple[int, ...]] = {}
 
         def score(texts):
@@ -122,7 +131,7 @@ class ToxicityModel:
                     if own is None:
                         if len(cache) > 300_000:
                             cache.clear()
-                        own = cache[chunk] = tuple({f for w in WORD.findall(chunk) for f in word_features(w) if f in weight})
+                        own = cache[chunk] = tuple([place[f] for f in _features(chunk) if f in place])
                     if own:
                         found.update(own)
                 out[k] = self.bias + math.fsum(weight[f] for f in found)
@@ -138,10 +147,12 @@ def held_out(doc_id: Column) -> Column:
 
 def _count_features(batches):
     """Of one partition: how many rows of each label have a feature."""
+    only_cache()
     counts, cache = np.zeros((2, BUCKETS), np.int64), {}
+    packed = lambda chunk: array("I", _features(chunk)).tobytes()  # noqa: E731 -- a twelfth of a set of numbers
     for b in batches:
         for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
-            counts[y][list(text_features(text or "", cache))] += 1
+            counts[y][np.unique(np.frombuffer(b"".join(_of_chunks(text or "", cache, packed)), np.uintc))] += 1
     at = np.nonzero(counts.sum(axis=0) > 0)[0]
     for k in range(0, len(at), 50_000):
         own = at[k : k + 50_000]
@@ -153,8 +164,10 @@ def _selected_rows(chosen: dict[int, int], classes: dict[str, tuple[str, ...]],
     kind = pa.list_(pa.int32())
 
     def rows(batches):
-        cache: dict[str, frozenset[int]] = {}
-        pick = lambda text: {chosen[f] for f in text_features(text, cache) if f in chosen}
+        only_cache()
+        cache: dict[str, tuple[int, ...]] = {}
+        make = lambda chunk: tuple(chosen[f] for f in _features(chunk) if f in chosen)
+        pick = lambda text: set().union(*_of_chunks(text, cache, make))
         for b in batches:
             ys, own, swapped = [], [], []
             for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
@@ -251,6 +264,7 @@ def score(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: s
     """One row per row of `docs`: doc_id, held_out, score, predicted. Null and empty texts get the score of no features."""
 
     def scored(batches):
+        only_cache()
         of = model.scorer()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(of(b.column("text").to_pylist()), pa.float64())], ["doc_id", "held_out", "score"])
@@ -265,6 +279,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", thresh
     """The rows of `docs`, with all their columns, that score below the threshold: a filter inside the scan's stage."""
 
     def toxicity(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        only_cache()
         of = model.scorer()
         for texts in batches:
             yield pa.array(np.concatenate([np.zeros(0), *(of(texts.slice(lo, SLICE_ROWS).to_pylist()) for lo in range(0, len(texts), SLICE_ROWS))]))

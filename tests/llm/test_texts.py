@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -761,3 +762,36 @@ def test_an_edited_passage_is_found_behind_many_holders_of_its_parts(spark):
         want[len(rows) - 1] = len(rows) - 2
     got = rows_of(fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")))
     assert want.items() <= {(r["doc_id"], r["source_id"]) for r in got}
+
+
+def test_toxicity_features_are_counted_in_little_memory():
+    from tesserae.llm.toxicity import BUCKETS, _count_features, word_features
+
+    texts = [" ".join(hashlib.md5(f"{t} {k}".encode()).hexdigest() for k in range(500)) for t in range(60)]
+    batch = pa.RecordBatch.from_pydict({"text": [*texts, None, ""], "y": [k % 2 for k in range(62)]})
+    tracemalloc.start()
+    got = {f: (a, b) for out in _count_features([batch]) for f, a, b in zip(*(out.column(c).to_pylist() for c in ("f", "n0", "n1")), strict=True) if f < BUCKETS // 64}
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = defaultdict(lambda: [0, 0])
+    for k, t in enumerate(texts):
+        for f in set().union(*(word_features(w) for c in t.split() for w in WORD.findall(c))):
+            want[f][k % 2] += 1
+    assert got == {f: tuple(n) for f, n in want.items() if f < BUCKETS // 64}
+    assert most < 40e6, most  # 17 MB of it are the counts
+
+
+def test_a_task_leaves_no_cache_beside_the_next_operators():
+    from tesserae.llm import words
+    from tesserae.llm.common import only_cache
+
+    enc = encoding.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    enc.count("one two")
+    words.word_hashes("three four")
+    assert encoding.encoder(public_tokenizers.path("byte_bpe_50k.json")) is enc and not words._WORDS
+    words.word_hashes("three four")
+    list(ToxicityModel((), (), 0.0).scorer()(["five"]))
+    only_cache("words")
+    assert words._WORDS and not encoding._LOADED
+    only_cache()
+    assert not words._WORDS
