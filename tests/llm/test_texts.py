@@ -795,3 +795,38 @@ def test_a_task_leaves_no_cache_beside_the_next_operators():
     assert words._WORDS and not encoding._LOADED
     only_cache()
     assert not words._WORDS
+
+
+def test_documents_that_share_a_short_line_meet_in_turns_of_bounded_size(spark, monkeypatch):
+    line, sizes = own("line", 24), []
+    edited = [w if k % 12 else f"e{k}" for k, w in enumerate([*own("u", 16), *line, *own("v", 16)])]
+    rows = [(k, own(("a", k), 20) + line + own(("b", k), 20)) for k in range(60)]
+    rows += [(60, own("c", 20) + own("u", 16) + line + own("v", 16)), (61, own("d", 20) + edited)]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    inner = chaining._aligned
+
+    def aligned(plain, matches, k, **more):
+        if more.get("made_tables") is not None:
+            sizes.append(matches.count())
+        return inner(plain, matches, k, **more)
+
+    monkeypatch.setattr(chaining, "_aligned", aligned)
+    whole = sorted(map(str, fuzzy_passages(docs).collect()))
+    assert any("doc_id=61" in r and "source_id=60" in r for r in whole)
+    most = max(sizes)
+    sizes.clear()
+    monkeypatch.setattr(chaining, "MATCHES_AT_ONCE", most // 2)
+    assert sorted(map(str, fuzzy_passages(docs).collect())) == whole
+    assert len(sizes) > 2 and max(sizes) <= 0.75 * most, (most, sizes)
+
+
+def test_a_materialized_table_leaves_no_shuffle_files(spark):
+    from tesserae.llm.common import CLEANUP, materialize
+
+    seen, before = [], spark.conf.get(CLEANUP)
+    df = spark.range(1000).repartition(3, "id")
+    write = type(df.write).parquet
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(df.write), "parquet", lambda self, path: seen.append(spark.conf.get(CLEANUP)) or write(self, path))
+        assert materialize(df, "x").count() == 1000
+    assert seen == ["true"] and spark.conf.get(CLEANUP) == before
