@@ -830,3 +830,63 @@ def test_a_materialized_table_leaves_no_shuffle_files(spark):
         m.setattr(type(df.write), "parquet", lambda self, path: seen.append(spark.conf.get(CLEANUP)) or write(self, path))
         assert materialize(df, "x").count() == 1000
     assert seen == ["true"] and spark.conf.get(CLEANUP) == before
+
+
+def test_documents_that_share_a_short_line_are_not_chained_in_pairs(spark, monkeypatch):
+    line, sizes = own("short line", 17), []
+    edited = [w if k % 12 else f"e{k}" for k, w in enumerate([*own("u", 20), *line, *own("v", 19)])]
+    rows = [(k, own(("a", k), 20) + line + own(("b", k), 20)) for k in range(60)]
+    rows += [(60, own("c", 20) + own("u", 20) + line + own("v", 19)), (61, own("d", 20) + edited)]
+    inner = chaining._aligned
+
+    def aligned(plain, matches, k, **more):
+        if more.get("made_tables") is not None:
+            sizes.append(matches.select(*chaining.PAIR).distinct().count())
+        return inner(plain, matches, k, **more)
+
+    monkeypatch.setattr(chaining, "_aligned", aligned)
+    got = rows_of(fuzzy_passages(spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")))
+    assert {(r["doc_id"], r["source_id"]) for r in got} == {(61, 60)}
+    assert len(sizes) == 2 and sizes[0] > 100 and sizes[1] < 20, sizes  # of 1,830 pairs
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 50])
+def test_shared_items_are_counted_like_sets(monkeypatch, cells):
+    monkeypatch.setattr(chaining, "CELLS", cells)
+    rng = np.random.default_rng(1)
+    for n_q, n_t, kinds in ((5, 7, 40), (60, 200, 3000), (1, 1, 50), (20, 30, 10**6)):
+        q, t = ([np.unique(rng.integers(-kinds, kinds, rng.integers(0, 60))).astype(np.int32) for _ in range(n)] for n in (n_q, n_t))
+        flat = lambda x: (np.concatenate(x), np.repeat(np.arange(len(x)), [len(y) for y in x]), len(x))
+        for least in (1, 3, 10):
+            got = sorted((int(a), int(b)) for i, j in chaining.shared_items(*flat(q), *flat(t), least) for a, b in zip(i, j, strict=True))
+            assert got == [(i, j) for i in range(n_q) for j in range(n_t) if len(np.intersect1d(q[i], t[j])) >= least]
+
+
+def test_a_passage_shares_as_many_runs_around_a_seed_as_is_asked():
+    least, around = chaining._bounds(50, 0.8, 60)
+    assert (least, around) == (19, 122)
+    rng, new = random.Random(8), iter(range(10**6))
+    for _ in range(300):
+        base = [f"w{next(new)}" for _ in range(rng.choice([50, 55, 70, 99]))]
+        out, left_q, left_t = [], len(base) // 5, len(base) // 5  # words that may be left out, and put in
+        for w in base:
+            if left_t and rng.random() < 0.3:
+                out.append(f"e{next(new)}")
+                left_t -= 1
+            if left_q and rng.random() < 0.25:
+                left_q -= 1
+            else:
+                out.append(w)
+        hits = len(set(base) & set(out))
+        if hits >= 0.8 * max(len(base), len(out)):
+            assert len(set(zip(base, base[1:])) & set(zip(out, out[1:]))) >= least
+
+
+def test_word_codes_tell_the_same_words_apart(texts):
+    from tesserae.llm import words
+
+    some = [*texts.values(), None, "", " \n", "a\0 a a\0\0", "İstanbul　x y \ud800", " ".join(f"W{k}" for k in range(9000)), "z" * 9000 + " q"]
+    both = [(words.word_hashes(t), words.word_codes(t)) for t in some]
+    assert all(len(a) == len(b) for a, b in both)
+    a, b = (np.concatenate(x) for x in zip(*both, strict=True))
+    assert len(np.unique(a)) == len(np.unique(b)) == len(set(zip(a.tolist(), b.tolist(), strict=True)))
