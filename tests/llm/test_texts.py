@@ -890,3 +890,47 @@ def test_word_codes_tell_the_same_words_apart(texts):
     assert all(len(a) == len(b) for a, b in both)
     a, b = (np.concatenate(x) for x in zip(*both, strict=True))
     assert len(np.unique(a)) == len(np.unique(b)) == len(set(zip(a.tolist(), b.tolist(), strict=True)))
+
+
+def test_surroundings_of_a_line_are_dealt_in_turns_of_bounded_size(spark, monkeypatch):
+    """What lies on disk at once must not grow with the cells that a large group's rows go to."""
+    line, dealt = own("long line", 24), []
+    edited = [w if k % 12 else f"e{k}" for k, w in enumerate([*own("u", 16), *line, *own("v", 16)])]
+    rows = [(k, own(("a", k), 20) + line + own(("b", k), 20)) for k in range(60)]
+    rows += [(60, own("c", 20) + own("u", 16) + line + own("v", 16)), (61, own("d", 20) + edited)]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    inner, counted = chaining._alike, spark.sparkContext.accumulator(0)
+
+    def alike(least):
+        def make(batches, f=inner(least)):
+            def seen():
+                for b in batches:
+                    counted.add(b.num_rows)
+                    yield b
+
+            yield from f(seen())
+
+        return make
+
+    def materialize(df, name, f=chaining.materialize):
+        before, out = counted.value, f(df, name)
+        if name == "alike":
+            dealt.append(counted.value - before)
+        return out
+
+    monkeypatch.setattr(chaining, "_alike", alike)
+    monkeypatch.setattr(chaining, "materialize", materialize)
+    whole = sorted(map(str, fuzzy_passages(docs).collect()))
+    assert any("doc_id=61" in r and "source_id=60" in r for r in whole) and len(dealt) == 1
+    for name, value in (("TOGETHER", 16), ("AROUND_AT_ONCE", 64), ("AROUND_SHARE", 1 << 30)):
+        monkeypatch.setattr(chaining, name, value)
+    dealt.clear()
+    assert sorted(map(str, fuzzy_passages(docs).collect())) == whole
+    assert len(dealt) > 4 and max(dealt) <= 0.6 * sum(dealt), dealt
+
+
+def test_seeds_that_the_same_documents_hold_side_by_side_are_one_line(spark):
+    at = {1: 10, 2: 14, 3: 17, 4: 90}
+    held = [(seed, d, 0, pos + d) for seed, pos in at.items() for d in range(20)] + [(5, d, 0, 18 + d) for d in range(12)]
+    lines = dict(chaining._lines(spark.createDataFrame(held, "seed long, source long, source_part int, tpos int"), 122).collect())
+    assert lines == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
