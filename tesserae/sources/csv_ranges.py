@@ -27,10 +27,15 @@ RANGES = "file_no int, file string, size long, start long, end long"
 NEWLINE, QUOTE, RETURN = 10, 34, 13
 
 
-def _open(uri: str):
+def filesystem(uri: str):
+    """(Arrow's file system, path in it)."""
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
+def _open(uri: str):
+    system, path = filesystem(uri)
     return system.open_input_file(path)
 
 

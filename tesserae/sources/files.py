@@ -9,12 +9,13 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tesserae.functions.arrays import json_if_nested, parse_numbers, parse_vectors
-from tesserae.sources.csv_ranges import read_csv_rows
+from tesserae.sources.csv_ranges import filesystem, read_csv_rows
 from tesserae.sources.shared import Folder
 
 SAMPLE_COLUMNS = ("property_id", "configuration_id", "dataset_id", "atomic_numbers", "positions", "atomic_forces", "energy", "multiplicity", "cell", "pbc")
@@ -22,6 +23,8 @@ SAMPLE_COLUMNS = ("property_id", "configuration_id", "dataset_id", "atomic_numbe
 PART = re.compile(r"/shard_number=(\d+)/")
 #: Shards that one task writes, where there are more than tasks; and moves that run at once.
 SHARDS_A_TASK, MOVERS = 64, 16
+#: Bytes of a shard's rows that a task holds before they become a row group.
+GROUP_BYTES = 64 << 20
 
 
 def read_molecule_csv(spark: SparkSession, path: str, max_rows: int | None = None, **options) -> DataFrame:
@@ -137,7 +140,8 @@ def write_shards(df: DataFrame, path: str, shards: dict[str, int] | None = None,
     """One file per shard, called data/<split>-<number>.parquet with five digits, of the columns other than `split` and `shard`; returns the names.
 
     Shards are dealt by number, not by hash: every task has one, or a run of up to SHARDS_A_TASK where there are many (a
-    task and a row of shuffle blocks for each shard would grow with the square of the input). Files are written aside and moved when all are there: a failed write leaves what was there before. `shards` says how many each
+    task and a row of shuffle blocks for each shard would grow with the square of the input). Files are written aside and moved when all are there: a failed write leaves what was there before. Tasks write a file by its final name
+    themselves where Arrow opens the store: listing and moving files one by one on the driver took longer than making them. `shards` says how many each
     split has; without it one more aggregation finds out. A shard without rows has no file.
     """
     spark, columns = df.sparkSession, [c for c in df.columns if c not in (split, shard)]
@@ -153,14 +157,21 @@ def write_shards(df: DataFrame, path: str, shards: dict[str, int] | None = None,
         width = max(min(at, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-at // SHARDS_A_TASK), 1)
         numbered = df.select(*columns, number.cast("int").alias("shard_number"))
         placed = numbered.repartitionById(width, F.floor(F.col("shard_number").cast("long") * width / max(at, 1)).cast("int"))
-        placed.write.option("maxRecordsPerFile", 0).partitionBy("shard_number").parquet(f"{path}/{aside}/parts")
         out.fs.mkdirs(out.child(f"{aside}/data"))
-        parts = [(name, int(PART.search(name)[1])) for name, _ in Folder(spark, f"{path}/{aside}/parts").files()] if at else []
-        moved = [wanted[k] for _, k in parts]
+        uri = out.fs.makeQualified(out.path).toString()
+        if _arrow_opens(uri):
+            out.fs.mkdirs(out.child(f"{aside}/tasks"))
+            named = sorted((k, SPLIT_NAMES.get(s, s)) for s, k in first.items())
+            moved = [r[0] for r in placed.sortWithinPartitions("shard_number").mapInArrow(_shard_writer(uri, aside, named), "file string").collect()]
+        else:
+            placed.write.option("maxRecordsPerFile", 0).partitionBy("shard_number").parquet(f"{path}/{aside}/parts")
+            parts = [(name, int(PART.search(name)[1])) for name, _ in Folder(spark, f"{path}/{aside}/parts").files()] if at else []
+            moved = [wanted[k] for _, k in parts]
         if len(set(moved)) < len(moved):
             raise ValueError("a shard was written by two tasks")
-        with ThreadPoolExecutor(MOVERS) as movers:
-            list(movers.map(lambda x: out.move(out.path_of(x[0]), out.child(f"{aside}/data/{wanted[x[1]]}")), parts))
+        if not _arrow_opens(uri):
+            with ThreadPoolExecutor(MOVERS) as movers:
+                list(movers.map(lambda x: out.move(out.path_of(x[0]), out.child(f"{aside}/data/{wanted[x[1]]}")), parts))
         out.delete(out.child("data"))
         out.move(out.child(f"{aside}/data"), out.child("data"))
     finally:
@@ -168,6 +179,70 @@ def write_shards(df: DataFrame, path: str, shards: dict[str, int] | None = None,
     return sorted(moved)
 
 
+def _arrow_opens(uri: str) -> bool:
+    """Whether tasks can write there by themselves; else Spark writes, and the driver moves file by file."""
+    try:
+        filesystem(uri)
+    except (pa.ArrowException, OSError, ImportError):
+        return False
+    return True
+
+
+def _shard_writer(uri: str, aside: str, named: list[tuple[int, str]]):
+    """Rows, ordered by shard_number, as a file each of their shard's name; returns the names. `named`: first numbers of the splits, ascending, and their names.
+
+    A file is written under a name of its own and renamed when it is whole, so a task that runs twice does no harm.
+    """
+
+    def write(batches):
+        system, root = filesystem(uri)
+        number, held, size, writer, aim = None, [], 0, None, ""
+
+        def grouped():
+            nonlocal writer, held, size, aim
+            if writer is None:
+                aim = f"{root}/{aside}/tasks/{uuid.uuid4().hex}.parquet"
+                writer = pq.ParquetWriter(aim, held[0].schema, filesystem=system, store_schema=False)
+            writer.write_table(pa.Table.from_batches(held))
+            held, size = [], 0
+
+        def ended() -> str:
+            nonlocal writer
+            if held:
+                grouped()
+            writer.close()
+            writer = None
+            begin, split = next(x for x in reversed(named) if x[0] <= number)
+            name = f"{split}-{number - begin:05d}.parquet"
+            try:
+                system.move(aim, f"{root}/{aside}/data/{name}")
+            except OSError:  # an earlier attempt's file is there, and this store does not replace it
+                system.delete_file(f"{root}/{aside}/data/{name}")
+                system.move(aim, f"{root}/{aside}/data/{name}")
+            return name
+
+        for b in batches:
+            made, numbers = [], b.column("shard_number").to_numpy()
+            rows = b.select([c for c in b.schema.names if c != "shard_number"])
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if number is not None and number != numbers[lo]:
+                    made.append(ended())
+                number = int(numbers[lo])
+                held.append(rows.slice(lo, hi - lo))
+                size += held[-1].nbytes
+                if size >= GROUP_BYTES:
+                    grouped()
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(made)], ["file"])
+        if number is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([ended()])], ["file"])
+
+    return write
+
+
 def write_results(results: DataFrame, path: str) -> None:
     """Metric rows as JSON lines."""
     results.coalesce(1).write.mode("overwrite").json(path)

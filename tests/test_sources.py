@@ -6,6 +6,7 @@ import csv
 import os
 import random
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +129,32 @@ def test_many_shards_share_tasks(spark, tmp_path):
     assert names == [f"train-{k:05d}.parquet" for k in range(300)]
     back = spark.read.parquet(f"{tmp_path}/data").select("text", F.col("_metadata.file_name").alias("f")).collect()
     assert len(back) == 1500 and all(r["f"] == f"train-{r['text'] // 5:05d}.parquet" for r in back)
+
+
+def test_shard_files_are_not_listed_or_moved_one_by_one(spark, tmp_path, monkeypatch):
+    """Tasks write files by their final names; a shard of several row groups, and one of two attempts, is whole."""
+    moved, listed = [], []
+    move, found = files.Folder.move, files.Folder.files
+    monkeypatch.setattr(files.Folder, "move", lambda self, a, b: moved.append(b) or move(self, a, b))
+    monkeypatch.setattr(files.Folder, "files", lambda self: listed.append(self) or found(self))
+    rows = spark.range(3000).select(F.concat(F.lit("text "), "id").alias("text"), F.when(F.col("id") < 90, "val").otherwise("train").alias("split"), F.floor(F.col("id") / 30).alias("shard"))
+    names = files.write_shards(rows, str(tmp_path / "out"), {"train": 100, "val": 3})
+    assert names == [f"train-{k:05d}.parquet" for k in range(3, 100)] + [f"validation-{k:05d}.parquet" for k in range(3)]
+    assert len(moved) == 1 and not listed
+    assert set(shard_files(tmp_path / "out").values()) == {30} and os.listdir(tmp_path / "out/data") and not [f for f in os.listdir(tmp_path / "out") if f.startswith("_")]
+    monkeypatch.setattr(files, "GROUP_BYTES", 64)
+    (tmp_path / "a/data").mkdir(parents=True)
+    (tmp_path / "a/tasks").mkdir()
+    batch = lambda at, n: pa.RecordBatch.from_arrays([pa.array([f"{k}" * 20 for k in range(n)]), pa.array([at] * n, pa.int32())], ["text", "shard_number"])
+    for _ in range(2):
+        write = files._shard_writer(f"file:{tmp_path}", "a", [(0, "train"), (5, "validation")])
+        assert [n for b in write(iter([batch(4, 9), batch(4, 9), batch(5, 3), batch(5, 0)])) for n in b.column("file").to_pylist()] == ["train-00004.parquet", "validation-00000.parquet"]
+    assert shard_files(tmp_path / "a") == {"train-00004.parquet": 18, "validation-00000.parquet": 3} and os.listdir(tmp_path / "a/tasks") == []
+
+
+def test_stores_that_arrow_cannot_open_get_their_shards_from_spark(spark, tmp_path, monkeypatch):
+    rows = spark.range(50).select(F.col("id").alias("n"), F.lit("train").alias("split"), (F.col("id") % 5).alias("shard"))
+    assert not files._arrow_opens("viewfs://store/x")
+    monkeypatch.setattr(files, "_arrow_opens", lambda uri: False)
+    assert files.write_shards(rows, str(tmp_path)) == [f"train-{k:05d}.parquet" for k in range(5)]
+    assert set(shard_files(tmp_path).values()) == {10}
